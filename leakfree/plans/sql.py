@@ -83,7 +83,9 @@ SELECT user_id AS competition, event_id * 2 + 1 AS seq, ts,
            'train_cv complete: ' || CASE WHEN user_id % 2 = 0 THEN 'stratified_kfold' ELSE 'kfold' END
            || ' (5 folds), metric=' || {_METRIC} || ', mean='
            || CASE WHEN event_id % 17 = 0 THEN 'nan' ELSE printf('%.4f', value) END
-           || ', std=0.0100, fold_scores=[], duration_s=' || printf('%.2f', value)
+           || ', std=0.0100, fold_scores=[' || printf('%.2f, %.2f, %.2f, %.2f, %.2f', value - 0.02, value - 0.01,
+                                                      value, value + 0.01, value + 0.02)
+           || '], duration_s=' || printf('%.2f', value)
          ELSE ({_TOOL}) || ' ok ' || CAST(value AS VARCHAR) END END AS result_summary,
        CASE WHEN event_type = 'error' THEN 'ToolError: failed with ' || CAST(value AS VARCHAR) END AS error,
        CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN ''

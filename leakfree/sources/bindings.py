@@ -73,7 +73,10 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("train_cv complete: "),
                  F.when(F.col("user_id") % 2 == 0, F.lit("stratified_kfold")).otherwise(F.lit("kfold")),
                  F.lit(" (5 folds), metric="), metric, F.lit(", mean="), mean_txt,
-                 F.lit(", std=0.0100, fold_scores=[], duration_s="),
+                 F.lit(", std=0.0100, fold_scores=["),
+                 F.format_string("%.2f, %.2f, %.2f, %.2f, %.2f", F.col("value") - 0.02, F.col("value") - 0.01,
+                                 F.col("value"), F.col("value") + 0.01, F.col("value") + 0.02),
+                 F.lit("], duration_s="),
                  F.format_string("%.2f", F.col("value"))),
     ).otherwise(F.concat(tool, F.lit(" ok "), F.col("value").cast("string")))
     calls = e.select(
