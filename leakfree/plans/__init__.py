@@ -1,6 +1,6 @@
 """Registered queries over the provided tables (``QUERIES``) and their SQL oracles (``ORACLES``)."""
 
-from leakfree.plans import q_cv, q_logs, q_misc, q_ml, q_ops  # noqa: F401  (registers queries)
+from leakfree.plans import q_cv, q_logs, q_misc, q_ml, q_ops, q_stream  # noqa: F401  (registers queries)
 from leakfree.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
