@@ -22,8 +22,8 @@ NOTE_CATEGORIES = ["observation", "decision", "hypothesis", "todo"]
 COMP = "competition"
 
 
-def is_tool(kind: Column = F.col("kind")) -> Column:
-    return kind.isin(*TOOL_KINDS)
+def is_tool(kind: Column | None = None) -> Column:
+    return (F.col("kind") if kind is None else kind).isin(*TOOL_KINDS)
 
 
 def with_ordinals(journal: DataFrame, name: str = "ordinal") -> DataFrame:

@@ -195,8 +195,10 @@ t AS (SELECT trace_id, span_id, 0 AS depth, span_id AS root_span_id FROM s WHERE
       UNION ALL
       SELECT s.trace_id, s.span_id, t.depth + 1, t.root_span_id
       FROM s JOIN t ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id)
-SELECT s.trace_id, s.span_id, CAST(t.depth AS DOUBLE) AS depth, t.root_span_id
-FROM s LEFT JOIN t ON s.trace_id = t.trace_id AND s.span_id = t.span_id""", "spans")[len("WITH "):])
+SELECT trace_id, span_id, CAST(depth AS DOUBLE) AS depth, root_span_id FROM t
+UNION ALL
+SELECT s.trace_id, s.span_id, NULL, NULL FROM s ANTI JOIN t ON s.trace_id = t.trace_id AND s.span_id = t.span_id""",
+                                               "spans")[len("WITH "):])
 def q_trc2(spark, sf_dir):
     r = trc.resolve_tree(spans(spark, sf_dir))
     return r.select("trace_id", "span_id", F.col("depth").cast("double"), "root_span_id")
