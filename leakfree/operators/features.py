@@ -104,8 +104,8 @@ def fit_target_mean(folds: Folds, col: str, target: str, smoothing: float = 10.0
     """Per (fold, value): smoothed training mean of the target; per fold: the prior."""
     y = F.col(target).cast("double")
     per_value = train_sums(folds, {"sy": y, "n": F.when(y.isNotNull(), F.lit(1))}, by=[col])
-    prior = train_sums(folds, {"sy": y, "n": F.when(y.isNotNull(), F.lit(1))}).select(
-        "fold", (F.col("sy") / F.col("n")).alias("prior"))
+    # the prior is the same sums over all values: reuse the per-value aggregate
+    prior = per_value.groupBy("fold").agg((F.sum("sy") / F.sum("n")).alias("prior"))
     enc = (per_value.where(F.col("n") > 0).join(F.broadcast(prior), "fold")
            .select("fold", col, ((F.col("sy") + F.lit(smoothing) * F.col("prior"))
                                  / (F.col("n") + F.lit(smoothing))).alias("te")))

@@ -15,6 +15,7 @@ import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ class Folds:
     expanding: bool = False
     col: str = FOLD
 
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
     def val_mask(self, f: int) -> Column:
         return F.col(self.col) == f
 
@@ -53,6 +57,13 @@ class Folds:
         return [b for b in self.blocks() if (b < f if self.expanding else b != f)]
 
 
+def _pin(df: DataFrame) -> DataFrame:
+    """Folds are read several times (statistics, validation rows, scoring): keep the
+    ranked table instead of re-sorting it each time.  The order is total, so a lost
+    cached block recomputes to the same folds.  ``Folds.unpersist`` releases it."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _check_k(k: int, n: int | None = None) -> None:
     if not MIN_SPLITS <= k <= MAX_SPLITS:
         raise CVError(f"n_splits must be between {MIN_SPLITS} and {MAX_SPLITS}, got {k}")
@@ -80,9 +91,9 @@ def kfold(df: DataFrame, k: int = DEFAULT_SPLITS, seed: int = DEFAULT_SEED, shuf
         if not order_by:
             raise CVError("unshuffled kfold needs order_by: DataFrames have no row order")
         base, order = df, [*order_by, row_id]
-    ranked = global_rank(base, order, "_lf_r")
+    ranked = global_rank(base, order, "_lf_r", total_rows=n)
     out = ranked.withColumn(FOLD, _block_fold(F.col("_lf_r"), n, k)).drop("_lf_r", "_lf_h")
-    return Folds(out, k, "kfold")
+    return Folds(_pin(out), k, "kfold")
 
 
 def kfold_hash(df: DataFrame, k: int = DEFAULT_SPLITS, seed: int = DEFAULT_SEED,
@@ -99,9 +110,9 @@ def stratified_kfold(df: DataFrame, label: str, k: int = DEFAULT_SPLITS, seed: i
     n = df.count()
     _check_k(k, n)
     base = df.withColumn("_lf_h", seeded_hash(F.col(row_id), seed))
-    ranked = global_rank(base, [label, "_lf_h", row_id], "_lf_r")
+    ranked = global_rank(base, [label, "_lf_h", row_id], "_lf_r", total_rows=n)
     out = ranked.withColumn(FOLD, (F.col("_lf_r") % k).cast("int")).drop("_lf_r", "_lf_h")
-    return Folds(out, k, "stratified_kfold")
+    return Folds(_pin(out), k, "stratified_kfold")
 
 
 def time_series(df: DataFrame, order_by: list[str], k: int = DEFAULT_SPLITS,
@@ -113,11 +124,11 @@ def time_series(df: DataFrame, order_by: list[str], k: int = DEFAULT_SPLITS,
     if test_size < 1:
         raise CVError(f"too few rows ({n}) for {k} time-series splits")
     warm = n - k * test_size
-    ranked = global_rank(df, [*order_by, row_id], "_lf_r")
+    ranked = global_rank(df, [*order_by, row_id], "_lf_r", total_rows=n)
     r = F.col("_lf_r")
     out = ranked.withColumn(FOLD, F.when(r < warm, F.lit(-1)).otherwise(
         F.floor((r - warm) / test_size)).cast("int")).drop("_lf_r")
-    return Folds(out, k, "time_series", expanding=True)
+    return Folds(_pin(out), k, "time_series", expanding=True)
 
 
 def group_kfold(df: DataFrame, group_col: str, k: int = DEFAULT_SPLITS,
@@ -146,7 +157,8 @@ def group_kfold(df: DataFrame, group_col: str, k: int = DEFAULT_SPLITS,
         gtype = dict(df.dtypes)[group_col]
         table = df.sparkSession.createDataFrame(assign, f"{group_col} {gtype}, {FOLD} int")
     else:
-        ranked = global_rank(sizes.withColumn("_lf_neg", -F.col("_lf_n")), ["_lf_neg", group_col], "_lf_r")
+        ranked = global_rank(sizes.withColumn("_lf_neg", -F.col("_lf_n")), ["_lf_neg", group_col], "_lf_r",
+                             total_rows=n_groups)
         pos = F.col("_lf_r") % (2 * k)
         table = ranked.select(group_col, F.when(pos < k, pos).otherwise(2 * k - 1 - pos).cast("int").alias(FOLD))
     out = bounded_join(df, table, group_col, "left", small_rows=n_groups)
