@@ -73,7 +73,7 @@ def best_score(journal: DataFrame) -> DataFrame:
     Each record's own metric gives the direction.  A competition whose records share
     one direction needs only ``max``/``min`` and the first ordinal at that value
     (strict improvement) — plain aggregates.  Competitions that switched metric mid-run
-    are order-dependent; they fold their train_cv records in order with ``aggregate``."""
+    are order-dependent; they go through a chunked, associative fold (``_mixed_best``)."""
     cv = cv_records(journal)
     dirs = cv.groupBy(COMP).agg(F.min(F.col("hib").cast("int")).alias("_lo"),
                                 F.max(F.col("hib").cast("int")).alias("_hi"))
@@ -87,18 +87,59 @@ def best_score(journal: DataFrame) -> DataFrame:
         COMP, F.when(F.col("hib"), F.col("_hi.mean")).otherwise(F.col("_lo.mean")).alias("best_cv_mean"),
         F.when(F.col("hib"), -F.col("_hi.o")).otherwise(F.col("_lo.o")).cast("long").alias("turns_to_best_score"))
 
-    mixed = cv.where(F.col("_lo") != F.col("_hi"))
-    recs = mixed.groupBy(COMP).agg(F.array_sort(F.collect_list(F.struct("ordinal", "hib", "mean"))).alias("r"))
-    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("turn"))
+    mixed = cv.where(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
+    return homo_out.unionByName(_mixed_best(mixed))
+
+
+FOLD_CHUNK_ROWS = 100_000
+_INF = float("inf")
+
+
+def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
+    """Running best when the direction changes between records (order-dependent).
+
+    Each step "keep the better of best and x" is a clamp ``b ↦ min(max(b, L), H)``
+    (max: ``L = x``; min: ``H = x``; the very first record: the constant ``L = H = x``),
+    and clamps compose into clamps.  Records are cut into chunks of at most
+    ``chunk_rows`` (split-aware running count); each chunk folds its own records in
+    order, chunk clamps are prefix-composed per competition, and every chunk is
+    replayed from its incoming best to find the last improving turn.  No task ever
+    holds more than one chunk of one competition."""
+    idx = ordinal(cv, [COMP], ["ordinal"], "_k")
+    idx = idx.withColumn("_chunk", F.floor((F.col("_k") - 1) / chunk_rows).cast("long"))
+    lo = F.when(F.col("_k") == 1, F.col("mean")).when(F.col("hib"), F.col("mean")).otherwise(F.lit(-_INF))
+    hi = F.when(F.col("_k") == 1, F.col("mean")).when(F.col("hib"), F.lit(_INF)).otherwise(F.col("mean"))
+    recs = idx.select(COMP, "_chunk", F.struct("ordinal", lo.alias("l"), hi.alias("h")).alias("r"))
+    chunks = recs.groupBy(COMP, "_chunk").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+
+    def compose(acc, x):  # acc then x: b ↦ min(max(min(max(b, L), H), l), h)
+        l2 = F.least(F.greatest(acc["l"], x["l"]), x["h"])
+        h2 = F.least(F.greatest(acc["h"], x["l"]), x["h"])
+        return F.struct(l2.alias("l"), h2.alias("h"))
+
+    ident = F.struct(F.lit(-_INF).alias("l"), F.lit(_INF).alias("h"))
+    summ = chunks.select(COMP, "_chunk", "rs", F.aggregate("rs", ident, compose).alias("c"))
+    # incoming best of a chunk = composition of all earlier chunks (constant: the first
+    # record is a constant clamp); the chunk list per competition is n / chunk_rows long
+    per_comp = summ.groupBy(COMP).agg(F.array_sort(F.collect_list(F.struct("_chunk", "c"))).alias("cs"))
+    pos = per_comp.select(COMP, F.posexplode("cs").alias("_p", "e"), "cs")
+    incoming = pos.select(
+        COMP, F.col("e._chunk").alias("_chunk"),
+        F.aggregate(F.slice("cs", 1, F.greatest(F.col("_p"), F.lit(1))), ident,
+                    lambda acc, x: compose(acc, x["c"]))["l"].alias("_b_in_raw"), F.col("_p"))
+    incoming = incoming.withColumn("_b_in", F.when(F.col("_p") > 0, F.col("_b_in_raw"))).drop("_b_in_raw", "_p")
+    replay = summ.join(incoming, [COMP, "_chunk"])
+    init = F.struct(F.col("_b_in").alias("b"), F.lit(None).cast("long").alias("t"))
 
     def step(acc, x):
-        better = acc["best"].isNull() | F.when(x["hib"], x["mean"] > acc["best"]).otherwise(x["mean"] < acc["best"])
-        return F.when(better, F.struct(x["mean"].alias("best"), x["ordinal"].cast("long").alias("turn"))).otherwise(acc)
-
-    folded = recs.select(COMP, F.aggregate("r", init, step).alias("s"))
-    mixed_out = folded.select(COMP, F.col("s.best").alias("best_cv_mean"),
-                              F.col("s.turn").alias("turns_to_best_score"))
-    return homo_out.unionByName(mixed_out)
+        new = F.least(F.greatest(F.coalesce(acc["b"], x["l"]), x["l"]), x["h"])
+        changed = acc["b"].isNull() | (new != acc["b"])
+        return F.struct(new.alias("b"), F.when(changed, x["ordinal"].cast("long")).otherwise(acc["t"]).alias("t"))
+
+    out = replay.select(COMP, "_chunk", F.aggregate("rs", init, step).alias("s"))
+    return out.groupBy(COMP).agg(
+        F.max_by(F.col("s.b"), F.col("_chunk")).alias("best_cv_mean"),
+        F.max("s.t").alias("turns_to_best_score"))
 
 
 def stuck_loop(journal: DataFrame, window: int = 10, threshold: int = 5) -> DataFrame:

@@ -102,3 +102,27 @@ def test_notes_category(spark):
     assert good.count() == 1 and bad.count() == 1
     with pytest.raises(ValueError):
         jr.notes_by_category(notes, "whatever")
+
+
+def test_mixed_direction_chunked_fold_equals_brute_force(spark):
+    import random
+
+    from leakfree.functions.parse import METRIC_DIRECTION
+    rnd = random.Random(7)
+    recs, expect = [], {}
+    for comp in range(5):
+        best, turn = None, None
+        for i in range(1, rnd.randint(2, 40)):
+            metric = rnd.choice(["accuracy", "rmse", "r2", "mae"])
+            mean = round(rnd.random(), 4)
+            recs.append((comp, i, metric, mean))
+            hib = METRIC_DIRECTION[metric]
+            if best is None or (mean > best if hib else mean < best):
+                best, turn = mean, i
+        expect[comp] = (best, turn)
+    df = spark.createDataFrame(recs, "competition long, ordinal long, metric string, mean double")
+    df = df.withColumn("hib", df.metric.isin("accuracy", "r2"))
+    for chunk in (3, 1000):
+        got = {r["competition"]: (r["best_cv_mean"], r["turns_to_best_score"])
+               for r in jr._mixed_best(df, chunk_rows=chunk).collect()}
+        assert got == expect
