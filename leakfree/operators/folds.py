@@ -165,6 +165,14 @@ def group_kfold(df: DataFrame, group_col: str, k: int = DEFAULT_SPLITS,
     return Folds(out, k, "group_kfold")
 
 
+def subsample(df: DataFrame, fraction: float, seed: int = DEFAULT_SEED, row_id: str = "row_id") -> DataFrame:
+    """OPT-7: deterministic subsample — rows whose seeded hash falls below the fraction
+    (reproducible by any engine, no shuffle, no driver state)."""
+    if not 0 < fraction <= 1:
+        raise CVError("fraction must be in (0, 1]")
+    return df.where(seeded_hash(F.col(row_id), seed) < F.lit(int(fraction * 2 ** 32)))
+
+
 def fold_report(folds: Folds, label: str | None = None, group_col: str | None = None) -> DataFrame:
     """CV-7: rows per fold (and per class), groups per fold, and folds per group (purity)."""
     by = [folds.col] + ([label] if label else [])

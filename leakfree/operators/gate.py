@@ -106,6 +106,13 @@ def calibration_rows(requests: DataFrame, cv_override: str | None = None) -> Dat
         strategy.alias("cv_strategy"))
 
 
+def backfill_lb(calibration: DataFrame, lb: DataFrame, score: str = "lb_new") -> DataFrame:
+    """OPT-3: upsert leaderboard scores that arrived later into calibration rows
+    (left join on competition and seq; rows without a score keep theirs)."""
+    j = calibration.join(lb.select(COMP, "seq", score), [COMP, "seq"], "left")
+    return j.withColumn("lb_score", F.coalesce(F.col(score), F.col("lb_score"))).drop(score)
+
+
 def history(calibration: DataFrame, competition=None) -> DataFrame:
     """CAL-2: calibration records (optionally of one competition) in write order."""
     df = calibration if competition is None else calibration.where(F.col(COMP) == competition)

@@ -92,11 +92,13 @@ def _logloss_frame(df: DataFrame, by: list[str], y: str, pred: str, out: str) ->
 
 
 _REGISTRY: dict[str, Metric] = {}
+_OPTIONAL: dict[str, Metric] = {}
 
 
-def register(metric: Metric) -> None:
-    """UDAF-1: add a metric (Column builder or frame function) to the registry."""
-    _REGISTRY[metric.name] = metric
+def register(metric: Metric, optional: bool = False) -> None:
+    """UDAF-1: add a metric (Column builder or frame function) to the registry.
+    ``optional`` metrics are resolvable by name but not listed with the core six."""
+    (_OPTIONAL if optional else _REGISTRY)[metric.name] = metric
 
 
 register(Metric("accuracy", True, False, "classification", column=accuracy))
@@ -108,13 +110,15 @@ register(Metric("r2", True, False, "regression", column=r2))
 
 
 def get(name: str) -> Metric:
-    if name not in _REGISTRY:
-        raise KeyError(f"metric '{name}' not in registry; known: {sorted(_REGISTRY)}")
-    return _REGISTRY[name]
+    if name in _REGISTRY:
+        return _REGISTRY[name]
+    if name in _OPTIONAL:
+        return _OPTIONAL[name]
+    raise KeyError(f"metric '{name}' not in registry; known: {sorted(_REGISTRY)}")
 
 
-def list_metrics() -> list[str]:
-    return sorted(_REGISTRY)
+def list_metrics(include_optional: bool = False) -> list[str]:
+    return sorted({**_REGISTRY, **_OPTIONAL} if include_optional else _REGISTRY)
 
 
 def metric_dim(spark) -> DataFrame:
@@ -129,3 +133,85 @@ def cv_summary(scores: DataFrame, by: list[str] | None = None, score: str = "sco
     aggs = [F.count(F.lit(1)).alias("n_folds"), F.avg(score).alias("cv_mean"),
             F.stddev_pop(score).alias("cv_std")]
     return scores.groupBy(*by).agg(*aggs) if by else scores.agg(*aggs)
+
+
+# ---------------------------------------------------------------- OPT-1: further metrics
+def rmsle(y: Column, pred: Column) -> Column:
+    return F.sqrt(F.avg(F.pow(F.log1p(pred) - F.log1p(y), 2)))
+
+
+def pinball(alpha: float):
+    def fn(y: Column, pred: Column) -> Column:
+        d = y - pred
+        return F.avg(F.greatest(F.lit(alpha) * d, F.lit(alpha - 1) * d))
+    return fn
+
+
+def qwk(y: Column, pred: Column) -> Column:
+    """Quadratic weighted kappa of integer ratings as plain aggregates: with weights
+    (i-j)², Σ w·O = Σ(y-p)² and Σ w·E = (n·Σy² + n·Σp² − 2·Σy·Σp) / n."""
+    n = F.count(y)
+    num = n * F.sum(F.pow(y - pred, 2))
+    den = n * F.sum(y * y) + n * F.sum(pred * pred) - 2 * F.sum(y) * F.sum(pred)
+    return F.when(den != 0, F.lit(1.0) - num / den)
+
+
+def f1_frame(average: str):
+    """F1 from per-class confusion counts: ``binary`` (class 1), ``macro`` or ``weighted``."""
+    def frame(df: DataFrame, by: list[str], y: str, pred: str, out: str) -> DataFrame:
+        yy, pp = F.col(y).cast("string"), F.col(pred).cast("string")
+        classes = df.select(*by, yy.alias("_c")).union(df.select(*by, pp.alias("_c"))).distinct()
+        tp = df.where(yy == pp).groupBy(*by, yy.alias("_c")).agg(F.count(F.lit(1)).alias("tp"))
+        sup = df.groupBy(*by, yy.alias("_c")).agg(F.count(F.lit(1)).alias("support"))
+        prd = df.groupBy(*by, pp.alias("_c")).agg(F.count(F.lit(1)).alias("npred"))
+        k = [*by, "_c"]
+        c = (classes.join(tp, k, "left").join(sup, k, "left").join(prd, k, "left").na.fill(0, ["tp", "support", "npred"]))
+        f1 = F.when(F.col("support") + F.col("npred") > 0,
+                    2 * F.col("tp") / (F.col("support") + F.col("npred"))).otherwise(F.lit(0.0))
+        c = c.withColumn("_f1", f1)
+        if average == "binary":
+            res = c.where(F.col("_c") == "1").groupBy(*by).agg(F.first("_f1").alias(out))
+        elif average == "macro":
+            res = c.groupBy(*by).agg(F.avg("_f1").alias(out))
+        else:
+            res = c.groupBy(*by).agg((F.sum(F.col("_f1") * F.col("support")) / F.sum("support")).alias(out))
+        return res
+    return frame
+
+
+def map_at_k(df: DataFrame, query: str, score: str, relevant: str, k: int, by: list[str] | None = None,
+             tie: list[str] | None = None) -> DataFrame:
+    """MAP@K: per query rank items by score (top k kept per map task before the shuffle,
+    WindowGroupLimit), average precision at each relevant hit divided by
+    min(#relevant, k); mean over queries that have a relevant item."""
+    from pyspark.sql import Window
+
+    by = by or []
+    order = [F.col(score).desc()] + [F.col(t).asc() for t in (tie or [])]
+    w = Window.partitionBy(*by, query).orderBy(*order)
+    top = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    rel = F.col(relevant).cast("int")
+    w2 = Window.partitionBy(*by, query).orderBy("_rk").rowsBetween(Window.unboundedPreceding, 0)
+    top = top.withColumn("_hits", F.sum(rel).over(w2))  # at most k rows per query
+    ap = top.groupBy(*by, query).agg(F.sum(F.when(rel == 1, F.col("_hits") / F.col("_rk"))).alias("_s"))
+    nrel = df.groupBy(*by, query).agg(F.sum(rel).alias("_nrel"))
+    j = ap.join(nrel, [*by, query]).where(F.col("_nrel") > 0)
+    res = j.groupBy(*by).agg(F.avg(F.coalesce(F.col("_s"), F.lit(0.0)) / F.least(F.col("_nrel"), F.lit(k))).alias("map"))
+    return res
+
+
+def mcrmse(ys: list[str], preds: list[str]) -> Column:
+    """Mean column-wise RMSE over several targets."""
+    parts = [F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), 2))) for y, p in zip(ys, preds)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total / len(parts)
+
+
+register(Metric("rmsle", False, False, "regression", column=rmsle), optional=True)
+register(Metric("pinball_0.9", False, False, "regression", column=pinball(0.9)), optional=True)
+register(Metric("qwk", True, False, "classification", column=qwk), optional=True)
+register(Metric("f1", True, False, "classification", frame=f1_frame("binary")), optional=True)
+register(Metric("f1_macro", True, False, "classification", frame=f1_frame("macro")), optional=True)
+register(Metric("f1_weighted", True, False, "classification", frame=f1_frame("weighted")), optional=True)
