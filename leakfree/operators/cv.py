@@ -137,6 +137,25 @@ class SparkML:
         return _M()
 
 
+class PandasTransform:
+    """UDF-1 adapter for per-row pandas code: ``fit(train, target) -> state`` computes a
+    small state with Spark (aggregations; never collects rows) and ``apply(pdf, state)``
+    transforms one Arrow batch at a time through ``mapInPandas`` — Spark partitions the
+    rows, Python only sees bounded batches."""
+
+    def __init__(self, fit, apply, schema: str):
+        self.fit_state, self.apply, self.schema = fit, apply, schema
+
+    def fit(self, train: DataFrame, target: str):
+        state = self.fit_state(train, target)
+        apply, schema = self.apply, self.schema
+
+        class _T:
+            def transform(self, df: DataFrame) -> DataFrame:
+                return df.mapInPandas(lambda batches: (apply(pdf, state) for pdf in batches), schema)
+        return _T()
+
+
 def logistic(xs: list[str], c: float = 1.0) -> SparkML:
     return SparkML(xs, lambda n: logistic_model(n, c))
 
