@@ -349,3 +349,23 @@ def q_mdl3(spark, sf_dir):
     ll = met.get("logloss").score(oof, ["fold"], "y_bin", "p1", "logloss")
     return auc.join(ll, "fold").select(F.col("fold").cast("bigint"), _r(F.col("auc"), "auc", 4),
                                        _r(F.col("logloss"), "logloss", 4))
+
+
+@query("CV-5", with_ctes("SELECT fold, y_cls, count(*) AS n_rows FROM skf GROUP BY fold, y_cls", "skf"))
+def q_cv5(spark, sf_dir):
+    """Auto-selected strategy for a classification target (no group/date column): the
+    stratified split it picks, as rows per (fold, class)."""
+    strategy = cvf.auto_select("classification", K)
+    f = strategy.apply(training(spark, sf_dir), label="y_cls", row_id="row_id")
+    return f.df.groupBy(F.col("fold").cast("bigint").alias("fold"), F.col("y_cls").cast("int").alias("y_cls")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("CV-6", with_ctes("""
+SELECT row_id, CAST(CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) // q END AS BIGINT) AS fold
+FROM (SELECT row_id, row_number() OVER (ORDER BY """ + h("row_id") + """, row_id) - 1 AS r,
+             count(*) OVER () // 10 AS q, count(*) OVER () % 10 AS m FROM train)""", "train"))
+def q_cv6(spark, sf_dir):
+    """Registry override: the strategy chosen by name with 10 splits (validated 2..20)."""
+    f = cvf.get("kfold", n_splits=10).apply(training(spark, sf_dir), label="y_reg", row_id="row_id")
+    return f.df.select("row_id", F.col("fold").cast("bigint"))
