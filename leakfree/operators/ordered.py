@@ -5,12 +5,12 @@ The logs we analyse are keyed by competition, and one competition may hold a lar
 of all rows, so every ordered operator in this package goes through :func:`running`:
 
 1. count rows per key (partial aggregation, one small shuffle);
-2. keys above ``max_rows_per_task`` are *split* into consecutive sub-ranges of the first
-   order column, using ``percentile_approx`` boundaries computed per hot key;
+2. rows of keys above ``max_rows_per_task`` are range-partitioned on (key, order) — Spark
+   samples bounds on the whole order tuple and assigns rows by binary search — and the
+   partition id becomes the row's sub-range (consecutive, bounded, any number of them);
 3. the native Window runs per ``(key, sub)`` — each task is bounded;
 4. each sub-range's totals are prefix-combined over earlier sub-ranges of the same key
-   (a table of at most ``Σ subs`` rows, size-checked before it is broadcast) and added
-   back with a join.
+   (a table of at most ``#sub-ranges`` rows) and added back with a join.
 
 Small keys take the plain Window path, so the overhead is one aggregation.  With no
 keys at all the whole table is one key, which gives a distributed global rank (CV-0).
@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakfree.session import materialize
+
 MAX_ROWS_CONF = "spark.leakfree.scan.maxRowsPerTask"
 BROADCAST_ROWS_CONF = "spark.leakfree.broadcast.maxRows"
 DEFAULT_MAX_ROWS_PER_TASK = 2_000_000
@@ -168,32 +170,23 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
             out = out.withColumn(a.name, _window_fn(Agg(a.name, a.fn, a.name + "_in"), w))
         return _finish(out, keys, aggs)
 
-    # --- split hot keys into sub-ranges of the first order column ---------------------
-    split_col = order[0]
-    max_hot = hot.agg(F.max("_lf_n")).first()[0]
-    resolution = int(min(max(2, math.ceil(max_hot / limit)), 4096))
-    pct = [i / resolution for i in range(1, resolution)]
-    hot_rows = base.join(F.broadcast(hot) if n_hot <= broadcast_row_limit(df) else hot,
-                         part_keys, "left_semi")
-    quant = hot_rows.groupBy(*part_keys).agg(
-        F.percentile_approx(F.col(split_col), pct, 10_000).alias("_lf_q"))
-    bounds = (quant.join(hot, part_keys)
-              .withColumn("_lf_m", F.ceil(F.col("_lf_n") / F.lit(limit)).cast("int"))
-              .withColumn("_lf_bounds", F.when(
-                  F.col("_lf_m") > 1,
-                  F.array_distinct(F.transform(
-                      F.sequence(F.lit(1), F.col("_lf_m") - 1),
-                      lambda i: F.element_at(
-                          F.col("_lf_q"),
-                          F.least(F.lit(resolution - 1), F.greatest(
-                              F.lit(1), F.round(i * F.lit(resolution) / F.col("_lf_m")).cast("int"))))))
-              ).otherwise(F.array().cast(f"array<{dict(df.dtypes)[split_col]}>")))
-              .select(*part_keys, "_lf_bounds"))
-    split = bounded_join(base, bounds, part_keys, "left", small_rows=n_hot)
-    split = split.withColumn("_lf_hot", F.col("_lf_bounds").isNotNull())
-    split = split.withColumn(_SUB, F.when(
-        F.col("_lf_bounds").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(F.col("_lf_bounds"), lambda b: b <= F.col(split_col))))).drop("_lf_bounds")
+    # --- hot keys: range-partition their rows on (key, order); partition = sub-range -----
+    hot_keys = hot.select(*part_keys)
+    small_hot = n_hot <= broadcast_row_limit(df)
+    hot_side = F.broadcast(hot_keys) if small_hot else hot_keys
+    cold = base.join(hot_side, part_keys, "left_anti")
+    w_cold = Window.partitionBy(*part_keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    cold_out = cold
+    for a in aggs:
+        cold_out = cold_out.withColumn(a.name, _window_fn(Agg(a.name, a.fn, a.name + "_in"), w_cold))
+
+    hot_total = hot.agg(F.sum("_lf_n")).first()[0]
+    parts = max(2, 2 * math.ceil(hot_total / limit))
+    ranged = (base.join(hot_side, part_keys, "left_semi")
+              .repartitionByRange(parts, *[F.col(k) for k in part_keys], *order_cols)
+              .withColumn(_SUB, F.spark_partition_id()))
+    # persisted: the windows and the carries below must see the same sub-range ids
+    split = materialize(ranged)
 
     w = Window.partitionBy(*part_keys, _SUB).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, frame_end)
@@ -201,19 +194,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
     for a in aggs:
         local = local.withColumn(a.name + "_loc", _window_fn(Agg(a.name, a.fn, a.name + "_in"), w))
 
-    # --- carries: totals of earlier sub-ranges of the same key -------------------------
+    # --- carries: totals of earlier sub-ranges of the same key (≤ parts rows) ---------
     order_struct = F.struct(*order_cols)
-    seg = (split.where(F.col("_lf_hot"))
-        .groupBy(*part_keys, _SUB)
-        .agg(*[_group_fn(a, order_struct).alias(a.name + "_seg") for a in aggs]))
+    seg = split.groupBy(*part_keys, _SUB).agg(*[_group_fn(a, order_struct).alias(a.name + "_seg") for a in aggs])
     wc = Window.partitionBy(*part_keys).orderBy(_SUB).rowsBetween(Window.unboundedPreceding, -1)
     carry = seg.select(*part_keys, _SUB, *[_prefix_fn(a, wc).alias(a.name + "_carry") for a in aggs])
-    carry = carry.where(F.col(_SUB) > 0)
-    out = bounded_join(local, carry, [*part_keys, _SUB], "left")
+    out = bounded_join(local, carry, [*part_keys, _SUB], "left", small_rows=parts)
     for a in aggs:
         out = out.withColumn(a.name, _combine(a, F.col(a.name + "_carry"), F.col(a.name + "_loc")))
-    out = out.drop(_SUB, "_lf_hot", *[a.name + "_loc" for a in aggs], *[a.name + "_carry" for a in aggs])
-    return _finish(out, keys, aggs)
+    hot_out = out.drop(_SUB, *[a.name + "_loc" for a in aggs], *[a.name + "_carry" for a in aggs])
+    return _finish(cold_out.unionByName(hot_out), keys, aggs)
 
 
 def _finish(out: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
@@ -233,9 +223,27 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
                 max_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
     """CV-0: 0-based position in a total order over the whole table.
 
-    Never a single-partition window: above ``max_rows_per_task`` rows the order is split
-    into approximately equal ranges that are ranked in parallel and offset by the
-    counts of the earlier ranges.
-    """
-    out = running(df, [], order, [Agg(name, "count")], True, max_rows, total_rows)
-    return out.withColumn(name, F.col(name) - 1)
+    Up to ``max_rows_per_task`` rows a single window ranks them (bounded by the check).
+    Beyond that it is a distributed sort: Spark's range partitioning (sampled bounds on
+    the whole order tuple, so ties in a leading column such as a class label still split)
+    into ``~2·n/max_rows`` partitions, a sort within each, per-partition counts (one row
+    per partition on the driver) and ``rank = offset[partition] + position``.  The
+    partitioned table is persisted so counts and positions come from the same data; the
+    order is total, so a recomputed block gets the same partition and positions."""
+    limit = max_rows or max_rows_per_task(df)
+    n = total_rows if total_rows is not None else df.count()
+    if n <= limit:
+        out = running(df, [], order, [Agg(name, "count")], True, max_rows=limit, total_rows=n)
+        return out.withColumn(name, F.col(name) - 1)
+    parts = max(2, 2 * math.ceil(n / limit))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
+    tagged = materialize(ranged.withColumn("_lf_pid", F.spark_partition_id())
+                         .withColumn("_lf_pos", F.monotonically_increasing_id()))
+    counts = dict(tagged.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("c")).collect())  # ≤ parts rows
+    offsets, acc = [], 0
+    for pid in range(parts):
+        offsets.append(acc)
+        acc += counts.get(pid, 0)
+    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_lf_pid") + 1)
+    local = F.col("_lf_pos") - F.shiftleft(F.col("_lf_pid").cast("long"), 33)
+    return tagged.withColumn(name, offset + local).drop("_lf_pid", "_lf_pos")

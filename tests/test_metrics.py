@@ -34,7 +34,7 @@ def test_directions_pinned():
     for name, hib in expected.items():
         assert met.get(name).higher_is_better is hib
     with pytest.raises(KeyError):
-        met.get("f1")
+        met.get("no_such_metric")
 
 
 def test_auc_with_ties_equals_pairwise(spark):

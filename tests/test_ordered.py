@@ -26,9 +26,33 @@ def test_global_rank_matches_sort(spark):
         assert (r["rank"].to_numpy() == expected).all()
 
 
-def test_rows_are_ranked_in_hash_partitioned_sub_ranges(spark):
-    """The row-level window is partitioned by sub-range; only the per-sub-range totals
-    (one row per ~max_rows input rows) are combined in one place."""
-    df = spark.range(0, 1000).withColumn("v", F.col("id") % 7)
-    plan = global_rank(df, ["v", "id"], max_rows=100)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(0" in plan and "_lf_sub" in plan
+def test_large_global_order_is_range_partitioned(spark):
+    """Above the per-task cap the global order is a range-partitioned sort, never a
+    single-partition window; a low-cardinality leading column still splits."""
+    df = spark.range(0, 1000).withColumn("v", F.col("id") % 3)
+    r = global_rank(df, ["v", "id"], max_rows=100)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    got = r.orderBy("id").toPandas()["rank"].to_numpy()
+    vals = (np.arange(1000) % 3)
+    expected = np.empty(1000, dtype=int)
+    expected[np.lexsort((np.arange(1000), vals))] = np.arange(1000)
+    assert (got == expected).all()
+
+
+def test_keyed_split_runs_per_sub_range(spark):
+    ev = spark.range(0, 1000).withColumn("k", F.lit(1))
+    plan = running(ev, ["k"], ["id"], [Agg("n", "count")], max_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "_lf_sub" in plan
+
+
+def test_hot_key_with_tied_leading_column(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(v), i, float(x)) for i, (k, v, x) in
+            enumerate(zip(rng.choice([1, 1, 1, 2, 3], 3000), rng.integers(0, 3, 3000), rng.random(3000)))]
+    df = spark.createDataFrame(rows, "k long, v long, id long, x double")
+    aggs = [Agg("n", "count"), Agg("s", "sum", "x"), Agg("mx", "max", "x")]
+    a = running(df, ["k"], ["v", "id"], aggs).orderBy("id").toPandas()
+    b = running(df, ["k"], ["v", "id"], aggs, max_rows=50).orderBy("id").toPandas()
+    for c in ["n", "s", "mx"]:
+        assert np.allclose(a[c].astype(float), b[c].astype(float))
