@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.functions.hashing import seeded_hash
-from leakfree.operators.ordered import bounded_join, broadcast_row_limit, global_rank
+from leakfree.operators.ordered import bounded_join, global_rank
 
 FOLD = "fold"
 DEFAULT_SPLITS = 5

@@ -87,6 +87,10 @@ def best_score(journal: DataFrame) -> DataFrame:
         COMP, F.when(F.col("hib"), F.col("_hi.mean")).otherwise(F.col("_lo.mean")).alias("best_cv_mean"),
         F.when(F.col("hib"), -F.col("_hi.o")).otherwise(F.col("_lo.o")).cast("long").alias("turns_to_best_score"))
 
+    # the order-dependent path only for competitions that switched direction (checked on
+    # the one-row-per-competition table)
+    if dirs.where(F.col("_lo") != F.col("_hi")).isEmpty():
+        return homo_out
     mixed = cv.where(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
     return homo_out.unionByName(_mixed_best(mixed))
 

@@ -130,6 +130,24 @@ def _prefix_fn(a: Agg, w) -> Column:
     raise ValueError(a.fn)
 
 
+_HOT_MEMO: dict = {}
+
+
+def _hot_count(df: DataFrame, keys: list[str], limit: int, hot: DataFrame) -> int:
+    """Number of keys above the per-task cap — one aggregation job per distinct input.
+
+    Several ordered scans over the same log in one plan ask the same question; the answer
+    is memoised per session by the semantic hash of the key projection (equal plans over
+    the same files share it)."""
+    try:
+        sig = (id(df.sparkSession), df.select(*keys).semanticHash(), tuple(keys), limit)
+    except Exception:  # noqa: BLE001 — plans without a semantic hash are simply not memoised
+        return hot.count()
+    if sig not in _HOT_MEMO:
+        _HOT_MEMO[sig] = hot.count()
+    return _HOT_MEMO[sig]
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
             inclusive: bool = True, max_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order`` (rows frame).
@@ -158,7 +176,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
     else:
         sizes = base.groupBy(*part_keys).agg(F.count(F.lit(1)).alias("_lf_n"))
         hot = sizes.where(F.col("_lf_n") > limit)
-        n_hot = hot.count()
+        n_hot = _hot_count(df, part_keys, limit, hot)
     frame_end = 0 if inclusive else -1
     order_cols = [F.col(c) for c in order]
 
@@ -181,6 +199,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
         cold_out = cold_out.withColumn(a.name, _window_fn(Agg(a.name, a.fn, a.name + "_in"), w_cold))
 
     hot_total = hot.agg(F.sum("_lf_n")).first()[0]
+    if not hot_total:  # a memoised answer went stale (e.g. the log changed): no key is hot now
+        return _finish(cold_out, keys, aggs)
     parts = max(2, 2 * math.ceil(hot_total / limit))
     ranged = (base.join(hot_side, part_keys, "left_semi")
               .repartitionByRange(parts, *[F.col(k) for k in part_keys], *order_cols)

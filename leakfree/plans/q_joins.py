@@ -10,7 +10,7 @@ from leakfree.operators import cv
 from leakfree.operators import journal as jr
 from leakfree.operators import metrics as met
 from leakfree.operators.ordered import Agg, running
-from leakfree.plans import q_cv, q_misc, q_ml
+from leakfree.plans import q_cv, q_misc, q_ml  # noqa: F401  (the queries reused below)
 from leakfree.plans.registry import ORACLES, QUERIES, query
 from leakfree.plans.sql import with_ctes
 from leakfree.sources import io
