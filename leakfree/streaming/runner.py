@@ -2,7 +2,9 @@
 
 Sinks are files under the shared checkpoint folder (never driver memory):
 
-* append outputs are written per micro-batch and read back as a union;
+* every micro-batch is written to its own ``_lf_batch=<id>`` folder (overwrite), so a batch
+  replayed after a failure replaces itself instead of duplicating rows;
+* append outputs are read back as the union of the batches;
 * update outputs (aggregations, keyed state) are written with their batch id and
   read back as the latest row per key — an upsert without a table format.
 
@@ -52,7 +54,8 @@ def run(sdf: DataFrame, name: str, keys: list[str] | None = None, mode: str = "a
     out = scratch(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_lf_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/data")
+        # idempotent: a micro-batch replayed after a failure overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/data/_lf_batch={batch_id}")
 
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).foreachBatch(sink).start())
