@@ -75,3 +75,44 @@ def q_fin1(spark, sf_dir):
     df = training(spark, sf_dir).select("row_id", "x_acct", "x_days", "y_reg")
     out = cv.fit_final_predict(df, df, "y_reg", "row_id", model=cv.Ridge(["x_acct", "x_days"], 1.0))
     return out.select("row_id", F.round("y_reg", 4).alias("y_reg"))
+
+
+@query("CVR-1b", with_ctes("""
+, folds AS (SELECT DISTINCT fold AS tf FROM dskf),
+tr AS (SELECT f.tf, k.lang, k.quality FROM dskf k JOIN folds f ON k.fold <> f.tf),
+prior AS (SELECT tf, avg(quality) AS prior FROM tr GROUP BY tf),
+enc AS (SELECT tr.tf, tr.lang, (sum(tr.quality) + 10 * any_value(p.prior)) / (count(tr.quality) + 10) AS te
+        FROM tr JOIN prior p ON tr.tf = p.tf GROUP BY tr.tf, tr.lang),
+val AS (SELECT k.fold, k.quality, coalesce(e.te, p.prior) AS te
+        FROM dskf k JOIN prior p ON k.fold = p.tf LEFT JOIN enc e ON e.tf = k.fold AND e.lang = k.lang),
+s AS (SELECT fold, te, sum(quality) AS pos, sum(1 - quality) AS neg FROM val GROUP BY fold, te),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY te
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+SELECT fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                  THEN round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) END AS auc
+FROM c GROUP BY fold""", "dskf"))
+def q_cvr1b(spark, sf_dir):
+    """Documents: stratified folds on the quality label, leak-free target encoding of the
+    language, exact AUC of the encoding per fold."""
+    from leakfree.operators import features as fe
+    from leakfree.operators import metrics as met
+    from leakfree.sources.bindings import documents_training
+
+    f = cvf.stratified_kfold(documents_training(spark, sf_dir), "quality", K, 42)
+    enc = fe.target_mean_encode(f, "lang", "quality", keep=["row_id", "quality"])
+    auc = met.get("auc").score(enc, ["fold"], "quality", "te", "auc")
+    return auc.select(F.col("fold").cast("bigint"), F.round("auc", 6).alias("auc"))
+
+
+@query("CVR-3b")
+def q_cvr3b(spark, sf_dir):
+    """Embeddings: stratified folds over 10 classes, multinomial logistic regression on all
+    64 dimensions, per-fold accuracy and probability width.  Iterative: no SQL oracle."""
+    from leakfree.sources.bindings import table
+
+    e = table(spark, sf_dir, "embeddings")
+    dims = [f"e{i}" for i in range(64)]
+    df = e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"),
+                  *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
+    res = cv.train_cv(df, "label", cvf.get("stratified_kfold", K), "accuracy", model=cv.logistic(dims))
+    return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("accuracy"))

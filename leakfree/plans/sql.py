@@ -156,3 +156,12 @@ SELECT l_shipdate, CAST(l_orderkey AS VARCHAR),
        l_returnflag <> 'R' AND l_tax = 0,
        CASE WHEN l_discount = 0 THEN 'ValueError: zero discount' END
 FROM lineitem""")
+
+cte("docs", """
+SELECT l.doc_id AS row_id, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(l.quality AS INTEGER) AS quality, CAST(l.toxic AS INTEGER) AS toxic
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+
+cte("dskf", f"""
+SELECT * EXCLUDE (r), CAST(r % 5 AS BIGINT) AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY quality, {h('row_id')}, row_id) - 1 AS r FROM docs)""", ["docs"])

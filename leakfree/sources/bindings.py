@@ -45,6 +45,16 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels ⋈ documents as a binary classification table (row_id = doc_id)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lb = table(spark, sf_dir, "labels")
+    return lb.join(d, "doc_id").select(F.col("doc_id").alias("row_id"), "lang", "source",
+                                      F.col("n_chars").cast("double").alias("n_chars"),
+                                      F.col("quality").cast("int").alias("quality"),
+                                      F.col("toxic").cast("int").alias("toxic"))
+
+
 # ---------------------------------------------------------------- journal
 def _tool(event_type: Column, event_id: Column) -> Column:
     return (F.when(event_type == "click",
