@@ -60,8 +60,22 @@ def running_best(journal: DataFrame) -> DataFrame:
                                      Agg("last_cv_mean", "last", "_m"), Agg("_last_metric", "last", "_metric")],
                 inclusive=False)
     hib = higher_is_better(F.col("_last_metric"))
-    return r.withColumn("best_cv_mean", F.when(hib, F.col("_mx")).otherwise(F.col("_mn"))).drop(
-        "_m", "_metric", "_mx", "_mn", "_last_metric")
+    r = r.withColumn("best_cv_mean", F.when(hib, F.col("_mx")).otherwise(F.col("_mn")))
+    r = r.drop("_m", "_metric", "_mx", "_mn", "_last_metric")
+    # competitions that switched metric direction (TRAP-3: the best is not reset and each
+    # record compares in its own direction) take the order-dependent running best
+    from leakfree.operators.journal import cv_records, mixed_running_best
+    cv = cv_records(journal)
+    dirs = cv.groupBy(COMP).agg((F.min(F.col("hib").cast("int")) != F.max(F.col("hib").cast("int"))).alias("_mixed"))
+    mixed = dirs.where("_mixed").select(COMP)
+    if mixed.isEmpty():
+        return r
+    mcv = cv.join(mixed, COMP, "left_semi")
+    after = mixed_running_best(mcv).join(mcv.select(COMP, "ordinal", "seq"), [COMP, "ordinal"]).drop("ordinal")
+    jm = journal.join(mixed, COMP, "left_semi").join(after, [COMP, "seq"], "left")
+    jm = running(jm, [COMP], ["seq"], [Agg("_mb", "last", "best_after")], inclusive=False)
+    return (r.join(jm.select(COMP, "seq", "_mb"), [COMP, "seq"], "left")
+            .withColumn("best_cv_mean", F.coalesce(F.col("_mb"), F.col("best_cv_mean"))).drop("_mb"))
 
 
 def decide(trigger: Column, mode: str = "auto_safe", stub: str | None = None) -> Column:

@@ -99,16 +99,9 @@ FOLD_CHUNK_ROWS = 100_000
 _INF = float("inf")
 
 
-def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
-    """Running best when the direction changes between records (order-dependent).
-
-    Each step "keep the better of best and x" is a clamp ``b ↦ min(max(b, L), H)``
-    (max: ``L = x``; min: ``H = x``; the very first record: the constant ``L = H = x``),
-    and clamps compose into clamps.  Records are cut into chunks of at most
-    ``chunk_rows`` (split-aware running count); each chunk folds its own records in
-    order, chunk clamps are prefix-composed per competition, and every chunk is
-    replayed from its incoming best to find the last improving turn.  No task ever
-    holds more than one chunk of one competition."""
+def _clamps(cv: DataFrame, chunk_rows: int):
+    """Chunks of a competition's CV records as clamps ``(l, h)``, with each chunk's
+    incoming best (``_b_in``, null for the first chunk)."""
     idx = ordinal(cv, [COMP], ["ordinal"], "_k")
     idx = idx.withColumn("_chunk", F.floor((F.col("_k") - 1) / chunk_rows).cast("long"))
     lo = F.when(F.col("_k") == 1, F.col("mean")).when(F.col("hib"), F.col("mean")).otherwise(F.lit(-_INF))
@@ -132,11 +125,28 @@ def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
         F.aggregate(F.slice("cs", 1, F.greatest(F.col("_p"), F.lit(1))), ident,
                     lambda acc, x: compose(acc, x["c"]))["l"].alias("_b_in_raw"), F.col("_p"))
     incoming = incoming.withColumn("_b_in", F.when(F.col("_p") > 0, F.col("_b_in_raw"))).drop("_b_in_raw", "_p")
-    replay = summ.join(incoming, [COMP, "_chunk"])
+    return summ.join(incoming, [COMP, "_chunk"])
+
+
+def _apply(b, x):
+    return F.least(F.greatest(F.coalesce(b, x["l"]), x["l"]), x["h"])
+
+
+def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
+    """Best and turn-of-best when the direction changes between records (order-dependent).
+
+    Each step "keep the better of best and x" is a clamp ``b ↦ min(max(b, L), H)``
+    (max: ``L = x``; min: ``H = x``; the very first record: the constant ``L = H = x``),
+    and clamps compose into clamps.  Records are cut into chunks of at most
+    ``chunk_rows`` (split-aware running count); each chunk folds its own records in
+    order, chunk clamps are prefix-composed per competition, and every chunk is
+    replayed from its incoming best to find the last improving turn.  No task ever
+    holds more than one chunk of one competition."""
+    replay = _clamps(cv, chunk_rows)
     init = F.struct(F.col("_b_in").alias("b"), F.lit(None).cast("long").alias("t"))
 
     def step(acc, x):
-        new = F.least(F.greatest(F.coalesce(acc["b"], x["l"]), x["l"]), x["h"])
+        new = _apply(acc["b"], x)
         changed = acc["b"].isNull() | (new != acc["b"])
         return F.struct(new.alias("b"), F.when(changed, x["ordinal"].cast("long")).otherwise(acc["t"]).alias("t"))
 
@@ -146,6 +156,17 @@ def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
         F.max("s.t").alias("turns_to_best_score"))
 
 
+def mixed_running_best(cv: DataFrame, chunk_rows: int = 2048) -> DataFrame:
+    """The best after every CV record for direction-switching competitions:
+    ``(competition, ordinal, best_after)``.  Record j of a chunk re-folds the chunk's
+    first j clamps from the incoming best (chunk² work on a bounded chunk)."""
+    replay = _clamps(cv, chunk_rows)
+    per = F.transform(F.sequence(F.lit(1), F.size("rs")), lambda j: F.struct(
+        F.element_at("rs", j)["ordinal"].alias("ordinal"),
+        F.aggregate(F.slice("rs", 1, j), F.col("_b_in"), lambda b, x: _apply(b, x)).alias("best_after")))
+    return replay.select(COMP, F.explode(per).alias("e")).select(COMP, "e.ordinal", "e.best_after")
+
+
 def stuck_loop(journal: DataFrame, window: int = 10, threshold: int = 5) -> DataFrame:
     """JRN-5: most repeated (tool, canonical args) among the last ``window`` records.
 

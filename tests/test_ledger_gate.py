@@ -91,3 +91,17 @@ def test_sticky_skip_and_auto_safe(spark):
     assert d == ["skip_check", "approve", "deny"]
     df = spark.createDataFrame([(gate.NON_REGRESSION,), (gate.REGRESSION,)], "trigger string")
     assert [r[0] for r in df.select(gate.decide(F.col("trigger"))).collect()] == ["approve", "deny"]
+
+
+def test_running_best_with_switched_metric(spark):
+    """accuracy .5, then rmse .4 (.4 < .5 → better), then accuracy .45 (> .4 → better):
+    a submit after them sees .45 (max/min over all would give .5 or .4)."""
+    def summ(metric, mean):
+        return f"train_cv complete: kfold (5 folds), metric={metric}, mean={mean:.4f}, std=0.0"
+    rows = [(1, 1, "tool_call", "train_cv", summ("accuracy", .5)), (1, 2, "tool_call", "train_cv", summ("rmse", .4)),
+            (1, 3, "tool_call", "train_cv", summ("accuracy", .45)), (1, 4, "tool_call", "submit_kaggle", "ok"),
+            (2, 1, "tool_call", "train_cv", summ("accuracy", .3)), (2, 2, "tool_call", "submit_kaggle", "ok")]
+    j = spark.createDataFrame(rows, "competition long, seq long, kind string, tool string, result_summary string")
+    got = {(r["competition"], r["seq"]): r["best_cv_mean"] for r in gate.running_best(j).collect()}
+    assert got[(1, 4)] == pytest.approx(.45) and got[(1, 3)] == pytest.approx(.4) and got[(1, 2)] == pytest.approx(.5)
+    assert got[(2, 2)] == pytest.approx(.3)
