@@ -161,15 +161,29 @@ def logistic(xs: list[str], c: float = 1.0) -> SparkML:
 
 
 # ---------------------------------------------------------------- the contract
-def _check_rows(n_in: int, out: DataFrame, what: str) -> None:
-    if ROW_ID not in out.columns:
-        raise CVError(f"{what} dropped the {ROW_ID} column")
-    n_out = out.count()
-    if n_out != n_in:
-        raise CVError(f"{what} rows changed ({n_in} -> {n_out})")
-
-
-def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric) -> DataFrame:
+def _check_rows(expected: dict[str, int], outs: dict[str, DataFrame]) -> None:
+    """Row contract of a transform, for train and validation outputs in one job: the
+    row count must not change and ``row_id`` must stay unique (a transform that drops
+    and duplicates rows in equal number is caught too)."""
+    for what, out in outs.items():
+        if ROW_ID not in out.columns:
+            raise CVError(f"{what} transform dropped the {ROW_ID} column")
+    tagged = None
+    for what, out in outs.items():
+        t = out.select(F.lit(what).alias("_lf_part"), ROW_ID)
+        tagged = t if tagged is None else tagged.unionByName(t)
+    stats = {r["_lf_part"]: r for r in tagged.groupBy("_lf_part").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(ROW_ID).alias("d")).collect()}  # ≤ 2 rows
+    for what, n_in in expected.items():
+        n_out = stats[what]["n"] if what in stats else 0
+        if n_out != n_in:
+            raise CVError(f"{what} transform rows changed ({n_in} -> {n_out})")
+        if what in stats and stats[what]["d"] != n_out:
+            raise CVError(f"{what} transform duplicated {ROW_ID} values")
+
+
+def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric,
+          sizes: dict[int, int]) -> DataFrame:
     train = folds.df.where(folds.train_mask(f)).drop(folds.col)
     val = folds.df.where(folds.val_mask(f)).drop(folds.col)
     if features is not None:
@@ -180,8 +194,8 @@ def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric
             raise CVError("fitted features object has no transform()")
         x_train = fitted.transform(train.drop(target))   # the target never reaches transform
         x_val = fitted.transform(val.drop(target))
-        _check_rows(train.count(), x_train, "train transform")
-        _check_rows(val.count(), x_val, "val transform")
+        n_train = sum(n for b, n in sizes.items() if b in folds.train_blocks(f))
+        _check_rows({"train": n_train, "val": sizes.get(f, 0)}, {"train": x_train, "val": x_val})
         x_train = x_train.join(train.select(ROW_ID, target), ROW_ID)
     else:
         x_train, x_val = train, val.drop(target)
@@ -208,8 +222,11 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
     folds = strategy if isinstance(strategy, Folds) else strategy.apply(df, label=target, row_id=ROW_ID)
     folds = Folds(folds.df.persist(), folds.n_splits, folds.name, folds.expanding, folds.col)
     try:
+        # rows per validation block, one job for all folds (training sizes follow from them)
+        sizes = {r[0]: r[1] for r in folds.df.groupBy(folds.col).count().collect()}  # ≤ k+1 rows
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds.n_splits))) as pool:
-            outs = list(pool.map(lambda f: _fold(folds, f, target, features, model, m), range(folds.n_splits)))
+            outs = list(pool.map(lambda f: _fold(folds, f, target, features, model, m, sizes),
+                                 range(folds.n_splits)))
         oof = outs[0]
         for o in outs[1:]:
             oof = oof.unionByName(o)
@@ -257,7 +274,7 @@ def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: st
         fitted = features.fit(tr, target)
         x_tr = fitted.transform(tr.drop(target)).join(tr.select(ROW_ID, target), ROW_ID)
         x_te = fitted.transform(te.drop(target) if target in te.columns else te)
-        _check_rows(te.count(), x_te, "test transform")
+        _check_rows({"test": te.count()}, {"test": x_te})
     else:
         x_tr, x_te = tr, te
     fitted_model = model.fit(x_tr, target, problem_type, metric)

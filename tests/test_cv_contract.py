@@ -127,3 +127,21 @@ def test_final_fit_multiclass_columns(spark):
     out = cv.fit_final_predict(train, test, "target", "id", cv.logistic(["x1", "x2"]), problem_type="classification",
                                metric="logloss")
     assert out.columns == ["id", "target_0", "target_1", "target_2"] and out.count() == 60
+
+
+class _SwapRow:
+    """Drops one row and duplicates another: the count stays, the ids do not."""
+
+    def fit(self, train, target):
+        class T:
+            def transform(self, df):
+                first = df.orderBy("row_id").limit(1)
+                return df.join(first.select("row_id"), "row_id", "left_anti").unionByName(
+                    df.join(df.orderBy(F.desc("row_id")).limit(1).select("row_id"), "row_id", "left_semi"))
+        return T()
+
+
+def test_contract_catches_drop_and_duplicate(spark):
+    df, _ = _regression(spark)
+    with pytest.raises(cvf.CVError, match="duplicated"):
+        cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.MeanModel(), features=_SwapRow())
