@@ -38,3 +38,20 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     out = entry.entry(spark).toPandas()
     assert len(out) == 5 and list(out.columns) == ["fold", "n_val", "rmse"]
+
+
+SPLIT = ["CV-0", "CV-2", "CV-3", "FE-3", "MET-2", "JRN-4", "JRN-9", "LED-4", "LED-5", "GATE-2", "GATE-4",
+         "CAL-1", "RUN-1", "OPT-6c"]
+
+
+@pytest.mark.skipif(FAST, reason="LEAKFREE_FAST=1")
+@pytest.mark.parametrize("name", SPLIT)
+def test_query_matches_oracle_when_every_key_is_split(spark, con, name):
+    """The hot-key path (range-partitioned sub-ranges + carries) on every key."""
+    spark.conf.set("spark.leakfree.scan.maxRowsPerTask", "10")
+    try:
+        got = entry.queries()[name](spark, SF).toPandas()
+    finally:
+        spark.conf.unset("spark.leakfree.scan.maxRowsPerTask")
+    diff = compare(got, con.execute(entry.oracle_sql()[name]).df())
+    assert diff is None, diff
