@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from leakfree.operators import metrics as met
 from leakfree.operators.folds import CVError, Folds, Strategy
-from leakfree.operators.models import logistic_model
+from leakfree.operators.models import logistic_model, ridge_model
 
 ROW_ID = "row_id"
 BUILTIN_META = ("cv_strategy", "n_splits", "metric", "problem_type", "n_rows")
@@ -156,6 +156,17 @@ class PandasTransform:
         return _T()
 
 
+def ridge_ml(xs: list[str], alpha: float = 1.0, target_std: float | None = None) -> SparkML:
+    """MDL-2 through ``pyspark.ml`` (same optimum as :class:`Ridge`); the target's
+    population std comes from the training fold unless given."""
+    class _Ridge(SparkML):
+        def fit(self, train: DataFrame, target: str, problem_type: str, metric: str):
+            n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop(F.col(target).cast("double"))).first()
+            self.make = lambda _n: ridge_model(n, target_std or sd, alpha)
+            return SparkML.fit(self, train, target, problem_type, metric)
+    return _Ridge(xs, None)
+
+
 def logistic(xs: list[str], c: float = 1.0) -> SparkML:
     return SparkML(xs, lambda n: logistic_model(n, c))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -110,3 +111,12 @@ def logistic_oof(folds: Folds, xs: list[str], target: str, c: float = 1.0,
     for o in outs[1:]:
         oof = oof.unionByName(o)
     return oof.withColumn("p1", F.element_at("probability", 2))
+
+
+def ridge_model(n_train: int, std_y: float, alpha: float = 1.0, features: str = "features",
+                label: str = "label") -> LinearRegression:
+    """Ridge ``‖y − Xw − b‖² + α‖w‖²`` through ``pyspark.ml``: Spark minimises
+    ``(1/2n)‖…‖² + (λ/2)‖w‖²`` on a label scaled by its (population) standard deviation,
+    so the same optimum needs ``λ = α·std(y)/n`` with the normal-equation solver."""
+    return LinearRegression(featuresCol=features, labelCol=label, regParam=alpha * std_y / n_train,
+                            elasticNetParam=0.0, standardization=False, solver="normal", fitIntercept=True)

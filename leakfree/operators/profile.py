@@ -62,7 +62,8 @@ def brief(spark, frames: dict[str, DataFrame], files: DataFrame | None = None,
 
 def top_n(entries: DataFrame, n: int = 10, score: str = "score", team: str = "team_name",
           tie: str | None = None, higher_is_better: bool = True) -> DataFrame:
-    """TOP-1: leaderboard top-n by parsed score (unparseable → 0.0), ranks from 1.
+    """TOP-1: leaderboard top-n by parsed score (unparseable → 0.0), ranks from 1, an
+    empty team name shown as ``(redacted)``.
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps n rows."""
     s = parse_score(F.col(score))
     order = [s.desc() if higher_is_better else s.asc()] + ([F.col(tie).asc()] if tie else [])
@@ -70,7 +71,8 @@ def top_n(entries: DataFrame, n: int = 10, score: str = "score", team: str = "te
     # the window below only sees the n limited rows
     w = Window.orderBy(F.col("_lf_s").desc() if higher_is_better else F.col("_lf_s").asc(),
                        *([F.col(tie).asc()] if tie else []))
-    return top.select(F.row_number().over(w).alias("rank"), F.col(team).alias("team_name"),
+    name = F.when(F.coalesce(F.col(team), F.lit("")) == "", F.lit("(redacted)")).otherwise(F.col(team))
+    return top.select(F.row_number().over(w).alias("rank"), name.alias("team_name"),
                       F.col("_lf_s").alias("score"))
 
 

@@ -116,3 +116,15 @@ def q_cvr3b(spark, sf_dir):
                   *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
     res = cv.train_cv(df, "label", cvf.get("stratified_kfold", K), "accuracy", model=cv.logistic(dims))
     return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("accuracy"))
+
+
+@query("MDL-2ml", with_ctes(_tr() + """,
+trx AS (SELECT tr.tf, tr.x_acct AS x1, tr.x_days AS x2, tr.y_reg AS y FROM tr),""" + _RIDGE_SQL + """,
+val AS (SELECT k.fold, k.y_reg, c.b + c.w1 * k.x_acct + c.w2 * k.x_days AS pred FROM kf k JOIN cf c ON k.fold = c.tf)
+SELECT fold, round(sqrt(avg(power(y_reg - pred, 2))), 4) AS rmse FROM val GROUP BY fold""", "kf"))
+def q_mdl2ml(spark, sf_dir):
+    """Ridge (alpha=1) per fold through pyspark.ml LinearRegression with the rescaled
+    regularisation — the same optimum as the one-scan sufficient-statistics ridge."""
+    df = training(spark, sf_dir).select("row_id", "x_acct", "x_days", "y_reg")
+    res = cv.train_cv(df, "y_reg", cvf.get("kfold", K), "rmse", model=cv.ridge_ml(["x_acct", "x_days"], 1.0))
+    return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("rmse"))

@@ -126,3 +126,14 @@ def test_mixed_direction_chunked_fold_equals_brute_force(spark):
         got = {r["competition"]: (r["best_cv_mean"], r["turns_to_best_score"])
                for r in jr._mixed_best(df, chunk_rows=chunk).collect()}
         assert got == expect
+
+
+def test_next_version_keeps_gaps_and_ignores_others(spark):
+    from leakfree.operators import trace as trc
+    files = spark.createDataFrame([("fe_v01.py",), ("fe_v04.py",), ("fe_vx.py",), ("model_v02.py",), ("notes.md",)],
+                                  "name string")
+    assert trc.next_version(files, "fe").first()[0] == 5
+    assert trc.next_version(files, "model").first()[0] == 3
+    assert trc.next_version(files.where("name = 'notes.md'"), "fe").first()[0] == 1
+    with pytest.raises(ValueError):
+        trc.next_version(files, "data")

@@ -43,3 +43,17 @@ def test_logistic_matches_newton(spark):
         beta -= np.linalg.solve(H, g)
     assert np.allclose([m.intercept, *m.coefficients], beta, atol=1e-4)
     assert f.n_splits == 1
+
+
+def test_spark_ml_ridge_equals_sufficient_statistics(spark):
+    from leakfree.operators import cv
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(500, 2)) * [3.0, 0.5]
+    y = X @ np.array([2.0, -1.0]) + 4 + rng.normal(0, 2.0, 500)
+    rows = [(i, float(X[i, 0]), float(X[i, 1]), float(y[i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, y double")
+    a = cv.Ridge(["a", "b"], alpha=25.0).fit(df, "y", "regression", "rmse")
+    b = cv.ridge_ml(["a", "b"], alpha=25.0).fit(df, "y", "regression", "rmse")
+    pa = a.transform(df).select("row_id", "prediction").toPandas().sort_values("row_id")
+    pb = b.transform(df).select("row_id", "prediction").toPandas().sort_values("row_id")
+    assert np.allclose(pa.prediction.to_numpy(), pb.prediction.to_numpy(), atol=1e-6)
