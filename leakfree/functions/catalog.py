@@ -51,3 +51,16 @@ def detect_id_column(cat: DataFrame) -> DataFrame:
     w = Window.partitionBy("table").orderBy("_r")
     return (ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
             .select("table", F.col("name").alias("id_column")))
+
+
+def id_column_of(columns: list[str]) -> str | None:
+    """PRJ-9 on one schema (driver-side, names only): explicit candidates in priority
+    order, then the left-most ``id`` / ``*_id`` / ``id_*`` column; never a substring."""
+    for name in ID_EXPLICIT:
+        if name in columns:
+            return name
+    for name in columns:
+        low = name.lower()
+        if low == "id" or low.endswith("_id") or low.startswith("id_"):
+            return name
+    return None

@@ -269,18 +269,26 @@ def oof_full(result: CVResult, folds_df: DataFrame) -> DataFrame:
     return folds_df.select(ROW_ID).join(result.oof.drop("fold"), ROW_ID, "left")
 
 
-def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: str, model, features=None,
-                      problem_type: str = "regression", metric: str = "rmse") -> DataFrame:
+def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: str | None = "auto", model=None,
+                      features=None, problem_type: str = "regression", metric: str = "rmse") -> DataFrame:
     """FIN-1: fit on the whole training table, predict every test row.
 
-    The id column is never a feature (dropped from both sides, a deliberate fix of the
-    original, which trained with it); predictions are re-attached by id, never by
-    position.  Output: ``(id, target)`` or ``(id, target_0..target_{K-1})``."""
-    if id_col not in train.columns or id_col not in test.columns:
-        raise CVError(f"id column {id_col!r} must exist in train and test")
-    # the id becomes the reserved row handle: carried through, never a feature
-    tr = train.withColumnRenamed(id_col, ROW_ID)
-    te = test.withColumnRenamed(id_col, ROW_ID)
+    ``id_col="auto"`` detects the test id column by the id rules (PRJ-9).  The id is never
+    a feature (dropped from both sides — a deliberate fix of the original, which trained
+    with it); predictions are re-attached by id, never by position.  Output: ``(id,
+    target)`` — P(class 1) for a binary probabilistic metric, the prediction otherwise —
+    or ``(id, target_0..target_{K-1})`` for K > 2 class probabilities."""
+    from leakfree.functions.catalog import id_column_of
+
+    if id_col == "auto":
+        id_col = id_column_of(test.columns)
+    if id_col is not None and id_col not in test.columns:
+        raise CVError(f"id column {id_col!r} not in test")
+    m = met.get(metric)
+    # the id (when present) becomes the reserved row handle: carried through, never a feature
+    tr = train.withColumnRenamed(id_col, ROW_ID) if id_col in train.columns else \
+        train.withColumn(ROW_ID, F.monotonically_increasing_id())
+    te = test.withColumnRenamed(id_col, ROW_ID) if id_col else test.withColumn(ROW_ID, F.monotonically_increasing_id())
     if features is not None:
         fitted = features.fit(tr, target)
         x_tr = fitted.transform(tr.drop(target)).join(tr.select(ROW_ID, target), ROW_ID)
@@ -288,14 +296,15 @@ def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: st
         _check_rows({"test": te.count()}, {"test": x_te})
     else:
         x_tr, x_te = tr, te
-    fitted_model = model.fit(x_tr, target, problem_type, metric)
+    fitted_model = model.fit(x_tr, target, problem_type, m.name)
     pred = fitted_model.transform(x_te)
-    if "probability" in pred.columns and problem_type == "classification":
+    key = [F.col(ROW_ID).alias(id_col)] if id_col else []
+    if m.needs_proba and "probability" in pred.columns:
         p = F.col("probability")
         if not isinstance(pred.schema["probability"].dataType, T.ArrayType):
             p = vector_to_array(p)
         k = pred.select(F.max(F.size(p))).first()[0]
         if k and k > 2:
-            return pred.select(F.col(ROW_ID).alias(id_col), *[p[i].alias(f"{target}_{i}") for i in range(k)])
-        return pred.select(F.col(ROW_ID).alias(id_col), F.col("prediction").alias(target))
-    return pred.select(F.col(ROW_ID).alias(id_col), F.col("prediction").alias(target))
+            return pred.select(*key, *[p[i].alias(f"{target}_{i}") for i in range(k)])
+        return pred.select(*key, F.element_at(p, 2).alias(target))
+    return pred.select(*key, F.col("prediction").alias(target))

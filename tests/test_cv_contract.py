@@ -145,3 +145,15 @@ def test_contract_catches_drop_and_duplicate(spark):
     df, _ = _regression(spark)
     with pytest.raises(cvf.CVError, match="duplicated"):
         cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.MeanModel(), features=_SwapRow())
+
+
+def test_final_fit_binary_probability_and_auto_id(spark):
+    train = _binary(spark).withColumnRenamed("row_id", "PassengerId")
+    test = train.drop("target").limit(100)
+    out = cv.fit_final_predict(train, test, "target", "auto", cv.logistic(["x1", "x2", "x3"]),
+                               problem_type="classification", metric="auc")
+    assert out.columns == ["PassengerId", "target"] and out.count() == 100
+    assert out.agg(F.min("target"), F.max("target")).first()[0] >= 0.0   # probabilities
+    labels = cv.fit_final_predict(train, test, "target", "auto", cv.logistic(["x1", "x2", "x3"]),
+                                  problem_type="classification", metric="accuracy")
+    assert set(r[0] for r in labels.select("target").distinct().collect()) <= {0.0, 1.0}
