@@ -47,6 +47,24 @@ class CVResult:
     duration_s: float
     metadata: dict = field(default_factory=dict)
 
+    def summary(self) -> str:
+        """The journal line a train_cv call writes (parsed back by PRJ-3)."""
+        m = self.metadata
+        folds = [round(s, 4) for s in self.fold_scores]
+        return (f"train_cv complete: {m['cv_strategy']} ({m['n_splits']} folds), metric={m['metric']}, "
+                f"mean={self.mean:.4f}, std={self.std:.4f}, fold_scores={folds}, duration_s={self.duration_s:.2f}")
+
+    def run_row(self, spark, competition, run_no: int) -> DataFrame:
+        """RUN-1 producer side: the tracking row of this run (append it with SNK-1)."""
+        m = self.metadata
+        row = [(competition, run_no, m["cv_strategy"], m["n_splits"], m["metric"], m["problem_type"],
+                m.get("fe_version", f"fe_v{run_no:02d}"), m.get("model_version", f"model_v{run_no:02d}"),
+                self.mean, self.std, self.duration_s, [float(s) for s in self.fold_scores])]
+        return spark.createDataFrame(row, "competition string, run_no long, cv_strategy string, n_splits int, "
+                                          "metric string, problem_type string, fe_version string, "
+                                          "model_version string, cv_mean double, cv_std double, "
+                                          "wall_clock_s double, fold_scores array<double>")
+
 
 # ---------------------------------------------------------------- built-in fitters
 class MeanImpute:
@@ -226,10 +244,16 @@ def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric
 
 
 def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str | met.Metric,
-             model, features=None, metadata_extra: dict | None = None, parallelism: int = 4) -> CVResult:
-    """CVR-1: leak-free k-fold training, out-of-fold predictions and per-fold scores."""
+             model, features=None, metadata_extra: dict | None = None, parallelism: int = 4,
+             problem_type: str | None = None) -> CVResult:
+    """CVR-1: leak-free k-fold training, out-of-fold predictions and per-fold scores.
+
+    The problem type is the metric's kind (CVR-4); a stated ``problem_type`` that
+    disagrees with it is rejected instead of silently mixing the two."""
     t0 = time.time()
     m = met.get(metric) if isinstance(metric, str) else metric
+    if problem_type is not None and problem_type != m.kind:
+        raise CVError(f"problem_type {problem_type!r} disagrees with metric {m.name!r} ({m.kind})")
     folds = strategy if isinstance(strategy, Folds) else strategy.apply(df, label=target, row_id=ROW_ID)
     folds = Folds(folds.df.persist(), folds.n_splits, folds.name, folds.expanding, folds.col)
     try:

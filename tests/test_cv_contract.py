@@ -157,3 +157,16 @@ def test_final_fit_binary_probability_and_auto_id(spark):
     labels = cv.fit_final_predict(train, test, "target", "auto", cv.logistic(["x1", "x2", "x3"]),
                                   problem_type="classification", metric="accuracy")
     assert set(r[0] for r in labels.select("target").distinct().collect()) <= {0.0, 1.0}
+
+
+def test_summary_line_round_trips_and_problem_type_checked(spark):
+    from leakfree.functions.parse import parse_cv_summary
+    df, _ = _regression(spark)
+    res = cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.Ridge(["x1"]))
+    line = res.summary()
+    p = spark.createDataFrame([(line,)], "s string").select(parse_cv_summary(F.col("s")).alias("p")).first()["p"]
+    assert p["metric"] == "rmse" and p["n_splits"] == 3 and p["mean"] == pytest.approx(round(res.mean, 4))
+    assert len(p["fold_scores"]) == 3
+    assert res.run_row(spark, "c1", 1).first()["fe_version"] == "fe_v01"
+    with pytest.raises(cvf.CVError, match="disagrees"):
+        cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.MeanModel(), problem_type="classification")
