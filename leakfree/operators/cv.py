@@ -213,6 +213,8 @@ def _check_rows(expected: dict[str, int], outs: dict[str, DataFrame]) -> None:
 
 def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric,
           sizes: dict[int, int]) -> DataFrame:
+    # each fold's jobs in their own scheduler pool (shares the cluster under FAIR mode)
+    folds.df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"leakfree-fold-{f}")
     train = folds.df.where(folds.train_mask(f)).drop(folds.col)
     val = folds.df.where(folds.val_mask(f)).drop(folds.col)
     if features is not None:
