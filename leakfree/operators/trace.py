@@ -10,7 +10,6 @@ from leakfree.operators.ordered import ordinal
 from leakfree.session import materialize
 
 COMP = "competition"
-MAX_DEPTH = 16
 
 
 def markers(spans: DataFrame) -> DataFrame:
@@ -26,16 +25,19 @@ def work_spans(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("status") != "MARKER")
 
 
-def resolve_tree(spans: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """TRC-2: depth and root of every span by iterative parent joins (level by level —
-    each level is one distributed join, lineage cut between levels).  Spans whose
-    parent is missing are orphans (depth null)."""
+    each level is one distributed join, lineage cut between levels) until no span is
+    left to attach.  Spans whose parent is missing are orphans (depth null).  A tree
+    cannot be deeper than its number of spans, which bounds the walk on cyclic
+    (corrupt) parent links."""
     s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id"), reliable=True)
     level = materialize(s.where(F.col("parent_span_id").isNull()).select(
         "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")), reliable=True)
     levels = [level]
     frontier = level
-    for d in range(1, max_depth + 1):
+    limit = max_depth if max_depth is not None else s.count()
+    for d in range(1, limit + 1):
         children = s.alias("c").join(
             frontier.alias("p"),
             (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_span_id") == F.col("p.span_id")))

@@ -137,3 +137,12 @@ def test_next_version_keeps_gaps_and_ignores_others(spark):
     assert trc.next_version(files.where("name = 'notes.md'"), "fe").first()[0] == 1
     with pytest.raises(ValueError):
         trc.next_version(files, "data")
+
+
+def test_span_tree_depth_is_not_capped(spark):
+    from leakfree.operators import trace as trc
+    rows = [("t", f"s{i}", None if i == 0 else f"s{i - 1}", "OK") for i in range(25)]
+    rows.append(("t", "orphan", "missing", "OK"))
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, status string")
+    got = {r["span_id"]: r["depth"] for r in trc.resolve_tree(spans).collect()}
+    assert got["s24"] == 24 and got["orphan"] is None
