@@ -7,7 +7,7 @@ they need no per-competition sequential loop over rows:
 * LED-4 (budget doubling): spend is non-decreasing, so the check that doubles the
   budget for the j-th time happens at ``T_j = max(F_j, T_{j-1} + 1)`` where ``F_j`` is
   the first check whose prior spend exceeds ``B·2^j`` — one conditional ``min`` per
-  level (a fixed number of levels), then a fold over that short array.
+  level (as many levels as the largest spend needs), then a fold over that short array.
 * LED-5 (wall-clock extensions): each approval restarts the clock at that call, so the
   resets form a chain ``t → next(t)`` where ``next(t)`` is the first call later than
   ``ts_t + W``.  ``next`` comes from one ordered scan; the chain length is found by
@@ -16,6 +16,8 @@ they need no per-competition sequential loop over rows:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ from leakfree.operators.ordered import Agg, ordinal, running
 from leakfree.session import materialize
 
 COMP = "competition"
-LEVELS = 48  # budget doublings tracked (2^48 × the budget)
 
 
 def totals(ledger: DataFrame) -> DataFrame:
@@ -52,9 +53,16 @@ def budget_breach(ledger: DataFrame, budget: float) -> DataFrame:
             .select(COMP, F.col("b.seq").alias("breach_seq"), F.col("b.spent").alias("spent_at_breach")))
 
 
-def budget_doublings(ledger: DataFrame, budget: float, levels: int = LEVELS) -> DataFrame:
+def budget_doublings(ledger: DataFrame, budget: float, levels: int | None = None) -> DataFrame:
     """LED-4: approvals (budget doublings) when each iteration first checks
-    ``spent_before > budget`` and doubles the budget once per iteration."""
+    ``spent_before > budget`` and doubles the budget once per iteration.
+
+    The number of levels follows from the data: no competition can double more often
+    than ``log2(largest total spend / budget) + 1`` times."""
+    if levels is None:
+        top = ledger.groupBy(COMP).agg(F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))).alias("t")) \
+            .agg(F.max("t")).first()[0] or 0.0
+        levels = max(1, math.ceil(math.log2(top / budget)) + 2) if top > budget else 1
     c = ordinal(cumulative(ledger, inclusive=False, name="before"), [COMP], ["seq"], "t")
     before = F.coalesce(F.col("before"), F.lit(0.0))
     firsts = c.groupBy(COMP).agg(
