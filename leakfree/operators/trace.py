@@ -31,9 +31,9 @@ def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     left to attach.  Spans whose parent is missing are orphans (depth null).  A tree
     cannot be deeper than its number of spans, which bounds the walk on cyclic
     (corrupt) parent links."""
-    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id"), reliable=True)
+    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id"))
     level = materialize(s.where(F.col("parent_span_id").isNull()).select(
-        "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")), reliable=True)
+        "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")))
     levels = [level]
     frontier = level
     limit = max_depth if max_depth is not None else s.count()
@@ -41,9 +41,11 @@ def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
         children = s.alias("c").join(
             frontier.alias("p"),
             (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_span_id") == F.col("p.span_id")))
+        # persisted per level; every 8th level is checkpointed so deep trees keep a short lineage
         frontier = materialize(children.select(F.col("c.trace_id").alias("trace_id"),
                                                F.col("c.span_id").alias("span_id"), F.lit(d).alias("depth"),
-                                               F.col("p.root_span_id").alias("root_span_id")), reliable=True)
+                                               F.col("p.root_span_id").alias("root_span_id")),
+                               reliable=(d % 8 == 0))
         if frontier.isEmpty():
             break
         levels.append(frontier)
