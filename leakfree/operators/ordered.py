@@ -154,9 +154,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
 
     ``inclusive=True`` → frame ``unbounded preceding .. current row``;
     ``False`` → ``.. 1 preceding`` (null / 0 for the first row of a key, as in SQL).
-    Without keys, a known ``total_rows`` saves the size-check job.  (Splitting an order
-    below the per-task cap was measured slower: the quantile job and the carry join cost
-    more than one task sorting a couple of million narrow rows.)
+    Without keys, a known ``total_rows`` saves the size-check job.  Keys at or below the
+    per-task cap take one plain window (splitting them was measured slower: the extra
+    exchange and the carry join cost more than one task sorting its rows).  Hot keys pay
+    two shuffles of their own rows (the range exchange, then the window's hash exchange
+    on (key, sub-range)); Spark caps the range-bound sample at 10⁶ points, so the
+    driver-side part stays bounded however many sub-ranges there are.
     """
     limit = max_rows or max_rows_per_task(df)
     base = df
