@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leakfree.functions.catalog import catalog, target_candidates
+from leakfree.functions.catalog import catalog, detect_id_column, target_candidates
 from leakfree.functions.hashing import seeded_hash
 from leakfree.functions.parse import parse_score
 
@@ -60,6 +60,32 @@ def brief(spark, frames: dict[str, DataFrame], files: DataFrame | None = None,
     return out
 
 
+def brief_rows(spark, frames: dict[str, DataFrame | None]) -> DataFrame:
+    """PROF-2 as one frame ``(tbl, section, name, value)``: row and column counts of every
+    table (one counting job each), likely targets (PRJ-8), the id column (PRJ-9), and a
+    message for a missing table."""
+    present = {n: d for n, d in frames.items() if d is not None}
+    parts = []
+    for name, df in present.items():
+        parts.append(df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+            F.lit(name).alias("tbl"), F.lit("summary").alias("section"), F.lit("rows").alias("name"), "value"))
+        parts.append(spark.createDataFrame([(name, "summary", "columns", str(len(df.columns)))],
+                                           "tbl string, section string, name string, value string"))
+    cat = catalog(spark, present.items())
+    parts.append(target_candidates(cat).select(F.col("table").alias("tbl"), F.lit("target").alias("section"),
+                                               "name", F.lit("likely target").alias("value")))
+    parts.append(detect_id_column(cat).select(F.col("table").alias("tbl"), F.lit("id").alias("section"),
+                                              F.col("id_column").alias("name"), F.lit("id column").alias("value")))
+    missing = [n for n, d in frames.items() if d is None]
+    if missing:
+        parts.append(spark.createDataFrame([(n, "message", "missing", f"table {n!r} is missing") for n in missing],
+                                           "tbl string, section string, name string, value string"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def top_n(entries: DataFrame, n: int = 10, score: str = "score", team: str = "team_name",
           tie: str | None = None, higher_is_better: bool = True) -> DataFrame:
     """TOP-1: leaderboard top-n by parsed score (unparseable → 0.0), ranks from 1, an

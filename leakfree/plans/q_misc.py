@@ -237,3 +237,28 @@ def q_snk3(spark, sf_dir):
     """Retention: newest 10 error reports per user."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id", "event_id")
     return io.retain_latest(e, ["user_id"], "event_id", 10)
+
+
+_BRIEF_TABLES = ["customer", "orders", "labels", "embeddings", "conversations"]
+_TARGET_RULE = ("lower(column_name) IN ('target', 'label', 'y', 'outcome', 'class', 'survived', 'saleprice') "
+                "OR regexp_matches(lower(column_name), '(_target|_label|_y|_outcome|_class)$') "
+                "OR regexp_matches(lower(column_name), '^(target_|label_|y_)')")
+_ID_RANK = ("CASE column_name WHEN 'id' THEN 1 WHEN 'Id' THEN 2 WHEN 'ID' THEN 3 WHEN 'PassengerId' THEN 4 "
+            "WHEN 'pk' THEN 5 WHEN 'entry_id' THEN 6 WHEN 'row_id' THEN 7 ELSE CASE WHEN lower(column_name) = 'id' "
+            "OR suffix(lower(column_name), '_id') OR prefix(lower(column_name), 'id_') THEN 100 + ordinal_position "
+            "END END")
+
+
+@query("PROF-2", "\nUNION ALL\n".join(
+    [f"SELECT '{t}' AS tbl, 'summary' AS section, 'rows' AS name, CAST(count(*) AS VARCHAR) AS value FROM {t}"
+     for t in _BRIEF_TABLES] +
+    [f"SELECT table_name, 'summary', 'columns', CAST(count(*) AS VARCHAR) FROM information_schema.columns "
+     f"WHERE table_name IN ({', '.join(repr(t) for t in _BRIEF_TABLES)}) GROUP BY table_name",
+     f"SELECT table_name, 'target', column_name, 'likely target' FROM information_schema.columns "
+     f"WHERE table_name IN ({', '.join(repr(t) for t in _BRIEF_TABLES)}) AND ({_TARGET_RULE})",
+     f"SELECT table_name, 'id', arg_min(column_name, r), 'id column' FROM (SELECT table_name, column_name, "
+     f"{_ID_RANK} AS r FROM information_schema.columns WHERE table_name IN "
+     f"({', '.join(repr(t) for t in _BRIEF_TABLES)})) WHERE r IS NOT NULL GROUP BY table_name"]))
+def q_prof2(spark, sf_dir):
+    """The data brief of the provided tables: sizes, likely targets and id columns."""
+    return prof.brief_rows(spark, {t: table(spark, sf_dir, t) for t in _BRIEF_TABLES})
