@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from leakfree.operators import cv
 from leakfree.operators import folds as cvf
 from leakfree.plans.q_ml import K, _tr
-from leakfree.plans.registry import query
-from leakfree.plans.sql import with_ctes
+from leakfree.plans.registry import ORACLES, QUERIES, query
+from leakfree.plans.sql import h, with_ctes
 from leakfree.sources.bindings import training
 
 _RIDGE_SQL = """
@@ -128,3 +128,53 @@ def q_mdl2ml(spark, sf_dir):
     df = training(spark, sf_dir).select("row_id", "x_acct", "x_days", "y_reg")
     res = cv.train_cv(df, "y_reg", cvf.get("kfold", K), "rmse", model=cv.ridge_ml(["x_acct", "x_days"], 1.0))
     return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("rmse"))
+
+
+def _center_fit(train, target):
+    """State for the pandas transform: training-fold means (a Spark aggregation)."""
+    r = train.agg(F.avg("x_acct").alias("a"), F.avg("x_days").alias("d")).first()
+    return {"a": r["a"], "d": r["d"]}
+
+
+def _center_apply(pdf, state):
+    import pandas as pd
+    return pd.DataFrame({"row_id": pdf["row_id"], "xa": pdf["x_acct"] - state["a"], "xd": pdf["x_days"] - state["d"]})
+
+
+@query("UDF-1", ORACLES["MDL-2ml"])
+def q_udf1(spark, sf_dir):
+    """User pandas code as the feature step: per training fold, Spark computes the means
+    and a pandas function centres each Arrow batch; ridge with an intercept is unchanged
+    by centring, so the per-fold RMSE equals the plain ridge's."""
+    df = training(spark, sf_dir).select("row_id", "x_acct", "x_days", "y_reg")
+    feats = cv.PandasTransform(_center_fit, _center_apply, "row_id long, xa double, xd double")
+    res = cv.train_cv(df, "y_reg", cvf.get("kfold", K), "rmse", model=cv.Ridge(["xa", "xd"], 1.0), features=feats)
+    return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("rmse"))
+
+
+query("UDF-2", ORACLES["MDL-2ml"])(QUERIES["MDL-2ml"])
+
+
+@query("UDF-3", with_ctes(f"SELECT CAST({h('row_id', 7)} % 4 AS BIGINT) AS fold, count(*) AS n_rows "
+                          "FROM train GROUP BY ALL", "train"))
+def q_udf3(spark, sf_dir):
+    """A strategy registered by name (hash folds with seed 7) is usable through the registry
+    the moment it is registered."""
+    cvf.register("hash7", lambda df, n_splits=5, row_id="row_id", **kw: cvf.kfold_hash(df, n_splits, 7, row_id))
+    f = cvf.get("hash7", n_splits=4).apply(training(spark, sf_dir))
+    return f.df.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("UDAF-1", """
+SELECT l_returnflag, round(max(abs(l_extendedprice - l_quantity * 1000.0)), 4) AS max_error
+FROM lineitem GROUP BY l_returnflag""")
+def q_udaf1(spark, sf_dir):
+    """A metric registered as a Column builder and scored through the registry."""
+    from leakfree.operators import metrics as met
+    from leakfree.sources.bindings import table
+    if "max_error" not in met.list_metrics(include_optional=True):
+        met.register(met.Metric("max_error", False, False, "regression",
+                                column=lambda y, p: F.max(F.abs(y - p))), optional=True)
+    li = table(spark, sf_dir, "lineitem").withColumn("pred", F.col("l_quantity") * 1000.0)
+    s = met.get("max_error").score(li, ["l_returnflag"], "l_extendedprice", "pred", "max_error")
+    return s.select("l_returnflag", F.round("max_error", 4).alias("max_error"))
