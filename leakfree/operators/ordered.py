@@ -208,8 +208,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
     ranged = (base.join(hot_side, part_keys, "left_semi")
               .repartitionByRange(parts, *[F.col(k) for k in part_keys], *order_cols)
               .withColumn(_SUB, F.spark_partition_id()))
-    # persisted: the windows and the carries below must see the same sub-range ids
-    split = materialize(ranged)
+    # checkpointed: the windows and the carries below must see the same sub-range ids, even
+    # if an executor is lost (re-planning the range exchange could draw other bounds)
+    split = materialize(ranged, reliable=True)
 
     w = Window.partitionBy(*part_keys, _SUB).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, frame_end)
@@ -251,8 +252,8 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
     the whole order tuple, so ties in a leading column such as a class label still split)
     into ``~2·n/max_rows`` partitions, a sort within each, per-partition counts (one row
     per partition on the driver) and ``rank = offset[partition] + position``.  The
-    partitioned table is persisted so counts and positions come from the same data; the
-    order is total, so a recomputed block gets the same partition and positions."""
+    partitioned table is checkpointed into the shared checkpoint folder, so the counts and
+    the positions come from the same durable data whatever executors are lost."""
     limit = max_rows or max_rows_per_task(df)
     n = total_rows if total_rows is not None else df.count()
     if n <= limit:
@@ -261,7 +262,7 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
     parts = max(2, 2 * math.ceil(n / limit))
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     tagged = materialize(ranged.withColumn("_lf_pid", F.spark_partition_id())
-                         .withColumn("_lf_pos", F.monotonically_increasing_id()))
+                         .withColumn("_lf_pos", F.monotonically_increasing_id()), reliable=True)
     counts = dict(tagged.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("c")).collect())  # ≤ parts rows
     offsets, acc = [], 0
     for pid in range(parts):

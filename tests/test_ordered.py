@@ -56,3 +56,14 @@ def test_hot_key_with_tied_leading_column(spark):
     b = running(df, ["k"], ["v", "id"], aggs, max_rows=50).orderBy("id").toPandas()
     for c in ["n", "s", "mx"]:
         assert np.allclose(a[c].astype(float), b[c].astype(float))
+
+
+def test_large_rank_survives_cache_loss(spark):
+    """Above the cap the ranked table is checkpointed: dropping every cached block and
+    recomputing gives the same ranks."""
+    df = spark.range(0, 2000).withColumn("v", (F.col("id") * 37) % 11)
+    r = global_rank(df, ["v", "id"], max_rows=150)
+    first = r.orderBy("id").toPandas()["rank"].to_numpy()
+    spark.catalog.clearCache()
+    again = r.orderBy("id").toPandas()["rank"].to_numpy()
+    assert (first == again).all() and sorted(first) == list(range(2000))
