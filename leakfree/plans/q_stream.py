@@ -39,9 +39,13 @@ def q_str1(spark, sf_dir):
     lines = spark.readStream.schema("line string, seq long, competition long").option(
         "maxFilesPerTrigger", 4).parquet(path).select(F.col("line").alias("value"))
     good, bad = alarms.tail_log(lines, io.JOURNAL_SCHEMA)
-    g = run(good.select("competition"), "str1-good")
-    b = run(bad, "str1-bad").select(
-        F.regexp_extract(io.CORRUPT, r'"competition":(\d+)', 1).cast("long").alias("competition"))
+    # records and quarantine appended to JSON logs through exactly-once file sinks
+    out = scratch(spark, "journal-tail")
+    for sdf, name in ((good, "records"), (bad.select(F.col(io.CORRUPT).alias("raw_line")), "quarantine")):
+        io.append_log_stream(sdf, f"{out}/{name}", f"{out}/_checkpoints/{name}").awaitTermination()
+    g = spark.read.schema(io.JOURNAL_SCHEMA).json(f"{out}/records")
+    b = spark.read.schema("raw_line string").json(f"{out}/quarantine").select(
+        F.regexp_extract("raw_line", r'"competition":(\d+)', 1).cast("long").alias("competition"))
     gc = g.groupBy("competition").agg(F.count(F.lit(1)).alias("n_good"))
     bc = b.groupBy("competition").agg(F.count(F.lit(1)).alias("n_bad"))
     return gc.join(bc, "competition", "full").select(

@@ -122,6 +122,18 @@ def append_log(df: DataFrame, path: str, partition_by: str | None = "competition
     w.format(fmt).save(path)
 
 
+def append_log_stream(sdf: DataFrame, path: str, checkpoint: str, partition_by: str | None = None,
+                      fmt: str = "json", available_now: bool = True):
+    """SNK-1 for streams: the file sink with a checkpoint is exactly-once (the commit log
+    replaces per-line fsync).  Returns the started query."""
+    w = sdf.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start(path)
+
+
 def write_lines(df: DataFrame, path: str, line: str = "line", partition_by: str | None = None) -> None:
     w = df.select(*([partition_by] if partition_by else []), line).write.mode("append")
     if partition_by:
