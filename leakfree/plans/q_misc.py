@@ -199,13 +199,16 @@ def q_src3(spark, sf_dir):
 
 @query("SRC-4", with_ctes("SELECT DISTINCT CAST(competition AS VARCHAR) AS competition FROM journal", "journal"))
 def q_src4(spark, sf_dir):
-    """Competition catalog from a file listing of workspaces (``<name>/agent/...``)."""
+    """Competition catalog from a file listing: the journal is written as workspaces
+    (``ws=<competition>/area=agent`` for tool records, ``area=checkpoints`` for gate
+    records) and the catalog keeps the workspaces that have an agent folder."""
     path = scratch(spark, "workspaces")
-    j = journal(spark, sf_dir).select(F.col("competition").cast("string").alias("ws"), "seq", "kind")
-    j.write.partitionBy("ws").parquet(f"{path}/ws")
-    files = spark.read.format("binaryFile").load(f"{path}/ws/*/*.parquet").select("path")
-    paths = files.select(F.regexp_replace("path", r"/ws/ws=([^/]+)/", "/ws/$1/agent/").alias("path"))
-    return io.competition_catalog(paths).select(F.regexp_extract("competition", r"(\d+)$", 1).alias("competition"))
+    j = journal(spark, sf_dir).select(
+        F.col("competition").cast("string").alias("ws"), "seq", "kind",
+        F.when(F.col("kind") == "checkpoint", F.lit("checkpoints")).otherwise(F.lit("agent")).alias("area"))
+    j.write.partitionBy("ws", "area").parquet(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return io.competition_catalog(files)
 
 
 @query("SRC-5")

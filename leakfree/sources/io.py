@@ -99,10 +99,11 @@ def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: st
     return good, bad
 
 
-def competition_catalog(paths: DataFrame, path: str = "path") -> DataFrame:
+def competition_catalog(paths: DataFrame, path: str = "path", marker: str = "agent") -> DataFrame:
     """SRC-4: sorted names of workspace directories that contain an ``agent/`` folder,
-    from a file listing (e.g. ``binaryFile`` paths)."""
-    name = F.regexp_extract(F.col(path), r"/([^/]+)/agent/", 1)
+    from a file listing (e.g. ``binaryFile`` paths).  Plain (``<name>/agent/``) and
+    partition-style (``ws=<name>/area=agent/``) layouts are both recognised."""
+    name = F.regexp_extract(F.col(path), rf"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?{marker}/", 1)
     return paths.select(name.alias("competition")).where(F.col("competition") != "").distinct().orderBy("competition")
 
 

@@ -60,3 +60,11 @@ def test_keyed_state_ignores_replayed_records(spark):
     got = {r["competition"]: r["doublings"] for r in got.collect()}
     want = {r["competition"]: r["doublings"] for r in led.budget_doublings(df, 0.01).collect()}
     assert got == want
+
+
+def test_competition_catalog_layouts(spark):
+    paths = spark.createDataFrame([("/w/titanic/agent/run_log.jsonl",), ("/w/titanic/raw/train.csv",),
+                                   ("/w/house/raw/train.csv",), ("/w/ws=spaceship/area=agent/p.parquet",),
+                                   ("/w/agentless/notes/agent.txt",)], "path string")
+    got = [r[0] for r in io.competition_catalog(paths).collect()]
+    assert got == ["spaceship", "titanic"]
