@@ -116,7 +116,13 @@ def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, partition_by: str | None = "competition", fmt: str = "json") -> None:
-    """SNK-1: durable append (the file commit protocol replaces per-line fsync)."""
+    """SNK-1: durable append (the file commit protocol replaces per-line fsync).
+
+    Partitioned writes first ``rebalance`` on the partition column: adaptive execution
+    groups each competition's rows into few files but splits a hot competition over
+    several tasks (``repartition(col)`` would put it in one)."""
+    if partition_by:
+        df = df.hint("rebalance", partition_by)
     w = df.write.mode("append")
     if partition_by:
         w = w.partitionBy(partition_by)
