@@ -227,7 +227,9 @@ FROM ledger GROUP BY ROLLUP (competition, ts_s // 86400)""", "ledger"))
 def q_opt5(spark, sf_dir):
     """Spend per competition per UTC day with subtotals (rollup over a 1-day window)."""
     lg = ledger(spark, sf_dir)
-    day = F.date_format(F.window("ts", "1 day").start, "yyyy-MM-dd")
+    # the 1-day window is aligned to the epoch; name it by its UTC date whatever the session zone
+    days = F.floor(F.unix_timestamp(F.window("ts", "1 day").start) / 86400).cast("int")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")
     r = lg.withColumn("day", day).rollup("competition", "day").agg(F.sum("cost_usd").alias("c"))
     return r.select(F.col("competition").cast("string"), "day", F.round("c", 10).alias("cost_usd"))
 
