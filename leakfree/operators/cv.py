@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import time
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,10 +191,16 @@ def logistic(xs: list[str], c: float = 1.0) -> SparkML:
 
 
 # ---------------------------------------------------------------- the contract
-def _check_rows(expected: dict[str, int], outs: dict[str, DataFrame]) -> None:
+def _row_sig(df: DataFrame) -> list[Column]:
+    """Count and exact checksum of the row ids (decimal sum of 64-bit hashes): equal
+    multisets of ids give equal pairs; a partial aggregate, no shuffle."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(ROW_ID).cast("decimal(38,0)")).alias("h")]
+
+
+def _check_rows(expected: dict[str, tuple], outs: dict[str, DataFrame]) -> None:
     """Row contract of a transform, for train and validation outputs in one job: the
-    row count must not change and ``row_id`` must stay unique (a transform that drops
-    and duplicates rows in equal number is caught too)."""
+    row count must not change and neither may the set of row ids (a transform that
+    drops and duplicates rows in equal number, or rewrites ids, is caught too)."""
     for what, out in outs.items():
         if ROW_ID not in out.columns:
             raise CVError(f"{what} transform dropped the {ROW_ID} column")
@@ -201,14 +208,13 @@ def _check_rows(expected: dict[str, int], outs: dict[str, DataFrame]) -> None:
     for what, out in outs.items():
         t = out.select(F.lit(what).alias("_lf_part"), ROW_ID)
         tagged = t if tagged is None else tagged.unionByName(t)
-    stats = {r["_lf_part"]: r for r in tagged.groupBy("_lf_part").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(ROW_ID).alias("d")).collect()}  # ≤ 2 rows
-    for what, n_in in expected.items():
-        n_out = stats[what]["n"] if what in stats else 0
+    stats = {r["_lf_part"]: (r["n"], r["h"]) for r in tagged.groupBy("_lf_part").agg(*_row_sig(tagged)).collect()}
+    for what, (n_in, h_in) in expected.items():
+        n_out, h_out = stats.get(what, (0, None))
         if n_out != n_in:
             raise CVError(f"{what} transform rows changed ({n_in} -> {n_out})")
-        if what in stats and stats[what]["d"] != n_out:
-            raise CVError(f"{what} transform duplicated {ROW_ID} values")
+        if h_out != h_in:
+            raise CVError(f"{what} transform changed or duplicated {ROW_ID} values")
 
 
 def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric,
@@ -225,8 +231,10 @@ def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric
             raise CVError("fitted features object has no transform()")
         x_train = fitted.transform(train.drop(target))   # the target never reaches transform
         x_val = fitted.transform(val.drop(target))
-        n_train = sum(n for b, n in sizes.items() if b in folds.train_blocks(f))
-        _check_rows({"train": n_train, "val": sizes.get(f, 0)}, {"train": x_train, "val": x_val})
+        blocks = folds.train_blocks(f)
+        train_sig = (sum(sizes[b][0] for b in blocks if b in sizes),
+                     sum((sizes[b][1] for b in blocks if b in sizes), Decimal(0)))
+        _check_rows({"train": train_sig, "val": sizes.get(f, (0, None))}, {"train": x_train, "val": x_val})
         x_train = x_train.join(train.select(ROW_ID, target), ROW_ID)
     else:
         x_train, x_val = train, val.drop(target)
@@ -259,8 +267,9 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
     folds = strategy if isinstance(strategy, Folds) else strategy.apply(df, label=target, row_id=ROW_ID)
     folds = Folds(folds.df.persist(), folds.n_splits, folds.name, folds.expanding, folds.col)
     try:
-        # rows per validation block, one job for all folds (training sizes follow from them)
-        sizes = {r[0]: r[1] for r in folds.df.groupBy(folds.col).count().collect()}  # ≤ k+1 rows
+        # rows and id checksum per validation block, one job for all folds (training
+        # signatures are sums over blocks)
+        sizes = {r[0]: (r["n"], r["h"]) for r in folds.df.groupBy(folds.col).agg(*_row_sig(folds.df)).collect()}
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, folds.n_splits))) as pool:
             outs = list(pool.map(lambda f: _fold(folds, f, target, features, model, m, sizes),
                                  range(folds.n_splits)))
@@ -319,7 +328,8 @@ def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: st
         fitted = features.fit(tr, target)
         x_tr = fitted.transform(tr.drop(target)).join(tr.select(ROW_ID, target), ROW_ID)
         x_te = fitted.transform(te.drop(target) if target in te.columns else te)
-        _check_rows({"test": te.count()}, {"test": x_te})
+        sig = te.agg(*_row_sig(te)).first()
+        _check_rows({"test": (sig["n"], sig["h"])}, {"test": x_te})
     else:
         x_tr, x_te = tr, te
     fitted_model = model.fit(x_tr, target, problem_type, m.name)

@@ -143,7 +143,7 @@ class _SwapRow:
 
 def test_contract_catches_drop_and_duplicate(spark):
     df, _ = _regression(spark)
-    with pytest.raises(cvf.CVError, match="duplicated"):
+    with pytest.raises(cvf.CVError, match="changed or duplicated"):
         cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.MeanModel(), features=_SwapRow())
 
 
