@@ -36,8 +36,14 @@ def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
         "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")))
     levels = [level]
     frontier = level
-    limit = max_depth if max_depth is not None else s.count()
-    for d in range(1, limit + 1):
+    limit = max_depth
+    d = 0
+    while True:
+        d += 1
+        if limit is not None and d > limit:
+            break
+        if limit is None and d == 64:   # deep tree: bound the walk by the span count (cycles)
+            limit = max(s.count(), 64)
         children = s.alias("c").join(
             frontier.alias("p"),
             (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_span_id") == F.col("p.span_id")))

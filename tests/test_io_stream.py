@@ -68,3 +68,18 @@ def test_competition_catalog_layouts(spark):
                                    ("/w/agentless/notes/agent.txt",)], "path string")
     got = [r[0] for r in io.competition_catalog(paths).collect()]
     assert got == ["spaceship", "titanic"]
+
+
+def test_calibration_nan_parses(spark):
+    """A calibration line written with a literal NaN (no CV before the submit) parses to NaN."""
+    from pyspark.sql import types as T
+    d = tempfile.mkdtemp(prefix="lf-cal-", dir="/tmp")
+    with open(os.path.join(d, "calibration.jsonl"), "w") as f:
+        f.write('{"seq": 0, "competition": "c", "cv_score": NaN, "lb_score": null, "metric": "auc"}\n')
+        f.write('{"seq": 1, "competition": "c", "cv_score": 0.81, "lb_score": null, "metric": "auc"}\n')
+    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("competition", T.StringType()),
+                           T.StructField("cv_score", T.DoubleType()), T.StructField("lb_score", T.DoubleType()),
+                           T.StructField("metric", T.StringType())])
+    good, bad = io.read_log(spark, d, schema)
+    rows = {r["seq"]: r["cv_score"] for r in good.collect()}
+    assert bad.count() == 0 and rows[1] == 0.81 and rows[0] != rows[0]   # NaN
