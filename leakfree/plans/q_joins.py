@@ -106,3 +106,39 @@ def q_snk2(spark, sf_dir):
     io.write_predictions(out, path)
     back = spark.read.option("header", True).schema("row_id long, y_reg double").csv(path)
     return back.select("row_id", F.round("y_reg", 4).alias("y_reg"))
+
+
+_REGISTRY_SQL = """
+, reg AS (SELECT * FROM (VALUES ('accuracy', true, false, 'classification'), ('auc', true, true, 'classification'),
+                                ('logloss', false, true, 'classification'), ('rmse', false, false, 'regression'),
+                                ('mae', false, false, 'regression'), ('r2', true, false, 'regression'))
+          AS t(name, higher_is_better, needs_proba, kind)),
+cvm AS (SELECT NULLIF(regexp_extract(result_summary, 'metric=(\\w+)', 1), '') AS metric
+        FROM journal WHERE kind = 'tool_call' AND tool = 'train_cv')"""
+
+
+@query("MET-7", with_ctes(_REGISTRY_SQL + """
+SELECT r.name AS metric, r.higher_is_better, r.needs_proba, r.kind, count(c.metric) AS n_runs
+FROM reg r LEFT JOIN cvm c ON c.metric = r.name GROUP BY ALL""", "journal"))
+def q_met7(spark, sf_dir):
+    """The metric registry (directions pinned) with how often each metric was used by the
+    journal's train_cv calls — the registry as a dimension joined to data."""
+    j = journal(spark, sf_dir).where((F.col("kind") == "tool_call") & (F.col("tool") == "train_cv"))
+    used = j.select(F.nullif(F.regexp_extract("result_summary", r"metric=(\w+)", 1), F.lit("")).alias("metric"))
+    counts = used.groupBy("metric").agg(F.count(F.lit(1)).alias("n_runs"))
+    dim = met.metric_dim(spark).withColumnRenamed("name", "metric")
+    return dim.join(counts, "metric", "left").select(
+        "metric", "higher_is_better", "needs_proba", "kind", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
+
+
+@query("CVR-4", with_ctes(_REGISTRY_SQL.replace("AS metric\n        FROM journal", "AS metric, competition, seq\n        FROM journal")
+                          + """
+SELECT c.competition, c.seq, c.metric, r.kind AS problem_type FROM cvm c LEFT JOIN reg r ON c.metric = r.name""",
+                          "journal"))
+def q_cvr4(spark, sf_dir):
+    """Problem type of every logged CV run, taken from its metric's kind (the registry)."""
+    j = journal(spark, sf_dir).where((F.col("kind") == "tool_call") & (F.col("tool") == "train_cv"))
+    runs = j.select("competition", "seq",
+                    F.nullif(F.regexp_extract("result_summary", r"metric=(\w+)", 1), F.lit("")).alias("metric"))
+    dim = F.broadcast(met.metric_dim(spark).select(F.col("name").alias("metric"), F.col("kind").alias("problem_type")))
+    return runs.join(dim, "metric", "left").select("competition", "seq", "metric", "problem_type")
