@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: int | str = 8, shuffle_partitions: int | None = None,
-              app: str = "leakfree") -> SparkSession:
+              app: str = "leakfree", **conf: str) -> SparkSession:
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
+    builder = SparkSession.builder
+    for k, v in conf.items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.default.parallelism", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
