@@ -31,7 +31,10 @@ def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     left to attach.  Spans whose parent is missing are orphans (depth null).  A tree
     cannot be deeper than its number of spans, which bounds the walk on cyclic
     (corrupt) parent links."""
-    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id"))
+    # spread evenly (no key: a trace holding a third of all spans must not land in one
+    # partition) so every level's join runs on all cores even when the input is few splits
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id").repartition(parts))
     level = materialize(s.where(F.col("parent_span_id").isNull()).select(
         "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")))
     levels = [level]
