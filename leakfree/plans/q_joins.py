@@ -142,3 +142,17 @@ def q_cvr4(spark, sf_dir):
                     F.nullif(F.regexp_extract("result_summary", r"metric=(\w+)", 1), F.lit("")).alias("metric"))
     dim = F.broadcast(met.metric_dim(spark).select(F.col("name").alias("metric"), F.col("kind").alias("problem_type")))
     return runs.join(dim, "metric", "left").select("competition", "seq", "metric", "problem_type")
+
+
+@query("LED-1j", ORACLES["LED-1"])
+def q_led1j(spark, sf_dir):
+    """Ledger totals read back from the JSON-lines log (tolerant reader, explicit schema):
+    per competition and overall, as LED-1."""
+    from leakfree.operators import ledger as led
+    path = q_misc.scratch(spark, "ledger-jsonl")
+    lg = ledger(spark, sf_dir).select(F.col("competition").cast("string").alias("competition"), "seq", "model",
+                                      "input_tokens", "output_tokens", "cached_tokens", "cost_usd")
+    io.append_log(lg, path, partition_by=None, fmt="json")
+    good, _bad = io.read_log(spark, path, io.LEDGER_SCHEMA)
+    t = led.totals(good)
+    return t.select(F.col("competition").cast("string"), F.round("total_usd", 10).alias("total_usd"))
