@@ -87,9 +87,10 @@ def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: st
     many per-workspace logs; a single huge log should carry its own ``seq``), split into
     lines, blank lines dropped, every line parsed; ``seq`` = 0-based line number."""
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias(seq, "line"))
-    lines = lines.where(F.trim("line") != "")
+    lines = lines.withColumn("line", F.regexp_replace("line", r"\s+$", ""))  # CRLF and trailing blanks
+    lines = lines.where(F.col("line") != "")
     parsed = lines.select("file", seq, "line", F.from_json("line", full, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     bad_line = F.col(f"r.{CORRUPT}").isNotNull() | F.col("r").isNull()

@@ -57,3 +57,12 @@ def test_canonical_args(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "x"}',), ('{"a": "x", "b": 1}',), (None,)], "a string")
     got = [r[0] for r in df.select(fm.canonical_args(F.col("a"))).collect()]
     assert got[0] == got[1] == '{"a":"x","b":"1"}' and got[2] == "{}"
+
+
+def test_truncate_args_map_and_timeline(spark):
+    m = F.create_map(F.lit("code"), F.lit("x" * 3000), F.lit("path"), F.lit("a.py"))
+    out = spark.range(1).select(ft.truncate_args(m).alias("m")).first()["m"]
+    assert out["code"] == "<truncated, 3000 chars>" and out["path"] == "a.py"
+    df = spark.createDataFrame([("", "boom"), (None, None), ("r" * 200, "e")], "r string, e string")
+    got = [x[0] for x in df.select(ft.timeline_summary(F.col("r"), F.col("e"))).collect()]
+    assert got == ["boom", "", "r" * 120]
