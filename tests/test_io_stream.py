@@ -91,3 +91,13 @@ def test_read_log_lines_crlf(spark):
         f.write('{"competition": 1, "kind": "tool_call", "tool": "a"}\r\n\r\n{"competition": 1, "kind": "tool_error"}\r\n')
     good, bad = io.read_log_lines(spark, d, io.JOURNAL_SCHEMA)
     assert sorted(r["seq"] for r in good.collect()) == [0, 2] and bad.count() == 0
+
+
+def test_read_log_fills_partition_column(spark):
+    d = tempfile.mkdtemp(prefix="lf-part-", dir="/tmp")
+    os.makedirs(os.path.join(d, "competition=5"))
+    with open(os.path.join(d, "competition=5", "run_log.jsonl"), "w") as f:
+        f.write('{"seq": 0, "kind": "tool_call", "tool": "a"}\n{"seq": 1, "kind": "tool_c\n')
+    good, bad = io.read_log(spark, d, io.JOURNAL_SCHEMA)
+    rows = good.collect()
+    assert [(r["competition"], r["seq"]) for r in rows] == [(5, 0)] and bad.count() == 1
