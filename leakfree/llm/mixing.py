@@ -156,7 +156,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP
     used = flagged.groupBy("source").agg(F.sum(F.when(F.col("in1"), F.col("size")).otherwise(0)).alias("used"))
     left = _joined(budget, used).select("source", (F.col("room") - F.col("used")).alias("room"))
     left = written(left, "mix-room")
-    small = _joined(flagged.where("NOT in1"), left).where("size <= 2 * room").select("source", "t", "doc_id", "size")
+    small = _joined(flagged.where("NOT in1"), left).where("size <= room").select("source", "t", "doc_id", "size")
     two = _cut(small, left, nearest=True).withColumnsRenamed({"cut": "cut2", "all": "all2"})
     return _joined(_joined(_joined(per, one, "left"), left, "left"), two, "left")
 
@@ -164,7 +164,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP
 def decide(sizes: DataFrame, per: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """Adds source_size, target and ``copies`` to rows with doc_id, source and size."""
     df = _copies(_joined(sizes, per), cap, seed)
-    second = _within("cut2", "all2") & (F.col("size") <= 2 * F.col("room"))
+    second = _within("cut2", "all2") & (F.col("size") <= F.col("room"))
     more = F.when(_within("cut1", "all1") | F.coalesce(second, F.lit(False)), 1).otherwise(0)
     return df.withColumn("copies", (F.col("sure") + more).cast("int")).drop(
         "c", "cut1", "all1", "cut2", "all2", "room", "want", "sure", "t")

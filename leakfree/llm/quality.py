@@ -96,8 +96,10 @@ def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(0).cast("long"))
-    return df.withColumn("fail_bits", bits).select(
-        *[F.col("_row").getField(c).alias(c) for c in own], *MEASURES, "fail_bits")
+    # a generator of one row: filters on the bits stay above it and don't repeat the measuring
+    entry = F.explode(F.array(F.struct(*MEASURES, "fail_bits"))).alias("_m")
+    return df.withColumn("fail_bits", bits).select("_row", entry).select(
+        *[F.col("_row").getField(c).alias(c) for c in own], "_m.*")
 
 
 def passes(policy_mask: int, bits: str | Column = "fail_bits") -> Column:

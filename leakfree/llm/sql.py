@@ -52,7 +52,7 @@ t AS (SELECT *, CASE WHEN p > 1e-9::DOUBLE AND size > 0 THEN u * (1 - p) / (u *
 a AS (SELECT *, t IS NOT NULL AND sum(size) FILTER (WHERE t IS NOT NULL) OVER (PARTITION BY source ORDER BY t NULLS LAST, doc_id
               ROWS UNBOUNDED PRECEDING) <= room AS in1 FROM t),
 b AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE in1) OVER (PARTITION BY source), 0) AS room2 FROM a),
-b2 AS (SELECT *, t IS NOT NULL AND NOT in1 AND size <= 2 * room2 AS cand FROM b),
+b2 AS (SELECT *, t IS NOT NULL AND NOT in1 AND size <= room2 AS cand FROM b),
 c AS (SELECT *, cand AND sum(size) FILTER (WHERE cand) OVER (PARTITION BY source ORDER BY t NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING)
               - size / 2 <= room2 AS in2 FROM b2)
 SELECT doc_id, size, source_size, target, ((sure + CASE WHEN in1 OR in2 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c

@@ -16,7 +16,7 @@ def rows(seed=1):
     far = base.split()[:60] + text(60).split()
     texts = [base, base, " ".join(near), " ".join(far), base.replace(" ", "  "), None, "", " \n\t ", "one", "one two three",
              text(20000), "la " * 300, "\n".join(["same line here"] * 12 + [text(60)]), "日本語 текст 🙂 é ñ " * 20, text(49), text(50),
-             text(80), text(80), "a#b $ % & | < > * ### " * 30, "Ä́ X Y Z <|endoftext|> token = 'abcdef0123456789abcdef0123456789'"]
+             text(80), text(80), " ".join(f"w{i} ###$$" for i in range(60)), "Ä́ X Y Z <|endoftext|> token = 'abcdef0123456789abcdef0123456789'"]
     out = []
     for i, t in enumerate(texts):
         out.append((i, t, "en", [None, "a", "b", "c"][i % 4], 7, 1, "x", "d", 99, "l", "loc", "bu", "no"))
