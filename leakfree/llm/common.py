@@ -50,6 +50,13 @@ def part_of(doc_id: str | Column, k: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def sampled(df: DataFrame, most: int, salt: int, key: str = "doc_id") -> DataFrame:
+    """About ``most`` rows by a hash of the key; all of them if there are no more."""
+    share = most / max(df.count(), 1)
+    return df if share >= 1 else df.where(
+        F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt)), 33) < int(share * 2 ** 31))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder."""
     base = checkpoint_dir(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakfree.llm import exact_dedup, mixing, near_dedup, packing, quality, token_files
+from leakfree.llm import exact_dedup, katz, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, toxicity
 from leakfree.llm import sql
 from leakfree.llm.common import documents, shared_path, whole, word_array, written
 from leakfree.llm.registry import ORACLES, QUERIES, query
@@ -49,3 +49,30 @@ def op8(spark, sf_dir):
 @query("op7_near_dedup")
 def op7(spark, sf_dir):
     return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op3_secret_scan")
+def op3(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return secret_scan.report(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
+    model, seen = toxicity.fit(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return toxicity.scores(seen, model)
+
+
+@query("op5_katz_scores")
+def op5(spark, sf_dir):
+    return katz.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op1_license_scan")
+def op1(spark, sf_dir):
+    """Documents as files source/lang/doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    files = documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")
+    return license_scan.licenses(files).select(
+        "doc_id", "path", "license", F.round("score", 9).alias("score"), "first_line", "lines", "effective", "origin")
