@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from leakfree.llm.common import shared_path, unpacked, whole, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, and each task closes its store when it has committed: an executor's disk and memory hold
+#: open tasks' stores only.  The durable copy is in the shared folder.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 LOCATOR = "struct<file:string,row:bigint>"
 
 
@@ -57,15 +59,18 @@ class DedupStore:
         """Append a batch of ``located`` rows to the arrivals and run the stream over what is new."""
         rows = contents.select(self.digest(F.col("body")).alias("digest"), "doc_id", "locator")
         rows.write.mode("append").parquet(self.arrivals)
-        before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKS)
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            conf.set(k, v)
         try:
             news = self.spark.readStream.schema(rows.schema).parquet(self.arrivals)
             (self.state_of(news).writeStream.outputMode("update").format("noop")
              .option("checkpointLocation", f"{self.path}/stream").trigger(availableNow=True)
              .start().awaitTermination())
         finally:
-            self.spark.conf.set(PROVIDER, before) if before else self.spark.conf.unset(PROVIDER)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     @staticmethod
     def state_of(arrivals: DataFrame) -> DataFrame:
