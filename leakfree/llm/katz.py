@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from leakfree.llm.common import part_of, ship, shuffle_partitions, whole, written
 
 FOLDS, HELD_OUT = 7, 2
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 16
 CUT = 5
 SPARE = 0.5
 PER_BUCKET = 3_000_000

@@ -213,7 +213,7 @@ def brute_katz(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [50, 1 << 18])
+@pytest.mark.parametrize("size", [50, 1 << 16])
 def test_katz_equals_brute_force(spark, size):
     for docs in (documents(spark, SF), cases.frame(spark)):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
