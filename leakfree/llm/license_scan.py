@@ -62,11 +62,14 @@ WINDOW = 8
 #: A text is a licence file if its best window has this share of its words.
 MOSTLY = 0.8
 NAMES = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
+#: Words of any English text; they say nothing of a licence and are left out of all vectors.
+COMMON = frozenset("a an and are as at be by can for from has have if in is it its may not of on one or see that the this to "
+                   "under was where which will with without you your".split())
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w for w in _WORD.findall(text.lower()) if w not in COMMON]
 
 
 class Templates:
