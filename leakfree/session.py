@@ -63,6 +63,8 @@ def materialize(df: DataFrame, reliable: bool = False) -> DataFrame:
     and disk; our callers only pin plans with a total sort order, so a recomputation
     after a lost executor yields the same values.
     """
-    if reliable and checkpoint_dir(df.sparkSession):
+    if reliable:
+        if not checkpoint_dir(df.sparkSession):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
