@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, con, name):
     got = df.toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert len(got) > 0 and len(got.columns) > 0
+        assert list(got.columns) == df.columns and len(set(df.columns)) == len(df.columns) > 0
         return
     diff = compare(got, con.execute(sql).df())
     assert diff is None, diff
