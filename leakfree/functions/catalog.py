@@ -54,13 +54,14 @@ def detect_id_column(cat: DataFrame) -> DataFrame:
 
 
 def id_column_of(columns: list[str]) -> str | None:
-    """PRJ-9 on one schema (driver-side, names only): explicit candidates in priority
-    order, then the left-most ``id`` / ``*_id`` / ``id_*`` column; never a substring."""
-    for name in ID_EXPLICIT:
-        if name in columns:
-            return name
-    for name in columns:
-        low = name.lower()
-        if low == "id" or low.endswith("_id") or low.startswith("id_"):
-            return name
-    return None
+    """PRJ-9 on one schema (driver-side, names only): the column of least rank, ranked as
+    ``id_rank`` does."""
+    def rank(i: int) -> int | None:
+        parts = columns[i].lower().split("_")
+        if columns[i] in ID_EXPLICIT:
+            return ID_EXPLICIT.index(columns[i])
+        return len(ID_EXPLICIT) + i if "id" in (parts[0], parts[-1]) else None
+
+    ranks = {i: rank(i) for i in range(len(columns))}
+    best = min((i for i in ranks if ranks[i] is not None), key=ranks.get, default=None)
+    return None if best is None else columns[best]
