@@ -15,10 +15,11 @@ words); two are near copies if the multisets' Jaccard similarity is 0.8 or more.
    most others in its buckets (an original meets its copies more often than they meet each other); links
    are pre-filtered on sizes and on one bit per component, then verified on the whole multisets.
 4. Connected components of the verified links.  A bucket whose members lie in several components then
-   gets another centre, outside its largest component, for the members of all its other components; this is
+   gets CENTRES other centres, of as many components, for the members of all its other components; this is
    repeated with other centres until a turn finds no link.  A turn is linear in the bucket entries: pairs
    within a group are not listed, and members of one component aren't compared again, since that
-   can't change a class.
+   can't change a class.  Links found in a turn join components, so only the graph of components
+   is searched again.
 
 Defined results: a null text equals the empty text, and texts without words are copies of each other;
 class_id is the smallest id that isn't null in a class; null ids and repeated rows are rows
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakfree.llm.common import ship, unpacked, word_array, written
@@ -42,6 +43,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 30, 5
 #: Of BANDS * ROWS one-bit values, so many must agree (expected 135 of 150 at similarity 0.8, deviation 3.7).
 AGREE = 120
+#: Centres a bucket gets in each turn after the first.
+CENTRES = 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,16 +185,16 @@ def _plausible(a: str, b: str, similar: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose whole multisets are similar enough."""
+    """Of the pairs (a, b) of nodes those whose whole multisets are similar enough, as links of their components."""
     ta = texts.select(F.col("node").alias("_a"), F.col("body").alias("ta"))
     tb = texts.select(F.col("node").alias("_b"), F.col("body").alias("tb"))
-    both = pairs.join(ta, F.col("a") == F.col("_a")).select("a", "b", "ta").join(tb, F.col("b") == F.col("_b"))
-    both = both.select("a", "b", _words("ta").alias("wa"), _words("tb").alias("wb"))
+    both = pairs.join(ta, F.col("a") == F.col("_a")).drop("_a").join(tb, F.col("b") == F.col("_b"))
+    both = both.select("b", "la", "lb", _words("ta").alias("wa"), _words("tb").alias("wb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            a, b, cols = batch.column("a"), batch.column("b"), []
+            b, cols = batch.column("b"), []
             for name in ("wa", "wb"):
                 c = batch.column(name)
                 cols.append((np.asarray(c.values), np.asarray(c.offsets)))
@@ -203,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) ->
                     last, known = key, bag(fb[ob[i]:ob[i + 1]], size)
                 keep.append(jaccard(bag(fa[oa[i]:oa[i + 1]], size), known) >= similar)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("la", "lb")], names=["a", "b"])
 
     return both.mapInArrow(check, "a binary, b binary")
 
@@ -217,15 +220,21 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         by = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         heard = ends.join(by, F.col("a") == F.col("_n")).groupBy(F.col("b").alias("_n")).agg(F.min("_l").alias("_l"))
-        spread = written(labels.join(heard, F.col("node") == F.col("_n")).select(
-            "node", "label", F.least("label", "_l").alias("next")), "spread")
-        jump = spread.select(F.col("node").alias("_n"), F.col("next").alias("_l"))
-        new = written(spread.join(jump, F.col("next") == F.col("_n")).select(
+        spread = labels.join(heard, F.col("node") == F.col("_n")).select(
+            "node", "label", F.least("label", "_l").alias("next"))
+        new = written(spread.join(by, F.col("next") == F.col("_n")).select(
             "node", F.col("_l").alias("label"), (F.col("_l") != F.col("label")).alias("moved")), "labels")
-        moved = not new.where("moved").isEmpty()
+        if new.where("moved").isEmpty():
+            return new.select("node", "label")
         labels = new.select("node", "label")
-        if not moved:
-            return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after links between components (rows without a label are components of their own)."""
+    found = components(links)
+    to = found.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    known = labels.join(to, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return written(known.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,40 +262,39 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
     centre = member.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n", "bits")).alias("c"))
     centre = written(centre.select(F.col("bucket").alias("_bucket"), F.col("c.node").alias("b"), F.col("c.n").alias("b_n"),
                                    F.col("c.bits").alias("b_bits")), "centres")
-    shared = member.drop("weight", "k").join(centre, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    shared = member.select("node", F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "bucket").join(
+        centre, F.col("bucket") == F.col("_bucket"))
     # one text per node that shares a bucket; partial aggregation shrinks groups of copies on the map side
     wanted = heavy.select(F.col("node").alias("_w"))
     texts = base.select(_node("body").alias("node"), "body").groupBy("node").agg(F.min("body").alias("body"))
     texts = written(texts.join(wanted, F.col("node") == F.col("_w"), "left_semi"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs of a member and its bucket's centre that are similar, once each."""
-        pairs = pairs.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "b", "b_n",
-                             "b_bits").where((F.col("a") != F.col("b")) & _plausible("a", "b", similar))
-        pairs = written(pairs.groupBy("a", "b").agg(F.lit(0).alias("z")).select("a", "b"), "pairs")
-        return written(_verified(pairs, texts, similar, size), "links")
-
-    links = linked(shared)
-    labels = components(links)
-    others = member.where("k > 2").select("node", "n", "bits", "bucket")  # two members have met by now
+        """Links between the components of members and centres that are similar."""
+        pairs = pairs.where((F.col("node") != F.col("b")) & _plausible("a", "b", similar))
+        pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.min("label").alias("la"), F.min("b_label").alias("lb"))
+        return written(_verified(written(pairs, "pairs"), texts, similar, size), "links")
+
+    labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b"))))
+    # two members have met by now
+    others = member.where("k > 2").select("node", F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "bucket")
     turn = 0
     while True:
         turn += 1
         inside = written(_labelled(others, labels), "inside")
-        parts = written(inside.groupBy("bucket", "label").agg(
-            F.count(F.lit(1)).alias("k"),
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "bits")).alias("first")), "parts")
-        top = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"))
-        top = written(top.where("parts > 1").select(F.col("bucket").alias("_bucket"), F.col("top.label").alias("main")), "split")
-        new = parts.join(top, F.col("bucket") == F.col("_bucket")).where("label != main")
-        new = new.groupBy("_bucket").agg(F.min(F.struct("first", "label")).alias("c"))
-        new = written(new.select("_bucket", F.col("c.label").alias("b_label"), F.col("c.first.node").alias("b"),
-                                 F.col("c.first.n").alias("b_n"), F.col("c.first.bits").alias("b_bits")), "centres")
+        parts = inside.groupBy("bucket", "label").agg(F.min(F.struct(
+            F.xxhash64("node", F.lit(turn)).alias("order"), "node", "a_n", "a_bits")).alias("first"))
+        chosen = Window.partitionBy("bucket").orderBy("first", "label")  # with the limit: the first few of each map task
+        new = parts.withColumn("nth", F.row_number().over(chosen)).where(F.col("nth") <= CENTRES)
+        new = written(new.select(F.col("bucket").alias("_bucket"), F.col("label").alias("b_label"), F.col("first.node").alias("b"),
+                                 F.col("first.a_n").alias("b_n"), F.col("first.a_bits").alias("b_bits")), "centres")
+        split = new.groupBy(F.col("_bucket").alias("_split")).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        new = new.join(split, F.col("_bucket") == F.col("_split"), "left_semi")
         more = linked(inside.join(new, F.col("bucket") == F.col("_bucket")).where("label != b_label"))
         if more.isEmpty():
             return signed.select("doc_id", "locator", "node"), labels
-        links = written(links.unionByName(more), "links")
-        labels = components(links)
+        labels = _joined(labels, more)
+        others = inside.drop("label").join(split, F.col("bucket") == F.col("_split"), "left_semi")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR,
