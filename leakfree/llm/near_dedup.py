@@ -15,8 +15,9 @@ words); two are near copies if the multisets' Jaccard similarity is 0.8 or more.
    most others in its buckets (an original meets its copies more often than they meet each other); links
    are pre-filtered on sizes and on one bit per component, then verified on the whole multisets.
 4. Connected components of the verified links.  A bucket whose members lie in several components then
-   gets CENTRES other centres, of as many components, for the members of all its other components; this is
-   repeated with other centres until a turn finds no link.  A turn is linear in the bucket entries: pairs
+   gets CENTRES other centres, of as many components, for the members of all its other components (those of the
+   largest meet one of them), and one of the largest component; this is repeated with other centres until
+   a turn finds no link.  A turn is linear in the bucket entries: pairs
    within a group are not listed, and members of one component aren't compared again, since that
    can't change a class.  Links found in a turn join components, so only the graph of components
    is searched again.
@@ -184,28 +185,31 @@ def _plausible(a: str, b: str, similar: float):
             & (agree <= BANDS * ROWS - AGREE))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
+def _bags(texts: DataFrame, size: int) -> DataFrame:
+    """node and bag of rows with node and words."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("words")
+            flat, off = np.asarray(col.values), np.asarray(col.offsets)
+            bags = [bag(flat[x:y], size).view(np.int64) for x, y in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.list_(pa.int64()))], names=["node", "bag"])
+
+    return texts.mapInArrow(make, "node binary, bag array<bigint>")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose whole multisets are similar enough, as links of their components."""
-    ta = texts.select(F.col("node").alias("_a"), F.col("body").alias("ta"))
-    tb = texts.select(F.col("node").alias("_b"), F.col("body").alias("tb"))
-    both = pairs.join(ta, F.col("a") == F.col("_a")).drop("_a").join(tb, F.col("b") == F.col("_b"))
-    both = both.select("b", "la", "lb", _words("ta").alias("wa"), _words("tb").alias("wb"))
+    one = bags.select(F.col("node").alias("_a"), F.col("bag").alias("ba"))
+    two = bags.select(F.col("node").alias("_b"), F.col("bag").alias("bb"))
+    both = pairs.join(one, F.col("a") == F.col("_a")).select("b", "la", "lb", "ba").join(
+        two, F.col("b") == F.col("_b")).select("la", "lb", "ba", "bb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
         for batch in batches:
-            b, cols = batch.column("b"), []
-            for name in ("wa", "wb"):
-                c = batch.column(name)
-                cols.append((np.asarray(c.values), np.asarray(c.offsets)))
-            (fa, oa), (fb, ob) = cols
-            keep = []
-            for i in range(batch.num_rows):
-                key = b[i].as_py()
-                if key != last:  # many pairs share their second node
-                    last, known = key, bag(fb[ob[i]:ob[i + 1]], size)
-                keep.append(jaccard(bag(fa[oa[i]:oa[i + 1]], size), known) >= similar)
-            mask = pa.array(keep, pa.bool_())
+            (fa, oa), (fb, ob) = ((np.asarray(batch.column(c).values), np.asarray(batch.column(c).offsets)) for c in ("ba", "bb"))
+            mask = pa.array([jaccard(fa[oa[i]:oa[i + 1]], fb[ob[i]:ob[i + 1]]) >= similar
+                             for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("la", "lb")], names=["a", "b"])
 
     return both.mapInArrow(check, "a binary, b binary")
@@ -264,16 +268,17 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
                                    F.col("c.bits").alias("b_bits")), "centres")
     shared = member.select("node", F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "bucket").join(
         centre, F.col("bucket") == F.col("_bucket"))
-    # one text per node that shares a bucket; partial aggregation shrinks groups of copies on the map side
+    # one bag per node that shares a bucket; partial aggregation shrinks groups of copies on the map side
     wanted = heavy.select(F.col("node").alias("_w"))
     texts = base.select(_node("body").alias("node"), "body").groupBy("node").agg(F.min("body").alias("body"))
-    texts = written(texts.join(wanted, F.col("node") == F.col("_w"), "left_semi"), "texts")
+    texts = texts.join(wanted, F.col("node") == F.col("_w"), "left_semi")
+    bags = written(_bags(texts.select("node", _words("body").alias("words")), size), "bags")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links between the components of members and centres that are similar."""
         pairs = pairs.where((F.col("node") != F.col("b")) & _plausible("a", "b", similar))
         pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.min("label").alias("la"), F.min("b_label").alias("lb"))
-        return written(_verified(written(pairs, "pairs"), texts, similar, size), "links")
+        return written(_verified(written(pairs, "pairs"), bags, similar), "links")
 
     labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b"))))
     # two members have met by now
@@ -282,19 +287,25 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
     while True:
         turn += 1
         inside = written(_labelled(others, labels), "inside")
-        parts = inside.groupBy("bucket", "label").agg(F.min(F.struct(
-            F.xxhash64("node", F.lit(turn)).alias("order"), "node", "a_n", "a_bits")).alias("first"))
-        chosen = Window.partitionBy("bucket").orderBy("first", "label")  # with the limit: the first few of each map task
-        new = parts.withColumn("nth", F.row_number().over(chosen)).where(F.col("nth") <= CENTRES)
-        new = written(new.select(F.col("bucket").alias("_bucket"), F.col("label").alias("b_label"), F.col("first.node").alias("b"),
+        parts = inside.groupBy("bucket", "label").agg(
+            F.count(F.lit(1)).alias("k"),
+            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "a_n", "a_bits")).alias("first"))
+        parts = written(parts, "parts")
+        split = parts.groupBy(F.col("bucket").alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"))
+        split = written(split.where("parts > 1").select("_bucket", F.col("top.label").alias("main")), "split")
+        few = Window.partitionBy("_bucket", "in_main").orderBy("first")  # with the limit: the first few of each map task
+        new = parts.join(split, F.col("bucket") == F.col("_bucket")).withColumn("in_main", F.col("label") == F.col("main"))
+        new = new.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= CENTRES)
+        new = written(new.select("_bucket", "main", F.col("label").alias("b_label"), "nth", F.col("first.node").alias("b"),
                                  F.col("first.a_n").alias("b_n"), F.col("first.a_bits").alias("b_bits")), "centres")
-        split = new.groupBy(F.col("_bucket").alias("_split")).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        new = new.join(split, F.col("_bucket") == F.col("_split"), "left_semi")
-        more = linked(inside.join(new, F.col("bucket") == F.col("_bucket")).where("label != b_label"))
+        # the members of the largest component meet one centre only
+        meet = inside.join(new, F.col("bucket") == F.col("_bucket"))
+        more = linked(meet.where("label != b_label AND (label != main OR nth = 1)"))
         if more.isEmpty():
             return signed.select("doc_id", "locator", "node"), labels
         labels = _joined(labels, more)
-        others = inside.drop("label").join(split, F.col("bucket") == F.col("_split"), "left_semi")
+        others = inside.drop("label").join(split, F.col("bucket") == F.col("_bucket"), "left_semi")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR,
