@@ -26,13 +26,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakfree.operators import metrics as met
+from leakfree.operators.features import number
 from leakfree.operators.folds import CVError, Folds, Strategy
-from leakfree.operators.models import logistic_model, ridge_model
+from leakfree.operators.models import complete, logistic_model, moments, ridge_model, solve_ridge
 
 ROW_ID = "row_id"
 BUILTIN_META = ("cv_strategy", "n_splits", "metric", "problem_type", "n_rows")
@@ -48,6 +50,10 @@ class CVResult:
     duration_s: float
     metadata: dict = field(default_factory=dict)
 
+    def unpersist(self) -> None:
+        """Release the cached out-of-fold predictions."""
+        self.oof.unpersist()
+
     def summary(self) -> str:
         """The journal line a train_cv call writes (parsed back by PRJ-3)."""
         m = self.metadata
@@ -75,42 +81,28 @@ class MeanImpute:
         self.cols, self.passthrough = cols, passthrough or []
 
     def fit(self, train: DataFrame, target: str):
-        row = train.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in self.cols]).first()
+        row = train.agg(*[F.avg(number(c)).alias(c) for c in self.cols]).first()
         means = {c: (row[c] if row[c] is not None else 0.0) for c in self.cols}
         cols, keep = self.cols, self.passthrough
 
         class _T:
             def transform(self, df: DataFrame) -> DataFrame:
-                return df.select(ROW_ID, *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c)
+                return df.select(ROW_ID, *[F.coalesce(number(c), F.lit(means[c])).alias(c)
                                            for c in cols], *keep)
         return _T()
 
 
 class Ridge:
-    """Model fitter: ridge with intercept from one pass of sufficient statistics."""
+    """Model fitter: ridge with intercept from one pass of moments over the complete rows
+    (null and NaN left out, as in :func:`models.fit_ridge_folds`)."""
 
     def __init__(self, xs: list[str], alpha: float = 1.0):
         self.xs, self.alpha = xs, alpha
 
     def fit(self, train: DataFrame, target: str, problem_type: str, metric: str):
-        xs, d = self.xs, len(self.xs)
-        y = F.col(target).cast("double")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
-        aggs += [F.sum(F.col(x)).alias(f"sx{i}") for i, x in enumerate(xs)]
-        aggs += [F.sum(F.col(x) * y).alias(f"sxy{i}") for i, x in enumerate(xs)]
-        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"sxx{i}_{j}") for i, a in enumerate(xs)
-                 for j, b in enumerate(xs) if j >= i]
-        r = train.agg(*aggs).first()
-        n = r["n"]
-        mx = np.array([r[f"sx{i}"] for i in range(d)]) / n
-        my = r["sy"] / n
-        g = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                g[i, j] = g[j, i] = r[f"sxx{i}_{j}"] - n * mx[i] * mx[j]
-        b = np.array([r[f"sxy{i}"] - n * mx[i] * my for i in range(d)])
-        w = np.linalg.solve(g + self.alpha * np.eye(d), b)
-        intercept = float(my - mx @ w)
+        xs = self.xs
+        row = complete(train, [*xs, target]).agg(*moments(xs, target)).first()
+        intercept, w = solve_ridge([row], len(xs), self.alpha)
 
         class _M:
             coef, bias = w, intercept
@@ -264,8 +256,10 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
     m = met.get(metric) if isinstance(metric, str) else metric
     if problem_type is not None and problem_type != m.kind:
         raise CVError(f"problem_type {problem_type!r} disagrees with metric {m.name!r} ({m.kind})")
-    folds = strategy if isinstance(strategy, Folds) else strategy.apply(df, label=target, row_id=ROW_ID)
-    folds = Folds(folds.df.persist(), folds.n_splits, folds.name, folds.expanding, folds.col)
+    given = isinstance(strategy, Folds)
+    folds = strategy if given else strategy.apply(df, label=target, row_id=ROW_ID)
+    if not given:  # a caller's folds stay as they are, cached or not
+        folds.df.persist()
     try:
         # rows and id checksum per validation block, one job for all folds (training
         # signatures are sums over blocks)
@@ -285,6 +279,7 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
             k = widths[0].w if widths else 2
             # CVR-3: two columns → P(class 1); more → the whole row of probabilities
             oof = oof.withColumn("prediction", F.element_at("probability", 2) if k == 2 else F.col("probability"))
+        oof = oof.persist(StorageLevel.MEMORY_AND_DISK)  # scoring fills it; scores and later reads share it
         scores = m.score(oof, ["fold"], target, pred_col).orderBy("fold")
         rows = scores.collect()  # k rows
         fold_scores = [r["score"] for r in rows]
@@ -295,7 +290,8 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
             meta.setdefault(key, val)  # built-ins cannot be overwritten
         return CVResult(scores, oof, fold_scores, float(arr.mean()), float(arr.std()), time.time() - t0, meta)
     finally:
-        folds.df.unpersist()  # later reads of oof/scores recompute the (deterministic) folds
+        if not given:
+            folds.df.unpersist()  # a lost block of oof recomputes the (deterministic) folds
 
 
 def oof_full(result: CVResult, folds_df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ broadcast with a proven bound) or on ``(fold, value)`` (size-checked).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,18 @@ def numeric_passthrough(df: DataFrame, target: str, keep: list[str] | None = Non
 
 
 # ---------------------------------------------------------------- FE-1 mean impute
+def number(c: str) -> Column:
+    """The column as a double, with NaN as null."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def fit_mean_impute(folds: Folds, cols: list[str]) -> DataFrame:
-    """Per fold: the training-rows mean of each column (nulls skipped; none → 0.0)."""
+    """Per fold: the training-rows mean of each column (nulls and NaN skipped; none → 0.0)."""
     sums = {}
     for c in cols:
-        sums[f"s_{c}"] = F.col(c).cast("double")
-        sums[f"n_{c}"] = F.when(F.col(c).isNotNull(), F.lit(1))
+        sums[f"s_{c}"] = number(c)
+        sums[f"n_{c}"] = F.when(number(c).isNotNull(), F.lit(1))
     st = train_sums(folds, sums)
     return st.select("fold", *[F.when(F.col(f"n_{c}") > 0, F.col(f"s_{c}") / F.col(f"n_{c}"))
                                .otherwise(F.lit(0.0)).alias(f"mean_{c}") for c in cols])
@@ -52,18 +58,21 @@ def fit_mean_impute(folds: Folds, cols: list[str]) -> DataFrame:
 def mean_impute(folds: Folds, cols: list[str], keep: list[str]) -> DataFrame:
     stats = F.broadcast(fit_mean_impute(folds, cols))  # k rows
     j = val_rows(folds).join(stats, folds.col)
-    return j.select(*keep, folds.col, *[F.coalesce(F.col(c).cast("double"), F.col(f"mean_{c}")).alias(c)
+    return j.select(*keep, folds.col, *[F.coalesce(number(c), F.col(f"mean_{c}")).alias(c)
                                         for c in cols])
 
 
 # ---------------------------------------------------------------- FE-2 mode impute
 def fit_mode_impute(folds: Folds, col: str) -> DataFrame:
-    """Per fold: most frequent training value, smallest value on ties, MISSING if none."""
+    """Per fold: most frequent training value, smallest value on ties; if none, MISSING for a string
+    column and null for any other."""
+    kind = dict(folds.df.dtypes)[col]
+    none = F.lit(MISSING) if kind == "string" else F.lit(None).cast(kind)
     counts = train_sums(folds, {"cnt": F.when(F.col(col).isNotNull(), F.lit(1))}, by=[col])
     modes = (counts.where(F.col("cnt") > 0).groupBy("fold")
              .agg(F.min_by(F.col(col), F.struct(-F.col("cnt"), F.col(col))).alias("mode")))
     all_folds = folds.df.sparkSession.range(folds.n_splits).select(F.col("id").cast("int").alias("fold"))
-    return all_folds.join(modes, "fold", "left").select("fold", F.coalesce("mode", F.lit(MISSING)).alias("mode"))
+    return all_folds.join(modes, "fold", "left").select("fold", F.coalesce(F.col("mode"), none).alias("mode"))
 
 
 def mode_impute(folds: Folds, col: str, keep: list[str]) -> DataFrame:

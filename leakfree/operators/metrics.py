@@ -30,8 +30,10 @@ def mae(y: Column, pred: Column) -> Column:
 
 
 def r2(y: Column, pred: Column) -> Column:
+    """Over the rows with a target and a prediction (time-series warm-up rows have none)."""
+    scored = F.when(pred.isNotNull(), y)
     ss_res = F.sum(F.pow(y - pred, 2))
-    ss_tot = F.var_pop(y) * F.count(y)
+    ss_tot = F.var_pop(scored) * F.count(scored)
     return F.when(ss_tot == 0, F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
         F.lit(1.0) - ss_res / ss_tot)
 
@@ -53,11 +55,15 @@ def auc(df: DataFrame, by: list[str], y: str, score: str, out: str = "score") ->
     """Exact ROC AUC with ties (Mann-Whitney): Σ pos·(neg below + neg tied / 2) / (P·N).
 
     One aggregation to (group, score) → (pos, neg), then a running sum of negatives per
-    group; a group without positives or negatives has no AUC (null)."""
-    lab = F.col(y).cast("double")
+    group; a group without positives or negatives has no AUC (null).  Rows without a label or
+    a score (null, NaN) count on neither side; class probabilities of K > 2 have no AUC."""
+    if dict(df.dtypes)[score].startswith("array"):
+        raise ValueError("AUC needs one score per row, got an array of class probabilities")
+    lab, value = F.col(y).cast("double"), F.col(score).cast("double")
+    scored = value.isNotNull() & ~F.isnan(value)
     per_score = df.groupBy(*by, score).agg(
-        F.sum(F.when(lab == 1, 1).otherwise(0)).alias("_lf_pos"),
-        F.sum(F.when(lab == 1, 0).otherwise(1)).alias("_lf_neg"))
+        F.sum(F.when(scored & (lab == 1), 1).otherwise(0)).alias("_lf_pos"),
+        F.sum(F.when(scored & (lab != 1) & ~F.isnan(lab), 1).otherwise(0)).alias("_lf_neg"))
     run = running(per_score, by, [score], [Agg("_lf_below", "sum", "_lf_neg")], inclusive=False)
     contrib = F.col("_lf_pos") * (F.coalesce(F.col("_lf_below"), F.lit(0)) + F.col("_lf_neg") / 2.0)
     g = run.groupBy(*by).agg(F.sum(contrib).alias("_lf_u"), F.sum("_lf_pos").alias("_lf_p"),
@@ -157,25 +163,31 @@ def qwk(y: Column, pred: Column) -> Column:
 
 
 def f1_frame(average: str):
-    """F1 from per-class confusion counts: ``binary`` (class 1), ``macro`` or ``weighted``."""
+    """F1 from one count table of (label, prediction): ``binary`` (class 1), ``macro`` or ``weighted``.
+
+    Labels and predictions are compared as numbers unless both are strings.  Rows without either
+    aren't scored; a group that never sees class 1 has binary F1 0, one without scored rows has null
+    macro and weighted F1."""
     def frame(df: DataFrame, by: list[str], y: str, pred: str, out: str) -> DataFrame:
-        yy, pp = F.col(y).cast("string"), F.col(pred).cast("string")
-        classes = df.select(*by, yy.alias("_c")).union(df.select(*by, pp.alias("_c"))).distinct()
-        tp = df.where(yy == pp).groupBy(*by, yy.alias("_c")).agg(F.count(F.lit(1)).alias("tp"))
-        sup = df.groupBy(*by, yy.alias("_c")).agg(F.count(F.lit(1)).alias("support"))
-        prd = df.groupBy(*by, pp.alias("_c")).agg(F.count(F.lit(1)).alias("npred"))
-        k = [*by, "_c"]
-        c = (classes.join(tp, k, "left").join(sup, k, "left").join(prd, k, "left").na.fill(0, ["tp", "support", "npred"]))
-        f1 = F.when(F.col("support") + F.col("npred") > 0,
-                    2 * F.col("tp") / (F.col("support") + F.col("npred"))).otherwise(F.lit(0.0))
-        c = c.withColumn("_f1", f1)
-        if average == "binary":
-            res = c.where(F.col("_c") == "1").groupBy(*by).agg(F.first("_f1").alias(out))
-        elif average == "macro":
-            res = c.groupBy(*by).agg(F.avg("_f1").alias(out))
-        else:
-            res = c.groupBy(*by).agg((F.sum(F.col("_f1") * F.col("support")) / F.sum("support")).alias(out))
-        return res
+        types = dict(df.dtypes)
+        kind = "string" if types[y] == types[pred] == "string" else "double"
+        pairs = df.groupBy(*by, F.col(y).try_cast(kind).alias("_y"), F.col(pred).try_cast(kind).alias("_p")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        seen = F.col("_y").isNotNull() & F.col("_p").isNotNull()
+        none = F.lit(0).cast("long")
+        hit = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(none)
+        sides = F.array(
+            F.struct(F.when(seen, F.col("_y")).alias("_c"), F.col("_n").alias("support"), none.alias("npred"), hit.alias("tp")),
+            F.struct(F.when(seen, F.col("_p")).alias("_c"), none.alias("support"), F.col("_n").alias("npred"), none.alias("tp")))
+        c = pairs.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*").groupBy(*by, "_c").agg(
+            F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("npred").alias("npred"))
+        f1 = F.when(F.col("_c").isNotNull(), 2 * F.col("tp") / (F.col("support") + F.col("npred")))
+        support = F.when(F.col("_c").isNotNull(), F.col("support"))
+        one = F.lit("1") if kind == "string" else F.lit(1.0)
+        value = {"binary": F.coalesce(F.max(F.when(F.col("_c") == one, f1)), F.lit(0.0)),
+                 "macro": F.avg(f1),
+                 "weighted": F.try_divide(F.sum(f1 * support), F.sum(support))}[average]
+        return c.groupBy(*by).agg(value.alias(out))
     return frame
 
 

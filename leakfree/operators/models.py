@@ -15,11 +15,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.operators.complement import train_sums
-from leakfree.operators.folds import Folds
+from leakfree.operators.folds import CVError, Folds
 
 
 def mean_baseline(folds: Folds, target: str) -> DataFrame:
@@ -36,40 +36,53 @@ def majority_baseline(folds: Folds, target: str) -> DataFrame:
             .agg(F.min_by(F.col(target), F.struct(-F.col("n"), F.col(target))).alias("majority")))
 
 
-def _gram_sums(xs: list[str], target: str) -> dict:
-    sums = {"n": F.lit(1), "sy": F.col(target).cast("double"),
-            "syy": F.col(target).cast("double") * F.col(target).cast("double")}
-    for i, a in enumerate(xs):
-        sums[f"sx{i}"] = F.col(a).cast("double")
-        sums[f"sxy{i}"] = F.col(a).cast("double") * F.col(target).cast("double")
-        for j in range(i, len(xs)):
-            sums[f"sxx{i}_{j}"] = F.col(a).cast("double") * F.col(xs[j]).cast("double")
-    return sums
+def complete(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows that have a number (no null, no NaN) in every column."""
+    for c in cols:
+        v = F.col(c).cast("double")
+        df = df.where(v.isNotNull() & ~F.isnan(v))
+    return df
+
+
+def moments(xs: list[str], target: str) -> list[Column]:
+    """Count, means and covariances of features and target (the last column): Spark's central
+    moments, which keep their digits when values are far from zero."""
+    cols = [F.col(c).cast("double") for c in [*xs, target]]
+    out = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
+    return out + [F.covar_pop(a, cols[j]).alias(f"c{i}_{j}") for i, a in enumerate(cols[:-1])
+                  for j in range(i, len(cols))]
+
+
+def solve_ridge(blocks: list, d: int, alpha: float) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients from the moments of the blocks of training rows.  Blocks are combined
+    around their common mean, so nothing is subtracted from a large total."""
+    blocks = [b for b in blocks if b["n"]]
+    if not blocks:
+        raise CVError("no training row has a number in the target and every feature")
+    n = np.array([b["n"] for b in blocks], dtype=float)
+    means = np.array([[b[f"m{i}"] for i in range(d + 1)] for b in blocks])
+    mean = means[0] + (n / n.sum()) @ (means - means[0])
+    co = np.zeros((d, d + 1))
+    for k, b, m in zip(n, blocks, means):
+        for i in range(d):
+            for j in range(i, d + 1):
+                co[i, j] += k * (b[f"c{i}_{j}"] + (m[i] - mean[i]) * (m[j] - mean[j]))
+    g = np.triu(co[:, :d]) + np.triu(co[:, :d], 1).T
+    w = np.linalg.solve(g + alpha * np.eye(d), co[:, d])
+    return float(mean[d] - mean[:d] @ w), w
 
 
 def fit_ridge_folds(folds: Folds, xs: list[str], target: str, alpha: float = 1.0) -> DataFrame:
     """Ridge with intercept (centred, intercept not penalised) for every fold in one scan.
 
-    Returns ``(fold, intercept, coef array<double>)`` — k rows.  Rows with a null feature
-    or target are left out of the fit (impute first, FE-1)."""
-    complete = folds.df.where(F.col(target).isNotNull())
-    for x in xs:
-        complete = complete.where(F.col(x).isNotNull())
-    st = train_sums(Folds(complete, folds.n_splits, folds.name, folds.expanding, folds.col),
-                    _gram_sums(xs, target)).collect()  # k rows of O(d²) numbers
-    d = len(xs)
+    Returns ``(fold, intercept, coef array<double>)`` — k rows.  Rows with a null or NaN in a feature
+    or the target are left out of the fit (impute first, FE-1)."""
+    per_block = complete(folds.df, [*xs, target]).groupBy(folds.col).agg(*moments(xs, target))
+    found = {r[0]: r for r in per_block.collect()}  # k + 1 rows of O(d²) numbers
     rows = []
-    for r in st:
-        n = r["n"]
-        mx = np.array([r[f"sx{i}"] for i in range(d)]) / n
-        my = r["sy"] / n
-        g = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                g[i, j] = g[j, i] = r[f"sxx{i}_{j}"] - n * mx[i] * mx[j]
-        b = np.array([r[f"sxy{i}"] - n * mx[i] * my for i in range(d)])
-        w = np.linalg.solve(g + alpha * np.eye(d), b)
-        rows.append((int(r["fold"]), float(my - mx @ w), [float(v) for v in w]))
+    for f in range(folds.n_splits):
+        bias, w = solve_ridge([found[b] for b in folds.train_blocks(f) if b in found], len(xs), alpha)
+        rows.append((f, bias, [float(v) for v in w]))
     return folds.df.sparkSession.createDataFrame(rows, "fold int, intercept double, coef array<double>")
 
 
