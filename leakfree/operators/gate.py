@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.functions.parse import cv_mean, cv_metric, higher_is_better
+from leakfree.operators.metrics import names_of
 from leakfree.operators.ordered import Agg, running
 
 COMP = "competition"
@@ -111,7 +112,7 @@ def calibration_rows(requests: DataFrame, cv_override: str | None = None) -> Dat
     """CAL-1: one row per approved submit — last CV (NaN if none), metric, problem type,
     CV strategy (override, else stratified for classification / kfold); no LB score yet."""
     metric = F.col("metric")
-    problem = F.when(metric.isin("accuracy", "auc", "logloss"), F.lit("classification")).otherwise(F.lit("regression"))
+    problem = F.when(metric.isin(*names_of("classification")), F.lit("classification")).otherwise(F.lit("regression"))
     strategy = F.lit(cv_override) if cv_override else F.when(problem == "classification", F.lit("stratified_kfold")) \
         .otherwise(F.lit("kfold"))
     return requests.where(approved(F.col("decision"))).select(

@@ -312,14 +312,15 @@ def args_conformance(journal: DataFrame) -> DataFrame:
     given = t_known.select(COMP, "seq", "tool", F.explode("m").alias("key", "value"))
     checked = given.join(props, ["tool", "key"], "left")
     v = F.col("value")
-    is_int = v.rlike(r"^-?[0-9]+$")
+    is_int = v.rlike(r"^-?[0-9]+(\.0+)?$")  # a whole number may be written 5.0
+    size = v.try_cast("double")  # any number of digits; the bounds are small
     violation = (F.when(F.col("type").isNull(), F.lit("unexpected_key"))
                  .when((F.col("type") == "integer") & ~is_int, F.lit("wrong_type"))
                  .when((F.col("type") == "boolean") & ~v.isin("true", "false"), F.lit("wrong_type"))
                  .when(F.col("enum").isNotNull() & ~F.array_contains(F.split("enum", ","), v), F.lit("not_in_enum"))
-                 .when((F.col("type") == "integer") & F.col("min").isNotNull() & (v.cast("long") < F.col("min")),
+                 .when((F.col("type") == "integer") & F.col("min").isNotNull() & (size < F.col("min")),
                        F.lit("below_minimum"))
-                 .when((F.col("type") == "integer") & F.col("max").isNotNull() & (v.cast("long") > F.col("max")),
+                 .when((F.col("type") == "integer") & F.col("max").isNotNull() & (size > F.col("max")),
                        F.lit("above_maximum")))
     bad = checked.select(COMP, "seq", "tool", "key", violation.alias("violation")).where(
         F.col("violation").isNotNull())

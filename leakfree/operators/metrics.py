@@ -127,6 +127,11 @@ def list_metrics(include_optional: bool = False) -> list[str]:
     return sorted({**_REGISTRY, **_OPTIONAL} if include_optional else _REGISTRY)
 
 
+def names_of(kind: str) -> list[str]:
+    """Every registered metric of a kind, optional ones included."""
+    return sorted(m.name for m in {**_REGISTRY, **_OPTIONAL}.values() if m.kind == kind)
+
+
 def metric_dim(spark) -> DataFrame:
     """The registry as a dimension table (name, higher_is_better, needs_proba, kind)."""
     rows = [(m.name, m.higher_is_better, m.needs_proba, m.kind) for m in _REGISTRY.values()]

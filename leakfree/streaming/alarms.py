@@ -1,9 +1,9 @@
 """STR-1..6: incremental versions of the log analytics.
 
 Keyed state is bounded (a few scalars, or the last ``window`` records), so no watermark
-is needed.  Inside a key's micro-batch rows are sorted by ``seq`` and rows with
-``seq <= last_seq`` are ignored, which makes replays harmless; after ``availableNow`` the
-result equals the batch twin.
+is needed.  All of a key's rows in a micro-batch are sorted by ``seq`` (over its Arrow batches) and rows
+with ``seq <= last_seq`` are ignored, which makes replays harmless; after ``availableNow`` the
+result equals the batch twin if no record arrives in a later micro-batch than one with a larger ``seq``.
 """
 
 from __future__ import annotations
@@ -49,6 +49,12 @@ def behaviour_counters(journal_stream: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "tool_error").alias("error_count"))
 
 
+def _in_order(pdfs: Iterator[pd.DataFrame], *cols: str) -> list[tuple]:
+    """A key's rows of one micro-batch by ``seq``: Arrow batches of a key arrive in any order, so none
+    may move ``last_seq`` before all are sorted.  Bounded by the micro-batch."""
+    return sorted((row for pdf in pdfs for row in zip(*(pdf[c] for c in cols))), key=lambda row: row[0])
+
+
 # ---------------------------------------------------------------- STR-3 budget alarm
 def budget_alarm(ledger_stream: DataFrame, budget: float) -> DataFrame:
     """STR-3: approve-and-double budget per competition with keyed state
@@ -58,17 +64,16 @@ def budget_alarm(ledger_stream: DataFrame, budget: float) -> DataFrame:
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent, cur, n, breach, last = state.get if state.exists else (0.0, budget, 0, None, -1)
-        for pdf in pdfs:
-            for seq, cost in sorted(zip(pdf["seq"], pdf["cost_usd"].fillna(0.0))):
-                if seq <= last:
-                    continue
-                if spent > cur:          # the check before each call
-                    n += 1
-                    cur *= 2
-                spent += cost
-                if breach is None and spent > budget:
-                    breach = int(seq)
-                last = int(seq)
+        for seq, cost in _in_order(pdfs, "seq", "cost_usd"):
+            if seq <= last:
+                continue
+            if spent > cur:          # the check before each call
+                n += 1
+                cur *= 2
+            spent += 0.0 if pd.isna(cost) else cost
+            if breach is None and spent > budget:
+                breach = int(seq)
+            last = int(seq)
         state.update((spent, cur, n, breach, last))
         yield pd.DataFrame({COMP: [key[0]], "doublings": [n], "final_budget": [cur], "spent": [spent],
                             "breach_seq": [breach]})
@@ -93,11 +98,8 @@ def stuck_loop_alarm(journal_stream: DataFrame, window: int = 10, threshold: int
         else:
             ring = []
         last = ring[-1][0] if ring else -1
-        for pdf in pdfs:
-            new = sorted((int(a), b, c, bool(d)) for a, b, c, d in
-                         zip(pdf["seq"], pdf["tool"], pdf["sig"], pdf["is_tool"]) if a > last)
-            ring = sorted(ring + new)[-window:]
-            last = ring[-1][0] if ring else last
+        new = [(int(a), b, c, bool(d)) for a, b, c, d in _in_order(pdfs, "seq", "tool", "sig", "is_tool") if a > last]
+        ring = (ring + new)[-window:]
         state.update(([r[0] for r in ring], [r[1] for r in ring], [r[2] for r in ring], [r[3] for r in ring]))
         sigs = Counter()
         first: dict = {}
@@ -127,27 +129,26 @@ def submission_gate(subs_stream: DataFrame) -> DataFrame:
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n_prior, n_num, mx, mn, last = state.get if state.exists else (0, 0, None, None, -1)
         rows = []
-        for pdf in pdfs:
-            for seq, cv, metric in sorted(zip(pdf["seq"], pdf["cv_at_submit"], pdf["metric"])):
-                if seq <= last:
-                    continue
-                hib = metric not in LOWER_IS_BETTER
-                ok = cv is not None and not pd.isna(cv)
-                prev_best = (mx if hib else mn) if n_num > 0 else None
-                if n_prior == 0:
-                    trig = FIRST
-                elif n_num == 0:
-                    trig = NON_REGRESSION
-                else:
-                    cur = cv if ok else (float("-inf") if hib else float("inf"))
-                    trig = REGRESSION if (cur < prev_best if hib else cur > prev_best) else NON_REGRESSION
-                rows.append((key[0], int(seq), trig, prev_best))
-                n_prior += 1
-                if ok:
-                    n_num += 1
-                    mx = cv if mx is None else max(mx, cv)
-                    mn = cv if mn is None else min(mn, cv)
-                last = int(seq)
+        for seq, cv, metric in _in_order(pdfs, "seq", "cv_at_submit", "metric"):
+            if seq <= last:
+                continue
+            hib = metric not in LOWER_IS_BETTER
+            ok = cv is not None and not pd.isna(cv)
+            prev_best = (mx if hib else mn) if n_num > 0 else None
+            if n_prior == 0:
+                trig = FIRST
+            elif n_num == 0:
+                trig = NON_REGRESSION
+            else:
+                cur = cv if ok else (float("-inf") if hib else float("inf"))
+                trig = REGRESSION if (cur < prev_best if hib else cur > prev_best) else NON_REGRESSION
+            rows.append((key[0], int(seq), trig, prev_best))
+            n_prior += 1
+            if ok:
+                n_num += 1
+                mx = cv if mx is None else max(mx, cv)
+                mn = cv if mn is None else min(mn, cv)
+            last = int(seq)
         state.update((n_prior, n_num, mx, mn, last))
         yield pd.DataFrame(rows, columns=[COMP, "seq", "trigger", "prev_best"])
 
