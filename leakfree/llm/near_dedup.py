@@ -16,11 +16,14 @@ words); two are near copies if the multisets' Jaccard similarity is 0.8 or more.
    are pre-filtered on sizes and on one bit per component, then verified on the whole multisets.
 4. Connected components of the verified links.  A bucket whose members lie in several components then
    gets CENTRES other centres, of as many components, for the members of all its other components (those of the
-   largest meet one of them), and one of the largest component; this is repeated with other centres until
-   a turn finds no link.  A turn is linear in the bucket entries: pairs
-   within a group are not listed, and members of one component aren't compared again, since that
-   can't change a class.  Links found in a turn join components, so only the graph of components
-   is searched again.
+   largest meet one of them), and one of the largest component; this is repeated with other centres while
+   a turn joins many.  A turn is linear in the bucket entries: a cheap start that joins most components.
+5. What the turns leave is compared whole: in a bucket whose members lie in several components, every pair
+   of members of different components is dealt with.  The largest component and the other members are cut into blocks of
+   about BLOCK by a hash; each pair of blocks (largest against others, others against others) is a group of its own, dealt
+   over all tasks.  A pair passes by sizes, the one-bit sketch and the counts of its bags' hashes in CELLS cells, whose
+   overlap bounds the bags' overlap from above, so that this filter loses nothing; the rest is verified once each.
+   Pairs within a component aren't listed, since they can't change a class.
 
 Defined results: a null text equals the empty text, and texts without words are copies of each other;
 class_id is the smallest id that isn't null in a class; null ids and repeated rows are rows
@@ -46,6 +49,10 @@ BANDS, ROWS = 30, 5
 AGREE = 120
 #: Centres a bucket gets in each turn after the first.
 CENTRES = 8
+#: A turn with fewer links than this share of its verified pairs is the last; all pairs of blocks follow.
+WORTH = 0.02
+#: Mean members of a block of a split bucket, and cells of a bag's counts.
+BLOCK, CELLS = 512, 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +97,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def cells(bag: np.ndarray) -> bytes:
+    """How many of a bag's hashes fall in each cell, up to 255."""
+    at = (mix64(bag.view(np.uint64) + GOLD) % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def bag_minhash(elements: list[np.ndarray], weights: list[np.ndarray], m: int) -> np.ndarray:
     """Signatures (times) of documents given as shingle hashes with whole weights of 1 or more."""
     n = len(elements)
@@ -186,16 +199,17 @@ def _plausible(a: str, b: str, similar: float):
 
 
 def _bags(texts: DataFrame, size: int) -> DataFrame:
-    """node and bag of rows with node and words."""
+    """node, bag and its cells of rows with node and words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("words")
             flat, off = np.asarray(col.values), np.asarray(col.offsets)
             bags = [bag(flat[x:y], size).view(np.int64) for x, y in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.list_(pa.int64()))], names=["node", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.list_(pa.int64())),
+                                              pa.array(list(map(cells, bags)), pa.binary())], names=["node", "bag", "cells"])
 
-    return texts.mapInArrow(make, "node binary, bag array<bigint>")
+    return texts.mapInArrow(make, "node binary, bag array<bigint>, cells binary")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
@@ -247,6 +261,61 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
         "label", F.coalesce("_l", "node")).drop("_n", "_l")
 
 
+def _blocks(inside: DataFrame, split: DataFrame, bags: DataFrame) -> DataFrame:
+    """Members of split buckets, a row for each pair of blocks they take part in: ``task`` (bucket and pair of
+    blocks) and ``side`` (0 or 1; 2 for a block paired with itself)."""
+    rows = inside.join(split, F.col("bucket") == F.col("_bucket")).withColumn("big", F.col("label") == F.col("main"))
+    rows = rows.join(bags.select(F.col("node").alias("_n"), "cells"), F.col("node") == F.col("_n"))
+    count = lambda k: F.ceil(F.col(k) / BLOCK)
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("node", F.lit("block")),
+                                        F.when(F.col("big"), count("k_main")).otherwise(count("k_rest"))))
+    each = lambda k: F.sequence(F.lit(0).cast("bigint"), count(k) - 1)
+    pair = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    at = F.col("at")
+    big = F.transform(each("k_rest"), lambda y: pair(0, at, y, F.lit(0)))
+    rest = F.concat(F.transform(each("k_main"), lambda x: pair(0, x, at, F.lit(1))),
+                    F.transform(each("k_rest"), lambda y: pair(1, F.least(at, y), F.greatest(at, y), F.when(
+                        at == y, 2).when(at < y, 0).otherwise(1))))
+    rows = rows.withColumn("t", F.explode(F.when(F.col("big"), big).otherwise(rest)))
+    return rows.select(F.struct("bucket", "t.kind", "t.x", "t.y").alias("task"), F.col("t.side").alias("side"),
+                       "node", "label", F.col("a_n").alias("n"), F.col("a_bits").alias("bits"), "cells")
+
+
+def _met_in_blocks(blocks: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b, la, lb) of different components that may be similar, once each."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table["side"])
+        node, label = (np.array(table[c].to_pylist(), dtype=object) for c in ("node", "label"))
+        of = np.unique(label, return_inverse=True)[1]
+        n = np.asarray(table["n"]).astype(np.float64)
+        bits = np.asarray(table["bits"].combine_chunks().flatten()).view(np.uint64).reshape(len(n), -1)
+        cell = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(len(n), -1)
+        over = n - cell.sum(axis=1, dtype=np.int64)  # beyond 255 in a cell
+        own = side[0] == 2
+        i, j = (np.arange(len(n)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        found = [np.zeros((2, 0), np.int64)]
+        for first in range(0, len(i), 64):
+            x, y = i[first:first + 64, None], j[None, :]
+            ok = (of[x] != of[y]) & (n[x] >= similar * n[y]) & (n[y] >= similar * n[x])
+            r, c = np.nonzero(ok & (x < y) if own else ok)
+            r, c = x[r, 0], j[c]
+            close = np.bitwise_count(bits[r] ^ bits[c]).sum(axis=1, dtype=np.int64) <= BANDS * ROWS - AGREE
+            r, c = r[close], c[close]
+            both = np.minimum(cell[r], cell[c]).sum(axis=1, dtype=np.int64) + np.minimum(over[r], over[c])
+            may = both >= similar * (n[r] + n[c] - both) - 1e-6
+            found.append(np.stack([r[may], c[may]]))
+        r, c = np.concatenate(found, axis=1)
+        turned = node[r] > node[c]
+        r, c = np.where(turned, c, r), np.where(turned, r, c)
+        return pa.Table.from_arrays([pa.array(v.tolist(), pa.binary()) for v in (node[r], node[c], label[r], label[c])],
+                                    names=["a", "b", "la", "lb"])
+
+    # a pair may come from several buckets
+    return blocks.groupBy("task").applyInArrow(compare, "a binary, b binary, la binary, lb binary").groupBy("a", "b").agg(
+        F.min("la").alias("la"), F.min("lb").alias("lb"))
+
+
 def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): doc_id, locator and node per row; node and label of the nodes in links."""
     base = contents.select("doc_id", "locator", "body")
@@ -274,16 +343,17 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
     texts = texts.join(wanted, F.col("node") == F.col("_w"), "left_semi")
     bags = written(_bags(texts.select("node", _words("body").alias("words")), size), "bags")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links between the components of members and centres that are similar."""
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Links between the components of members and centres that are similar, and the number of pairs verified."""
         pairs = pairs.where((F.col("node") != F.col("b")) & _plausible("a", "b", similar))
         pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.min("label").alias("la"), F.min("b_label").alias("lb"))
-        return written(_verified(written(pairs, "pairs"), bags, similar), "links")
+        pairs = written(pairs, "pairs")
+        return written(_verified(pairs, bags, similar), "links"), pairs.count()
 
-    labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b"))))
+    labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b")))[0])
     # two members have met by now
     others = member.where("k > 2").select("node", F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "bucket")
-    turn = 0
+    turn, worth = 0, True
     while True:
         turn += 1
         inside = written(_labelled(others, labels), "inside")
@@ -292,8 +362,11 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
             F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "a_n", "a_bits")).alias("first"))
         parts = written(parts, "parts")
         split = parts.groupBy(F.col("bucket").alias("_bucket")).agg(
-            F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"))
-        split = written(split.where("parts > 1").select("_bucket", F.col("top.label").alias("main")), "split")
+            F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("top"))
+        split = written(split.where("parts > 1").select("_bucket", F.col("top.label").alias("main"), F.col("top.k").alias("k_main"),
+                                                        (F.col("k") - F.col("top.k")).alias("k_rest")), "split")
+        if not worth:
+            break
         few = Window.partitionBy("_bucket", "in_main").orderBy("first")  # with the limit: the first few of each map task
         new = parts.join(split, F.col("bucket") == F.col("_bucket")).withColumn("in_main", F.col("label") == F.col("main"))
         new = new.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= CENTRES)
@@ -301,11 +374,18 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
                                  F.col("first.a_n").alias("b_n"), F.col("first.a_bits").alias("b_bits")), "centres")
         # the members of the largest component meet one centre only
         meet = inside.join(new, F.col("bucket") == F.col("_bucket"))
-        more = linked(meet.where("label != b_label AND (label != main OR nth = 1)"))
-        if more.isEmpty():
-            return signed.select("doc_id", "locator", "node"), labels
-        labels = _joined(labels, more)
+        more, verified = linked(meet.where("label != b_label AND (label != main OR nth = 1)"))
+        links = more.count()
+        worth = links > WORTH * verified
+        if links:
+            labels = _joined(labels, more)
         others = inside.drop("label").join(split, F.col("bucket") == F.col("_bucket"), "left_semi")
+    # every other pair of different components
+    rest = written(_met_in_blocks(_blocks(inside, split, bags), similar), "pairs")
+    rest = written(_verified(rest, bags, similar), "links")
+    if not rest.isEmpty():
+        labels = _joined(labels, rest)
+    return signed.select("doc_id", "locator", "node"), labels
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR,
