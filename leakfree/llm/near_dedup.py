@@ -45,10 +45,12 @@ from leakfree.llm.exact_dedup import located
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 5
-#: Of BANDS * ROWS one-bit values, so many must agree (expected 135 of 150 at similarity 0.8, deviation 3.7).
-AGREE = 120
+#: Of BANDS * ROWS one-bit values, so many must agree (expected 135 of 150 at similarity 0.8, deviation 3.7; fewer: 1.9e-7).
+AGREE = 114
 #: Centres a bucket gets in each turn after the first.
 CENTRES = 8
+#: A turn takes pairs with so many; it is a start only and may leave pairs to the blocks.
+AGREE_TURN = 135
 #: A turn with fewer links than this share of its verified pairs is the last; all pairs of blocks follow.
 WORTH = 0.02
 #: Mean members of a block of a split bucket, and cells of a bag's counts.
@@ -190,12 +192,12 @@ def _node(body: str):
     return F.unhex(F.md5(F.array_join(word_array(F.col(body)), " ").cast("binary")))
 
 
-def _plausible(a: str, b: str, similar: float):
+def _plausible(a: str, b: str, similar: float, least: int):
     """Sizes and one-bit sketches allow the similarity."""
     agree = sum((F.bit_count(F.col(f"{a}_bits")[i].bitwiseXOR(F.col(f"{b}_bits")[i]))
                  for i in range((BANDS * ROWS + 63) // 64)), F.lit(0))
     return ((F.col(f"{a}_n") >= similar * F.col(f"{b}_n")) & (F.col(f"{b}_n") >= similar * F.col(f"{a}_n"))
-            & (agree <= BANDS * ROWS - AGREE))
+            & (agree <= BANDS * ROWS - least))
 
 
 def _bags(texts: DataFrame, size: int) -> DataFrame:
@@ -343,14 +345,14 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
     texts = texts.join(wanted, F.col("node") == F.col("_w"), "left_semi")
     bags = written(_bags(texts.select("node", _words("body").alias("words")), size), "bags")
 
-    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+    def linked(pairs: DataFrame, least: int) -> tuple[DataFrame, int]:
         """Links between the components of members and centres that are similar, and the number of pairs verified."""
-        pairs = pairs.where((F.col("node") != F.col("b")) & _plausible("a", "b", similar))
+        pairs = pairs.where((F.col("node") != F.col("b")) & _plausible("a", "b", similar, least))
         pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.min("label").alias("la"), F.min("b_label").alias("lb"))
         pairs = written(pairs, "pairs")
         return written(_verified(pairs, bags, similar), "links"), pairs.count()
 
-    labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b")))[0])
+    labels = components(linked(shared.withColumn("label", F.col("node")).withColumn("b_label", F.col("b")), AGREE)[0])
     # two members have met by now
     others = member.where("k > 2").select("node", F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), "bucket")
     turn, worth = 0, True
@@ -374,7 +376,7 @@ def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) ->
                                  F.col("first.a_n").alias("b_n"), F.col("first.a_bits").alias("b_bits")), "centres")
         # the members of the largest component meet one centre only
         meet = inside.join(new, F.col("bucket") == F.col("_bucket"))
-        more, verified = linked(meet.where("label != b_label AND (label != main OR nth = 1)"))
+        more, verified = linked(meet.where("label != b_label AND (label != main OR nth = 1)"), AGREE_TURN)
         links = more.count()
         worth = links > WORTH * verified
         if links:

@@ -1,5 +1,7 @@
 """Near dedup compares every pair of different components of a bucket."""
 
+from math import comb
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,10 @@ def test_cells_bound_the_overlap():
         b = np.unique(np.concatenate([a[: int(size * 0.8)], rng.integers(0, 2 ** 62, size // 7).astype(np.uint64)]))
         x, y = (np.frombuffer(near_dedup.cells(v), np.uint8).astype(np.int64) for v in (a, b))
         assert np.minimum(x, y).sum() + min(len(a) - x.sum(), len(b) - y.sum()) >= len(np.intersect1d(a, b))
+
+
+def test_the_sketch_loses_less_than_the_bands():
+    bands = (1 - near_dedup.SIMILAR ** near_dedup.ROWS) ** near_dedup.BANDS
+    m, equal = near_dedup.BANDS * near_dedup.ROWS, (1 + near_dedup.SIMILAR) / 2
+    sketch = sum(comb(m, k) * equal ** k * (1 - equal) ** (m - k) for k in range(near_dedup.AGREE))
+    assert sketch < bands / 10
