@@ -1,33 +1,38 @@
 """Language-model scores by Katz backoff over words (order 2).
 
 Tokens are lower-case (A-Z) words between white space, then one end per text.  The model's events
-are the ``VOCABULARY`` most frequent training words, the end, and one class for all other words, in which a
-word has the add-one share ``(c + 1) / Z``: so the model is normalised over the V training words
-and one unseen word, as the add-one base is.
+are all training words, the end, and one class for a word that training lacks, so the model is normalised
+over the V training words and one unseen word, as the add-one base is.
 
     p(w | h) = d(c) c(h w) / D(h)        if h w occurs in training,  D(h) = c(h) + 0.5
              = alpha(h) p(w)             otherwise, alpha(h) = (1 - sum of the above) / (1 - sum of p(w))
-    p(w)     = d1(c) c(w) / (N + 1), the rest goes to the class of other words
+    p(w)     = d1(c) c(w) / (N + 1), the rest goes to the unseen word
 
 d are Good-Turing discounts for counts up to 5, from the counts of counts; sums in alpha run over the
 words seen after h, so the weights are normalised exactly (a history after which every event has
 been seen keeps its spare half count).
 
-How it runs: word counts and pair counts are Spark aggregations over all training texts.  A pair's
-occurrences (pair, document, count) are dealt by a hash of the pair over ``buckets``; a bucket counts its pairs and
-tells, per document, what its pairs contribute.  Since discounts are known only once all pairs are
-counted, a document's contribution is kept as its number of pairs with c = 1..5 and a sum of
+How it runs: words are 64-bit hashes, word counts a Spark aggregation over all training texts.  A pair's
+occurrences (pair, document, count) are dealt by w, and pairs with a frequent w by the whole pair; word counts
+are dealt alike and meet them there (frequent words go everywhere), so no table of words is gathered or broadcast.
+A bucket counts its pairs and tells, per document, what its pairs and words contribute.  Since discounts are known only
+once all pairs are counted, a document's contribution is kept as its number of pairs with c = 1..5 and a sum of
 logarithms for others; pairs that training lacks are kept as rows (document, h) and meet alpha(h)
-by a join.  Tables by vocabulary (counts, alpha) have at most ``VOCABULARY`` + 3 rows, which is the
-bound of what is broadcast; counts of other words are joined.
+by a join.
+
+A caller may ask for a closed vocabulary (``score(docs, size)``): then the events are the ``size`` most frequent
+words, held by the driver, and one class for all others, in which a word has the add-one share ``(c + 1) / Z``.
 
 Defined results: a null text is the empty text (one end); null ids and repeated rows are scored row
 by row (equal rows together); without training rows scores equal the base's; an empty table gives no
-rows; other columns play no part.  Rows are told apart by a 64-bit hash of id and text.
+rows; other columns play no part.  Rows are told apart by a 64-bit hash of id and text, words
+by one of their letters.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,10 +44,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakfree.llm.common import part_of, ship, shuffle_partitions, whole, written
+from leakfree.llm.common import part_of, ship, shuffle_partitions, whole, word_array, written
 
 FOLDS, HELD_OUT = 7, 2
-VOCABULARY = 1 << 16
 CUT = 5
 SPARE = 0.5
 PER_BUCKET = 3_000_000
@@ -108,7 +112,7 @@ def discounts(n: list[float]) -> list[float]:
     return out
 
 
-def vocabulary(spark: SparkSession, rows: DataFrame, counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def vocabulary(spark: SparkSession, rows: DataFrame, counts: DataFrame, size: int) -> Vocabulary:
     texts = rows.where("NOT held_out").count()
     s = counts.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, CUT + 2)]).first()
     total, types = s[0] or 0, s[1]
@@ -258,10 +262,226 @@ def contributions(blobs: DataFrame, vocab: Broadcast) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(reduce, STATS)
 
 
-def score(docs: DataFrame, size: int = VOCABULARY, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def _weights(tally: DataFrame) -> tuple[list[float], DataFrame]:
+    """Discounts of pairs, and the logarithms of alpha(h) and D(h) per history _h."""
+    s = tally.agg(*[F.sum(f"n{r}") for r in range(1, CUT + 2)]).first()
+    d = discounts([0.0, *[float(x or 0) for x in s]])
+    mass = sum((F.col(f"n{r}") * (r * d[r]) for r in range(1, CUT + 1)), F.col("big"))
+    total = sum((F.col(f"n{r}") * r for r in range(1, CUT + 1)), F.col("big")) + SPARE
+    return d, tally.select("_h", F.log10((1 - mass / total) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("alpha"),
+                           F.log10(total).alias("total"))
+
+
+#: Numbers of the start and the end among the words' hashes.
+BEGIN, STOP = -0x6A09E667F3BCC909, -0x3C6EF372FE94F82B
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HASHED = "bucket int, rids binary, words binary, pairs binary, histories binary, docs binary, places binary, counts binary"
+
+
+def _hashed(text):
+    return F.transform(word_array(F.translate(text, UPPER, UPPER.lower())), lambda w: F.xxhash64(w))
+
+
+def hash_counts(rows: DataFrame) -> DataFrame:
+    """w, c over the training rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, c = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(c, pa.int64())], names=["w", "c"])
+
+    return rows.where("NOT held_out").select(_hashed(F.col("text")).alias("words")).mapInArrow(
+        count, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: a worker that waits for its next task else keeps it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _dealt(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of pairs: by w, and by the pair where w is frequent."""
+    with np.errstate(over="ignore"):
+        pair = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(np.isin(w, hot), ((pair >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), w % buckets)
+
+
+def hash_occurrences(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Pairs of a batch of documents by bucket: its words in order with their numbers of pairs, the pairs' histories with
+    their numbers of documents, the documents' places and counts."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                col = part.column(1)
+                off = np.asarray(col.offsets).astype(np.int64)
+                flat = np.asarray(col.values)[off[0]:off[-1]]
+                off = off - off[0]
+                h, w = np.insert(flat, off[:-1], BEGIN), np.insert(flat, off[1:], STOP)
+                place = np.repeat(np.arange(part.num_rows, dtype=np.uint16), np.diff(off) + 1)
+                bucket = _dealt(h, w, hot, buckets).astype(np.int32)
+                order = np.lexsort((h, w, bucket)).astype(np.int32)  # stable: places stay in order
+                h, w, place, bucket = h[order], w[order], place[order], bucket[order]
+                del flat, order
+                entry = _starts(bucket, w, h, place)
+                count = np.diff(np.append(entry, len(h)))
+                h, w, place, bucket = h[entry], w[entry], place[entry], bucket[entry]
+                pair = _starts(bucket, w, h)
+                docs = np.diff(np.append(pair, len(h)))
+                word = _starts(bucket[pair], w[pair])
+                pairs = np.diff(np.append(word, len(pair)))
+                rids = np.asarray(part.column(0)).astype("<i8").tobytes()
+                out = []
+                span = lambda b: np.searchsorted(b, np.arange(buckets + 1))
+                of_entry, of_pair, of_word = span(bucket), span(bucket[pair]), span(bucket[pair][word])
+                for b in range(buckets):
+                    e, q, v = (slice(x[b], x[b + 1]) for x in (of_entry, of_pair, of_word))
+                    if of_entry[b] < of_entry[b + 1]:
+                        out.append((b, rids, w[pair][word][v].tobytes(), pairs[v].astype("<u4").tobytes(), h[pair][q].tobytes(),
+                                    docs[q].astype("<u2").tobytes(), place[e].astype("<u2").tobytes(), count[e].astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.binary()) for i in range(1, 8)]],
+                    names=[x.split()[0] for x in HASHED.split(", ")])
+                del out, h, w, place, bucket, entry, pair, word
+                _give_back()
+
+    return rows.select("id", _hashed(F.col("text")).alias("words")).mapInArrow(split, HASHED)
+
+
+def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int, d: list[float], unseen: float) -> DataFrame:
+    """Rows of STATS; kind 0 has the known tokens in n6, the tokens in k, the base score in p, and D(h) taken off value."""
+    d = np.array(d)
+
+    def reduce(table: pa.Table, known: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in STATS.split(", ")]
+        if not table.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int32())] + [pa.array([], pa.int64())] * 9 + [pa.array([], pa.float64())] * 2, names=names)
+        word, hist, docs, rids, places, ks = [], [], [], [], [], []
+        rows = 0
+        for i in range(table.num_rows):  # a batch's bytes at a time
+            r = {c: table[c][i].as_py() for c in table.column_names}
+            word.append(np.repeat(np.frombuffer(r["words"], "<i8"), np.frombuffer(r["pairs"], "<u4")))
+            hist.append(np.frombuffer(r["histories"], "<i8"))
+            docs.append(np.frombuffer(r["docs"], "<u2"))
+            rids.append(np.frombuffer(r["rids"], "<i8"))
+            places.append(np.frombuffer(r["places"], "<u2").astype(np.int32) + np.int32(rows))
+            ks.append(np.frombuffer(r["counts"], "<u4").astype(np.int32))
+            rows += len(rids[-1])
+        doc, of_row = np.unique(np.concatenate(rids), return_inverse=True)
+        of = of_row.astype(np.int32)[np.concatenate(places)]
+        word, hist, docs, k = map(np.concatenate, (word, hist, docs, ks))
+        del places, rids, ks
+        order = np.lexsort((hist, word))
+        first = _starts(word[order], hist[order])
+        at = np.empty(len(word), dtype=np.int32)
+        at[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(word))))
+        at = np.repeat(at, docs)
+        w, h = word[order][first], hist[order][first]
+        del word, hist, order, docs
+        kw, kc = np.asarray(known["w"]), np.asarray(known["c"])
+        by = np.argsort(kw)
+        kw, kc = np.append(kw[by], 0), np.append(kc[by], 0)
+        near = np.searchsorted(kw[:-1], w)
+        cw = np.where((kw[near] == w) & (near < len(kw) - 1), kc[near], 0)
+        p = np.where(cw > 0, cw * np.where(cw <= CUT, d[np.minimum(cw, CUT)], 1.0) / (n + 1), unseen)
+        c = np.bincount(at, np.where((doc & 1 == 1)[of], 0, k), minlength=len(w)).astype(np.int64)
+        blank = lambda m: np.zeros(m, dtype=np.int64)
+        # documents
+        ce, base = c[at], np.log10((cw + 1) / (n + types + 1))
+        less = np.where(w == STOP, 0.0, np.log10(cw + SPARE))
+        here = np.bincount(of, minlength=len(doc)) > 0
+        add = lambda x: np.bincount(of, x, minlength=len(doc))[here]
+        whole_ = lambda x: add(x).astype(np.int64)
+        zero = blank(int(here.sum()))
+        one = [np.zeros(len(zero), np.int32), doc[here], zero, *[whole_(np.where(ce == r, k, 0)) for r in range(1, CUT + 1)],
+               whole_(np.where((cw > 0)[at], k, 0)), whole_(k),
+               add(np.where(ce > CUT, k * np.log10(np.maximum(ce, 1)), 0.0) - k * less[at]), add(k * base[at])]
+        lack = ce == 0
+        lost, gone, times = doc[of[lack]], at[lack], k[lack].astype(np.int64)
+        del ce, lack, of, at, k
+        # histories: words seen after h by count, the sum of larger counts, the sum of p(w)
+        seen = c > 0
+        hs, of = np.unique(h[seen], return_inverse=True)
+        cs = c[seen]
+        tally = [np.bincount(of, cs == r, minlength=len(hs)).astype(np.int64) for r in range(1, CUT + 2)]
+        big = np.bincount(of, np.where(cs > CUT, cs, 0), minlength=len(hs)).astype(np.float64)
+        two = [np.ones(len(hs), np.int32), hs, blank(len(hs)), *tally, blank(len(hs)), big, np.bincount(of, p[seen], minlength=len(hs))]
+        # pairs that training lacks
+        zero = blank(len(lost))
+        three = [np.full(len(zero), 2, np.int32), lost, h[gone], *[zero] * 6, times, times * np.log10(p[gone]), np.zeros(len(zero))]
+        out = pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(one, two, three)], names=names)
+        del one, two, three, p, c, w, h, seen
+        _give_back()
+        return out
+
+    return blobs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(reduce, STATS)
+
+
+def score(docs: DataFrame, size: int | None = None, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; over all training words, or
+    the ``size`` most frequent."""
     spark = docs.sparkSession
     ship(spark)
+    if size is not None:
+        return _closed(docs, size, folds, held)
+    rows = rows_of(docs, folds, held).withColumn("id", F.when(F.col("held_out"), F.col("rid").bitwiseOR(F.lit(1))).otherwise(
+        F.col("rid").bitwiseAND(F.lit(-2))))
+    texts = rows.where("NOT held_out").count()
+    counts = written(hash_counts(rows), "words")
+    s = counts.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, CUT + 2)]).first()
+    n, types = (s[0] or 0) + texts, s[1] + (texts > 0)
+    of = [0.0, *[float(x) for x in s[2:]]]
+    if 1 <= texts <= CUT + 1:
+        of[texts] += 1
+    d1 = discounts(of)
+    unseen = 1 - (n - sum(r * of[r] * (1 - d1[r]) for r in range(1, CUT + 1))) / (n + 1)
+    buckets = max(shuffle_partitions(spark), math.ceil((n * folds / max(folds - 1, 1)) / PER_BUCKET))
+    # frequent words: at most 8 a bucket
+    hot = [r["w"] for r in counts.where(F.col("c") > n / buckets / 8).select("w").collect()] + [STOP]
+    known = counts.unionByName(spark.createDataFrame([(STOP, texts)], "w bigint, c bigint"))
+    everywhere = F.sequence(F.lit(0), F.lit(buckets - 1))
+    known = known.withColumn("bucket", F.explode(F.when(F.col("w").isin(hot), everywhere).otherwise(
+        F.array(F.pmod("w", F.lit(buckets)).cast("int")))))
+    stats = written(hash_contributions(hash_occurrences(rows, np.array(hot, dtype=np.int64), buckets), known, n, types, d1, unseen),
+                    "katz")
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops the shuffled occurrences, the largest files, once nothing refers to them
+    tally = stats.where("kind = 1").groupBy(F.col("id").alias("_h")).agg(
+        *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("value").alias("big"), F.sum("p").alias("p"))
+    d, alpha = _weights(written(tally, "histories"))
+    lacking = stats.where("kind = 2").join(alpha, F.col("h") == F.col("_h"), "left")
+    never = math.log10(SPARE)  # a history without training pairs: its backoff weight is 1
+    none = F.lit(0).cast("bigint")
+    lacking = lacking.select("id", (F.col("value") + F.col("k") * (F.coalesce("alpha", F.lit(0.0)) + F.coalesce(
+        "total", F.lit(never)))).alias("value"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"))
+    seen = sum((F.col(f"n{r}") * math.log10(r * d[r]) for r in range(1, CUT + 1)), F.col("value"))
+    parts = stats.where("kind = 0").select("id", seen.alias("value"), F.col("k").alias("tokens"), F.col("n6").alias("known"),
+                                           F.col("p").alias("base")).unionByName(lacking)
+    parts = parts.groupBy(F.col("id").alias("_id")).agg(*[F.sum(c).alias(c) for c in ("value", "tokens", "known", "base")])
+    copies = rows.groupBy(F.col("id").alias("_c")).agg(F.count(F.lit(1)).alias("copies"))
+    out = rows.select("id", "doc_id", "held_out").join(parts, F.col("id") == F.col("_id")).join(copies, F.col("id") == F.col("_c"))
+    share = lambda c: F.col(c) / F.col("copies")  # noqa: E731  equal rows were added up
+    return out.select("doc_id", "held_out", share("tokens").cast("bigint").alias("n_tokens"),
+                      share("known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+                      share("base").alias("base_score"),
+                      (share("value") - math.log10(texts + SPARE) if n else share("base")).alias("score"))
+
+
+def _closed(docs: DataFrame, size: int, folds: int, held: int) -> DataFrame:
+    """``score`` over a closed vocabulary."""
+    spark = docs.sparkSession
     rows = rows_of(docs, folds, held)
     counts = written(word_counts(rows), "words")
     v = vocabulary(spark, rows, counts, size)
@@ -282,13 +502,7 @@ def score(docs: DataFrame, size: int = VOCABULARY, folds: int = FOLDS, held: int
     # history tables: at most one row per event
     tally = stats.where("kind = 1").groupBy(F.col("id").alias("_h")).agg(
         *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("value").alias("big"), F.sum("p").alias("p"))
-    tally = written(tally, "histories")
-    s = tally.agg(*[F.sum(f"n{r}") for r in range(1, CUT + 2)]).first()
-    d = discounts([0.0, *[float(x or 0) for x in s]])
-    mass = sum((F.col(f"n{r}") * (r * d[r]) for r in range(1, CUT + 1)), F.col("big"))
-    total = sum((F.col(f"n{r}") * r for r in range(1, CUT + 1)), F.col("big")) + SPARE
-    alpha = tally.select("_h", F.log10((1 - mass / total) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("alpha"),
-                         F.log10(total).alias("total"))
+    d, alpha = _weights(written(tally, "histories"))
     lacking = stats.where("kind = 2").join(F.broadcast(alpha), F.col("h") == F.col("_h"), "left")
     never = math.log10(SPARE)  # a history without training pairs: its backoff weight is 1
     lacking = lacking.select("id", (F.col("value") + F.col("k") * (
