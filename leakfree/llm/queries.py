@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakfree.llm import exact_dedup, katz, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, toxicity
+from leakfree.llm import (conversation_repair, decontamination, exact_dedup, katz, license_scan, mixing, near_dedup, packing,
+                          periodic_runs, quality, secret_scan, token_files, toxicity)
 from leakfree.llm import sql
 from leakfree.llm.common import documents, shared_path, whole, word_array, written
 from leakfree.llm.registry import ORACLES, QUERIES, query
@@ -76,3 +77,32 @@ def op1(spark, sf_dir):
     files = documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")
     return license_scan.licenses(files).select(
         "doc_id", "path", "license", F.round("score", 9).alias("score"), "first_line", "lines", "effective", "origin")
+
+
+@query("op11_decontamination", sql.DECONTAMINATE)
+def op11(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
+    told = decontamination.report(documents(spark, sf_dir).select("doc_id", "text"), items, ["doc_id"])
+    d = told.select("doc_id", "decontamination.*")
+    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", periodic_runs.damaged("doc_id", whole("text")).alias("text"))
+    told = periodic_runs.scan(docs, ["doc_id"])
+    best = periodic_runs.longest("runs")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"),
+        ((1000 * best["length"] - (1000 * best["length"]) % best["period"]) / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversation_repair.damaged(rows), rows.select("conv_id").distinct())

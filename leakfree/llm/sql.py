@@ -57,3 +57,22 @@ c AS (SELECT *, cand AND sum(size) FILTER (WHERE cand) OVER (PARTITION BY source
               - size / 2 <= room2 AS in2 FROM b2)
 SELECT doc_id, size, source_size, target, ((sure + CASE WHEN in1 OR in2 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
+
+DECONTAMINATE = r"""
+WITH i0 AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, list_aggregate(w[i : i + least(len(w), 10) - 1], 'string_agg', ' ') AS body
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM i0 WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT m FROM win),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+g AS (SELECT doc_id, m, i, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') AS body
+      FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d CROSS JOIN lens WHERE len(w) >= m)),
+h AS (SELECT g.doc_id, g.i, g.m, win.item_id FROM g JOIN win ON g.body = win.body AND g.m = win.m),
+hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id IS NOT DISTINCT FROM hit.doc_id LEFT JOIN it ON d.doc_id IS NOT DISTINCT FROM it.doc_id
+"""
