@@ -29,16 +29,23 @@ def _numeric(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c), c)
 
 
-def classify_submissions(subs: DataFrame, metric: str = "metric") -> DataFrame:
+def classify_submissions(subs: DataFrame, metric: str = "metric", carry: DataFrame | None = None,
+                         total_rows: int | None = None) -> DataFrame:
     """GATE-1: classify each leaderboard record against the records before it.
 
     first → no prior record; non-regression → priors without a numeric CV, or the CV is
     not strictly worse than the best prior CV; regression → strictly worse (a missing
-    current CV counts as ∓∞)."""
+    current CV counts as ∓∞).  ``carry`` (from ``gate_state``) holds what earlier records of a
+    competition amount to, for rows that go on from there."""
     cv = _numeric(F.col("cv_at_submit"))
     r = running(subs.withColumn("_lf_cv", cv), [COMP], ["seq"],
                 [Agg("_n_prior", "count"), Agg("_n_num", "count", "_lf_cv"),
-                 Agg("_mx", "max", "_lf_cv"), Agg("_mn", "min", "_lf_cv")], inclusive=False)
+                 Agg("_mx", "max", "_lf_cv"), Agg("_mn", "min", "_lf_cv")], inclusive=False, total_rows=total_rows)
+    if carry is not None:
+        base = carry.select(F.col(COMP).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in ("n_prior", "n_num", "mx", "mn")])
+        r = r.join(base, F.col(COMP).eqNullSafe(F.col("_k")), "left").withColumns({
+            "_n_prior": F.col("_n_prior") + F.coalesce("_c_n_prior", F.lit(0)), "_n_num": F.col("_n_num") + F.coalesce("_c_n_num", F.lit(0)),
+            "_mx": F.greatest("_mx", "_c_mx"), "_mn": F.least("_mn", "_c_mn")}).drop("_k", "_c_n_prior", "_c_n_num", "_c_mx", "_c_mn")
     hib = higher_is_better(F.col(metric))
     prev_best = F.when(hib, F.col("_mx")).otherwise(F.col("_mn"))
     current = F.coalesce(F.col("_lf_cv"), F.when(hib, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
@@ -50,6 +57,16 @@ def classify_submissions(subs: DataFrame, metric: str = "metric") -> DataFrame:
         "prev_best", F.when(F.col("_n_num") > 0, prev_best)).drop("_lf_cv", "_n_prior", "_n_num", "_mx", "_mn")
 
 
+def gate_state(subs: DataFrame, carry: DataFrame) -> DataFrame:
+    """What the records so far amount to per competition: ``n_prior, n_num, mx, mn`` (order plays no part) and ``last_seq``."""
+    cv = _numeric(F.col("cv_at_submit"))
+    now = subs.groupBy(COMP).agg(F.count(F.lit(1)).alias("n_prior"), F.count(cv).alias("n_num"), F.max(cv).alias("mx"), F.min(cv).alias("mn"),
+                                 F.max("seq").alias("last_seq"))
+    both = now.alias("a").join(carry.alias("b"), F.col(f"a.{COMP}").eqNullSafe(F.col(f"b.{COMP}")), "left")
+    add = lambda c: (F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c)
+    return both.select(f"a.{COMP}", add("n_prior"), add("n_num"), F.greatest("a.mx", "b.mx").alias("mx"), F.least("a.mn", "b.mn").alias("mn"), "a.last_seq")
+
+
 def running_best(journal: DataFrame) -> DataFrame:
     """GATE-2: for every journal record, the direction-aware best and the last CV mean of
     the successful train_cv calls strictly before it (full precision)."""
@@ -72,7 +89,7 @@ def running_best(journal: DataFrame) -> DataFrame:
     if mixed.isEmpty():
         return r
     mcv = cv.join(mixed, COMP, "left_semi")
-    after = mixed_running_best(mcv).join(mcv.select(COMP, "ordinal", "seq"), [COMP, "ordinal"]).drop("ordinal")
+    after = mixed_running_best(mcv).drop("improved").join(mcv.select(COMP, "ordinal", "seq"), [COMP, "ordinal"]).drop("ordinal")
     jm = journal.join(mixed, COMP, "left_semi").join(after, [COMP, "seq"], "left")
     jm = running(jm, [COMP], ["seq"], [Agg("_mb", "last", "best_after")], inclusive=False)
     return (r.join(jm.select(COMP, "seq", "_mb"), [COMP, "seq"], "left")

@@ -20,8 +20,11 @@ The caller must supply an order that is total within a key (append a unique id).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,12 +139,13 @@ _HOT_MEMO: dict = {}
 def _hot_count(df: DataFrame, keys: list[str], limit: int, hot: DataFrame) -> int:
     """Number of keys above the per-task cap — one aggregation job per distinct input.
 
-    Several ordered scans over the same log in one plan ask the same question; the answer
-    is memoised per session by the semantic hash of the key projection (equal plans over
-    the same files share it)."""
+    Several ordered scans over the same log in one plan ask the same question; the answer is
+    remembered by the semantic hash of the key projection and the files it reads, so a log that
+    has grown is counted again."""
     try:
-        sig = (id(df.sparkSession), df.select(*keys).semanticHash(), tuple(keys), limit)
-    except Exception:  # noqa: BLE001 — plans without a semantic hash are simply not memoised
+        keyed = df.select(*keys)
+        sig = (df.sparkSession.sparkContext.applicationId, keyed.semanticHash(), hash(tuple(sorted(keyed.inputFiles()))), tuple(keys), limit)
+    except Exception:  # noqa: BLE001 — plans without a semantic hash are simply counted each time
         return hot.count()
     if sig not in _HOT_MEMO:
         _HOT_MEMO[sig] = hot.count()
@@ -154,7 +158,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
 
     ``inclusive=True`` → frame ``unbounded preceding .. current row``;
     ``False`` → ``.. 1 preceding`` (null / 0 for the first row of a key, as in SQL).
-    Without keys, a known ``total_rows`` saves the size-check job.  Keys at or below the
+    A known ``total_rows`` saves the size-check job (with keys, if even all rows are under the cap).  Keys at or below the
     per-task cap take one plain window (splitting them was measured slower: the extra
     exchange and the carry join cost more than one task sorting its rows).  Hot keys pay
     two shuffles of their own rows (the range exchange, then the window's hash exchange
@@ -179,7 +183,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
     else:
         sizes = base.groupBy(*part_keys).agg(F.count(F.lit(1)).alias("_lf_n"))
         hot = sizes.where(F.col("_lf_n") > limit)
-        n_hot = _hot_count(df, part_keys, limit, hot)
+        n_hot = 0 if total_rows is not None and total_rows <= limit else _hot_count(df, part_keys, limit, hot)
     frame_end = 0 if inclusive else -1
     order_cols = [F.col(c) for c in order]
 
@@ -202,7 +206,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
         cold_out = cold_out.withColumn(a.name, _window_fn(Agg(a.name, a.fn, a.name + "_in"), w_cold))
 
     hot_total = hot.agg(F.sum("_lf_n")).first()[0]
-    if not hot_total:  # a memoised answer went stale (e.g. the log changed): no key is hot now
+    if not hot_total:  # the log changed since the count: no key is hot now
         return _finish(cold_out, keys, aggs)
     parts = max(2, 2 * math.ceil(hot_total / limit))
     ranged = (base.join(hot_side, part_keys, "left_semi")
@@ -238,36 +242,45 @@ def _finish(out: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal",
-            max_rows: int | None = None) -> DataFrame:
+            max_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
     """1-based position of each row within its key (row_number), hot keys split."""
-    return running(df, keys, order, [Agg(name, "count")], True, max_rows)
+    return running(df, keys, order, [Agg(name, "count")], True, max_rows, total_rows)
+
+
+#: Rows per range of a global rank, so that small tables aren't cut into tiny ranges.
+RANGE_ROWS = 50_000
+
+
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(_lf_p, _lf_offset): rows in earlier ranges, from one row (_lf_pid, _lf_c) per range."""
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            c = np.asarray(batch.column("_lf_c"))
+            ends = before + np.cumsum(c)
+            yield pa.RecordBatch.from_arrays([batch.column("_lf_pid"), pa.array(ends - c)], names=["_lf_p", "_lf_offset"])
+            before = int(ends[-1]) if len(ends) else before
+
+    return counts.coalesce(1).sortWithinPartitions("_lf_pid").mapInArrow(total, "_lf_p int, _lf_offset long")
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank",
                 max_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
     """CV-0: 0-based position in a total order over the whole table.
 
-    Up to ``max_rows_per_task`` rows a single window ranks them (bounded by the check).
-    Beyond that it is a distributed sort: Spark's range partitioning (sampled bounds on
-    the whole order tuple, so ties in a leading column such as a class label still split)
-    into ``~2·n/max_rows`` partitions, a sort within each, per-partition counts (one row
-    per partition on the driver) and ``rank = offset[partition] + position``.  The
-    partitioned table is checkpointed into the shared checkpoint folder, so the counts and
+    A distributed sort at any size: Spark's range partitioning (sampled bounds on the whole order tuple, so
+    ties in a leading column such as a class label still split), a sort within each range, and
+    ``rank = rows in earlier ranges + position``; the offsets are a table of one row per range, joined on the range's
+    number.  The ranged table is checkpointed into the shared checkpoint folder, so the counts and
     the positions come from the same durable data whatever executors are lost."""
     limit = max_rows or max_rows_per_task(df)
     n = total_rows if total_rows is not None else df.count()
-    if n <= limit:
-        out = running(df, [], order, [Agg(name, "count")], True, max_rows=limit, total_rows=n)
-        return out.withColumn(name, F.col(name) - 1)
-    parts = max(2, 2 * math.ceil(n / limit))
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, 2 * math.ceil(n / limit), min(cores, math.ceil(n / RANGE_ROWS)))
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     tagged = materialize(ranged.withColumn("_lf_pid", F.spark_partition_id())
                          .withColumn("_lf_pos", F.monotonically_increasing_id()), reliable=True)
-    counts = dict(tagged.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("c")).collect())  # ≤ parts rows
-    offsets, acc = [], 0
-    for pid in range(parts):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_lf_pid") + 1)
+    offsets = F.broadcast(_offsets(tagged.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("_lf_c"))))  # one row per range
     local = F.col("_lf_pos") - F.shiftleft(F.col("_lf_pid").cast("long"), 33)
-    return tagged.withColumn(name, offset + local).drop("_lf_pid", "_lf_pos")
+    return tagged.join(offsets, F.col("_lf_pid") == F.col("_lf_p")).withColumn(
+        name, F.col("_lf_offset") + local).drop("_lf_pid", "_lf_pos", "_lf_p", "_lf_offset")

@@ -1,33 +1,35 @@
 """STR-1..6: incremental versions of the log analytics.
 
-Keyed state is bounded (a few scalars, or the last ``window`` records), so no watermark
-is needed.  All of a key's rows in a micro-batch are sorted by ``seq`` (over its Arrow batches) and rows
-with ``seq <= last_seq`` are ignored, which makes replays harmless; after ``availableNow`` the
-result equals the batch twin if no record arrives in a later micro-batch than one with a larger ``seq``.
+STR-2 and STR-6 are aggregates that don't depend on order.  STR-4 keeps the last ``window``
+records of each key by ``seq``, in whatever order they arrive.  STR-3 and STR-5 depend on the order of all
+rows and run as late folds (``late.py``): a row that arrives behind its key's last ``seq`` takes its
+place and what follows it is folded again.  After ``availableNow`` every result equals its batch twin,
+however the rows were spread over micro-batches; replayed rows count once.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leakfree.functions.maps import canonical_args
-from leakfree.operators.gate import FIRST, NON_REGRESSION, REGRESSION
+from leakfree.operators.gate import classify_submissions, gate_state
 from leakfree.operators.journal import TOOL_KINDS
+from leakfree.operators.ledger import budget_state
 from leakfree.sources.io import CORRUPT
+from leakfree.streaming.late import LAST, LateFold
 
 COMP = "competition"
-LOWER_IS_BETTER = {"logloss", "rmse", "mae"}
 
 
 def tail_log(lines: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
     """STR-1: parse a streaming text source of JSON lines into records and quarantine."""
-    from pyspark.sql import types as T
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     raw = lines.where(F.trim("value") != "").select("value", F.from_json(
         "value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
@@ -49,57 +51,42 @@ def behaviour_counters(journal_stream: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "tool_error").alias("error_count"))
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], *cols: str) -> list[tuple]:
-    """A key's rows of one micro-batch by ``seq``: Arrow batches of a key arrive in any order, so none
-    may move ``last_seq`` before all are sorted.  Bounded by the micro-batch."""
-    return sorted((row for pdf in pdfs for row in zip(*(pdf[c] for c in cols))), key=lambda row: row[0])
+# ---------------------------------------------------------------- STR-3 budget alarm
+def budget_alarm(rows: T.StructType, budget: float, retain: int | None = None) -> Callable[[SparkSession, str], LateFold]:
+    """STR-3: approve-and-double budget per competition; ``rows`` is the stream's schema (competition, seq, cost_usd).
+    State: ``spent, doublings, breach_seq``."""
+    comp = T.StructField(COMP, rows[COMP].dataType)
+    state = T.StructType([comp, T.StructField("spent", T.DoubleType()), T.StructField("doublings", T.LongType()),
+                          T.StructField("breach_seq", T.LongType()), T.StructField(LAST, T.LongType())])
 
+    def advance(new: DataFrame, carry: DataFrame, n: int) -> tuple[DataFrame, None]:
+        return budget_state(new, budget, carry, total_rows=n), None  # the state is the result
 
-# ---------------------------------------------------------------- STR-3 budget alarm
-def budget_alarm(ledger_stream: DataFrame, budget: float) -> DataFrame:
-    """STR-3: approve-and-double budget per competition with keyed state
-    ``(spent, budget, doublings, breach_seq, last_seq)``."""
-    out_schema = (f"{COMP} long, doublings long, final_budget double, spent double, breach_seq long")
-    state_schema = "spent double, budget double, doublings long, breach_seq long, last_seq long"
+    return lambda spark, path: LateFold(spark, path, rows, state, None, advance, [COMP], retain)
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent, cur, n, breach, last = state.get if state.exists else (0.0, budget, 0, None, -1)
-        for seq, cost in _in_order(pdfs, "seq", "cost_usd"):
-            if seq <= last:
-                continue
-            if spent > cur:          # the check before each call
-                n += 1
-                cur *= 2
-            spent += 0.0 if pd.isna(cost) else cost
-            if breach is None and spent > budget:
-                breach = int(seq)
-            last = int(seq)
-        state.update((spent, cur, n, breach, last))
-        yield pd.DataFrame({COMP: [key[0]], "doublings": [n], "final_budget": [cur], "spent": [spent],
-                            "breach_seq": [breach]})
-
-    return ledger_stream.select(COMP, "seq", "cost_usd").groupBy(COMP).applyInPandasWithState(
-        step, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+
+def budget_alarms(fold: LateFold, budget: float) -> DataFrame:
+    return fold.states().withColumn("final_budget", F.lit(budget) * F.pow(F.lit(2.0), F.col("doublings")))
 
 
 # ---------------------------------------------------------------- STR-4 stuck loop
 def stuck_loop_alarm(journal_stream: DataFrame, window: int = 10, threshold: int = 5) -> DataFrame:
     """STR-4: keyed state = the last ``window`` records (kind flag, tool, canonical args)."""
-    out_schema = f"{COMP} long, tool string, args string, repeats long, window int, stuck boolean"
+    comp = journal_stream.schema[COMP].dataType.simpleString()
+    out_schema = f"{COMP} {comp}, tool string, args string, repeats long, window int, stuck boolean"
     state_schema = "seqs array<long>, tools array<string>, args array<string>, is_tool array<boolean>"
     src = journal_stream.select(COMP, "seq", F.coalesce("tool", F.lit("")).alias("tool"),
                                 canonical_args(F.col("args")).alias("sig"),
                                 F.col("kind").isin(*TOOL_KINDS).alias("is_tool"))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            s = state.get
-            ring = list(zip(s[0], s[1], s[2], s[3]))
-        else:
-            ring = []
-        last = ring[-1][0] if ring else -1
-        new = [(int(a), b, c, bool(d)) for a, b, c, d in _in_order(pdfs, "seq", "tool", "sig", "is_tool") if a > last]
-        ring = (ring + new)[-window:]
+        # the last records by seq don't depend on the order of arrival: a late row takes its place, a replay is known
+        ring = {r[0]: r for r in zip(*state.get)} if state.exists else {}
+        for pdf in pdfs:
+            for seq, tool, sig, is_tool in pdf[["seq", "tool", "sig", "is_tool"]].nlargest(window, "seq").itertuples(index=False):
+                ring.setdefault(int(seq), (int(seq), tool, sig, bool(is_tool)))
+            ring = {seq: ring[seq] for seq in sorted(ring)[-window:]}
+        ring = list(ring.values())
         state.update(([r[0] for r in ring], [r[1] for r in ring], [r[2] for r in ring], [r[3] for r in ring]))
         sigs = Counter()
         first: dict = {}
@@ -120,37 +107,40 @@ def stuck_loop_alarm(journal_stream: DataFrame, window: int = 10, threshold: int
 
 
 # ---------------------------------------------------------------- STR-5 submission gate
-def submission_gate(subs_stream: DataFrame) -> DataFrame:
-    """STR-5: classify each leaderboard record as it arrives; state = (n_prior, n_numeric,
-    max CV, min CV, last_seq)."""
-    out_schema = f"{COMP} long, seq long, trigger string, prev_best double"
-    state_schema = "n_prior long, n_num long, mx double, mn double, last_seq long"
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n_prior, n_num, mx, mn, last = state.get if state.exists else (0, 0, None, None, -1)
-        rows = []
-        for seq, cv, metric in _in_order(pdfs, "seq", "cv_at_submit", "metric"):
-            if seq <= last:
-                continue
-            hib = metric not in LOWER_IS_BETTER
-            ok = cv is not None and not pd.isna(cv)
-            prev_best = (mx if hib else mn) if n_num > 0 else None
-            if n_prior == 0:
-                trig = FIRST
-            elif n_num == 0:
-                trig = NON_REGRESSION
-            else:
-                cur = cv if ok else (float("-inf") if hib else float("inf"))
-                trig = REGRESSION if (cur < prev_best if hib else cur > prev_best) else NON_REGRESSION
-            rows.append((key[0], int(seq), trig, prev_best))
-            n_prior += 1
-            if ok:
-                n_num += 1
-                mx = cv if mx is None else max(mx, cv)
-                mn = cv if mn is None else min(mn, cv)
-            last = int(seq)
-        state.update((n_prior, n_num, mx, mn, last))
-        yield pd.DataFrame(rows, columns=[COMP, "seq", "trigger", "prev_best"])
-
-    return subs_stream.select(COMP, "seq", "cv_at_submit", "metric").groupBy(COMP).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def submission_gate(rows: T.StructType, retain: int | None = None) -> Callable[[SparkSession, str], LateFold]:
+    """STR-5: classify each leaderboard record against those before it by ``seq``; ``rows`` is the stream's schema
+    (competition, seq, cv_at_submit, metric).  State: ``n_prior, n_num, mx, mn``; output: a row per record."""
+    comp = T.StructField(COMP, rows[COMP].dataType)
+    state = T.StructType([comp, *[T.StructField(c, T.LongType()) for c in ("n_prior", "n_num", LAST)],
+                          *[T.StructField(c, T.DoubleType()) for c in ("mx", "mn")]])
+    output = T.StructType([comp, T.StructField("seq", T.LongType()), T.StructField("trigger", T.StringType()),
+                           T.StructField("prev_best", T.DoubleType())])
+
+    def advance(new: DataFrame, carry: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        return gate_state(new, carry), classify_submissions(new, carry=carry, total_rows=n)
+
+    return lambda spark, path: LateFold(spark, path, rows, state, output, advance, [COMP], retain)
+
+
+# ---------------------------------------------------------------- OPT-5 spend per day
+def daily_spend(ledger_stream: DataFrame, delay: str = "2 days") -> DataFrame:
+    """OPT-5 on a stream: spend per competition and UTC day, each day's sum appended once the watermark (the
+    largest ``ts`` less ``delay``) has passed its end; state holds the open days only."""
+    day = F.window("ts", "1 day")
+    return (ledger_stream.withWatermark("ts", delay).groupBy(COMP, day.alias("day"))
+            .agg(F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))).alias("cost_usd"), F.count(F.lit(1)).alias("n_rows"))
+            .select(COMP, F.col("day.start").alias("day_start"), "cost_usd", "n_rows"))
+
+
+def behind_watermark(ledger: DataFrame, closed: DataFrame) -> DataFrame:
+    """Rows that came after their day had been closed, per competition and UTC day: what the log holds beyond what
+    the appended sums counted (days that are still open are left out)."""
+    day = F.window("ts", "1 day").start
+    all_rows = ledger.groupBy(COMP, day.alias("day_start")).agg(
+        F.count(F.lit(1)).alias("n_all"), F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))).alias("cost_all"))
+    end = closed.agg(F.max("day_start").alias("_end"))
+    c = closed.select(F.col(COMP).alias("_k"), F.col("day_start").alias("_d"), "n_rows", "cost_usd")
+    j = all_rows.join(F.broadcast(end), F.col("day_start") <= F.col("_end")).join(  # one row
+        c, F.col(COMP).eqNullSafe(F.col("_k")) & (F.col("day_start") == F.col("_d")), "left")
+    late = F.col("n_all") - F.coalesce("n_rows", F.lit(0))
+    return j.where(late > 0).select(COMP, "day_start", late.alias("n_late"), (F.col("cost_all") - F.coalesce("cost_usd", F.lit(0.0))).alias("late_usd"))

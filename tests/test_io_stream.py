@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leakfree.sources import io
 from leakfree.streaming import alarms
+from leakfree.streaming.late import drain
 from leakfree.streaming.runner import run
 
 
@@ -39,14 +40,14 @@ def test_stream_gate_equals_batch(spark):
     from leakfree.streaming.runner import stage
     stage(df, d, "competition", "seq")
     sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(d)
-    got = run(alarms.submission_gate(sdf), "gate-test").select("competition", "seq", "trigger")
+    got = drain(sdf, "gate-test", alarms.submission_gate(sdf.schema)).output(["competition", "seq"]).select("competition", "seq", "trigger")
     want = gate.classify_submissions(df).select("competition", "seq", "trigger")
     assert sorted(got.collect()) == sorted(want.collect())
 
 
 def test_keyed_state_ignores_replayed_records(spark):
     """A source that delivers the same records again (after a restart) must not change the
-    budget alarm: rows with seq <= last_seq are ignored."""
+    budget alarm: a row's competition and seq tell that it has been taken."""
     from leakfree.operators import ledger as led
     from leakfree.streaming.runner import stage
     rows = [(c, i, 0.004 * ((i * 7 + c) % 5)) for c in range(3) for i in range(30)]
@@ -56,7 +57,7 @@ def test_keyed_state_ignores_replayed_records(spark):
     # replay: the first half of every competition arrives once more, later
     df.where("seq < 15").repartition(2, "competition").write.mode("append").parquet(d)
     sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(d)
-    got = run(alarms.budget_alarm(sdf, 0.01), "replay", ["competition"], "update")
+    got = alarms.budget_alarms(drain(sdf, "replay", alarms.budget_alarm(sdf.schema, 0.01)), 0.01)
     got = {r["competition"]: r["doublings"] for r in got.collect()}
     want = {r["competition"]: r["doublings"] for r in led.budget_doublings(df, 0.01).collect()}
     assert got == want

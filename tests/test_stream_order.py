@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakfree.operators import gate, journal as jr, ledger
 from leakfree.streaming import alarms
+from leakfree.streaming.late import drain
 from leakfree.streaming.runner import run
 
 ROWS = 900
@@ -34,13 +35,16 @@ def _table(spark, tmp_path):
 
 def test_no_row_is_lost_between_arrow_batches(small_batches, tmp_path):
     df, sdf = _table(small_batches, tmp_path)
-    got = run(alarms.budget_alarm(sdf, 0.05), "order3", ["competition"], "update").first()
+    fold = drain(sdf.select("competition", "seq", "cost_usd"), "order3",
+                 alarms.budget_alarm(sdf.select("competition", "seq", "cost_usd").schema, 0.05))
+    got = alarms.budget_alarms(fold, 0.05).first()
     want = ledger.budget_doublings(df, 0.05).first()
     assert (got.doublings, got.final_budget) == (want.doublings, want.final_budget)
     assert got.spent == pytest.approx(df.agg(F.sum("cost_usd")).first()[0])
 
     cols = ["seq", "trigger", "prev_best"]
-    got = run(alarms.submission_gate(sdf), "order5").select(*cols).orderBy("seq").collect()
+    subs = sdf.select("competition", "seq", "cv_at_submit", "metric")
+    got = drain(subs, "order5", alarms.submission_gate(subs.schema)).output(["competition", "seq"]).select(*cols).orderBy("seq").collect()
     assert got == gate.classify_submissions(df).select(*cols).orderBy("seq").collect()
 
     cols = ["tool", "args", "repeats", "stuck"]
