@@ -6,6 +6,7 @@ compared as data because Spark's column resolution is case-insensitive.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,13 +37,14 @@ def target_candidates(cat: DataFrame) -> DataFrame:
     return cat.where(looks_like_target(F.col("name")))
 
 
+#: Names that rank behind the explicit ones, by place (matched on the lower-cased name; never a bare substring).
+ID_PATTERN = "^(id|id_.*|.*_id)$"
+
+
 def id_rank(name: Column, ordinal: Column) -> Column:
-    """Priority of a column as the id: explicit list first, then the left-most
-    ``id`` / ``*_id`` / ``id_*`` column (never a bare substring); null = not an id."""
-    low = F.lower(name)
+    """Priority of a column as the id: explicit list first, then the left-most that has the pattern; null = not an id."""
     explicit = F.array_position(F.array(*[F.lit(x) for x in ID_EXPLICIT]), name)
-    pattern = (low == "id") | low.endswith("_id") | low.startswith("id_")
-    return F.when(explicit > 0, explicit).when(pattern, F.lit(100) + ordinal)
+    return F.when(explicit > 0, explicit).when(F.lower(name).rlike(ID_PATTERN), F.lit(len(ID_EXPLICIT) + 1) + ordinal)
 
 
 def detect_id_column(cat: DataFrame) -> DataFrame:
@@ -54,14 +56,6 @@ def detect_id_column(cat: DataFrame) -> DataFrame:
 
 
 def id_column_of(columns: list[str]) -> str | None:
-    """PRJ-9 on one schema (driver-side, names only): the column of least rank, ranked as
-    ``id_rank`` does."""
-    def rank(i: int) -> int | None:
-        parts = columns[i].lower().split("_")
-        if columns[i] in ID_EXPLICIT:
-            return ID_EXPLICIT.index(columns[i])
-        return len(ID_EXPLICIT) + i if "id" in (parts[0], parts[-1]) else None
-
-    ranks = {i: rank(i) for i in range(len(columns))}
-    best = min((i for i in ranks if ranks[i] is not None), key=ranks.get, default=None)
-    return None if best is None else columns[best]
+    """PRJ-9 on the names of one schema, by the same list and pattern."""
+    named = [c for c in ID_EXPLICIT if c in columns]
+    return next(iter([*named, *(c for c in columns if re.fullmatch(ID_PATTERN, c.lower()))]), None)

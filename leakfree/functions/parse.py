@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leakfree.functions.directions import METRIC_DIRECTION, higher_is_better
+
+__all__ = ["METRIC_DIRECTION", "better", "cv_mean", "cv_metric", "higher_is_better", "is_transient", "parse_cv_summary", "parse_score"]
+
+# The fields of a train_cv summary line in the log format.
 MEAN_RE = r"mean=(-?[0-9.]+)"
 METRIC_RE = r"metric=(\w+)"
 STD_RE = r"std=(-?[0-9.]+)"
@@ -12,9 +17,6 @@ STRATEGY_RE = r"train_cv complete: (\w+) \((\d+) folds\)"
 FOLDS_RE = r"fold_scores=(\[[^\]]*\])"
 DURATION_RE = r"duration_s=(-?[0-9.]+)"
 
-# Metric name → higher is better.
-METRIC_DIRECTION = {"accuracy": True, "auc": True, "logloss": False, "rmse": False,
-                    "mae": False, "r2": True}
 # HTTP statuses and message phrases that mark a transient failure.
 TRANSIENT_STATUS = [408, 429, 500, 502, 503, 504]
 TRANSIENT_PHRASES = ["rate limit", "temporarily unavailable", "connection timeout",
@@ -51,14 +53,6 @@ def parse_cv_summary(summary: Column) -> Column:
     )
 
 
-def higher_is_better(metric: Column) -> Column:
-    """Unknown or missing metric → higher is better."""
-    expr = F.lit(True)
-    for name, hib in METRIC_DIRECTION.items():
-        expr = F.when(metric == name, F.lit(hib)).otherwise(expr)
-    return expr
-
-
 def better(new: Column, prior: Column, hib: Column) -> Column:
     """MET-9: strictly better in the metric's direction; no prior → better."""
     return prior.isNull() | F.when(hib, new > prior).otherwise(new < prior)

@@ -31,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakfree.functions.hashing import seeded_hash
 from leakfree.operators import metrics as met
 from leakfree.operators.features import number
 from leakfree.operators.folds import CVError, Folds, Strategy
 from leakfree.operators.models import complete, logistic_model, moments, ridge_model, solve_ridge
+from leakfree.session import materialize
 
 ROW_ID = "row_id"
+_TARGET = "_lf_target"
 BUILTIN_META = ("cv_strategy", "n_splits", "metric", "problem_type", "n_rows")
 
 
@@ -74,6 +77,147 @@ class CVResult:
 
 
 # ---------------------------------------------------------------- built-in fitters
+class RowWise:
+    """A fitted transform that can't change rows: projections, and left joins with tables of unique keys.
+
+    ``apply(df, carry)`` returns ``row_id``, the features and the columns to carry, so the target stays in the row
+    (no join by ``row_id``) and the row contract holds by construction.  ``apply_train`` is for the rows the
+    transform was fitted on."""
+
+    def apply(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        raise NotImplementedError
+
+    def apply_train(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        return self.apply(df, carry)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.apply(df, [])
+
+
+class Columns(RowWise):
+    """Features that are expressions over the row."""
+
+    def __init__(self, columns: list[Column]):
+        self.columns = columns
+
+    def apply(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        return df.select(ROW_ID, *self.columns, *carry)
+
+
+class Chain:
+    """Feature fitters one after another: each adds its columns to the rows that the one before it
+    returned; the last columns are those of ``keep`` and all that were added."""
+
+    def __init__(self, *fitters, keep: list[str] | None = None):
+        self.fitters, self.keep = fitters, keep or []
+
+    def fit(self, train: DataFrame, target: str):
+        keep, fitted = self.keep, [f.fit(train, target) for f in self.fitters]
+        if not all(isinstance(f, Adds) for f in fitted):
+            raise CVError("a chain takes fitters that add columns")
+
+        class _T(RowWise):
+            def _all(self, df: DataFrame, carry: list[str], step: str) -> DataFrame:
+                for f in fitted:
+                    df = getattr(f, step)(df)
+                return df.select(ROW_ID, *keep, *[c for f in fitted for c in f.names], *carry)
+
+            def apply(self, df: DataFrame, carry: list[str]) -> DataFrame:
+                return self._all(df, carry, "add")
+
+            def apply_train(self, df: DataFrame, carry: list[str]) -> DataFrame:
+                return self._all(df, carry, "add_train")
+
+        return _T()
+
+
+class Adds(RowWise):
+    """A row-wise transform that adds columns ``names`` to whatever the rows have."""
+
+    names: list[str]
+    keep: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def add_train(self, df: DataFrame) -> DataFrame:
+        return self.add(df)
+
+    def apply(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        return self.add(df).select(ROW_ID, *self.keep, *self.names, *carry)
+
+    def apply_train(self, df: DataFrame, carry: list[str]) -> DataFrame:
+        return self.add_train(df).select(ROW_ID, *self.keep, *self.names, *carry)
+
+
+class TargetMean:
+    """FE-5 as a feature fitter: smoothed training mean of the target per value of a column.
+
+    A training row is encoded without its own target: the training rows are dealt into ``inner`` folds by a hash of their id,
+    and a row's encoding leaves out its inner fold, so a model can be fitted on it.  Other rows get the mean over
+    all training rows; null and unseen values get the overall mean.  One aggregation gives both tables."""
+
+    def __init__(self, col: str, smoothing: float = 10.0, inner: int = 5, seed: int = 7, out: str | None = None, keep: list[str] | None = None):
+        self.col, self.smoothing, self.inner, self.seed, self.out, self.keep = col, smoothing, inner, seed, out or f"{col}_te", keep or []
+
+    def fit(self, train: DataFrame, target: str):
+        col, out, smoothing, k = self.col, self.out, self.smoothing, self.inner
+        part = (seeded_hash(F.col(ROW_ID), self.seed) % k).cast("int")
+        y = F.col(target).cast("double")
+        sums = materialize(train.where(y.isNotNull() & ~F.isnan(y)).groupBy(F.col(col).alias("_v"), part.alias("_in")).agg(
+            F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n")))
+        per_part = {r["_in"]: (r["sy"], r["n"]) for r in sums.groupBy("_in").agg(F.sum("sy").alias("sy"), F.sum("n").alias("n")).collect()}
+        total = [sum(x[i] for x in per_part.values()) for i in (0, 1)]
+        mean = total[0] / total[1] if total[1] else 0.0
+        rest = {j: (total[0] - s) / (total[1] - n) if total[1] > n else mean for j, (s, n) in per_part.items()}
+        smooth = lambda sy, n, prior: (sy + smoothing * prior) / (n + smoothing)
+        whole = sums.where(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("sy").alias("sy"), F.sum("n").alias("n"))
+        enc = whole.select("_v", smooth(F.col("sy"), F.col("n"), F.lit(mean)).alias(out))
+        prior = F.coalesce(F.get(F.array(*[F.lit(float(rest.get(j, mean))) for j in range(k)]), F.col("_in")), F.lit(mean))
+        without = whole.withColumn("_in", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).alias("w").join(
+            sums.alias("s"), (F.col("w._v") == F.col("s._v")) & (F.col("w._in") == F.col("s._in")), "left").select(
+            "w._v", "w._in", (F.col("w.sy") - F.coalesce("s.sy", F.lit(0.0))).alias("sy"), (F.col("w.n") - F.coalesce("s.n", F.lit(0))).alias("n"))
+        enc_train = without.select("_v", "_in", smooth(F.col("sy"), F.col("n"), prior).alias(out))
+        fitter = self
+
+        class _T(Adds):
+            names, keep = [out], fitter.keep
+
+            def add(self, df: DataFrame) -> DataFrame:
+                return df.join(enc, F.col(col) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(mean)))
+
+            def add_train(self, df: DataFrame) -> DataFrame:
+                e = enc_train.withColumnRenamed("_in", "_e")
+                j = df.withColumn("_in", part).join(e, (F.col(col) == F.col("_v")) & (F.col("_in") == F.col("_e")), "left")
+                return j.withColumn(out, F.coalesce(F.col(out), prior)).drop("_v", "_e", "_in")
+
+        return _T()
+
+
+class OneHot:
+    """FE-3 as a feature fitter: a 0/1 column per value that the training rows have, in order; an unseen or null value
+    has none.  Columns are part of a plan, so a column with more than ``most`` values is refused, not cut."""
+
+    def __init__(self, col: str, most: int = 1000, keep: list[str] | None = None):
+        self.col, self.most, self.keep = col, most, keep or []
+
+    def fit(self, train: DataFrame, target: str):
+        col = self.col
+        values = [r[0] for r in train.where(F.col(col).isNotNull()).select(col).distinct().limit(self.most + 1).collect()]
+        if len(values) > self.most:
+            raise CVError(f"column {col!r} has more than {self.most} values: encode it by target mean")
+        values.sort()
+        fitter = self
+
+        class _T(Adds):
+            names, keep = [f"{col}_{i}" for i in range(len(values))], fitter.keep
+
+            def add(self, df: DataFrame) -> DataFrame:
+                return df.select("*", *[F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(n) for v, n in zip(values, self.names)])
+
+        return _T()
+
+
 class MeanImpute:
     """Feature fitter: training mean per column (nulls/NaN skipped, none → 0.0)."""
 
@@ -83,19 +227,15 @@ class MeanImpute:
     def fit(self, train: DataFrame, target: str):
         row = train.agg(*[F.avg(number(c)).alias(c) for c in self.cols]).first()
         means = {c: (row[c] if row[c] is not None else 0.0) for c in self.cols}
-        cols, keep = self.cols, self.passthrough
-
-        class _T:
-            def transform(self, df: DataFrame) -> DataFrame:
-                return df.select(ROW_ID, *[F.coalesce(number(c), F.lit(means[c])).alias(c)
-                                           for c in cols], *keep)
-        return _T()
+        return Columns([*[F.coalesce(number(c), F.lit(means[c])).alias(c) for c in self.cols], *map(F.col, self.passthrough)])
 
 
 class Ridge:
     """Model fitter: ridge with intercept from one pass of moments over the complete rows
     (null and NaN left out, as in :func:`models.fit_ridge_folds`)."""
 
+    adds_columns = True  # transform keeps whatever else a row carries
+
     def __init__(self, xs: list[str], alpha: float = 1.0):
         self.xs, self.alpha = xs, alpha
 
@@ -118,6 +258,8 @@ class Ridge:
 class MeanModel:
     """Model fitter: predicts the training mean (regression chance level)."""
 
+    adds_columns = True
+
     def fit(self, train: DataFrame, target: str, problem_type: str, metric: str):
         mu = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
 
@@ -130,6 +272,8 @@ class MeanModel:
 class SparkML:
     """UDF-2 adapter: any ``pyspark.ml`` estimator built per fold from the training size."""
 
+    adds_columns = True
+
     def __init__(self, xs: list[str], make_estimator):
         self.xs, self.make = xs, make_estimator
 
@@ -215,24 +359,34 @@ def _fold(folds: Folds, f: int, target: str, features, model, metric: met.Metric
     folds.df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"leakfree-fold-{f}")
     train = folds.df.where(folds.train_mask(f)).drop(folds.col)
     val = folds.df.where(folds.val_mask(f)).drop(folds.col)
+    keeps = getattr(model, "adds_columns", False)  # the target may ride along under another name
+    hidden = val.withColumnRenamed(target, _TARGET) if keeps else val.drop(target)
     if features is not None:
         if not hasattr(features, "fit"):
             raise CVError("features must provide fit(train, target)")
         fitted = features.fit(train, target)
-        if not hasattr(fitted, "transform"):
-            raise CVError("fitted features object has no transform()")
-        x_train = fitted.transform(train.drop(target))   # the target never reaches transform
-        x_val = fitted.transform(val.drop(target))
-        blocks = folds.train_blocks(f)
-        train_sig = (sum(sizes[b][0] for b in blocks if b in sizes),
-                     sum((sizes[b][1] for b in blocks if b in sizes), Decimal(0)))
-        _check_rows({"train": train_sig, "val": sizes.get(f, (0, None))}, {"train": x_train, "val": x_val})
-        x_train = x_train.join(train.select(ROW_ID, target), ROW_ID)
+        if isinstance(fitted, RowWise):  # rows can't change, and the target stays in the row
+            x_train = fitted.apply_train(train, [target])
+            x_val = fitted.apply(hidden, [_TARGET] if keeps else [])
+        else:
+            if not hasattr(fitted, "transform"):
+                raise CVError("fitted features object has no transform()")
+            x_train = fitted.transform(train.drop(target))   # the target never reaches transform
+            x_val = fitted.transform(val.drop(target))
+            blocks = folds.train_blocks(f)
+            train_sig = (sum(sizes[b][0] for b in blocks if b in sizes),
+                         sum((sizes[b][1] for b in blocks if b in sizes), Decimal(0)))
+            _check_rows({"train": train_sig, "val": sizes.get(f, (0, None))}, {"train": x_train, "val": x_val})
+            x_train = x_train.join(train.select(ROW_ID, target), ROW_ID)
+            if keeps:
+                x_val = x_val.join(val.select(ROW_ID, F.col(target).alias(_TARGET)), ROW_ID)
     else:
-        x_train, x_val = train, val.drop(target)
+        x_train, x_val = train, hidden
     fitted_model = model.fit(x_train, target, metric.kind, metric.name)
     pred = fitted_model.transform(x_val)
-    cols = [F.col(ROW_ID), F.lit(f).alias("fold")]
+    if not keeps:
+        pred = pred.join(val.select(F.col(ROW_ID).alias("_lf_id"), F.col(target).alias(_TARGET)), F.col(ROW_ID) == F.col("_lf_id"))
+    cols = [F.col(ROW_ID), F.lit(f).alias("fold"), F.col(_TARGET).alias(target)]
     if metric.needs_proba:
         if "probability" not in pred.columns:
             raise CVError(f"metric {metric.name} needs probabilities but the model has no probability output")
@@ -270,7 +424,6 @@ def train_cv(df: DataFrame, target: str, strategy: Strategy | Folds, metric: str
         oof = outs[0]
         for o in outs[1:]:
             oof = oof.unionByName(o)
-        oof = oof.join(folds.df.select(ROW_ID, target), ROW_ID)
         pred_col = "prediction"
         if m.needs_proba:
             widths = oof.select(F.size("probability").alias("w")).distinct().collect()  # ≤ a few rows
@@ -317,12 +470,19 @@ def fit_final_predict(train: DataFrame, test: DataFrame, target: str, id_col: st
         raise CVError(f"id column {id_col!r} not in test")
     m = met.get(metric)
     # the id (when present) becomes the reserved row handle: carried through, never a feature
-    tr = train.withColumnRenamed(id_col, ROW_ID) if id_col in train.columns else \
-        train.withColumn(ROW_ID, F.monotonically_increasing_id())
-    te = test.withColumnRenamed(id_col, ROW_ID) if id_col else test.withColumn(ROW_ID, F.monotonically_increasing_id())
+    def handled(df: DataFrame, named: str | None) -> DataFrame:
+        if named is not None:
+            return df.withColumnRenamed(named, ROW_ID)
+        # generated ids are written once: two evaluations could number rows differently
+        return materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), reliable=True)
+
+    tr, te = handled(train, id_col if id_col in train.columns else None), handled(test, id_col)
     if features is not None:
         fitted = features.fit(tr, target)
-        x_tr = fitted.transform(tr.drop(target)).join(tr.select(ROW_ID, target), ROW_ID)
+        if isinstance(fitted, RowWise):
+            x_tr = fitted.apply_train(tr, [target])
+        else:
+            x_tr = fitted.transform(tr.drop(target)).join(tr.select(ROW_ID, target), ROW_ID)
         x_te = fitted.transform(te.drop(target) if target in te.columns else te)
         sig = te.agg(*_row_sig(te)).first()
         _check_rows({"test": (sig["n"], sig["h"])}, {"test": x_te})

@@ -102,10 +102,14 @@ def one_hot_index(folds: Folds, col: str, keep: list[str]) -> DataFrame:
                     F.coalesce(F.col("vocab_size"), F.lit(0)).alias("vocab_size")))
 
 
-def one_hot(indexed: DataFrame, col: str, width: int) -> DataFrame:
-    """Expand an index column into ``width`` 0/1 columns (fixed width across folds)."""
+def one_hot(indexed: DataFrame, col: str, width: int | None = None) -> DataFrame:
+    """Expand an index column into 0/1 columns, one per place of the largest training vocabulary (fixed across
+    folds); a ``width`` that would leave values out is refused."""
+    most = indexed.agg(F.max("vocab_size")).first()[0] or 0
+    if width is not None and width < most:
+        raise CVError(f"{col!r} has up to {most} values in a fold, more than {width} columns hold")
     idx = F.col(f"{col}_index")
-    return indexed.select("*", *[F.when(idx == i, 1).otherwise(0).alias(f"{col}_{i}") for i in range(width)])
+    return indexed.select("*", *[F.when(idx == i, 1).otherwise(0).alias(f"{col}_{i}") for i in range(width or most)])
 
 
 # ---------------------------------------------------------------- FE-5 target mean encoding

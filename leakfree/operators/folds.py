@@ -11,22 +11,22 @@ distributed global rank (CV-0), so no strategy needs a single-partition window.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.functions.hashing import seeded_hash
-from leakfree.operators.ordered import bounded_join, global_rank
+from leakfree.operators.ordered import global_rank, ordinal
 
 FOLD = "fold"
 DEFAULT_SPLITS = 5
 DEFAULT_SEED = 42
 MIN_SPLITS, MAX_SPLITS = 2, 20
-GREEDY_GROUP_LIMIT = 200_000  # above this many groups, group_kfold uses snake assignment
 
 
 class CVError(ValueError):
@@ -131,37 +131,67 @@ def time_series(df: DataFrame, order_by: list[str], k: int = DEFAULT_SPLITS,
     return Folds(_pin(out), k, "time_series", expanding=True)
 
 
-def group_kfold(df: DataFrame, group_col: str, k: int = DEFAULT_SPLITS,
-                greedy_limit: int = GREEDY_GROUP_LIMIT) -> Folds:
-    """CV-4: every group in exactly one fold; largest group to the lightest fold.
-
-    Greedy assignment runs on the group-size table (one row per group, checked against
-    ``greedy_limit``); beyond that the groups are dealt in snake order by a distributed
-    rank, which keeps fold sizes close without any driver-side state.
-    """
+def _deals(sizes: Iterator[tuple[int, int]], k: int) -> Iterator[tuple[int, list[int], list[int], list[list[int]]]]:
+    """How the groups of each size are dealt, given (size, number of groups) from the largest size down.
+
+    Giving each of c groups of size s to the lightest fold (ties: the first) takes the c least of the
+    numbers load[f] + i * s.  Counted in steps of s from the least load, fold f joins at level
+    ``level[f]`` and from then on takes one group at every level, in the order of what is left over
+    (load modulo s).  So between two joinings the deal is a cycle over the folds that have joined:
+    yields (size, first ranks, first levels, cycles), one entry per joining."""
+    load = [0] * k
+    for size, count in sizes:
+        low = min(load)
+        join = sorted((*divmod(load[f] - low, size), f) for f in range(k))
+        ranks, levels, cycles, at = [], [], [], 0
+        for j, (level, _, _) in enumerate(join):
+            if j:
+                at += j * (level - levels[-1])
+            ranks.append(at)
+            levels.append(level)
+            cycles.append([f for _, f in sorted((rest, f) for _, rest, f in join[:j + 1])])
+        yield size, ranks, levels, cycles
+        last = max(j for j in range(k) if ranks[j] <= count)
+        rounds, more = divmod(count - ranks[last], last + 1)
+        for level, _, f in join[:last + 1]:
+            load[f] += max(0, levels[last] + rounds - level) * size
+        for f in cycles[last][:more]:
+            load[f] += size
+
+
+def group_kfold(df: DataFrame, group_col: str, k: int = DEFAULT_SPLITS, max_rows: int | None = None) -> Folds:
+    """CV-4: every group in exactly one fold; from the largest group down (ties: by value), each to
+    the lightest fold (ties: the first).
+
+    One rule at any number of groups, without a driver: how many groups of a size each fold takes depends
+    on the counts of equal sizes only.  That table has at most sqrt(2 * rows) rows and is read in
+    order by one task, which writes each size's deal (a cycle over folds); a group finds its fold by its
+    rank within its size (a running count that splits hot sizes).  A null group is a group."""
     _check_k(k)
     if group_col not in df.columns:
         raise CVError(f"group_kfold requires an existing group column, got {group_col!r}")
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_lf_n"))
-    n_groups = sizes.count()
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_lf_size"))
+    ranked = ordinal(sizes, ["_lf_size"], [group_col], "_lf_r", max_rows).withColumn("_lf_r", F.col("_lf_r") - 1)
+    counts = ranked.groupBy("_lf_size").agg(F.count(F.lit(1)).alias("_lf_c"))
+    n_groups = counts.agg(F.sum("_lf_c")).first()[0] or 0
     if n_groups < k:
         raise CVError(f"cannot have {k} folds with only {n_groups} groups")
-    if n_groups <= greedy_limit:
-        rows = sizes.orderBy(F.desc("_lf_n"), F.asc(group_col)).collect()
-        heap = [(0, f) for f in range(k)]
-        assign = []
-        for row in rows:
-            load, f = heapq.heappop(heap)
-            assign.append((row[group_col], f))
-            heapq.heappush(heap, (load + row["_lf_n"], f))
-        gtype = dict(df.dtypes)[group_col]
-        table = df.sparkSession.createDataFrame(assign, f"{group_col} {gtype}, {FOLD} int")
-    else:
-        ranked = global_rank(sizes.withColumn("_lf_neg", -F.col("_lf_n")), ["_lf_neg", group_col], "_lf_r",
-                             total_rows=n_groups)
-        pos = F.col("_lf_r") % (2 * k)
-        table = ranked.select(group_col, F.when(pos < k, pos).otherwise(2 * k - 1 - pos).cast("int").alias(FOLD))
-    out = bounded_join(df, table, group_col, "left", small_rows=n_groups)
+
+    def deal(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((int(n), int(c)) for pdf in pdfs for n, c in zip(pdf["_lf_size"], pdf["_lf_c"]))
+        dealt = _deals(rows, k)
+        while block := list(islice(dealt, 10_000)):
+            yield pd.DataFrame(block, columns=["_lf_s", "_lf_ranks", "_lf_levels", "_lf_cycles"])
+
+    deals = counts.repartition(1).sortWithinPartitions(F.desc("_lf_size")).mapInPandas(
+        deal, "_lf_s long, _lf_ranks array<long>, _lf_levels array<long>, _lf_cycles array<array<int>>")
+    # at most sqrt(2 * rows) rows, and far fewer than groups: adaptive execution measures and broadcasts it
+    placed = ranked.join(deals, F.col("_lf_size") == F.col("_lf_s"))
+    joined = F.size(F.filter("_lf_ranks", lambda r: r <= F.col("_lf_r")))
+    turn = F.col("_lf_r") - F.element_at("_lf_ranks", joined)
+    fold = F.get(F.element_at("_lf_cycles", joined), (turn % joined).cast("int"))
+    table = placed.select(F.col(group_col).alias("_lf_g"), fold.cast("int").alias(FOLD))
+    out = df.join(table, F.col(group_col).eqNullSafe(F.col("_lf_g")), "left").drop("_lf_g")
     return Folds(out, k, "group_kfold")
 
 
@@ -196,8 +226,8 @@ def register(name: str, fn: Callable[..., Folds]) -> None:
     _FACTORIES[name] = fn
 
 
-register("kfold", lambda df, n_splits=DEFAULT_SPLITS, row_id="row_id", seed=DEFAULT_SEED, **kw:
-         kfold(df, n_splits, seed, True, row_id))
+register("kfold", lambda df, n_splits=DEFAULT_SPLITS, row_id="row_id", seed=DEFAULT_SEED, shuffle=True, order_by=None, **kw:
+         kfold(df, n_splits, seed, shuffle, row_id, order_by))
 register("stratified_kfold", lambda df, n_splits=DEFAULT_SPLITS, label="target", row_id="row_id",
          seed=DEFAULT_SEED, **kw: stratified_kfold(df, label, n_splits, seed, row_id))
 register("time_series", lambda df, n_splits=DEFAULT_SPLITS, order_by=None, row_id="row_id", **kw:
@@ -216,22 +246,26 @@ class Strategy:
     n_splits: int = DEFAULT_SPLITS
     group_col: str | None = None
     order_by: tuple[str, ...] | None = None
+    seed: int = DEFAULT_SEED
+    shuffle: bool = True
 
     def apply(self, df: DataFrame, label: str = "target", row_id: str = "row_id") -> Folds:
         return _FACTORIES[self.name](df, n_splits=self.n_splits, label=label, row_id=row_id,
-                                     group_col=self.group_col,
+                                     group_col=self.group_col, seed=self.seed, shuffle=self.shuffle,
                                      order_by=list(self.order_by) if self.order_by else None)
 
 
 def get(name: str, n_splits: int = DEFAULT_SPLITS, group_col: str | None = None,
-        order_by: list[str] | None = None) -> Strategy:
-    """CV-6: validated strategy override."""
+        order_by: list[str] | None = None, seed: int = DEFAULT_SEED, shuffle: bool = True) -> Strategy:
+    """CV-6: validated strategy override.  ``shuffle=False`` (k-fold) keeps the rows in ``order_by``."""
     if name not in _FACTORIES:
         raise CVError(f"unknown CV kind {name!r}; allowed: {list_strategies()}")
     _check_k(n_splits)
     if name == "group_kfold" and not group_col:
         raise CVError("group_kfold requires group_col=<column name>")
-    return Strategy(name, n_splits, group_col, tuple(order_by) if order_by else None)
+    if name == "kfold" and not shuffle and not order_by:
+        raise CVError("unshuffled kfold needs order_by: DataFrames have no row order")
+    return Strategy(name, n_splits, group_col, tuple(order_by) if order_by else None, seed, shuffle)
 
 
 #: Default strategy of a problem type when no column of the data asks for another.

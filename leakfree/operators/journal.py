@@ -9,12 +9,17 @@ Spark plans as a WindowGroupLimit (top-n kept per map partition before the shuff
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakfree.functions.maps import args_map, canonical_args
+from leakfree.functions.maps import canonical_args
 from leakfree.functions.parse import cv_mean, cv_metric, higher_is_better
 from leakfree.operators.ordered import ordinal
+from leakfree.session import materialize
 
 TOOL_KINDS = ["tool_call", "tool_error"]
 SUBMIT_TOOLS = ["submit_kaggle", "submit_local"]
@@ -73,7 +78,7 @@ def best_score(journal: DataFrame) -> DataFrame:
     Each record's own metric gives the direction.  A competition whose records share
     one direction needs only ``max``/``min`` and the first ordinal at that value
     (strict improvement) — plain aggregates.  Competitions that switched metric mid-run
-    are order-dependent; they go through a chunked, associative fold (``_mixed_best``)."""
+    are order-dependent; they go through a scan of clamps (``mixed_running_best``)."""
     cv = cv_records(journal)
     dirs = cv.groupBy(COMP).agg(F.min(F.col("hib").cast("int")).alias("_lo"),
                                 F.max(F.col("hib").cast("int")).alias("_hi"))
@@ -99,72 +104,82 @@ FOLD_CHUNK_ROWS = 100_000
 _INF = float("inf")
 
 
-def _clamps(cv: DataFrame, chunk_rows: int):
-    """Chunks of a competition's CV records as clamps ``(l, h)``, with each chunk's
-    incoming best (``_b_in``, null for the first chunk)."""
-    idx = ordinal(cv, [COMP], ["ordinal"], "_k")
-    idx = idx.withColumn("_chunk", F.floor((F.col("_k") - 1) / chunk_rows).cast("long"))
-    lo = F.when(F.col("_k") == 1, F.col("mean")).when(F.col("hib"), F.col("mean")).otherwise(F.lit(-_INF))
-    hi = F.when(F.col("_k") == 1, F.col("mean")).when(F.col("hib"), F.lit(_INF)).otherwise(F.col("mean"))
-    recs = idx.select(COMP, "_chunk", F.struct("ordinal", lo.alias("l"), hi.alias("h")).alias("r"))
-    chunks = recs.groupBy(COMP, "_chunk").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-
-    def compose(acc, x):  # acc then x: b ↦ min(max(min(max(b, L), H), l), h)
-        l2 = F.least(F.greatest(acc["l"], x["l"]), x["h"])
-        h2 = F.least(F.greatest(acc["h"], x["l"]), x["h"])
-        return F.struct(l2.alias("l"), h2.alias("h"))
-
-    ident = F.struct(F.lit(-_INF).alias("l"), F.lit(_INF).alias("h"))
-    summ = chunks.select(COMP, "_chunk", "rs", F.aggregate("rs", ident, compose).alias("c"))
-    # incoming best of a chunk = composition of all earlier chunks (constant: the first
-    # record is a constant clamp); the chunk list per competition is n / chunk_rows long
-    per_comp = summ.groupBy(COMP).agg(F.array_sort(F.collect_list(F.struct("_chunk", "c"))).alias("cs"))
-    pos = per_comp.select(COMP, F.posexplode("cs").alias("_p", "e"), "cs")
-    incoming = pos.select(
-        COMP, F.col("e._chunk").alias("_chunk"),
-        F.aggregate(F.slice("cs", 1, F.greatest(F.col("_p"), F.lit(1))), ident,
-                    lambda acc, x: compose(acc, x["c"]))["l"].alias("_b_in_raw"), F.col("_p"))
-    incoming = incoming.withColumn("_b_in", F.when(F.col("_p") > 0, F.col("_b_in_raw"))).drop("_b_in_raw", "_p")
-    return summ.join(incoming, [COMP, "_chunk"])
-
-
-def _apply(b, x):
-    return F.least(F.greatest(F.coalesce(b, x["l"]), x["l"]), x["h"])
+def _clamped(low: np.ndarray, high: np.ndarray, best: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """``best`` (None: no score yet) after each clamp ``b -> min(max(b, low), high)``, and which ones changed it."""
+    after, changed = np.empty(len(low)), np.zeros(len(low), bool)
+    for i, (l, h) in enumerate(zip(low.tolist(), high.tolist())):
+        new = min(max(l if best is None else best, l), h)
+        changed[i] = best is None or new != best
+        after[i] = best = new
+    return after, changed
+
+
+def _carried(chunks: DataFrame) -> DataFrame:
+    """Each chunk's incoming best, from the clamps (``lo``, ``hi``) of the chunks before it: one pass over a competition's
+    chunks in order (n / chunk_rows rows), which may arrive in several batches."""
+    kind = chunks.schema[COMP].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best, started = None, None, False
+        for batch in batches:
+            keys, low, high = (batch.column(c).to_pylist() for c in (COMP, "lo", "hi"))
+            came = []
+            for k, l, h in zip(keys, low, high):
+                if not started or k != last:
+                    last, best, started = k, None, True
+                came.append(best)
+                best = min(max(l if best is None else best, l), h)
+            yield pa.RecordBatch.from_arrays([batch.column(COMP), batch.column("_chunk"), pa.array(came, pa.float64())],
+                                             names=[COMP, "_chunk", "best_in"])
+
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(parts, COMP).sortWithinPartitions(COMP, "_chunk").mapInArrow(
+        walk, f"{COMP} {kind}, _chunk long, best_in double")
+
+
+def mixed_running_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
+    """The best after every CV record, whatever directions the records have:
+    ``(competition, ordinal, best_after, improved)``.
+
+    Each step "keep the better of best and x" is a clamp ``b -> min(max(b, low), high)``
+    (higher is better: ``low = x``; lower: ``high = x``; the first record: both), and clamps compose into
+    clamps.  A competition's records are cut into chunks of at most ``chunk_rows`` (split-aware running
+    count); a chunk's clamp is a fold of its rows, the best that enters a chunk comes from the clamps before it, and
+    every chunk is then walked once from there.  Linear work; no task holds more than one chunk."""
+    indexed = ordinal(cv, [COMP], ["ordinal"], "_k")
+    indexed = indexed.withColumn("_chunk", F.floor((F.col("_k") - 1) / chunk_rows).cast("long"))
+    first = F.col("_k") == 1
+    low = F.when(first | F.col("hib"), F.col("mean")).otherwise(F.lit(-_INF))
+    high = F.when(first | ~F.col("hib"), F.col("mean")).otherwise(F.lit(_INF))
+    clamps = indexed.select(COMP, "_chunk", F.struct("ordinal", low.alias("l"), high.alias("h")).alias("r"))
+    chunks = clamps.groupBy(COMP, "_chunk").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+
+    def compose(acc, x):  # acc, then x
+        return F.struct(F.least(F.greatest(acc["l"], x["l"]), x["h"]).alias("l"), F.least(F.greatest(acc["h"], x["l"]), x["h"]).alias("h"))
+
+    whole = F.struct(F.lit(-_INF).alias("l"), F.lit(_INF).alias("h"))
+    chunks = materialize(chunks.withColumn("c", F.aggregate("rs", whole, compose)), reliable=True)
+    came = _carried(chunks.select(COMP, "_chunk", F.col("c.l").alias("lo"), F.col("c.h").alias("hi")))
+    came = came.select(F.col(COMP).alias("_k"), F.col("_chunk").alias("_c"), "best_in")
+    todo = chunks.join(came, F.col(COMP).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c"))).select(COMP, "rs", "best_in")
+    kind = cv.schema[COMP].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rs = batch.column("rs")[i].values
+                after, changed = _clamped(rs.field("l").to_numpy(), rs.field("h").to_numpy(), batch.column("best_in")[i].as_py())
+                comp = pa.array([batch.column(COMP)[i].as_py()] * len(rs), batch.column(COMP).type)
+                yield pa.RecordBatch.from_arrays([comp, rs.field("ordinal").cast(pa.int64()), pa.array(after), pa.array(changed)],
+                                                 names=[COMP, "ordinal", "best_after", "improved"])
+
+    return todo.mapInArrow(walk, f"{COMP} {kind}, ordinal long, best_after double, improved boolean")
 
 
 def _mixed_best(cv: DataFrame, chunk_rows: int = FOLD_CHUNK_ROWS) -> DataFrame:
-    """Best and turn-of-best when the direction changes between records (order-dependent).
-
-    Each step "keep the better of best and x" is a clamp ``b ↦ min(max(b, L), H)``
-    (max: ``L = x``; min: ``H = x``; the very first record: the constant ``L = H = x``),
-    and clamps compose into clamps.  Records are cut into chunks of at most
-    ``chunk_rows`` (split-aware running count); each chunk folds its own records in
-    order, chunk clamps are prefix-composed per competition, and every chunk is
-    replayed from its incoming best to find the last improving turn.  No task ever
-    holds more than one chunk of one competition."""
-    replay = _clamps(cv, chunk_rows)
-    init = F.struct(F.col("_b_in").alias("b"), F.lit(None).cast("long").alias("t"))
-
-    def step(acc, x):
-        new = _apply(acc["b"], x)
-        changed = acc["b"].isNull() | (new != acc["b"])
-        return F.struct(new.alias("b"), F.when(changed, x["ordinal"].cast("long")).otherwise(acc["t"]).alias("t"))
-
-    out = replay.select(COMP, "_chunk", F.aggregate("rs", init, step).alias("s"))
-    return out.groupBy(COMP).agg(
-        F.max_by(F.col("s.b"), F.col("_chunk")).alias("best_cv_mean"),
-        F.max("s.t").alias("turns_to_best_score"))
-
-
-def mixed_running_best(cv: DataFrame, chunk_rows: int = 2048) -> DataFrame:
-    """The best after every CV record for direction-switching competitions:
-    ``(competition, ordinal, best_after)``.  Record j of a chunk re-folds the chunk's
-    first j clamps from the incoming best (chunk² work on a bounded chunk)."""
-    replay = _clamps(cv, chunk_rows)
-    per = F.transform(F.sequence(F.lit(1), F.size("rs")), lambda j: F.struct(
-        F.element_at("rs", j)["ordinal"].alias("ordinal"),
-        F.aggregate(F.slice("rs", 1, j), F.col("_b_in"), lambda b, x: _apply(b, x)).alias("best_after")))
-    return replay.select(COMP, F.explode(per).alias("e")).select(COMP, "e.ordinal", "e.best_after")
+    """Best and turn-of-best when the direction changes between records (order-dependent)."""
+    return mixed_running_best(cv, chunk_rows).groupBy(COMP).agg(
+        F.max_by("best_after", "ordinal").alias("best_cv_mean"), F.max(F.when(F.col("improved"), F.col("ordinal"))).alias("turns_to_best_score"))
 
 
 def stuck_loop(journal: DataFrame, window: int = 10, threshold: int = 5) -> DataFrame:
@@ -292,36 +307,39 @@ def constraints(spark) -> DataFrame:
 
 def args_conformance(journal: DataFrame) -> DataFrame:
     """VAL-1: ``(competition, seq, tool, key, violation)`` for every tool record whose args
-    break the tool's schema: unknown tool, missing required key, unexpected key, wrong
-    type, value outside the enum or the integer range.  The constraint table is a
-    constant (a few dozen rows) and is broadcast."""
-    spark = journal.sparkSession
-    cons = constraints(spark)
-    known = F.broadcast(cons.select("tool").distinct())
-    props = F.broadcast(cons.where(F.col("key").isNotNull()))
+    break the tool's schema: unknown tool, args that aren't a JSON object (malformed), missing required
+    key, unexpected key, wrong type, value outside the enum or the integer range.
+
+    Values keep their JSON types (VARIANT): a string is a string (``"7"`` is no integer, 5 no string), an
+    integer any whole number, also written 5.0, a boolean true or false; null has no type.  One pass: the
+    constraints of a tool are one row of a constant table (a few dozen entries), which is broadcast."""
+    rules = F.broadcast(constraints(journal.sparkSession).groupBy(F.col("tool").alias("_tool")).agg(F.map_from_entries(
+        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.struct(
+            "type", "required", F.split("enum", ",").alias("enum"), "min", "max"))))).alias("rules")))
+    parsed = F.try_parse_json(F.coalesce("args", F.lit("{}")))
     t = journal.where(is_tool()).select(COMP, "seq", F.coalesce("tool", F.lit("")).alias("tool"),
-                                        F.coalesce(args_map(F.col("args")),
-                                                   F.create_map().cast("map<string,string>")).alias("m"))
-    unknown = t.join(known, "tool", "left_anti").select(
-        COMP, "seq", "tool", F.lit(None).cast("string").alias("key"), F.lit("unknown_tool").alias("violation"))
-    t_known = t.join(known, "tool", "left_semi")
-    required = props.where("required").select("tool", "key")
-    missing = (t_known.join(required, "tool")
-               .where(~F.array_contains(F.map_keys("m"), F.col("key")))
-               .select(COMP, "seq", "tool", "key", F.lit("missing_required").alias("violation")))
-    given = t_known.select(COMP, "seq", "tool", F.explode("m").alias("key", "value"))
-    checked = given.join(props, ["tool", "key"], "left")
-    v = F.col("value")
-    is_int = v.rlike(r"^-?[0-9]+(\.0+)?$")  # a whole number may be written 5.0
-    size = v.try_cast("double")  # any number of digits; the bounds are small
-    violation = (F.when(F.col("type").isNull(), F.lit("unexpected_key"))
-                 .when((F.col("type") == "integer") & ~is_int, F.lit("wrong_type"))
-                 .when((F.col("type") == "boolean") & ~v.isin("true", "false"), F.lit("wrong_type"))
-                 .when(F.col("enum").isNotNull() & ~F.array_contains(F.split("enum", ","), v), F.lit("not_in_enum"))
-                 .when((F.col("type") == "integer") & F.col("min").isNotNull() & (size < F.col("min")),
-                       F.lit("below_minimum"))
-                 .when((F.col("type") == "integer") & F.col("max").isNotNull() & (size > F.col("max")),
-                       F.lit("above_maximum")))
-    bad = checked.select(COMP, "seq", "tool", "key", violation.alias("violation")).where(
-        F.col("violation").isNotNull())
-    return unknown.unionByName(missing).unionByName(bad)
+                                        F.try_variant_get(parsed, "$", "map<string,variant>").alias("given"))
+    t = t.join(rules, F.col("tool") == F.col("_tool"), "left")
+    found = lambda key, kind: F.struct(key.cast("string").alias("key"), F.lit(kind).alias("violation"))
+    only = lambda kind: F.array(found(F.lit(None), kind))
+    missing = F.transform(F.filter(F.map_entries("rules"), lambda r: r["value"]["required"] & ~F.map_contains_key("given", r["key"])),
+                          lambda r: found(r["key"], "missing_required"))
+
+    def judged(entry: Column) -> Column:
+        rule = F.element_at("rules", entry["key"])
+        kind, text = F.schema_of_variant(entry["value"]), F.try_variant_get(entry["value"], "$", "string")
+        number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(entry["value"], "$", "double"))
+        is_int = F.coalesce(number == F.rint(number), F.lit(False))
+        integer = rule["type"] == "integer"
+        violation = (F.when(rule.isNull(), F.lit("unexpected_key"))
+                     .when((integer & ~is_int) | ((rule["type"] == "boolean") & (kind != "BOOLEAN"))
+                           | ((rule["type"] == "string") & (kind != "STRING")), F.lit("wrong_type"))
+                     .when(rule["enum"].isNotNull() & ~F.array_contains(rule["enum"], text), F.lit("not_in_enum"))
+                     .when(integer & rule["min"].isNotNull() & (number < rule["min"]), F.lit("below_minimum"))
+                     .when(integer & rule["max"].isNotNull() & (number > rule["max"]), F.lit("above_maximum")))
+        return F.struct(entry["key"].alias("key"), violation.alias("violation"))
+
+    wrong = F.filter(F.transform(F.map_entries("given"), judged), lambda x: x["violation"].isNotNull())
+    every = (F.when(F.col("rules").isNull(), only("unknown_tool")).when(F.col("given").isNull(), only("malformed_args"))
+             .otherwise(F.concat(missing, wrong)))
+    return t.select(COMP, "seq", "tool", F.explode(every).alias("v")).select(COMP, "seq", "tool", "v.key", "v.violation")

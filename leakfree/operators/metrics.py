@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakfree.functions.directions import declare
 from leakfree.operators.ordered import Agg, running
 
 LOGLOSS_EPS = 2.220446049250313e-16  # float64 machine epsilon
@@ -105,6 +106,7 @@ def register(metric: Metric, optional: bool = False) -> None:
     """UDAF-1: add a metric (Column builder or frame function) to the registry.
     ``optional`` metrics are resolvable by name but not listed with the core six."""
     (_OPTIONAL if optional else _REGISTRY)[metric.name] = metric
+    declare(metric.name, metric.higher_is_better)
 
 
 register(Metric("accuracy", True, False, "classification", column=accuracy))
@@ -132,9 +134,10 @@ def names_of(kind: str) -> list[str]:
     return sorted(m.name for m in {**_REGISTRY, **_OPTIONAL}.values() if m.kind == kind)
 
 
-def metric_dim(spark) -> DataFrame:
+def metric_dim(spark, include_optional: bool = False) -> DataFrame:
     """The registry as a dimension table (name, higher_is_better, needs_proba, kind)."""
-    rows = [(m.name, m.higher_is_better, m.needs_proba, m.kind) for m in _REGISTRY.values()]
+    metrics = {**_REGISTRY, **_OPTIONAL} if include_optional else _REGISTRY
+    rows = [(m.name, m.higher_is_better, m.needs_proba, m.kind) for m in metrics.values()]
     return spark.createDataFrame(rows, "name string, higher_is_better boolean, needs_proba boolean, kind string")
 
 

@@ -22,22 +22,44 @@ def _present(df: DataFrame, c: str) -> Column:
     return col
 
 
+def _counted(df: DataFrame, c: str, i: int) -> Column:
+    """A present value as (column number, key): values of at most eight bytes by ``xxhash64``, which maps
+    those one to one (and takes -0.0 for 0.0), others as text or JSON."""
+    kind, p = df.schema[c].dataType, _present(df, c)
+    short = isinstance(kind, (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) \
+        and not isinstance(kind, T.DecimalType)
+    text = F.hex(p) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(p.alias("v"))) if isinstance(
+        kind, (T.ArrayType, T.StructType, T.MapType)) else p.cast("string")
+    none = F.lit(None)
+    return F.struct(F.lit(i).alias("i"), F.when(p.isNotNull(), F.xxhash64(p) if short else none).cast("bigint").alias("h"),
+                    F.when(p.isNotNull(), none if short else text).cast("string").alias("s"), p.isNotNull().alias("there"))
+
+
 def column_profile(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.01) -> DataFrame:
-    """PROF-1: one row per column — dtype, non-missing count, rows, distinct non-missing
-    values — computed in a single aggregation pass over the whole table (exact distinct
-    by default; ``approx_distinct`` switches to HyperLogLog++ for very wide/large tables)."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(df.columns):
-        p = _present(df, c)
-        aggs.append(F.count(p).alias(f"_nn{i}"))
-        aggs.append((F.approx_count_distinct(p, rsd) if approx_distinct else F.countDistinct(p)).alias(f"_nd{i}"))
-    one = df.agg(*aggs)
+    """PROF-1: one row per column — dtype, non-missing count, rows, distinct non-missing values.
+
+    Exact distincts come from one long pass: every row gives one (column, value) pair per column, equal
+    pairs are combined before and after one shuffle, and pairs are counted per column; no copy of the
+    row per column.  ``approx_distinct`` sketches them instead (HyperLogLog++, no shuffle of values)."""
     types = dict(df.dtypes)
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                        F.col(f"_nn{i}").alias("non_null"), F.col(f"_nd{i}").alias("n_distinct"))
-               for i, c in enumerate(df.columns)]
-    return one.select(F.col("_rows").alias("rows"), F.explode(F.array(*entries)).alias("e")).select(
-        "e.column", "e.dtype", "e.non_null", "rows", "e.n_distinct")
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype")) for c in df.columns])
+    if approx_distinct:
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(df.columns):
+            p = _present(df, c)
+            aggs += [F.count(p).alias(f"_nn{i}"), F.approx_count_distinct(p, rsd).alias(f"_nd{i}")]
+        entries = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), F.col(f"_nn{i}").alias("non_null"),
+                            F.col(f"_nd{i}").alias("n_distinct")) for i, c in enumerate(df.columns)]
+        return df.agg(*aggs).select("rows", F.explode(F.array(*entries)).alias("e")).select(
+            "e.column", "e.dtype", "e.non_null", "rows", "e.n_distinct")
+    pairs = df.select(F.explode(F.array(*[_counted(df, c, i) for i, c in enumerate(df.columns)])).alias("v")).select("v.*")
+    values = pairs.groupBy("i", "h", "s", "there").agg(F.count(F.lit(1)).alias("n"))
+    per = values.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("there"), F.col("n"))), F.lit(0)).alias("non_null"),
+                                  F.count_if(F.col("there")).alias("n_distinct"))
+    every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("_i"))  # columns of a table without rows too
+    told = every.join(per, F.col("_i") == F.col("i"), "left").withColumn("e", F.get(names, F.col("_i")))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return told.select("e.column", "e.dtype", zero("non_null"), zero("rows"), zero("n_distinct"))
 
 
 def brief(spark, frames: dict[str, DataFrame], files: DataFrame | None = None,

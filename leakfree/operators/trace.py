@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.functions.parse import parse_cv_summary
+from leakfree.operators.metrics import names_of
 from leakfree.operators.ordered import ordinal
 from leakfree.session import materialize
 
@@ -25,45 +28,49 @@ def work_spans(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("status") != "MARKER")
 
 
-def resolve_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """TRC-2: depth and root of every span by iterative parent joins (level by level —
-    each level is one distributed join, lineage cut between levels) until no span is
-    left to attach.  Spans whose parent is missing are orphans (depth null).  A tree
-    cannot be deeper than its number of spans, which bounds the walk on cyclic
-    (corrupt) parent links."""
-    # spread evenly (no key: a trace holding a third of all spans must not land in one
-    # partition) so every level's join runs on all cores even when the input is few splits
-    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id").repartition(parts))
-    level = materialize(s.where(F.col("parent_span_id").isNull()).select(
-        "trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id")))
-    levels = [level]
-    frontier = level
-    limit = max_depth
-    d = 0
-    while True:
-        d += 1
-        if limit is not None and d > limit:
-            break
-        if limit is None and d == 64:   # deep tree: bound the walk by the span count (cycles)
-            limit = max(s.count(), 64)
-        children = s.alias("c").join(
-            frontier.alias("p"),
-            (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_span_id") == F.col("p.span_id")))
-        # persisted per level; every 8th level is checkpointed so deep trees keep a short lineage
-        frontier = materialize(children.select(F.col("c.trace_id").alias("trace_id"),
-                                               F.col("c.span_id").alias("span_id"), F.lit(d).alias("depth"),
-                                               F.col("p.root_span_id").alias("root_span_id")),
-                               reliable=(d % 8 == 0))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    resolved = levels[0]
-    for lv in levels[1:]:
-        resolved = resolved.unionByName(lv)
-    orphans = s.join(resolved.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti").select(
-        "trace_id", "span_id", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("root_span_id"))
-    return resolved.unionByName(orphans)
+def resolve_tree(spans: DataFrame) -> DataFrame:
+    """TRC-2: depth and root of every span, by pointer doubling over parent links.
+
+    Only spans with children need pointers.  Each holds an ancestor and the steps to it; a round replaces the
+    ancestor by the ancestor's ancestor (one join), so the steps double and a tree of depth d takes
+    log2(d) rounds.  Spans whose pointer has reached a root leave the input, and spans without children (most)
+    take part in one last join only.  A span whose ancestors end in a missing parent or in a
+    cycle of links has depth null."""
+    s = materialize(work_spans(spans).select("trace_id", "span_id", "parent_span_id"))
+    kids = s.where(F.col("parent_span_id").isNotNull()).select(
+        F.col("trace_id").alias("_t"), F.col("parent_span_id").alias("_s")).distinct().withColumn("_inner", F.lit(True))
+    s = materialize(s.join(kids, (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_s")), "left").select(
+        "trace_id", "span_id", "parent_span_id", F.col("_inner").isNotNull().alias("inner")), reliable=True)
+    inner = s.where("inner")
+    is_root = F.col("parent_span_id").isNull()
+    none = F.lit(None)
+    done = inner.where(is_root).select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id"))
+    todo = inner.where(~is_root).select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.lit(1).alias("steps"))
+    lost, left = [], todo.count()
+    rounds = math.ceil(math.log2(left + 1)) + 1  # a tree is no deeper than its spans: what is left then is a cycle
+    while left and rounds:
+        rounds -= 1
+        held = done.select("trace_id", "span_id", "depth", "root_span_id", none.cast("string").alias("up"), none.cast("int").alias("steps")).unionByName(
+            todo.select("trace_id", "span_id", none.cast("int").alias("depth"), none.cast("string").alias("root_span_id"), "up", "steps"))
+        on = (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.up") == F.col("p.span_id"))
+        hop = materialize(todo.alias("c").join(held.alias("p"), on, "left").select(
+            "c.trace_id", "c.span_id", "p.up", (F.col("c.steps") + F.col("p.steps")).alias("steps"),
+            (F.col("c.steps") + F.col("p.depth")).alias("depth"), "p.root_span_id"), reliable=True)
+        arrived = F.col("root_span_id").isNotNull()
+        done = done.unionByName(hop.where(arrived).select("trace_id", "span_id", "depth", "root_span_id"))
+        lost.append(hop.where(~arrived & F.col("up").isNull()).select("trace_id", "span_id"))
+        todo = hop.where(~arrived & F.col("up").isNotNull()).select("trace_id", "span_id", "up", "steps")
+        left = todo.count()
+    unresolved = todo.select("trace_id", "span_id")
+    for part in lost:
+        unresolved = unresolved.unionByName(part)
+    nowhere = (none.cast("int").alias("depth"), none.cast("string").alias("root_span_id"))
+    outer = s.where("NOT inner")
+    leaves = outer.where(~is_root).alias("c").join(
+        done.alias("p"), (F.col("c.trace_id") == F.col("p.trace_id")) & (F.col("c.parent_span_id") == F.col("p.span_id")), "left").select(
+        "c.trace_id", "c.span_id", (F.col("p.depth") + 1).alias("depth"), "p.root_span_id")
+    alone = outer.where(is_root).select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id"))
+    return done.unionByName(leaves).unionByName(alone).unionByName(unresolved.select("trace_id", "span_id", *nowhere))
 
 
 def rollup_by_name(spans: DataFrame) -> DataFrame:
@@ -102,26 +109,40 @@ def cv_runs(journal: DataFrame) -> DataFrame:
         COMP, "run_no", "seq", F.col("p.strategy").alias("cv_strategy"), F.col("p.n_splits").alias("n_splits"),
         F.col("p.metric").alias("metric"), F.col("p.mean").alias("cv_mean"), F.col("p.std").alias("cv_std"),
         F.col("p.duration_s").alias("wall_clock_s"), F.col("p.fold_scores").alias("fold_scores"),
+        problem_type(F.col("p.metric")).alias("problem_type"),
         version_label("fe", F.col("run_no")).alias("fe_version"),
         version_label("model", F.col("run_no")).alias("model_version")).dropDuplicates([COMP, "run_no"])
 
 
+def problem_type(metric: Column) -> Column:
+    """Kind of the metric in the registry (unknown or missing: regression)."""
+    return F.when(metric.isin(*names_of("classification")), F.lit("classification")).otherwise(F.lit("regression"))
+
+
 def fold_metrics(runs: DataFrame) -> DataFrame:
     """RUN-2: fold scores in long form (``fold_i`` metrics)."""
     return runs.select(COMP, "run_no", F.posexplode("fold_scores").alias("fold", "score"))
 
 
-def version_label(kind: str, n) -> F.Column:
-    if kind not in ("fe", "model"):
-        raise ValueError(f"version kind must be 'fe' or 'model', got {kind!r}")
+#: What is versioned, and its label.
+VERSIONED = ("fe", "model")
+
+
+def _versioned(kind: str) -> str:
+    if kind not in VERSIONED:
+        raise ValueError(f"nothing called {kind!r} has versions, only {', '.join(VERSIONED)}")
+    return kind
+
+
+def version_label(kind: str, n) -> Column:
+    kind = _versioned(kind)
     return F.format_string(f"{kind}_v%02d", n)
 
 
 def next_version(files: DataFrame, kind: str, by: list[str] | None = None, name: str = "name") -> DataFrame:
     """VER-1: ``max(NN)+1`` over ``<kind>_vNN.py`` names (gaps kept, other names ignored,
     none → 1)."""
-    if kind not in ("fe", "model"):
-        raise ValueError(f"version kind must be 'fe' or 'model', got {kind!r}")
+    kind = _versioned(kind)
     by = by or []
     n = F.regexp_extract(F.col(name), rf"^{kind}_v(\d+)\.py$", 1)
     v = F.max(F.nullif(n, F.lit("")).cast("int"))

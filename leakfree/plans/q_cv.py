@@ -40,6 +40,56 @@ def q_cvr1(spark, sf_dir):
     return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("rmse"))
 
 
+@query("CVR-1e", with_ctes(_tr() + f""",
+s AS (SELECT tf, segment, {h('row_id', 7)} % 5 AS inn, sum(y_reg) AS sy, count(y_reg) AS n FROM tr GROUP BY ALL),
+tot AS (SELECT tf, sum(sy) AS sy, sum(n) AS n FROM s GROUP BY tf),
+pin AS (SELECT s.tf, inn, (any_value(tot.sy) - sum(s.sy)) / (any_value(tot.n) - sum(s.n)) AS prior FROM s JOIN tot ON s.tf = tot.tf GROUP BY s.tf, inn),
+whole AS (SELECT tf, segment, sum(sy) AS sy, sum(n) AS n FROM s WHERE segment IS NOT NULL GROUP BY ALL),
+te_in AS (SELECT w.tf, w.segment, pin.inn, pin.prior,
+                 (w.sy - coalesce(s.sy, 0) + 10 * pin.prior) / (w.n - coalesce(s.n, 0) + 10) AS te
+          FROM whole w JOIN pin ON pin.tf = w.tf LEFT JOIN s ON s.tf = w.tf AND s.segment = w.segment AND s.inn = pin.inn),
+te_out AS (SELECT w.tf, w.segment, (w.sy + 10 * tot.sy / tot.n) / (w.n + 10) AS te FROM whole w JOIN tot ON tot.tf = w.tf),
+trx AS (SELECT tr.tf, coalesce(e.te, pin.prior) AS x1, tr.x_days AS x2, tr.y_reg AS y
+        FROM tr JOIN pin ON pin.tf = tr.tf AND pin.inn = {h('tr.row_id', 7)} % 5
+        LEFT JOIN te_in e ON e.tf = tr.tf AND e.segment = tr.segment AND e.inn = pin.inn),""" + _RIDGE_SQL + """,
+val AS (SELECT k.fold, k.y_reg, c.b + c.w1 * coalesce(e.te, tot.sy / tot.n) + c.w2 * k.x_days AS pred
+        FROM kf k JOIN cf c ON k.fold = c.tf JOIN tot ON k.fold = tot.tf LEFT JOIN te_out e ON e.tf = k.fold AND e.segment = k.segment)
+SELECT fold, round(sqrt(avg(power(y_reg - pred, 2))), 4) AS rmse FROM val GROUP BY fold""", "kf"))
+def q_cvr1e(spark, sf_dir):
+    """train_cv with a model fitted on target means: training rows are encoded by inner folds, validation rows by
+    all training rows of their fold."""
+    df = training(spark, sf_dir).select("row_id", "segment", "x_days", "y_reg")
+    res = cv.train_cv(df, "y_reg", cvf.get("kfold", K), "rmse", model=cv.Ridge(["segment_te", "x_days"], 1.0),
+                      features=cv.TargetMean("segment", 10.0, keep=["x_days"]))
+    return res.scores.select(F.col("fold").cast("bigint"), F.round("score", 4).alias("rmse"))
+
+
+class _Centred:
+    """A user's own features: fitted on the training rows it is given, without the target in transform."""
+
+    def fit(self, train, target):
+        mean = train.agg(F.avg("x_acct")).first()[0]
+
+        class _T:
+            def transform(self, df):
+                if target in df.columns:
+                    raise AssertionError("the target reached transform")
+                return df.select("row_id", (F.col("x_acct") - F.lit(mean)).alias("x1"), F.col("x_days").alias("x2"))
+        return _T()
+
+
+@query("FE-7", with_ctes(_tr() + """,
+mu AS (SELECT tf, avg(x_acct) AS mu FROM tr GROUP BY tf),
+trx AS (SELECT tr.tf, tr.x_acct - mu.mu AS x1, tr.x_days AS x2, tr.y_reg AS y FROM tr JOIN mu ON tr.tf = mu.tf),""" + _RIDGE_SQL + """
+SELECT k.row_id, k.fold, round(c.b + c.w1 * (k.x_acct - mu.mu) + c.w2 * k.x_days, 4) AS prediction
+FROM kf k JOIN cf c ON k.fold = c.tf JOIN mu ON k.fold = mu.tf""", "kf"))
+def q_fe7(spark, sf_dir):
+    """Out-of-fold predictions with features of the user's own (fit and transform only)."""
+    df = training(spark, sf_dir).select("row_id", "x_acct", "x_days", "y_reg")
+    res = cv.train_cv(df, "y_reg", cvf.get("kfold", K), "rmse", model=cv.Ridge(["x1", "x2"], 1.0), features=_Centred())
+    return res.oof.select("row_id", F.col("fold").cast("bigint"), F.round("prediction", 4).alias("prediction"))
+
+
 @query("CVR-2", with_ctes("""
 , folds AS (SELECT DISTINCT fold AS tf FROM tsf WHERE fold >= 0),
 mu AS (SELECT f.tf, avg(k.y_reg) AS mu FROM tsf k JOIN folds f ON k.fold < f.tf GROUP BY f.tf)

@@ -43,7 +43,7 @@ def q_jn3(spark, sf_dir):
 
 
 @query("JN-4", with_ctes("""
-, w AS (SELECT * FROM spans WHERE status <> 'MARKER')
+, w AS MATERIALIZED (SELECT * FROM spans WHERE status <> 'MARKER')
 SELECT c.trace_id, c.span_id, c.name, p.name AS parent_name, p.duration_ns AS parent_ns
 FROM w c JOIN w p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id""", "spans"))
 def q_jn4(spark, sf_dir):

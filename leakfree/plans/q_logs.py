@@ -80,6 +80,38 @@ def q_jrn4(spark, sf_dir):
     return jr.best_score(journal(spark, sf_dir))
 
 
+#: Twenty long runs whose records switch between a metric of each direction, one of them registered beside the six.
+MIXED_SQL = """
+, jx AS (SELECT * REPLACE (competition % 20 AS competition, regexp_replace(result_summary, 'metric=[a-z]+',
+                  CASE WHEN seq % 8 < 3 THEN 'metric=rmsle' ELSE 'metric=accuracy' END) AS result_summary) FROM journal),
+jxo AS (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY seq) AS ordinal FROM jx),
+c AS MATERIALIZED (SELECT competition, seq, ordinal, mean, seq % 8 >= 3 AS hib,
+                          row_number() OVER (PARTITION BY competition ORDER BY seq) AS k
+      FROM (SELECT *, TRY_CAST(NULLIF(regexp_extract(result_summary, 'mean=(-?[0-9.]+)', 1), '') AS DOUBLE) AS mean
+            FROM jxo WHERE kind = 'tool_call' AND tool = 'train_cv') WHERE mean IS NOT NULL AND NOT isnan(mean)),
+r AS (SELECT competition, seq, k, mean AS best, ordinal AS turn FROM c WHERE k = 1
+      UNION ALL
+      SELECT c.competition, c.seq, c.k, CASE WHEN c.hib THEN greatest(r.best, c.mean) ELSE least(r.best, c.mean) END,
+             CASE WHEN (c.hib AND c.mean > r.best) OR (NOT c.hib AND c.mean < r.best) THEN c.ordinal ELSE r.turn END
+      FROM r JOIN c ON c.competition = r.competition AND c.k = r.k + 1)
+"""
+
+
+def mixed_journal(spark, sf_dir):
+    j = journal(spark, sf_dir)
+    metric = F.when(F.col("seq") % 8 < 3, F.lit("metric=rmsle")).otherwise(F.lit("metric=accuracy"))
+    return j.withColumn("competition", F.col("competition") % 20).withColumn(
+        "result_summary", F.regexp_replace("result_summary", F.lit("metric=[a-z]+"), metric))
+
+
+@query("JRN-4x", "WITH RECURSIVE " + with_ctes(MIXED_SQL + """
+SELECT competition, arg_max(best, k) AS best_cv_mean, arg_max(turn, k) AS turns_to_best_score FROM r GROUP BY competition""",
+                                               "journal")[len("WITH "):])
+def q_jrn4x(spark, sf_dir):
+    """Best score of runs that switch between metrics of both directions."""
+    return jr.best_score(mixed_journal(spark, sf_dir))
+
+
 @query("JRN-5", with_ctes(f"""
 , last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY seq DESC) AS rn
                           FROM journal) WHERE rn <= 10),
@@ -93,10 +125,10 @@ def q_jrn5(spark, sf_dir):
 
 
 @query("JRN-6", with_ctes(f"""
-SELECT competition, max(seq) AS seq, arg_max(kind, seq) AS kind, arg_max(tool, seq) AS tool
+SELECT competition, max(seq) AS seq, arg_max(kind, seq) AS kind, arg_max(tool, seq) AS tool, arg_max(args, seq) AS args
 FROM journal WHERE {TOOLS_SQL} GROUP BY competition""", "journal"))
 def q_jrn6(spark, sf_dir):
-    return jr.last_call(journal(spark, sf_dir)).drop("args")
+    return jr.last_call(journal(spark, sf_dir))
 
 
 @query("JRN-7", with_ctes(f"""
@@ -342,41 +374,68 @@ def q_flt3(spark, sf_dir):
     return jr.tool_records(journal(spark, sf_dir)).select("competition", "seq", F.col("ordinal").cast("bigint"), "tool")
 
 
-def _cons_sql() -> str:
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        if isinstance(v, int):
-            return str(v)
-        return "'" + v + "'"
-    rows = ",\n  ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in jr.TOOL_ARGS)
-    return f"cons(tool, key, type, required, enum, mn, mx) AS (VALUES\n  {rows})"
-
-
-@query("VAL-1", with_ctes(f""",
-{_cons_sql()},
-t AS (SELECT competition, seq, coalesce(tool, '') AS tool, coalesce(args, '{{}}') AS args FROM journal
-      WHERE {TOOLS_SQL}),
+#: The tools' argument rules as a table of their own (not the library's): tool, key, type, required, enum, least, most.
+_CONS = """cons(tool, key, type, required, enum, mn, mx) AS (VALUES
+  ('read_context', NULL, NULL, false, NULL, NULL, NULL), ('train_cv', NULL, NULL, false, NULL, NULL, NULL),
+  ('read_file', 'path', 'string', true, NULL, NULL, NULL),
+  ('write_file', 'path', 'string', true, NULL, NULL, NULL), ('write_file', 'content', 'string', true, NULL, NULL, NULL),
+  ('sample_rows', 'table', 'string', true, NULL, NULL, NULL), ('sample_rows', 'n', 'integer', false, NULL, 1, 100),
+  ('sample_rows', 'random', 'boolean', false, NULL, NULL, NULL),
+  ('take_note', 'category', 'string', true, ['observation', 'decision', 'hypothesis', 'todo'], NULL, NULL),
+  ('take_note', 'content', 'string', true, NULL, NULL, NULL),
+  ('set_cv', 'kind', 'string', true, ['kfold', 'stratified_kfold', 'time_series', 'group_kfold'], NULL, NULL),
+  ('set_cv', 'n_splits', 'integer', false, NULL, 2, 20), ('set_cv', 'group_col', 'string', false, NULL, NULL, NULL),
+  ('submit_local', 'label', 'string', true, NULL, NULL, NULL), ('done', 'summary', 'string', true, NULL, NULL, NULL),
+  ('run_python', 'code', 'string', true, NULL, NULL, NULL), ('run_python', 'timeout_s', 'integer', false, NULL, 1, 600),
+  ('run_python', 'memory_mb', 'integer', false, NULL, 64, 16384), ('set_metric', 'name', 'string', true, NULL, NULL, NULL),
+  ('submit_kaggle', 'csv_path', 'string', true, NULL, NULL, NULL), ('submit_kaggle', 'message', 'string', true, NULL, NULL, NULL),
+  ('request_human_approval', 'action', 'string', true, NULL, NULL, NULL),
+  ('request_human_approval', 'evidence_json', 'string', false, NULL, NULL, NULL))"""
+
+
+def _val_sql(records: str) -> str:
+    return f""", {_CONS},
+t AS (SELECT competition, seq, coalesce(tool, '') AS tool, coalesce(args, '{{}}') AS args FROM {records} WHERE {TOOLS_SQL}),
 unknown AS (SELECT competition, seq, tool, CAST(NULL AS VARCHAR) AS key, 'unknown_tool' AS violation FROM t
             WHERE tool NOT IN (SELECT tool FROM cons)),
-tk AS (SELECT * FROM t WHERE tool IN (SELECT tool FROM cons)),
-missing AS (SELECT tk.competition, tk.seq, tk.tool, c.key, 'missing_required' AS violation
-            FROM tk JOIN cons c ON tk.tool = c.tool AND c.required
-            WHERE NOT list_contains(json_keys(tk.args), c.key)),
-given AS (SELECT competition, seq, tool, args, unnest(json_keys(args)) AS key FROM tk),
-g2 AS (SELECT competition, seq, tool, key, json_extract_string(args, '$."' || key || '"') AS value FROM given),
-ch AS (SELECT g2.*, c.type, c.enum, c.mn, c.mx FROM g2 LEFT JOIN cons c ON g2.tool = c.tool AND g2.key = c.key),
+tk AS (SELECT *, json_valid(args) AND CASE WHEN json_valid(args) THEN json_type(args) = 'OBJECT' ELSE false END AS good
+       FROM t WHERE tool IN (SELECT tool FROM cons)),
+malformed AS (SELECT competition, seq, tool, CAST(NULL AS VARCHAR) AS key, 'malformed_args' AS violation FROM tk WHERE NOT good),
+ok AS MATERIALIZED (SELECT competition, seq, tool, args::JSON AS args FROM tk WHERE good),
+missing AS (SELECT ok.competition, ok.seq, ok.tool, c.key, 'missing_required' AS violation
+            FROM ok JOIN cons c ON ok.tool = c.tool AND c.required WHERE NOT list_contains(json_keys(ok.args), c.key)),
+given AS (SELECT competition, seq, tool, args, unnest(json_keys(args)) AS key FROM ok),
+g2 AS (SELECT competition, seq, tool, key, json_type(args, '$."' || key || '"') AS kind,
+              json_extract_string(args, '$."' || key || '"') AS value FROM given),
+g3 AS (SELECT *, CASE WHEN kind IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN TRY_CAST(value AS DOUBLE) END AS num FROM g2),
+ch AS (SELECT g3.*, c.type, c.enum, c.mn, c.mx FROM g3 LEFT JOIN cons c ON g3.tool = c.tool AND g3.key = c.key),
 bad AS (SELECT competition, seq, tool, key,
                CASE WHEN type IS NULL THEN 'unexpected_key'
-                    WHEN type = 'integer' AND NOT regexp_matches(value, '^-?[0-9]+$') THEN 'wrong_type'
-                    WHEN type = 'boolean' AND value NOT IN ('true', 'false') THEN 'wrong_type'
-                    WHEN enum IS NOT NULL AND NOT list_contains(string_split(enum, ','), value) THEN 'not_in_enum'
-                    WHEN type = 'integer' AND mn IS NOT NULL AND CAST(value AS BIGINT) < mn THEN 'below_minimum'
-                    WHEN type = 'integer' AND mx IS NOT NULL AND CAST(value AS BIGINT) > mx THEN 'above_maximum'
+                    WHEN type = 'integer' AND (num IS NULL OR num <> floor(num)) THEN 'wrong_type'
+                    WHEN type = 'boolean' AND kind <> 'BOOLEAN' THEN 'wrong_type'
+                    WHEN type = 'string' AND kind <> 'VARCHAR' THEN 'wrong_type'
+                    WHEN enum IS NOT NULL AND NOT list_contains(enum, value) THEN 'not_in_enum'
+                    WHEN type = 'integer' AND num < mn THEN 'below_minimum'
+                    WHEN type = 'integer' AND num > mx THEN 'above_maximum'
                END AS violation FROM ch)
-SELECT * FROM unknown UNION ALL SELECT * FROM missing UNION ALL SELECT * FROM bad WHERE violation IS NOT NULL""",
-    "journal").replace("),\n,\ncons(", "),\ncons(", 1))
+SELECT * FROM unknown UNION ALL SELECT * FROM malformed UNION ALL SELECT * FROM missing
+UNION ALL SELECT * FROM bad WHERE violation IS NOT NULL"""
+
+
+@query("VAL-1", with_ctes(_val_sql("journal"), "journal"))
 def q_val1(spark, sf_dir):
     return jr.args_conformance(journal(spark, sf_dir))
+
+
+#: Args by seq % 10: wrong types, numbers as text, malformed text, other JSON than an object, nulls, bounds.
+TYPED_ARGS = ['{"table": 5}', '{"table": "t", "n": "7"}', '{"table": "t", "n": 5.0, "random": "true"}', '{"table": "t", "n": 500}',
+              '{"table": ', "[1]", '{"table": null, "random": true}', '{"table": "t", "n": 0.5}', '{"table": "t", "n": 0, "x": 1}',
+              '{"table": "t", "n": 12345678901234567890123}']
+
+
+@query("VAL-1t", with_ctes(", j AS (SELECT * REPLACE ('sample_rows' AS tool, CASE seq % 10 " + " ".join(
+    f"WHEN {i} THEN '{a}'" for i, a in enumerate(TYPED_ARGS)) + " END AS args) FROM journal)" + _val_sql("j"), "journal"))
+def q_val1t(spark, sf_dir):
+    """Args whose values have other JSON types than the tool's schema asks for."""
+    args = F.element_at(F.array(*[F.lit(a) for a in TYPED_ARGS]), (F.col("seq") % 10 + 1).cast("int"))
+    return jr.args_conformance(journal(spark, sf_dir).withColumns({"tool": F.lit("sample_rows"), "args": args}))

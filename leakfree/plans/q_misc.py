@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leakfree.functions.catalog import catalog, detect_id_column, target_candidates
 from leakfree.operators import gate
 from leakfree.operators import journal as jr
 from leakfree.operators import ledger as led
@@ -14,9 +16,9 @@ from leakfree.operators import profile as prof
 from leakfree.plans.q_ops import _GATE_SQL, _requests
 from leakfree.plans.registry import query
 from leakfree.plans.sql import with_ctes
-from leakfree.session import checkpoint_dir
+from leakfree.session import checkpoint_dir, materialize
 from leakfree.sources import io
-from leakfree.sources.bindings import journal, ledger, table
+from leakfree.sources.bindings import TABLES, journal, ledger, table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -33,7 +35,7 @@ def _profile_sql() -> str:
     cols = [("l_orderkey", "bigint", False), ("l_partkey", "bigint", False), ("l_suppkey", "bigint", False),
             ("l_linenumber", "int", False), ("l_quantity", "double", True), ("l_extendedprice", "double", True),
             ("l_discount", "double", True), ("l_tax", "double", True), ("l_returnflag", "string", False),
-            ("l_linestatus", "string", False)]
+            ("l_linestatus", "string", False), ("l_shipdate", "timestamp", False)]
     parts = []
     for c, t, dbl in cols:
         v = f"CASE WHEN NOT isnan({c}) THEN {c} END" if dbl else c
@@ -44,9 +46,9 @@ def _profile_sql() -> str:
 
 @query("PROF-1", _profile_sql())
 def q_prof1(spark, sf_dir):
-    """Column profile of the whole lineitem table in one aggregation pass."""
-    li = table(spark, sf_dir, "lineitem").drop("l_shipdate")
-    return prof.column_profile(li)
+    """Column profile of the whole lineitem table in one long pass."""
+    p = prof.column_profile(table(spark, sf_dir, "lineitem"))
+    return p.withColumn("dtype", F.regexp_replace("dtype", "_ntz$", ""))
 
 
 @query("TOP-1", """
@@ -145,10 +147,9 @@ def q_port2(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- SRC / SNK
-@query("SRC-1", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SRC-1", "SELECT * FROM orders")
 def q_src1(spark, sf_dir):
-    t = io.read_table(spark, f"{sf_dir.rstrip('/')}/orders.parquet")
-    return t.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return io.read_table(spark, f"{sf_dir.rstrip('/')}/orders.parquet")
 
 
 @query("SRC-2", """
@@ -165,18 +166,22 @@ SELECT competition, count_if(seq % 97 <> 0) AS n_good, count_if(seq % 97 = 0) AS
 FROM journal WHERE seq % 89 <> 0 GROUP BY competition"""
 
 
-def _write_damaged_journal(spark, sf_dir) -> str:
-    """The bound journal written as JSON lines per competition, with every 97th line cut
-    in half (a torn write) and every 89th blanked — damage in the middle of files too."""
-    path = scratch(spark, "journal")
-    j = journal(spark, sf_dir).withColumn("ts", F.col("ts").cast("string"))
-    line = F.to_json(F.struct(*[c for c in j.columns]))
+def _damaged_lines(j):
+    """The journal as JSON lines, with every 97th line cut in half (a torn write) and every 89th blanked."""
+    j = j.withColumn("ts", F.col("ts").cast("string"))
+    line = F.to_json(F.struct(*j.columns, F.col("seq").alias("journal_seq")))
     line = (F.when(F.col("seq") % 89 == 0, F.lit(""))
             .when(F.col("seq") % 97 == 0, F.substring(line, 1, F.floor(F.length(line) / 2).cast("int")))
             .otherwise(line))
+    return j.select("competition", "seq", line.alias("line"))
+
+
+def _write_damaged_journal(spark, sf_dir) -> str:
+    """The bound journal written as damaged JSON lines."""
+    path = scratch(spark, "journal")
     # one flat log (competition is inside every line): partitioning by competition would
     # write one small file per competition and task
-    io.write_lines(j.select(line.alias("line")), path)
+    io.write_lines(_damaged_lines(journal(spark, sf_dir)).select("line"), path)
     return path
 
 
@@ -197,6 +202,31 @@ def q_src3(spark, sf_dir):
         "competition", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
 
 
+@query("SRC-3o", with_ctes("""
+, l AS (SELECT competition, seq, row_number() OVER (ORDER BY competition, seq) - 1 AS line FROM journal)
+SELECT competition, seq AS journal_seq, line, 'record' AS kind FROM l WHERE seq % 97 <> 0 AND seq % 89 <> 0
+UNION ALL
+SELECT competition, -1, line, 'damaged' FROM l WHERE seq % 97 = 0 AND seq % 89 <> 0""", "journal"))
+def q_src3o(spark, sf_dir):
+    """Line numbers of one large damaged log file that many tasks read."""
+    path = scratch(spark, "one-log")
+    line = _damaged_lines(journal(spark, sf_dir))
+    one = line.repartition(1).sortWithinPartitions("competition", "seq")
+    one.select(F.col("line").alias("value")).write.text(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 << 10))  # the log is small: many splits, as a large one would have
+    try:
+        schema = T.StructType([*[f for f in io.JOURNAL_SCHEMA.fields if f.name != "seq"], T.StructField("journal_seq", T.LongType())])
+        good, bad = io.read_log_lines(spark, path, schema, "line")
+        out = good.select("competition", "journal_seq", "line", F.lit("record").alias("kind")).unionByName(bad.select(
+            F.regexp_extract(io.CORRUPT, r'"competition":(\d+)', 1).cast("long").alias("competition"),
+            F.lit(-1).cast("long").alias("journal_seq"), "line", F.lit("damaged").alias("kind")))
+        return materialize(out, reliable=True)
+    finally:
+        spark.conf.set(key, before)
+
+
 @query("SRC-4", with_ctes("SELECT DISTINCT CAST(competition AS VARCHAR) AS competition FROM journal", "journal"))
 def q_src4(spark, sf_dir):
     """Competition catalog from a file listing: the journal is written as workspaces
@@ -242,7 +272,7 @@ def q_snk3(spark, sf_dir):
     return io.retain_latest(e, ["user_id"], "event_id", 10)
 
 
-_BRIEF_TABLES = ["customer", "orders", "labels", "embeddings", "conversations"]
+_BRIEF_TABLES = sorted(TABLES)
 _TARGET_RULE = ("lower(column_name) IN ('target', 'label', 'y', 'outcome', 'class', 'survived', 'saleprice') "
                 "OR regexp_matches(lower(column_name), '(_target|_label|_y|_outcome|_class)$') "
                 "OR regexp_matches(lower(column_name), '^(target_|label_|y_)')")
@@ -265,3 +295,26 @@ _ID_RANK = ("CASE column_name WHEN 'id' THEN 1 WHEN 'Id' THEN 2 WHEN 'ID' THEN 3
 def q_prof2(spark, sf_dir):
     """The data brief of the provided tables: sizes, likely targets and id columns."""
     return prof.brief_rows(spark, {t: table(spark, sf_dir, t) for t in _BRIEF_TABLES})
+
+
+_NAMES = ", ".join(repr(t) for t in _BRIEF_TABLES)
+
+
+@query("PRJ-8", f"""SELECT table_name AS tbl, column_name AS name FROM information_schema.columns
+WHERE table_name IN ({_NAMES}) AND ({_TARGET_RULE})
+UNION ALL SELECT 'events', 'label_' || event_type FROM (SELECT DISTINCT event_type FROM events)""")
+def q_prj8(spark, sf_dir):
+    """Columns that look like targets, in every table and in events pivoted by type."""
+    frames = {t: table(spark, sf_dir, t) for t in _BRIEF_TABLES}
+    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type").agg(F.count(F.lit(1)))
+    wide = wide.select("user_id", *[F.col(c).alias(f"label_{c}") for c in wide.columns[1:]])
+    cat = catalog(spark, [*frames.items(), ("events", wide)])
+    return target_candidates(cat).select(F.col("table").alias("tbl"), "name")
+
+
+@query("PRJ-9", f"""SELECT table_name AS tbl, arg_min(column_name, r) AS id_column FROM (SELECT table_name, column_name, {_ID_RANK} AS r
+FROM information_schema.columns WHERE table_name IN ({_NAMES})) WHERE r IS NOT NULL GROUP BY table_name""")
+def q_prj9(spark, sf_dir):
+    """The id column of every table that has one."""
+    return detect_id_column(catalog(spark, [(t, table(spark, sf_dir, t)) for t in _BRIEF_TABLES])).select(
+        F.col("table").alias("tbl"), "id_column")

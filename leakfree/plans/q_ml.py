@@ -112,23 +112,19 @@ def q_cv3(spark, sf_dir):
     return f.df.select("row_id", F.col("fold").cast("bigint"))
 
 
-@query("CV-4", with_ctes("""
-SELECT grp, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_folds FROM train GROUP BY grp""", "train"))
+@query("CV-4", "WITH RECURSIVE " + with_ctes("""
+, sizes AS (SELECT grp, count(*) AS n FROM train GROUP BY grp),
+ranked AS MATERIALIZED (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp) AS rn FROM sizes),
+lpt(rn, loads, fold) AS (
+  SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], (-1)::BIGINT
+  UNION ALL
+  SELECT r.rn, list_transform(l.loads, lambda x, i: CASE WHEN i = list_position(l.loads, list_min(l.loads)) THEN x + r.n ELSE x END),
+         (list_position(l.loads, list_min(l.loads)) - 1)::BIGINT
+  FROM lpt l JOIN ranked r ON r.rn = l.rn + 1)
+SELECT t.row_id, lpt.fold FROM train t JOIN ranked r ON t.grp = r.grp JOIN lpt ON lpt.rn = r.rn""", "train")[len("WITH "):])
 def q_cv4(spark, sf_dir):
-    """Group purity of group k-fold by customer: every customer's orders in one fold."""
+    """Group k-fold by customer, every order's fold: the largest group to the lightest fold."""
     f = cvf.group_kfold(training(spark, sf_dir), "grp", K)
-    return f.df.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"),
-                                   F.countDistinct("fold").alias("n_folds"))
-
-
-@query("CV-4s", with_ctes("""
-, sizes AS (SELECT grp, count(*) AS n FROM train GROUP BY grp),
-ranked AS (SELECT grp, (row_number() OVER (ORDER BY n DESC, grp) - 1) % 10 AS p FROM sizes)
-SELECT t.row_id, CAST(CASE WHEN p < 5 THEN p ELSE 9 - p END AS BIGINT) AS fold
-FROM train t JOIN ranked r ON t.grp = r.grp""", "train"))
-def q_cv4s(spark, sf_dir):
-    """Group k-fold past the greedy limit: snake deal of groups by size (distributed)."""
-    f = cvf.group_kfold(training(spark, sf_dir), "grp", K, greedy_limit=0)
     return f.df.select("row_id", F.col("fold").cast("bigint"))
 
 
@@ -175,6 +171,17 @@ def q_fe3(spark, sf_dir):
     return out.select("row_id", F.col("fold").cast("bigint"), F.col("cat_index").cast("bigint"), "vocab_size")
 
 
+@query("FE-3x", with_ctes(_tr() + """,
+vocab AS (SELECT DISTINCT tf, cat FROM tr WHERE cat IS NOT NULL),
+idx AS (SELECT tf, cat, row_number() OVER (PARTITION BY tf ORDER BY cat) - 1 AS i FROM vocab)
+SELECT k.row_id, k.fold, """ + ", ".join(f"CAST(coalesce(i.i = {j}, false) AS INTEGER) AS cat_{j}" for j in range(5)) + """
+FROM kf k LEFT JOIN idx i ON i.tf = k.fold AND i.cat = k.cat""", "kf"))
+def q_fe3x(spark, sf_dir):
+    """The one-hot columns themselves, from the training vocabulary of each k-fold."""
+    out = fe.one_hot(fe.one_hot_index(_kfold(spark, sf_dir), "cat", keep=["row_id"]), "cat")
+    return out.select("row_id", F.col("fold").cast("bigint"), *[f"cat_{j}" for j in range(5)])
+
+
 @query("FE-4", with_ctes("""
 SELECT row_id, grp, x_acct, x_acct_missing, x_days, y_bin, y_cls FROM train""", "train"))
 def q_fe4(spark, sf_dir):

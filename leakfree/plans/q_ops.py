@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from leakfree.operators import gate
 from leakfree.operators import ledger as led
 from leakfree.operators import trace as trc
+from leakfree.plans.q_logs import MIXED_SQL, mixed_journal
 from leakfree.plans.registry import query
 from leakfree.plans.sql import with_ctes
-from leakfree.sources.bindings import decision_of, journal, ledger, spans, submissions
+from leakfree.sources.bindings import decision_of, journal, ledger, spans, submissions, table
 
 BREACH_BUDGET = 0.02      # USD per competition
 DOUBLING_BUDGET = 0.005   # USD starting budget of the approve-and-double mode
@@ -135,6 +136,16 @@ def q_gate2(spark, sf_dir):
                      F.round("last_cv_mean", 6).alias("last_cv_mean"))
 
 
+@query("GATE-2x", "WITH RECURSIVE " + with_ctes(MIXED_SQL + """
+SELECT s.competition, s.seq, round(r.best, 6) AS best_cv_mean
+FROM (SELECT * FROM jx WHERE kind = 'tool_call' AND tool = 'submit_kaggle') s
+ASOF LEFT JOIN r ON s.competition = r.competition AND s.seq > r.seq""", "journal")[len("WITH "):])
+def q_gate2x(spark, sf_dir):
+    """Running best as seen by every submit, in runs that switch between metrics of both directions."""
+    rb = gate.running_best(mixed_journal(spark, sf_dir)).where((F.col("kind") == "tool_call") & (F.col("tool") == "submit_kaggle"))
+    return rb.select("competition", "seq", F.round("best_cv_mean", 6).alias("best_cv_mean"))
+
+
 @query("GATE-3", with_ctes(_GATE_SQL + """
 SELECT competition, seq, trigger,
        CASE WHEN trigger = 'submit_kaggle_non_regression' THEN 'approve' ELSE 'deny' END AS decision FROM g1""",
@@ -204,6 +215,23 @@ def q_trc2(spark, sf_dir):
     return r.select("trace_id", "span_id", F.col("depth").cast("double"), "root_span_id")
 
 
+@query("TRC-2d", """
+WITH RECURSIVE s AS (SELECT event_id // 1000 AS trace_id, event_id AS span_id,
+    CASE WHEN event_id % 1000 = 0 THEN NULL WHEN event_id % 5000 = 2500 THEN -1 ELSE event_id - 1 END AS parent FROM events),
+t AS (SELECT trace_id, span_id, 0 AS depth, span_id AS root FROM s WHERE parent IS NULL
+      UNION ALL
+      SELECT s.trace_id, s.span_id, t.depth + 1, t.root FROM s JOIN t ON s.trace_id = t.trace_id AND s.parent = t.span_id)
+SELECT trace_id::VARCHAR AS trace_id, span_id::VARCHAR AS span_id, t.depth::DOUBLE AS depth, t.root::VARCHAR AS root_span_id
+FROM s LEFT JOIN t USING (trace_id, span_id)""")
+def q_trc2d(spark, sf_dir):
+    """Depth and root in traces of 1,000 events, each the child of the one before; some parents are missing."""
+    e = F.col("event_id")
+    parent = F.when(e % 1000 == 0, F.lit(None)).when(e % 5000 == 2500, F.lit(-1)).otherwise(e - 1)
+    s = table(spark, sf_dir, "events").select(F.floor(e / 1000).cast("string").alias("trace_id"), e.cast("string").alias("span_id"),
+                                              parent.cast("string").alias("parent_span_id"), F.lit("OK").alias("status"))
+    return trc.resolve_tree(s).select("trace_id", "span_id", F.col("depth").cast("double"), "root_span_id")
+
+
 @query("TRC-3", with_ctes("""
 SELECT name, count(*) AS n_spans, CAST(count_if(status = 'ERROR' OR has_error_attr) AS BIGINT) AS n_errors,
        CAST(sum(duration_ns) AS BIGINT) AS total_ns, round(avg(duration_ns), 3) AS avg_ns,
@@ -246,12 +274,15 @@ runs AS (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY seq) AS
 
 @query("RUN-1", with_ctes(_RUNS_SQL + """
 SELECT competition, run_no, cv_strategy, n_splits, metric, cv_mean, cv_std, wall_clock_s,
+       CASE WHEN metric IN ('accuracy', 'auc', 'logloss') THEN 'classification' ELSE 'regression' END AS problem_type,
+       list_aggregate(list_transform(fold_scores, lambda x: printf('%.2f', x)), 'string_agg', ' ') AS fold_scores,
        printf('fe_v%02d', run_no) AS fe_version, printf('model_v%02d', run_no) AS model_version FROM runs""",
                           "journal"))
 def q_run1(spark, sf_dir):
     r = trc.cv_runs(journal(spark, sf_dir))
-    return r.select("competition", "run_no", "cv_strategy", "n_splits", "metric", "cv_mean", "cv_std",
-                    "wall_clock_s", "fe_version", "model_version")
+    scores = F.array_join(F.transform("fold_scores", lambda x: F.format_string("%.2f", x)), " ")
+    return r.select("competition", "run_no", "cv_strategy", "n_splits", "metric", "cv_mean", "cv_std", "wall_clock_s", "problem_type",
+                    scores.alias("fold_scores"), "fe_version", "model_version")
 
 
 @query("RUN-2", with_ctes(_RUNS_SQL + """

@@ -309,7 +309,7 @@ def q_opt7(spark, sf_dir):
     return f.df.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_MISS_COLS = ["row_id", "grp", "cat", "cat_missing", "segment", "x_acct", "x_acct_missing", "x_days", "y_reg"]
+_MISS_COLS = ["row_id", "grp", "order_date", "cat", "cat_missing", "segment", "x_acct", "x_acct_missing", "x_days", "y_reg", "y_bin", "y_cls"]
 
 
 @query("OPT-8", with_ctes("\nUNION ALL\n".join(
@@ -317,6 +317,6 @@ _MISS_COLS = ["row_id", "grp", "cat", "cat_missing", "segment", "x_acct", "x_acc
     f"round((count(*) - count({c})) / count(*), 6) AS missing_frac FROM train" for c in _MISS_COLS), "train"))
 def q_opt8(spark, sf_dir):
     """Missingness per column of the training table (from the one-pass profile)."""
-    p = prof.column_profile(training(spark, sf_dir).select(*_MISS_COLS))
+    p = prof.column_profile(training(spark, sf_dir))
     return p.select("column", (F.col("rows") - F.col("non_null")).alias("missing"), "rows",
                     F.round((F.col("rows") - F.col("non_null")) / F.col("rows"), 6).alias("missing_frac"))

@@ -83,20 +83,26 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Data
 
 
 def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """SRC-3 with line ordinals: each file is read whole (one task per file — right for
-    many per-workspace logs; a single huge log should carry its own ``seq``), split into
-    lines, blank lines dropped, every line parsed; ``seq`` = 0-based line number."""
+    """SRC-3 with line ordinals: ``seq`` = 0-based line number in its file, blank lines counted but dropped.
+
+    A large file is read by many tasks.  The lines of one split (``file_block_start``) are read in
+    order, so a line's number is the lines of the file's earlier splits (a running sum over one row per
+    split) and its place in its own."""
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias(seq, "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"\s+$", ""))  # CRLF and trailing blanks
-    lines = lines.where(F.col("line") != "")
-    parsed = lines.select("file", seq, "line", F.from_json("line", full, {
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"))
+    splits = raw.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    lines = raw.join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).select(
+        "file", (F.col("_before") + F.col("_row") - F.col("_first")).alias(seq),
+        F.regexp_replace("value", r"\s+$", "").alias("_line")).where(F.col("_line") != "")  # CRLF and trailing blanks
+    parsed = lines.select("file", seq, "_line", F.from_json("_line", full, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     bad_line = F.col(f"r.{CORRUPT}").isNotNull() | F.col("r").isNull()
-    good = parsed.where(~bad_line).select("file", F.col(seq).cast("long").alias(seq),
-                                          *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields if f.name != seq])
-    bad = parsed.where(bad_line).select("file", seq, F.col("line").alias(CORRUPT))
+    good = parsed.where(~bad_line).select("file", seq, *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields if f.name != seq])
+    bad = parsed.where(bad_line).select("file", seq, F.col("_line").alias(CORRUPT))
     return good, bad
 
 

@@ -53,15 +53,43 @@ def test_time_series_forward_only(spark):
         assert train["t"].max() < val["t"].min()
 
 
-def test_group_kfold_purity_and_greedy(spark):
-    rows = [(i, i % 37) for i in range(1000)]
-    df = spark.createDataFrame(rows, "row_id long, g long")
-    for limit in (cvf.GREEDY_GROUP_LIMIT, 0):
-        f = cvf.group_kfold(df, "g", 5, greedy_limit=limit)
-        purity = cvf.group_purity(f, "g").agg(F.max("n_folds")).first()[0]
-        assert purity == 1
-        sizes = [r["count"] for r in f.df.groupBy("fold").count().collect()]
-        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 30
+def _lightest(counts, k):
+    """Group -> fold, one group after the other."""
+    load, out = [0] * k, {}
+    for g, n in sorted(counts.items(), key=lambda x: (-x[1], x[0] is not None, x[0])):
+        f = load.index(min(load))
+        out[g], load[f] = f, load[f] + n
+    return out
+
+
+@pytest.mark.parametrize("max_rows", [None, 3])
+def test_group_kfold_gives_each_group_to_the_lightest_fold(spark, max_rows):
+    import collections
+    import random
+    r = random.Random(4)
+    sizes = {g: r.choice([1, 1, 1, 2, 3, 3, 7, 50, 51, 400]) for g in range(300)}
+    sizes[None] = 3
+    rows = [g for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(rows)], "row_id long, g long")
+    for k in (2, 5, 20):
+        got = cvf.group_kfold(df, "g", k, max_rows).df.collect()
+        want = _lightest(collections.Counter(rows), k)
+        assert len(got) == len(rows)
+        assert all(x.fold == want[x.g] for x in got)
+
+
+def test_deals_equal_the_lightest_fold():
+    import random
+    r = random.Random(9)
+    for _ in range(300):
+        k = r.randint(2, 8)
+        sizes = sorted(r.sample(range(1, 60), r.randint(1, 8)), reverse=True)
+        table = [(s, r.choice([1, 2, 3, 10, 40])) for s in sizes]
+        want = _lightest({(-s, i): s for s, c in table for i in range(c)}, k)
+        for s, ranks, levels, cycles in cvf._deals(iter(table), k):
+            for i in range(dict(table)[s]):
+                j = sum(x <= i for x in ranks)
+                assert cycles[j - 1][(i - ranks[j - 1]) % j] == want[(-s, i)]
 
 
 def test_group_kfold_errors(spark):
