@@ -67,23 +67,32 @@ def gate_state(subs: DataFrame, carry: DataFrame) -> DataFrame:
     return both.select(f"a.{COMP}", add("n_prior"), add("n_num"), F.greatest("a.mx", "b.mx").alias("mx"), F.least("a.mn", "b.mn").alias("mn"), "a.last_seq")
 
 
-def running_best(journal: DataFrame) -> DataFrame:
+def running_best(journal: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """GATE-2: for every journal record, the direction-aware best and the last CV mean of
-    the successful train_cv calls strictly before it (full precision)."""
+    the successful train_cv calls strictly before it.
+
+    A summary line holds four decimals.  ``means`` (competition, seq, cv_mean: the tracked runs' scores) gives
+    them in full precision, for calls that were tracked."""
     is_cv = (F.col("kind") == "tool_call") & (F.col("tool") == "train_cv")
     summary = F.coalesce(F.col("result_summary"), F.lit(""))
-    mean = F.when(is_cv, _numeric(cv_mean(summary)))
+    if means is not None:
+        full = means.select(F.col(COMP).alias("_k"), F.col("seq").alias("_s"), F.col("cv_mean").alias("_full"))
+        journal = journal.join(full, F.col(COMP).eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("_s")), "left").drop("_k", "_s")
+    else:
+        journal = journal.withColumn("_full", F.lit(None).cast("double"))
+    mean = F.when(is_cv, _numeric(F.coalesce("_full", cv_mean(summary))))
     j = journal.withColumn("_m", mean).withColumn("_metric", F.when(F.col("_m").isNotNull(), cv_metric(summary)))
     r = running(j, [COMP], ["seq"], [Agg("_mx", "max", "_m"), Agg("_mn", "min", "_m"),
                                      Agg("last_cv_mean", "last", "_m"), Agg("_last_metric", "last", "_metric")],
                 inclusive=False)
     hib = higher_is_better(F.col("_last_metric"))
     r = r.withColumn("best_cv_mean", F.when(hib, F.col("_mx")).otherwise(F.col("_mn")))
-    r = r.drop("_m", "_metric", "_mx", "_mn", "_last_metric")
+    r = r.drop("_m", "_metric", "_mx", "_mn", "_last_metric", "_full")
     # competitions that switched metric direction (TRAP-3: the best is not reset and each
     # record compares in its own direction) take the order-dependent running best
     from leakfree.operators.journal import cv_records, mixed_running_best
-    cv = cv_records(journal)
+    cv = cv_records(journal, "_full")
+    journal = journal.drop("_full")
     dirs = cv.groupBy(COMP).agg((F.min(F.col("hib").cast("int")) != F.max(F.col("hib").cast("int"))).alias("_mixed"))
     mixed = dirs.where("_mixed").select(COMP)
     if mixed.isEmpty():

@@ -61,12 +61,13 @@ def tool_counts(journal: DataFrame) -> DataFrame:
                                  .alias("tool_counts"))
 
 
-def cv_records(journal: DataFrame) -> DataFrame:
-    """Successful train_cv calls with a parseable mean, with ordinal, metric and direction."""
+def cv_records(journal: DataFrame, full: str | None = None) -> DataFrame:
+    """Successful train_cv calls with a mean (of column ``full`` where it has one, else parsed), with ordinal, metric and direction."""
     j = with_ordinals(journal)
     j = j.where((F.col("kind") == "tool_call") & (F.col("tool") == "train_cv"))
     summary = F.coalesce(F.col("result_summary"), F.lit(""))
-    j = j.select(COMP, "seq", "ordinal", cv_mean(summary).alias("mean"),
+    mean = cv_mean(summary) if full is None else F.coalesce(F.col(full), cv_mean(summary))
+    j = j.select(COMP, "seq", "ordinal", mean.alias("mean"),
                  cv_metric(summary).alias("metric"))
     return j.where(F.col("mean").isNotNull() & ~F.isnan("mean")).withColumn(
         "hib", higher_is_better(F.col("metric")))

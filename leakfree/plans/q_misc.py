@@ -177,25 +177,26 @@ def _damaged_lines(j):
 
 
 def _write_damaged_journal(spark, sf_dir) -> str:
-    """The bound journal written as damaged JSON lines."""
+    """The bound journal, its competitions by name, written as damaged JSON lines."""
     path = scratch(spark, "journal")
+    j = journal(spark, sf_dir)
+    j = j.withColumn("competition", F.concat(F.lit("comp-"), F.col("competition").cast("string")))
     # one flat log (competition is inside every line): partitioning by competition would
     # write one small file per competition and task
-    io.write_lines(_damaged_lines(journal(spark, sf_dir)).select("line"), path)
+    io.write_lines(_damaged_lines(j).select("line"), path)
     return path
 
 
 @query("SRC-3", with_ctes("""
-SELECT competition, CAST(count_if(seq % 97 <> 0) AS BIGINT) AS n_good, CAST(count_if(seq % 97 = 0) AS BIGINT) AS n_bad
+SELECT 'comp-' || competition AS competition, CAST(count_if(seq % 97 <> 0) AS BIGINT) AS n_good, CAST(count_if(seq % 97 = 0) AS BIGINT) AS n_bad
 FROM journal WHERE seq % 89 <> 0 GROUP BY competition""", "journal"))
 def q_src3(spark, sf_dir):
     """Tolerant JSON-lines read of a damaged journal: good records and quarantined lines
     per competition (blank lines vanish, torn lines anywhere are quarantined)."""
     path = _write_damaged_journal(spark, sf_dir)
-    schema = io.JOURNAL_SCHEMA
-    good, bad = io.read_log(spark, path, schema)
+    good, bad = io.read_log(spark, path, io.JOURNAL_SCHEMA)
     # a torn line still starts with its competition field
-    bad = bad.withColumn("competition", F.regexp_extract(io.CORRUPT, r'"competition":(\d+)', 1).cast("long"))
+    bad = bad.withColumn("competition", F.regexp_extract(io.CORRUPT, r'"competition":"([^"]*)"', 1))
     g = good.groupBy("competition").agg(F.count(F.lit(1)).alias("n_good"))
     b = bad.groupBy("competition").agg(F.count(F.lit(1)).alias("n_bad"))
     return g.join(b, "competition", "full").select(
@@ -219,7 +220,7 @@ def q_src3o(spark, sf_dir):
     try:
         schema = T.StructType([*[f for f in io.JOURNAL_SCHEMA.fields if f.name != "seq"], T.StructField("journal_seq", T.LongType())])
         good, bad = io.read_log_lines(spark, path, schema, "line")
-        out = good.select("competition", "journal_seq", "line", F.lit("record").alias("kind")).unionByName(bad.select(
+        out = good.select(F.col("competition").cast("long").alias("competition"), "journal_seq", "line", F.lit("record").alias("kind")).unionByName(bad.select(
             F.regexp_extract(io.CORRUPT, r'"competition":(\d+)', 1).cast("long").alias("competition"),
             F.lit(-1).cast("long").alias("journal_seq"), "line", F.lit("damaged").alias("kind")))
         return materialize(out, reliable=True)

@@ -54,7 +54,7 @@ def q_str1(spark, sf_dir):
     g = spark.read.schema(io.JOURNAL_SCHEMA).json(f"{out}/records")
     b = spark.read.schema("raw_line string").json(f"{out}/quarantine").select(
         F.regexp_extract("raw_line", r'"competition":(\d+)', 1).cast("long").alias("competition"))
-    gc = g.groupBy("competition").agg(F.count(F.lit(1)).alias("n_good"))
+    gc = g.groupBy(F.col("competition").cast("long").alias("competition")).agg(F.count(F.lit(1)).alias("n_good"))
     bc = b.groupBy("competition").agg(F.count(F.lit(1)).alias("n_bad"))
     return gc.join(bc, "competition", "full").select(
         "competition", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
+#: Competitions are names; a number in a log reads as its text.
 JOURNAL_SCHEMA = T.StructType([
-    T.StructField("competition", T.LongType()), T.StructField("seq", T.LongType()),
+    T.StructField("competition", T.StringType()), T.StructField("seq", T.LongType()),
     T.StructField("ts", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("tool", T.StringType()), T.StructField("args", T.StringType()),
     T.StructField("result_summary", T.StringType()), T.StructField("error", T.StringType()),

@@ -170,3 +170,37 @@ def test_summary_line_round_trips_and_problem_type_checked(spark):
     assert res.run_row(spark, "c1", 1).first()["fe_version"] == "fe_v01"
     with pytest.raises(cvf.CVError, match="disagrees"):
         cv.train_cv(df, "target", cvf.get("kfold", 3), "rmse", model=cv.MeanModel(), problem_type="classification")
+
+
+def test_training_rows_are_encoded_without_their_own_target(spark):
+    """Target means inside train_cv: a row's own target can't reach its encoding, other rows get the mean of all."""
+    rows = [(i, f"v{i % 4}" if i % 11 else None, float(i % 7), float((i * 37) % 101)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, c string, x double, y double")
+    fit = cv.TargetMean("c", smoothing=2.0, keep=["x"]).fit
+    a = {r.row_id: r for r in fit(df, "y").apply_train(df, ["y"]).collect()}
+    changed = df.withColumn("y", F.when(F.col("row_id") == 17, F.lit(1e6)).otherwise(F.col("y")))
+    b = {r.row_id: r for r in fit(changed, "y").apply_train(changed, ["y"]).collect()}
+    assert len(a) == 200 and a[17].c_te == pytest.approx(b[17].c_te) and a[17].y != b[17].y
+    assert any(a[i].c_te != pytest.approx(b[i].c_te) for i in range(200) if rows[i][1] == rows[17][1])
+    mean = sum(r[3] for r in rows) / 200
+    group = [r[3] for r in rows if r[1] == "v1"]
+    new = spark.createDataFrame([(1, "v1", 0.0), (2, "unseen", 0.0), (3, None, 0.0)], "row_id long, c string, x double")
+    got = {r.row_id: r.c_te for r in fit(df, "y").transform(new).collect()}
+    assert got[1] == pytest.approx((sum(group) + 2 * mean) / (len(group) + 2))
+    assert got[2] == got[3] == pytest.approx(mean)
+
+
+def test_one_hot_and_chains_in_train_cv(spark):
+    rows = [(i, "abc"[i % 3], None if i % 9 == 0 else float(i % 7), 10.0 * (i % 3) + (i % 7)) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, c string, x double, y double")
+    with pytest.raises(cvf.CVError):
+        cv.OneHot("c", most=2).fit(df, "y")
+    chain = cv.Chain(cv.OneHot("c"), cv.TargetMean("c"), keep=["x"])
+    fitted = chain.fit(df, "y")
+    assert fitted.transform(df.drop("y")).columns == ["row_id", "x", "c_0", "c_1", "c_2", "c_te"]
+    res = cv.train_cv(df.na.drop(), "y", cvf.get("kfold", 3, seed=5), "rmse", model=cv.Ridge(["x", "c_0", "c_1", "c_2", "c_te"], 0.01), features=chain)
+    assert res.mean < 1.0
+    with pytest.raises(cvf.CVError):
+        cvf.get("kfold", 3, shuffle=False)
+    a = cvf.get("kfold", 3, shuffle=False, order_by=["row_id"]).apply(df).df.collect()
+    assert all(r.fold == r.row_id // 30 for r in a)

@@ -101,4 +101,35 @@ def test_read_log_fills_partition_column(spark):
         f.write('{"seq": 0, "kind": "tool_call", "tool": "a"}\n{"seq": 1, "kind": "tool_c\n')
     good, bad = io.read_log(spark, d, io.JOURNAL_SCHEMA)
     rows = good.collect()
-    assert [(r["competition"], r["seq"]) for r in rows] == [(5, 0)] and bad.count() == 1
+    assert [(r["competition"], r["seq"]) for r in rows] == [("5", 0)] and bad.count() == 1
+
+
+def test_named_competitions_round_trip(spark):
+    d = tempfile.mkdtemp(prefix="lf-named-", dir="/tmp")
+    rows = [("titanic", 0, "tool_call", "a"), ("house-prices", 1, "tool_error", "b"), ("7", 2, "tool_call", "c")]
+    df = spark.createDataFrame(rows, "competition string, seq long, kind string, tool string")
+    io.append_log(df, d + "/parts")
+    good, bad = io.read_log(spark, d + "/parts", io.JOURNAL_SCHEMA)
+    assert sorted(map(tuple, good.select("competition", "seq", "kind", "tool").collect())) == sorted(rows) and bad.count() == 0
+    io.append_log(df, d + "/flat", partition_by=None)
+    good, bad = io.read_log(spark, d + "/flat", io.JOURNAL_SCHEMA)
+    assert sorted(r["competition"] for r in good.collect()) == ["7", "house-prices", "titanic"] and bad.count() == 0
+
+
+def test_line_numbers_of_a_file_that_many_tasks_read(spark):
+    d = tempfile.mkdtemp(prefix="lf-split-", dir="/tmp")
+    lines = [f'{{"competition": "c{i % 3}", "kind": "tool_call", "tool": "t{i}"}}' if i % 7 else "" for i in range(3000)]
+    lines[11] = lines[11][:20]
+    with open(os.path.join(d, "log.jsonl"), "w") as f:
+        f.write("\n".join(lines))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8k")
+    try:
+        good, bad = io.read_log_lines(spark, d, io.JOURNAL_SCHEMA)
+        assert spark.read.text(d).rdd.getNumPartitions() > 8
+        got = {r["seq"]: r["tool"] for r in good.collect()}
+        assert got == {i: f"t{i}" for i in range(3000) if i % 7 and i != 11}
+        assert [r["seq"] for r in bad.collect()] == [11]
+    finally:
+        spark.conf.set(key, before)

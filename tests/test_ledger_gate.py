@@ -105,3 +105,13 @@ def test_running_best_with_switched_metric(spark):
     got = {(r["competition"], r["seq"]): r["best_cv_mean"] for r in gate.running_best(j).collect()}
     assert got[(1, 4)] == pytest.approx(.45) and got[(1, 3)] == pytest.approx(.4) and got[(1, 2)] == pytest.approx(.5)
     assert got[(2, 2)] == pytest.approx(.3)
+
+
+def test_running_best_in_full_precision(spark):
+    rows = [(1, i, "tool_call", "train_cv", f"train_cv complete: kfold (5 folds), metric={m}, mean={x:.4f}, std=0.0")
+            for i, (m, x) in enumerate([("auc", 0.71234567), ("auc", 0.71234999), ("auc", 0.7), ("auc", 0.8)])]
+    j = spark.createDataFrame(rows, "competition long, seq long, kind string, tool string, result_summary string")
+    runs = spark.createDataFrame([(1, 0, 0.71234567), (1, 1, 0.71234999), (1, 2, 0.7)], "competition long, seq long, cv_mean double")
+    got = [r.best_cv_mean for r in gate.running_best(j, runs).orderBy("seq").collect()]
+    assert got == [None, 0.71234567, 0.71234999, 0.71234999]
+    assert [r.best_cv_mean for r in gate.running_best(j).orderBy("seq").collect()] == [None, 0.7123, 0.7123, 0.7123]

@@ -30,6 +30,7 @@ def test_query_matches_oracle(spark, con, name):
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert list(got.columns) == df.columns and len(set(df.columns)) == len(df.columns) > 0
+        assert len(got) > 0, "a query without SQL returned no rows"
         return
     diff = compare(got, con.execute(sql).df())
     assert diff is None, diff
