@@ -72,6 +72,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def light_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches that tasks exchange with Python by bytes, unless the session has a smaller bound: the default
+    bounds their rows only, whatever the rows hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > size:
+        spark.conf.set(name, str(size))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakfree.llm.common import ship, unpacked, word_array, written
+from leakfree.llm.common import let, light_batches, ship, unpacked, word_array, written
 from leakfree.llm.exact_dedup import located
 
 WORDS = 5
@@ -55,6 +55,8 @@ AGREE_TURN = 135
 WORTH = 0.02
 #: Mean members of a block of a split bucket, and cells of a bag's counts.
 BLOCK, CELLS = 512, 512
+#: Words that a task signs at once.
+SLICE_WORDS = 100_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,14 +93,6 @@ def bag(words: np.ndarray, size: int = WORDS) -> np.ndarray:
         return np.sort(mix64(s + nth.astype(np.uint64) * GOLD))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two bags."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def cells(bag: np.ndarray) -> bytes:
     """How many of a bag's hashes fall in each cell, up to 255."""
     at = (mix64(bag.view(np.uint64) + GOLD) % np.uint64(CELLS)).astype(np.int64)
@@ -152,6 +146,15 @@ def bag_minhash(elements: list[np.ndarray], weights: list[np.ndarray], m: int) -
 SIGNED = "n bigint, bands array<bigint>, bits array<bigint>"
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of a batch into (first row, rows) of SLICE_WORDS words at most, or one row."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_WORDS, side="right")) - 1)
+        yield at, end - at
+        at = end
+
+
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """Adds n (shingles), bands (keys) and bits (one-bit sketch) to rows with ``node`` and ``words``."""
     ship(docs.sparkSession)
@@ -160,8 +163,8 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, length in _slices(np.asarray(batch.column("words").offsets)):
+                part = batch.slice(at, length)
                 col = part.column("words")
                 flat, off = np.asarray(col.values), np.asarray(col.offsets)
                 pairs = [np.unique(shingles(flat[a:b], size), return_counts=True) for a, b in zip(off[:-1], off[1:])]
@@ -215,20 +218,14 @@ def _bags(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose whole multisets are similar enough, as links of their components."""
+    """Of the pairs (a, b) of nodes those whose whole multisets are similar enough, as links of their components.
+    Bags are sets of distinct hashes, so their overlap is that of two arrays."""
     one = bags.select(F.col("node").alias("_a"), F.col("bag").alias("ba"))
     two = bags.select(F.col("node").alias("_b"), F.col("bag").alias("bb"))
     both = pairs.join(one, F.col("a") == F.col("_a")).select("b", "la", "lb", "ba").join(
         two, F.col("b") == F.col("_b")).select("la", "lb", "ba", "bb")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (fa, oa), (fb, ob) = ((np.asarray(batch.column(c).values), np.asarray(batch.column(c).offsets)) for c in ("ba", "bb"))
-            mask = pa.array([jaccard(fa[oa[i]:oa[i + 1]], fb[ob[i]:ob[i + 1]]) >= similar
-                             for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("la", "lb")], names=["a", "b"])
-
-    return both.mapInArrow(check, "a binary, b binary")
+    overlap = let(F.size(F.array_intersect("ba", "bb")), lambda n: n >= F.lit(similar) * (F.size("ba") + F.size("bb") - n))
+    return both.where(overlap).select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,6 +317,7 @@ def _met_in_blocks(blocks: DataFrame, similar: float) -> DataFrame:
 
 def classes(contents: DataFrame, similar: float = SIMILAR, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): doc_id, locator and node per row; node and label of the nodes in links."""
+    light_batches(contents.sparkSession)
     base = contents.select("doc_id", "locator", "body")
     signed = written(_signed(base.select("doc_id", "locator", _node("body").alias("node"), _words("body").alias("words")),
                              size, BANDS, ROWS), "signatures")
