@@ -1,10 +1,11 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance.
 
 A template is a sparse vector of ``(1 + ln tf) * idf``; idf comes from the template collection, and words outside
-it weigh like words of no template, so foreign text lowers a cosine.  Headers are windows of up to
-``WINDOW`` lines anywhere in a text.  Only texts and windows with an anchor word are compared:
-anchors are each template's heaviest words, so many that the rest's norm is under the threshold,
-hence a window without them can't reach it (the prefix-filter bound; nothing is lost).
+it weigh like words of no template, so foreign text lowers a cosine.  Headers are windows of words anywhere in a
+text, across line ends, so words before and after a notice don't count.  Only texts and windows with an anchor word
+are compared: anchors are each template's heaviest words, so many that the rest's norm is under the threshold,
+hence a window without them can't reach it (the prefix-filter bound).  A window begins where the template would begin if the
+anchor stood at its place in it, and is as long as the template, a quarter longer or a fifth shorter.
 
 A licence file (by name, or a text that is little but one licence) governs its directory.  A file's
 licence is that of its own header, else that of the nearest directory above it that is governed:
@@ -12,15 +13,17 @@ directories are exploded into their ancestors once each and joined with the gove
 
 Defined results: a null or empty text has no header; a null path lies in no directory; repeated rows
 pass through, a row each; several licence files in a directory: the best score, then the smallest
-path; an empty table gives no rows; other columns play no part.
+path; an empty table gives no rows; other columns play no part; texts are scanned whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,11 +57,19 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
                 "this work under CC0 1.0 Universal."),
 )
 THRESHOLD = 0.75
-WINDOW = 8
 #: A text is a licence file if its best window has this share of its words.
 MOSTLY = 0.8
 NAMES = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
@@ -66,10 +77,16 @@ NAMES = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 COMMON = frozenset("a an and are as at be by can for from has have if in is it its may not of on one or see that the this to "
                    "under was where which will with without you your".split())
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if w not in COMMON]
+    return [w for w in _WORD.findall(text.translate(_LOWER)) if w not in COMMON]
+
+
+def lengths(n: int) -> list[int]:
+    """Window lengths for a template of n words."""
+    return sorted({n, n + n // 4, max(1, n - n // 5)})
 
 
 class Templates:
@@ -82,6 +99,7 @@ class Templates:
         self.idf = {w: math.log((len(bags) + 1) / (n + 0.5)) for w, n in df.items()}
         self.other = math.log((len(bags) + 1) / 0.5)
         self.vectors, anchors = [], set()
+        self.places: dict[str, list[tuple[int, int]]] = {}  # anchor -> (its place in a template, the template's words)
         self.index: dict[str, list[tuple[int, float]]] = {}
         for i, b in enumerate(bags):
             v = {w: (1 + math.log(n)) * self.idf[w] for w, n in b.items()}
@@ -97,7 +115,13 @@ class Templates:
             for w, x in v.items():
                 self.index.setdefault(w, []).append((i, x))
         self.anchors = frozenset(anchors)
-        self.pattern = r"(?i)\b(" + "|".join(re.escape(a) for a in sorted(anchors)) + r")\b"
+        for _, t in templates:
+            sequence = words(t)
+            for at, w in enumerate(sequence):
+                if w in anchors and (at, len(sequence)) not in self.places.setdefault(w, []):
+                    self.places[w].append((at, len(sequence)))
+        # the bounds of a word as in words(): an underscore isn't part of one
+        self.pattern = r"(?i)(?<![a-z0-9])(" + "|".join(re.escape(a) for a in sorted(anchors)) + r")(?![a-z0-9])"
 
     def best(self, bag: Counter) -> tuple[float, int]:
         """Largest cosine and its template (the first of equals)."""
@@ -114,25 +138,19 @@ class Templates:
 
     def header(self, text: str) -> tuple[str, float, int, int, float] | None:
         """The best window: licence, cosine, first line, lines, its share of the text's words."""
-        lines = [words(x) for x in text.split("\n")]
-        hot = [i for i, x in enumerate(lines) if not self.anchors.isdisjoint(x)]
-        best, done = None, set()
-        for h in hot:
-            for first in range(max(0, h - 3), h + 1):
-                if first in done or not lines[first]:
-                    continue
-                done.add(first)
-                bag: Counter = Counter()
-                for n, line in enumerate(lines[first:first + WINDOW], 1):
-                    if sum(bag.values()) > 400:
-                        break
-                    bag.update(line)
-                    c, i = self.best(bag) if line else (0.0, -1)
-                    if c >= self.threshold and (best is None or c > best[1] + 1e-12):
-                        best = (self.names[i], c, first, n, sum(bag.values()))
+        of_line = [words(x) for x in text.split("\n")]
+        flat = [w for x in of_line for w in x]
+        starts = {(max(0, p - at), size) for p, w in enumerate(flat) if w in self.anchors for at, n in self.places[w] for size in lengths(n)}
+        best = None
+        for first, size in sorted(starts):
+            c, i = self.best(Counter(flat[first:first + size]))
+            if c >= self.threshold and (best is None or c > best[1] + 1e-12):
+                best = (self.names[i], c, first, min(size, len(flat) - first))
         if best is None:
             return None
-        return (*best[:4], best[4] / max(1, sum(map(len, lines))))
+        ends = list(accumulate(map(len, of_line)))
+        line, last = bisect_right(ends, best[2]), bisect_right(ends, best[2] + best[3] - 1)
+        return best[0], best[1], line, last - line + 1, best[3] / len(flat)
 
 
 FOUND = "license string, score double, first_line int, lines int, share double"

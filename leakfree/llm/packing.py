@@ -1,14 +1,15 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Pieces are dealt evenly over partitions and arrive longest first; each partition packs its stream online with a bounded number
-of open bins.  Open bins are kept by free space, and one integer's bit f says whether a bin with f
+Pieces are dealt evenly over packers (a partition each) and arrive longest first; each packs its stream online with a bounded number
+of open bins.  A packer gets LEAST_FULL sequences' worth of tokens at least, since each may leave a sequence or two part
+full: the packing doesn't depend on the session's number of partitions unless there is enough for all of them.  Open bins are kept by free space, and one integer's bit f says whether a bin with f
 free tokens is open: the lowest set bit at or above a piece's length is its best fit.  If no bin
 fits, a new one opens; beyond ``open_bins`` the fullest closes first.  Memory is one bitset and
 ``open_bins`` bins per task, whatever the input.
 
 Defined results: a null or empty text is its end id alone (one token); repeated rows and repeated
 ids are packed each; null ids are kept; an empty table gives no pieces; only documents longer than
-a sequence are cut; other columns are ignored.
+a sequence are cut; other columns are ignored; ids must cast to bigint.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakfree.llm.common import ship, shuffle_partitions
+from leakfree.llm.common import ship, shuffle_partitions, written
 from leakfree.llm.tokens import encoder, tokenizer_path
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
 END_ID = 0
+#: Sequences' worth of tokens per packer, at least.
+LEAST_FULL = 256
 SLICE = 1024
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -96,7 +99,9 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, tokenizer: str | None = None,
 def pack(parts: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece, start and length."""
     ship(parts.sparkSession)
-    n = shuffle_partitions(parts.sparkSession)
+    parts = written(parts, "pieces")  # counted before they are dealt
+    full = (parts.agg(F.sum("length")).first()[0] or 0) // (size * LEAST_FULL)
+    n = max(1, min(shuffle_partitions(parts.sparkSession), full))
     dealt = parts.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(
         F.col("length").desc(), "doc_id", "piece", "ids_crc32")
     dealt = dealt.withColumn("part", F.spark_partition_id().cast("bigint"))

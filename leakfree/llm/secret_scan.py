@@ -1,26 +1,33 @@
 """Secret scans: fixed patterns, and character Markov models of random and ordinary strings.
 
 Two first-order models over an alphabet of 68 characters are trained from labelled samples: one of
-random strings, one of ordinary identifiers.  A run of these characters is a secret if its
-log-likelihood ratio exceeds a threshold.  Fixed patterns (assignments, access keys, hex runs) are matched
-besides; a Markov span that overlaps one of theirs is not reported again.
+random strings, one of ordinary ones: identifiers, paths, slugs and dotted names.  Values that the fixed
+patterns find are random.  Ordinary strings are the corpus' other long runs and names put together from its
+words the way names are written (camelCase, snake_case, UPPER_CASE, hyphens, paths, dots, with numbers), since prose
+alone would make every capital, digit and underscore inside a name look random.  The ordinary model mixes pair
+counts with a model of character classes, so that letters seldom seen together aren't evidence by themselves.
+
+A run of at least RUN_LEAST (20) of these characters (a full stop only between others) is a secret if its
+log-likelihood ratio exceeds THRESHOLD; shorter ones hold too little evidence and are left to the patterns.  Fixed
+patterns (assignments, access keys, hex runs) are matched besides; a Markov span that overlaps one of theirs is not
+reported again.
 
 Positions: a text is split at a pattern's matches, so a match starts where the pieces and
 matches before it end; positions are code points, ends are exclusive.
 
 Defined results: a null text is the empty text, without spans; null ids and repeated rows pass
 through, a row each; an empty table gives no rows; an empty training sample gives a ratio of 0
-everywhere, so no Markov spans; other columns play no part.  DataFrame functions only, no shuffle of texts.
+everywhere, so no Markov spans; other columns play no part; texts are scanned whole, whatever their length.
+DataFrame functions only, no shuffle of texts.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakfree.llm.common import sampled, whole, word_array
+from leakfree.llm.common import let, sampled, whole, word_array
 
 #: The patterns of each kind, written so that only whole matches of the least length remain.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,13 +38,15 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 RUN_LEAST = 20
-RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
+RUN = rf"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{{{RUN_LEAST}}})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"
 #: Log-likelihood ratio (nats) beyond which a run counts as random.
 THRESHOLD = 10.0
 #: Documents (about, by a hash of the id) from which the labelled sample is drawn.
 SAMPLE_DOCS = 20_000
-#: Smoothing: random strings are flat, identifiers are not.
-ALPHA_RANDOM, ALPHA_ORDINARY = 1.0, 0.05
+#: Random strings are flat: counts that every pair starts with.
+ALPHA_RANDOM = 1.0
+#: Share of the class model in the ordinary one.
+CLASS_SHARE = 0.25
 
 
 def _spans(found: Column, pieces: Column, kind: int) -> Column:
@@ -74,16 +83,53 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return _with_spans(_with_spans(df, "_access", ACCESS, 1), "_hex", HEX, 2)
 
 
+def _names(words: Column) -> Column:
+    """Names of three consecutive words each, written in the usual ways."""
+    low = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", "")))
+    low = F.filter(low, lambda w: F.length(w) >= 2)
+
+    def name(three: Column, i: Column) -> Column:
+        a, b, c = F.get(three, F.lit(0)), F.get(three, F.lit(1)), F.get(three, F.lit(2))
+        number = ((i * 37) % 1000).cast("string")
+        styles = [F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)),
+                  F.concat_ws("-", a, b, c), F.concat(a, F.lit("/"), b, F.lit("_"), c, F.lit("."), F.substring(b, 1, 2)),
+                  F.concat_ws(".", a, b, F.initcap(c)), F.concat(F.initcap(a), F.initcap(b), F.lit("V"), number),
+                  F.concat(a, F.lit("-"), b, F.lit("-"), number), F.concat(F.upper(F.substring(a, 1, 3)), F.initcap(b), F.lit("_"), number),
+                  F.concat(F.lit("https-www/"), a, F.lit("/"), b, F.lit("-"), c)]
+        return F.element_at(F.array(*styles), (F.floor(i / 3) % len(styles) + 1).cast("int"))
+
+    return let(low, lambda w: F.when(F.size(w) >= 3, F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3, F.lit(3)), lambda i: name(F.slice(w, i + 1, 3), i))).otherwise(F.array().cast("array<string>")))
+
+
 def labelled_samples(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:
-    """(string, label): values that fixed patterns find are random (1), words of letters ordinary (0);
-    from about ``most`` documents, chosen by a hash of their id."""
+    """(string, label): values that fixed patterns find are random (1); plain words, names made of the text's words and
+    long runs beside the patterns' matches are ordinary (0); from about ``most`` documents, chosen by a hash of their id."""
     chosen = sampled(docs, most, 3)
     t = whole(text)
     random = F.concat(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)),
                       F.regexp_extract_all(t, F.lit(HEX), F.lit(0)))
     plain = F.filter(word_array(t), lambda w: w.rlike("^[A-Za-z]{6,}[.,]?$"))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    ordinary = F.concat(plain, _names(word_array(t)), F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)))
     return (chosen.select(F.explode(random).alias("string"), F.lit(1).alias("label")).where("length(string) >= 16")
-            .unionByName(chosen.select(F.explode(plain).alias("string"), F.lit(0).alias("label"))))
+            .unionByName(chosen.select(F.explode(ordinary).alias("string"), F.lit(0).alias("label"))))
+
+
+#: Classes of the alphabet's characters: lower case, upper case, digits, and each sign by itself.
+CLASSES = [0] * 26 + [1] * 26 + [2] * 10 + list(range(3, 9))
+
+
+def _ordinary(c: np.ndarray) -> np.ndarray:
+    """Pair probabilities by row: counts, mixed with class pairs times the characters' shares of their class."""
+    k, of = len(ALPHABET), np.eye(max(CLASSES) + 1)[CLASSES]
+    between = of.T @ c @ of + 0.5
+    share = c.sum(axis=0) + c.sum(axis=1) + 1.0
+    share /= (of.T @ share)[CLASSES]
+    by_class = (between / between.sum(axis=1, keepdims=True))[np.ix_(CLASSES, CLASSES)] * share
+    seen = c.sum(axis=1, keepdims=True)
+    weight = (1 - CLASS_SHARE) * seen / (seen + k)  # a character that is seldom seen leans on its class
+    return weight * c / np.maximum(seen, 1) + (1 - weight) * by_class
 
 
 def train(samples: DataFrame) -> np.ndarray:
@@ -99,10 +145,8 @@ def train(samples: DataFrame) -> np.ndarray:
     if not counts.any():
         return np.zeros(k * k)
 
-    def log_prob(c: np.ndarray, alpha: float) -> np.ndarray:
-        return np.log((c + alpha) / (c.sum(axis=1, keepdims=True) + alpha * k))
-
-    return (log_prob(counts[1], ALPHA_RANDOM) - log_prob(counts[0], ALPHA_ORDINARY)).ravel()
+    random = (counts[1] + ALPHA_RANDOM) / (counts[1].sum(axis=1, keepdims=True) + ALPHA_RANDOM * k)
+    return (np.log(random) - np.log(_ordinary(counts[0]))).ravel()
 
 
 def ratio(run: Column, table: np.ndarray) -> Column:
@@ -132,7 +176,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """doc_id, found (array of start, kind, end in order, kind an index of KINDS), and the strings."""
     df = base_spans(docs, text).withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    random = F.transform(F.regexp_extract_all("_t", F.lit(RUN), F.lit(0)), lambda r: ratio(r, table) > threshold)
+    random = F.transform(F.regexp_extract_all("_t", F.lit(RUN), F.lit(0)), lambda r: (F.length(r) >= RUN_LEAST) & (ratio(r, table) > threshold))
     df = _with_spans(df, "_markov", RUN, 3, random)
     clear = F.filter("_markov", lambda m: ~F.exists(
         F.col("_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))

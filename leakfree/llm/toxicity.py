@@ -151,6 +151,8 @@ def _tree(v: np.ndarray, r: np.ndarray) -> list[int]:
     n = v.shape[1]
     info = np.zeros((n, n))
     total = r.sum()
+    if total <= 0:  # no rows
+        return [-1] * n
     for i in range(n):
         for j in range(i):
             for y in (0, 1):
