@@ -4,8 +4,8 @@ A run is a stretch of words whose smallest period ``q`` goes into it at least tw
 LEAST words long, and that no neighbouring word extends with that period.  For one text:
 
 * Ukkonen's algorithm builds the suffix trees of the words and of their reversal; an Euler tour of
-  each, with range minima over its depths, gives the longest common extension of any two places
-  to the right and to the left in constant time (lowest common ancestor of two leaves).
+  each, with range minima over the depths at which it turns from leaf to leaf, gives the longest common extension of
+  any two places to the right and to the left in constant time (lowest common ancestor of two leaves).
 * Every run has a Lyndon root that is the longest Lyndon word from its place on, in the order of
   the words or in the opposite order.  That word ends before the next smaller suffix, so the order of
   leaves in the tree, walked with either order of children, gives the at most 2n roots.
@@ -100,50 +100,50 @@ class SuffixTree:
                     edge = i - todo + 1
         self.start, self.stop, self.child = start, stop, child
 
-    def walk(self, falling: bool = False, tour: bool = False) -> tuple[list[int], list[int], list[int]]:
-        """Leaves (as suffixes) in the order of the words, or with all but the terminal in falling order;
-        with ``tour`` also the Euler tour's depths and each suffix's place in it."""
+    def walk(self, falling: bool = False) -> tuple[list[int], list[int]]:
+        """Leaves (as suffixes) in the order of the words, or with all but the terminal in falling order, and of the
+        Euler tour the turns: the depth of the node where the tour turns from one leaf to the next (first: 0)."""
         start, stop, child, n = self.start, self.stop, self.child, self.n
-        leaves, depths, place = [], [], [0] * n
-        stack = [(0, 0)]
-        while stack:
-            at, depth = stack.pop()
-            if at < 0:  # back at a node after one of its children
-                depths.append(depth)
-                continue
+        leaves, turns, stack = [], [], []
+        at, depth, turn = 0, 0, 0
+        while True:
             down = child[at]
             if down is None:
-                suffix = start[at] - depth  # the depth above the leaf's edge
-                if tour:
-                    place[suffix] = len(depths)
-                    depths.append(n - suffix)
-                leaves.append(suffix)
+                leaves.append(start[at] - depth)  # the edge begins below the depth above it
+                turns.append(turn)
+                if not stack:
+                    return leaves, turns
+                at, depth = stack.pop()
+                turn = depth
                 continue
-            below = depth + stop[at] - start[at]
-            if tour:
-                depths.append(below)
-            keys = sorted(down, reverse=not falling)
-            if falling and keys[0] == 0:
-                keys = [*keys[1:], 0]
-            # pushed last to first: the terminal, the smallest, is always visited first
-            for k in keys:
-                if tour:
-                    stack.append((-1, below))
-                stack.append((down[k], below))
-        return leaves, depths, place
+            depth += stop[at] - start[at]
+            keys = sorted(down, reverse=falling)
+            if falling and not keys[-1]:  # the terminal is the smallest in either order
+                keys.insert(0, keys.pop())
+            for k in keys[:0:-1]:
+                stack.append((down[k], depth))
+            at = down[keys[0]]
+
+
+def ranked(leaves: list[int]) -> np.ndarray:
+    """Each suffix's place among the leaves."""
+    rank = np.empty(len(leaves), np.int64)
+    rank[leaves] = np.arange(len(leaves))
+    return rank
 
 
 class CommonExtension:
-    """Length of the longest common prefix of suffixes, by range minima over an Euler tour."""
+    """Length of the longest common prefix of two suffixes: the depth of their leaves' lowest common ancestor, which is
+    the least turn of the Euler tour between them.  Range minima by blocks, in constant time."""
 
     BLOCK = 16
 
-    def __init__(self, depths: list[int], place: list[int]):
+    def __init__(self, leaves: list[int], turns: list[int]):
         b = self.BLOCK
-        d = np.asarray(depths, np.int32)
+        d = np.asarray(turns, np.int32)
         d = np.concatenate([d, np.full(-len(d) % b, np.iinfo(np.int32).max, np.int32)]).reshape(-1, b)
-        self.place = np.asarray(place, np.int64)
-        self.depths = d.ravel()
+        self.rank = ranked(leaves)
+        self.turns = d.ravel()
         self.from_left = np.minimum.accumulate(d, axis=1).ravel()
         self.from_right = np.minimum.accumulate(d[:, ::-1], axis=1)[:, ::-1].ravel()
         self.levels = [d.min(axis=1)]
@@ -154,29 +154,26 @@ class CommonExtension:
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For places i != j of the text."""
         b = self.BLOCK
-        x, y = self.place[i], self.place[j]
-        x, y = np.minimum(x, y), np.maximum(x, y)
+        x, y = self.rank[i], self.rank[j]
+        x, y = np.minimum(x, y) + 1, np.maximum(x, y)
         low, high = x // b, y // b
         out = np.minimum(self.from_right[x], self.from_left[y])
         gap = high - low - 1
         for k, level in enumerate(self.levels):
-            here = np.flatnonzero((gap >> k == 1) if k else gap == 1)
+            here = np.flatnonzero(gap >> k == 1)
             out[here] = np.minimum(out[here], np.minimum(level[low[here] + 1], level[high[here] - (1 << k)]))
         near = np.flatnonzero(gap < 0)
         if len(near):
             span = np.minimum(x[near, None] + np.arange(b), y[near, None])
-            out[near] = self.depths[span].min(axis=1)
+            out[near] = self.turns[span].min(axis=1)
         return out
 
 
 def _longest_lyndon(leaves: list[int], n: int) -> np.ndarray:
     """Where the longest Lyndon word from each place on ends: the next smaller suffix."""
-    rank = [0] * (n + 1)
-    for r, suffix in enumerate(leaves):
-        rank[suffix] = r
+    rank = ranked(leaves).tolist()
     ends, open_ = [n] * n, []
-    for i in range(n):
-        r = rank[i]
+    for i, r in enumerate(rank[:n]):
         while open_ and rank[open_[-1]] > r:
             ends[open_.pop()] = i
         open_.append(i)
@@ -189,11 +186,11 @@ def runs_of(word: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
     if n < 2:
         return []
     tree = SuffixTree(word)
-    rising, depths, place = tree.walk(tour=True)
+    rising, turns = tree.walk()
     falling = tree.walk(falling=True)[0]
     del tree
-    right = CommonExtension(depths, place)
-    left = CommonExtension(*SuffixTree(word[::-1]).walk(tour=True)[1:])
+    right = CommonExtension(rising, turns)
+    left = CommonExtension(*SuffixTree(word[::-1]).walk())
     i = np.tile(np.arange(n), 2)
     j = np.concatenate([_longest_lyndon(rising, n), _longest_lyndon(falling, n)])
     period = j - i

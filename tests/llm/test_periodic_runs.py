@@ -77,8 +77,7 @@ def test_stretches_lose_and_cut_no_run():
 def test_common_extension_equals_comparing():
     r = random.Random(3)
     w = [r.randint(1, 2) for _ in range(300)]
-    _, depths, place = periodic_runs.SuffixTree(w).walk(tour=True)
-    right = periodic_runs.CommonExtension(depths, place)
+    right = periodic_runs.CommonExtension(*periodic_runs.SuffixTree(w).walk())
     for _ in range(2000):
         i, j = sorted(r.sample(range(300), 2))
         n = 0
