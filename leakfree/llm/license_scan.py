@@ -70,6 +70,8 @@ TEMPLATES = (
                 "this work under CC0 1.0 Universal."),
 )
 THRESHOLD = 0.75
+#: Share of a template's words that a window holds at least, so that one heavy word alone isn't a short notice.
+HELD = 0.6
 #: A text is a licence file if its best window has this share of its words.
 MOSTLY = 0.8
 NAMES = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
@@ -140,12 +142,14 @@ class Templates:
         """The best window: licence, cosine, first line, lines, its share of the text's words."""
         of_line = [words(x) for x in text.split("\n")]
         flat = [w for x in of_line for w in x]
-        starts = {(max(0, p - at), size) for p, w in enumerate(flat) if w in self.anchors for at, n in self.places[w] for size in lengths(n)}
+        starts = {(p - at, size) for p, w in enumerate(flat) if w in self.anchors for at, n in self.places[w] for size in lengths(n)
+                  if 0 <= p - at <= len(flat) - size}
         best = None
         for first, size in sorted(starts):
-            c, i = self.best(Counter(flat[first:first + size]))
-            if c >= self.threshold and (best is None or c > best[1] + 1e-12):
-                best = (self.names[i], c, first, min(size, len(flat) - first))
+            bag = Counter(flat[first:first + size])
+            c, i = self.best(bag)
+            if c >= self.threshold and (best is None or c > best[1] + 1e-12) and len(bag.keys() & self.vectors[i].keys()) >= HELD * len(self.vectors[i]):
+                best = (self.names[i], c, first, size)
         if best is None:
             return None
         ends = list(accumulate(map(len, of_line)))
