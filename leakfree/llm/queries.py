@@ -88,7 +88,7 @@ def op11(spark, sf_dir):
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query("op12_periodic_runs")
+@query("op12_periodic_runs", sql.RUNS)
 def op12(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", periodic_runs.damaged("doc_id", whole("text")).alias("text"))
     told = periodic_runs.scan(docs, ["doc_id"])
@@ -102,7 +102,7 @@ def op12(spark, sf_dir):
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", sql.REPAIR)
 def op13(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return conversation_repair.report(conversation_repair.damaged(rows), rows.select("conv_id").distinct())

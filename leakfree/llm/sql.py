@@ -76,3 +76,82 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id IS NOT DISTINCT FROM hit.doc_id LEFT JOIN it ON d.doc_id IS NOT DISTINCT FROM it.doc_id
 """
+
+REPAIR = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+       lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ord(ch)::BIGINT)),
+               lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS kind
+      FROM conversations, crc),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid, substr(role, 1, 1) AS initial FROM e),
+f AS MATERIALIZED (SELECT *, CASE WHEN solid = '' THEN 'blank'
+               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+               WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS two FROM o),
+cl(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'),
+                                 (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 3, 2, 'I'), (3, 2, 2, 'I')),
+step(p, x, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ed AS (SELECT p, q, x, 'K' AS op, 0 AS cost FROM step UNION ALL SELECT p, q, NULL, 'R', 2 FROM step WHERE x <> 's'
+       UNION ALL SELECT p, p, NULL, 'D', 3 FROM (VALUES (0), (1), (2), (3)) s(p)),
+mv AS MATERIALIZED (SELECT cl.p, ed.q, ed.x, ed.op, cl.cost + ed.cost AS cost, cl.audit || ed.op AS audit FROM cl JOIN ed ON cl.q = ed.p),
+v(conv_id, pos, state, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM f
+  UNION ALL
+  SELECT conv_id, pos, state, min(cost)::BIGINT, arg_min(audit, (cost, audit)) FROM (
+    SELECT v.conv_id, f.pos, mv.q AS state, v.cost + mv.cost + CASE WHEN f.fault = 'truncated' AND mv.op <> 'D' THEN 1 ELSE 0 END AS cost,
+           v.audit || mv.audit AS audit
+    FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.pos = v.pos + 1
+    JOIN mv ON mv.p = v.state AND (mv.op = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (mv.op = 'R' OR mv.x = f.initial))))
+  GROUP BY conv_id, pos, state),
+told AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+         FROM f GROUP BY conv_id),
+fin AS (SELECT v.conv_id, min(v.cost + cl.cost)::BIGINT AS cost,
+               arg_min(v.audit || cl.audit, (v.cost + cl.cost, v.audit || cl.audit)) AS audit
+        FROM v JOIN told ON told.conv_id IS NOT DISTINCT FROM v.conv_id AND v.pos = told.n JOIN cl ON cl.p = v.state AND cl.q IN (0, 3)
+        GROUP BY v.conv_id),
+ops AS (SELECT conv_id, i, substr(audit, i, 1) AS op FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM fin)),
+num AS (SELECT *, count(*) FILTER (op <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM ops),
+outs AS (SELECT num.conv_id, num.op, f.role, f.text, row_number() OVER (PARTITION BY num.conv_id ORDER BY i) AS k, f.initial
+         FROM num LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM num.conv_id AND f.pos = num.pos AND num.op <> 'I' WHERE num.op <> 'D'),
+sys AS (SELECT *, max(CASE WHEN k = 1 AND op = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM outs),
+rep AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (k + s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+                                   CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS body FROM sys GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+RUNS = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+       lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+d0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+              xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+       FROM documents, crc),
+d1 AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d0),
+d AS MATERIALIZED (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x
+              ELSE w[(a + (i - 1 - a) % (1 + (n - a) // parts) + 1)::INT] END) ELSE w END AS w FROM d1),
+pos AS MATERIALIZED (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d),
+pair AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM island GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(12, 2 * q)),
+run AS MATERIALIZED (SELECT doc_id, s, len, min(q) AS q FROM stretch GROUP BY doc_id, s, len),
+told AS (SELECT doc_id, count(*) AS n_runs, arg_min(s, (-len, s, q)) AS s, arg_min(len, (-len, s, q)) AS len, arg_min(q, (-len, s, q)) AS q,
+                string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT pos.doc_id, string_agg(x, ' ' ORDER BY pos.i) AS body FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.i = pos.i
+         WHERE gone.i IS NULL GROUP BY pos.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, told.len::BIGINT AS length, q::BIGINT AS period,
+       (1000 * told.len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
