@@ -131,6 +131,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_
 LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+#: Columns that may be null are doubles, as data frames have them on both sides.
 RUNS = r"""
 WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
@@ -151,7 +152,7 @@ told AS (SELECT doc_id, count(*) AS n_runs, arg_min(s, (-len, s, q)) AS s, arg_m
 gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
 kept AS (SELECT pos.doc_id, string_agg(x, ' ' ORDER BY pos.i) AS body FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.i = pos.i
          WHERE gone.i IS NULL GROUP BY pos.doc_id)
-SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, told.len::BIGINT AS length, q::BIGINT AS period,
-       (1000 * told.len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::DOUBLE AS start, told.len::DOUBLE AS length, q::DOUBLE AS period,
+       (1000 * told.len // q)::DOUBLE AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
