@@ -108,7 +108,8 @@ def passes(policy_mask: int, bits: str | Column = "fail_bits") -> Column:
 
 
 def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The ledger with the verdict of one policy version."""
+    """The ledger with the verdict of one policy version; a ledger's own columns ``policy`` and ``kept`` (of an earlier
+    version, or a caller's) give way to it."""
     return book.withColumn("policy", F.lit(version)).withColumn("kept", passes(POLICIES[version]))
 
 

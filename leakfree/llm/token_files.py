@@ -12,7 +12,7 @@ low_bits, lower, upper, samples (binary), doc_ids, ids (binary).
 
 Defined results: a null or empty text is its end id alone; null ids come first; equal ids are
 ordered by a hash of their text and repeated rows stay; an empty table gives no blocks; other
-columns are ignored.
+columns are ignored; ids must cast to bigint; a text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -147,13 +147,14 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32; its offsets come from the select structures."""
     ship(spark)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                ends = EliasFano(len(b["doc_ids"]), b["low_bits"], b["lower"], b["upper"], b["samples"]).all()
+                coded = EliasFano(len(b["doc_ids"]), b["low_bits"], b["lower"], b["upper"], b["samples"])
+                ends = np.fromiter(map(coded.select, range(coded.n)), np.int64, coded.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(b["ids"], f"<u{b['width']}")
                 crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends)]
