@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before kept and is written and read again in between.
 Stages but the last return the columns of ``documents``; the last returns packed pieces.
+
+Defined results: rows with a null or empty text fail the quality rules and go; null ids and sources are kept; repeated rows are
+copies, one of which stays; the mix repeats rows that it takes more than once; an empty table gives no pieces; texts are whole.
 """
 
 from __future__ import annotations
