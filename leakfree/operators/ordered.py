@@ -271,15 +271,16 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank",
     A distributed sort at any size: Spark's range partitioning (sampled bounds on the whole order tuple, so
     ties in a leading column such as a class label still split), a sort within each range, and
     ``rank = rows in earlier ranges + position``; the offsets are a table of one row per range, joined on the range's
-    number.  The ranged table is checkpointed into the shared checkpoint folder, so the counts and
-    the positions come from the same durable data whatever executors are lost."""
+    number.  The counts and the positions come from the same pinned table: beyond the per-task cap it is checkpointed
+    into the shared checkpoint folder; up to it, it is cached (its order is total and its ranges' bounds are drawn
+    once, so a lost block is computed to the same positions)."""
     limit = max_rows or max_rows_per_task(df)
     n = total_rows if total_rows is not None else df.count()
     cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2, 2 * math.ceil(n / limit), min(cores, math.ceil(n / RANGE_ROWS)))
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     tagged = materialize(ranged.withColumn("_lf_pid", F.spark_partition_id())
-                         .withColumn("_lf_pos", F.monotonically_increasing_id()), reliable=True)
+                         .withColumn("_lf_pos", F.monotonically_increasing_id()), reliable=n > limit)
     offsets = F.broadcast(_offsets(tagged.groupBy("_lf_pid").agg(F.count(F.lit(1)).alias("_lf_c"))))  # one row per range
     local = F.col("_lf_pos") - F.shiftleft(F.col("_lf_pid").cast("long"), 33)
     return tagged.join(offsets, F.col("_lf_pid") == F.col("_lf_p")).withColumn(
