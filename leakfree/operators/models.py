@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
@@ -110,16 +112,17 @@ def logistic_oof(folds: Folds, xs: list[str], target: str, c: float = 1.0,
     """Out-of-fold class probabilities: ``(row_id, fold, target, p1, probability array)``."""
     assembler = VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="keep")
     data = assembler.transform(folds.df.withColumn("label", F.col(target).cast("double")))
-    outs = []
-    for f in range(folds.n_splits):
-        train = data.where(folds.train_mask(f))
-        n = train.count()
-        model = logistic_model(n, c).fit(train)
-        val = data.where(folds.val_mask(f))
-        pred = model.transform(val).select(
-            row_id, F.col(folds.col).alias("fold"), target,
-            vector_to_array("probability").alias("probability"))
-        outs.append(pred)
+    sizes = {r[0]: r[1] for r in folds.df.groupBy(folds.col).count().collect()}  # k + 1 rows
+
+    def one(f: int) -> DataFrame:
+        n = sum(sizes.get(b, 0) for b in folds.train_blocks(f))
+        model = logistic_model(n, c).fit(data.where(folds.train_mask(f)))
+        return model.transform(data.where(folds.val_mask(f))).select(
+            row_id, F.col(folds.col).alias("fold"), target, vector_to_array("probability").alias("probability"))
+
+    # folds are independent: their iterations share the cluster
+    with ThreadPoolExecutor(max_workers=min(4, folds.n_splits)) as pool:
+        outs = list(pool.map(one, range(folds.n_splits)))
     oof = outs[0]
     for o in outs[1:]:
         oof = oof.unionByName(o)

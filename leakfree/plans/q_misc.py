@@ -237,7 +237,8 @@ def q_src4(spark, sf_dir):
     j = journal(spark, sf_dir).select(
         F.col("competition").cast("string").alias("ws"), "seq", "kind",
         F.when(F.col("kind") == "checkpoint", F.lit("checkpoints")).otherwise(F.lit("agent")).alias("area"))
-    j.write.partitionBy("ws", "area").parquet(path)
+    # rebalanced: a workspace's rows come from few tasks, so it gets few files
+    j.hint("rebalance", "ws", "area").write.partitionBy("ws", "area").parquet(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     return io.competition_catalog(files)
 
