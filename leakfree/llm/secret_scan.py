@@ -83,23 +83,34 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return _with_spans(_with_spans(df, "_access", ACCESS, 1), "_hex", HEX, 2)
 
 
+#: One name is made of three consecutive words out of so many.
+NAME_EVERY = 30
+
+
 def _names(words: Column) -> Column:
     """Names of three consecutive words each, written in the usual ways."""
-    low = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", "")))
-    low = F.filter(low, lambda w: F.length(w) >= 2)
+    plain = lambda three, k: F.lower(F.regexp_replace(F.get(three, F.lit(k)), "[^A-Za-z]", ""))
 
-    def name(three: Column, i: Column) -> Column:
-        a, b, c = F.get(three, F.lit(0)), F.get(three, F.lit(1)), F.get(three, F.lit(2))
+    def name(abc: Column, i: Column) -> Column:
+        a, b, c = abc["a"], abc["b"], abc["c"]
         number = ((i * 37) % 1000).cast("string")
         styles = [F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("_", a, b, c), F.upper(F.concat_ws("_", a, b, c)),
                   F.concat_ws("-", a, b, c), F.concat(a, F.lit("/"), b, F.lit("_"), c, F.lit("."), F.substring(b, 1, 2)),
                   F.concat_ws(".", a, b, F.initcap(c)), F.concat(F.initcap(a), F.initcap(b), F.lit("V"), number),
                   F.concat(a, F.lit("-"), b, F.lit("-"), number), F.concat(F.upper(F.substring(a, 1, 3)), F.initcap(b), F.lit("_"), number),
                   F.concat(F.lit("https-www/"), a, F.lit("/"), b, F.lit("-"), c)]
-        return F.element_at(F.array(*styles), (F.floor(i / 3) % len(styles) + 1).cast("int"))
-
-    return let(low, lambda w: F.when(F.size(w) >= 3, F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3, F.lit(3)), lambda i: name(F.slice(w, i + 1, 3), i))).otherwise(F.array().cast("array<string>")))
+        turn = F.floor(i / NAME_EVERY) % len(styles)
+        out = F.lit("")
+        for k, style in enumerate(styles):
+            out = F.when(turn == k, style).otherwise(out)
+        return out
+
+    def made(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3, F.lit(NAME_EVERY))
+        return F.when(F.size(w) >= 3, F.transform(places, lambda i: let(F.slice(w, i + 1, 3), lambda t: name(
+            F.struct(plain(t, 0).alias("a"), plain(t, 1).alias("b"), plain(t, 2).alias("c")), i)))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, made)
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:
