@@ -12,21 +12,17 @@ d are Good-Turing discounts for counts up to 5, from the counts of counts; sums
 words seen after h, so the weights are normalised exactly (a history after which every event has
 been seen keeps its spare half count).
 
-How it runs: words are 64-bit hashes, word counts a Spark aggregation over all training texts.  A pair's
-occurrences (pair, document, count) are dealt by w, and pairs with a frequent w by the whole pair; word counts
-are dealt alike and meet them there (frequent words go everywhere), so no table of words is gathered or broadcast.
-A bucket counts its pairs and tells, per document, what its pairs and words contribute.  Since discounts are known only
-once all pairs are counted, a document's contribution is kept as its number of pairs with c = 1..5 and a sum of
-logarithms for others; pairs that training lacks are kept as rows (document, h) and meet alpha(h)
+How it runs: words are 64-bit hashes, word counts a Spark aggregation over all training texts.  Documents are numbered by
+task, batch and place.  A pair's occurrences (pair, document, count) are dealt by w, and pairs with a frequent w by
+the whole pair; word counts are dealt alike and meet them there (frequent words go everywhere), so no table of words is
+gathered or broadcast.  A bucket counts its pairs and tells, per document, what its pairs and words contribute.  Since
+discounts are known only once all pairs are counted, a document's contribution is kept as its number of pairs with
+c = 1..5 and a sum of logarithms for others; pairs that training lacks are kept as rows (document, h) and meet alpha(h)
 by a join.
 
-A caller may ask for a closed vocabulary (``score(docs, size)``): then the events are the ``size`` most frequent
-words, held by the driver, and one class for all others, in which a word has the add-one share ``(c + 1) / Z``.
-
 Defined results: a null text is the empty text (one end); null ids and repeated rows are scored row
-by row (equal rows together); without training rows scores equal the base's; an empty table gives no
-rows; other columns play no part.  Rows are told apart by a 64-bit hash of id and text, words
-by one of their letters.
+by row; without training rows scores equal the base's; an empty table gives no rows; other columns play no part; texts are
+scored whole, whatever their length; ids must cast to bigint.  Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,14 +30,12 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakfree.llm.common import part_of, ship, shuffle_partitions, whole, word_array, written
@@ -50,55 +44,13 @@ FOLDS, HELD_OUT = 7, 2
 CUT = 5
 SPARE = 0.5
 PER_BUCKET = 3_000_000
-START, END, OTHER = 0, 1, 2
-FIRST = 3
+BATCH = 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def rows_of(docs: DataFrame, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
-    """rid, doc_id, held_out, text."""
-    t = whole("text")
-    return docs.select(F.xxhash64("doc_id", t).alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                       (part_of("doc_id", folds) == held).alias("held_out"), t.alias("text"))
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, c over the training rows (words only; each task adds up its own part first)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                                              names=["word", "c"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-            if len(seen) > 500_000:
-                yield out()
-                seen = Counter()
-        yield out()
-
-    return rows.where("NOT held_out").select("text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(
-        F.sum("c").alias("c"))
-
-
-@dataclass
-class Vocabulary:
-    """Event numbers and counts; the broadcast part of the model."""
-
-    ids: dict[bytes, int]
-    counts: np.ndarray  # by event number; START has the number of training texts
-    n: int              # training tokens, ends included
-    types: int          # distinct training tokens, the end included
-    share: float        # Z of the class of other words
-    p: np.ndarray       # p(w) by event number
-
-
 def discounts(n: list[float]) -> list[float]:
     """Good-Turing discount ratios for counts 1..CUT from counts of counts n[1..CUT + 1]
     (``n[0]`` unused); where they aren't usable, a half count is taken off."""
@@ -112,156 +64,6 @@ def discounts(n: list[float]) -> list[float]:
     return out
 
 
-def vocabulary(spark: SparkSession, rows: DataFrame, counts: DataFrame, size: int) -> Vocabulary:
-    texts = rows.where("NOT held_out").count()
-    s = counts.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, CUT + 2)]).first()
-    total, types = s[0] or 0, s[1]
-    top = counts.orderBy(F.desc("c"), "word").limit(size).collect()
-    known = np.array([texts, texts, 0, *[r["c"] for r in top]], dtype=np.int64)
-    n = total + texts
-    known[OTHER] = total - known[FIRST:].sum()
-    of = [0.0, *[float(x) for x in s[2:]]]
-    if 1 <= texts <= CUT + 1:
-        of[texts] += 1
-    d = np.array(discounts(of))
-    p = known * np.where(known <= CUT, d[np.minimum(known, CUT)], 1.0) / (n + 1)
-    p[START] = p[OTHER] = 0.0
-    p[OTHER] = 1 - p.sum()
-    rest = types - len(top)
-    return Vocabulary({bytes(r["word"]): FIRST + i for i, r in enumerate(top)}, known, n, types + (texts > 0),
-                      float(known[OTHER] + rest + 1), p)
-
-
-DOCS = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, less double, word binary, k bigint"
-
-
-def documents_and_others(rows: DataFrame, vocab: Broadcast) -> DataFrame:
-    """Rows of two kinds.  word null: a document with its tokens, known tokens, base score over vocabulary
-    words and the sum of log10 D(h).  Else: a word outside the vocabulary, k times in document rid."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocab.value
-        base = np.log10((v.counts + 1) / (v.n + v.types + 1)).tolist()
-        less = np.log10(v.counts + SPARE).tolist()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = []
-                for rid, key, held, text in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns]):
-                    words = tokens(text)
-                    ids = list(map(v.ids.get, words))
-                    known = [i for i in ids if i is not None]
-                    score = sum(map(base.__getitem__, known)) + base[END]
-                    minus = sum(map(less.__getitem__, known)) + less[START] + less[OTHER] * (len(ids) - len(known))
-                    out.append((rid, key, held, len(words) + 1, len(known) + (v.counts[END] > 0), score, minus, None, None))
-                    if len(known) < len(ids):
-                        for w, k in Counter(w for w, i in zip(words, ids) if i is None).items():
-                            out.append((rid, None, None, None, None, None, None, w, k))
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                                 names=[x.split()[0] for x in DOCS.split(", ")])
-
-    return rows.mapInArrow(look, DOCS)
-
-
-BLOB = "bucket int, rids binary, keys binary, places binary, counts binary"
-#: kind 0: document rid; 1: history id; 2: pair that training lacks (rid, history id).
-STATS = ("kind int, id bigint, h bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint, n6 bigint, "
-         "k bigint, value double, p double")
-BATCH = 4096
-
-
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of numbers, plane by plane (compresses better)."""
-    return x.view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
-
-
-def _unplaned(b: bytes, width: int) -> np.ndarray:
-    n = len(b) // width
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-
-
-def occurrences(rows: DataFrame, vocab: Broadcast, buckets: int) -> DataFrame:
-    """Pairs of a batch of documents by bucket: sorted pairs (h << 20 | w), the documents' places and counts."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocab.value.ids.get
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                keys, places = [], []
-                for place, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.array([START, *[get(w, OTHER) for w in tokens(text)], END], dtype=np.uint64)
-                    keys.append(ids[:-1] << np.uint64(20) | ids[1:])
-                    places.append(np.full(len(ids) - 1, place, dtype=np.uint64))
-                key, place = np.concatenate(keys), np.concatenate(places)
-                # a pair needs 40 bits and a place 12: one sort, one unique
-                both, count = np.unique(key << np.uint64(12) | place, return_counts=True)
-                key, place = both >> np.uint64(12), both & np.uint64(0xFFF)
-                bucket = _bucket(key, buckets)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                rids = np.asarray(part.column(0)).astype("<i8").tobytes()
-                out = []
-                for b in range(buckets):
-                    i = order[ends[b]:ends[b + 1]]
-                    if len(i):
-                        out.append((b, rids, _planes(key[i], 5), _planes(place[i], 2), count[i].astype("<u4").tobytes()))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                                 names=[x.split()[0] for x in BLOB.split(", ")])
-
-    return rows.select(F.when(F.col("held_out"), F.col("rid").bitwiseOR(F.lit(1))).otherwise(
-        F.col("rid").bitwiseAND(F.lit(-2))).alias("rid"), "text").mapInArrow(split, BLOB)
-
-
-def contributions(blobs: DataFrame, vocab: Broadcast) -> DataFrame:
-    """Per bucket: counts of its pairs in training (the lowest bit of a row's number tells held-out
-    rows), and from these the rows of STATS."""
-
-    def reduce(table: pa.Table) -> pa.Table:
-        p = vocab.value.p
-        keys, rids, counts = [], [], []
-        for r in table.to_pylist():
-            keys.append(_unplaned(r["keys"], 5))
-            rids.append(np.frombuffer(r["rids"], "<i8")[_unplaned(r["places"], 2).astype(np.int64)])
-            counts.append(np.frombuffer(r["counts"], "<u4").astype(np.int64))
-        pair, at = np.unique(np.concatenate(keys), return_inverse=True)
-        rid, k = np.concatenate(rids), np.concatenate(counts)
-        c = np.bincount(at, np.where(rid & 1, 0, k), minlength=len(pair)).astype(np.int64)
-        h, w = (pair >> np.uint64(20)).astype(np.int64), (pair & np.uint64(0xFFFFF)).astype(np.int64)
-        blank = lambda n: np.zeros(n, dtype=np.int64)
-        # documents
-        doc, of = np.unique(rid, return_inverse=True)
-        ce = c[at]
-        tally = [np.bincount(of, np.where(ce == r, k, 0), minlength=len(doc)).astype(np.int64) for r in range(1, CUT + 1)]
-        logs = np.bincount(of, np.where(ce > CUT, k * np.log10(np.maximum(ce, 1)), 0.0), minlength=len(doc))
-        one = [np.zeros(len(doc), np.int32), doc, blank(len(doc)), *tally, blank(len(doc)), blank(len(doc)), logs, np.zeros(len(doc))]
-        # histories: words seen after h by count, the sum of larger counts, the sum of p(w)
-        seen = c > 0
-        hist, of = np.unique(h[seen], return_inverse=True)
-        cs = c[seen]
-        tally = [np.bincount(of, cs == r, minlength=len(hist)).astype(np.int64) for r in range(1, CUT + 2)]
-        big = np.bincount(of, np.where(cs > CUT, cs, 0), minlength=len(hist))
-        two = [np.ones(len(hist), np.int32), hist, hist, *tally, blank(len(hist)), big, np.bincount(of, p[w[seen]], minlength=len(hist))]
-        # pairs that training lacks
-        lack = ce == 0
-        zero = blank(int(lack.sum()))
-        three = [np.full(len(zero), 2, np.int32), rid[lack], h[at[lack]], *[zero] * 6, k[lack],
-                 k[lack] * np.log10(p[w[at[lack]]]), np.zeros(len(zero))]
-        names = [x.split()[0] for x in STATS.split(", ")]
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(one, two, three)], names=names)
-
-    return blobs.groupBy("bucket").applyInArrow(reduce, STATS)
-
-
 def _weights(tally: DataFrame) -> tuple[list[float], DataFrame]:
     """Discounts of pairs, and the logarithms of alpha(h) and D(h) per history _h."""
     s = tally.agg(*[F.sum(f"n{r}") for r in range(1, CUT + 2)]).first()
@@ -275,7 +77,12 @@ def _weights(tally: DataFrame) -> tuple[list[float], DataFrame]:
 #: Numbers of the start and the end among the words' hashes.
 BEGIN, STOP = -0x6A09E667F3BCC909, -0x3C6EF372FE94F82B
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-HASHED = "bucket int, rids binary, words binary, pairs binary, histories binary, docs binary, places binary, counts binary"
+#: Blobs of a batch of documents.  A bucket below 0 has the documents' ids (words) and which aren't null (pairs).
+HASHED = "bucket int, batch bigint, held binary, words binary, pairs binary, histories binary, docs binary, places binary, counts binary"
+#: kind 0: document ``id``; 1: history ``id``; 2: pair of document ``id`` that training lacks, with its history; 3: document ``id``
+#: and its doc_id as ``h``.  A document's number is odd if it is held out.
+STATS = ("kind int, id bigint, h bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint, n6 bigint, "
+         "k bigint, value double, p double")
 
 
 def _hashed(text):
@@ -320,12 +127,14 @@ def _dealt(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.nd
 def hash_occurrences(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Pairs of a batch of documents by bucket: its words in order with their numbers of pairs, the pairs' histories with
     their numbers of documents, the documents' places and counts."""
+    names = [x.split()[0] for x in HASHED.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                col = part.column(1)
+                key, is_held, col = part.column(0), np.asarray(part.column(1).cast(pa.uint8())), part.column(2)
                 off = np.asarray(col.offsets).astype(np.int64)
                 flat = np.asarray(col.values)[off[0]:off[-1]]
                 off = off - off[0]
@@ -342,47 +151,68 @@ def hash_occurrences(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFram
                 docs = np.diff(np.append(pair, len(h)))
                 word = _starts(bucket[pair], w[pair])
                 pairs = np.diff(np.append(word, len(pair)))
-                rids = np.asarray(part.column(0)).astype("<i8").tobytes()
-                out = []
+                held = is_held.tobytes()
+                there = np.asarray(key.is_valid().cast(pa.uint8())).tobytes()
+                out = [(-1 - (number >> 12) % buckets, number, held, np.asarray(key.fill_null(0)).astype("<i8").tobytes(), there, *[b""] * 4)]
                 span = lambda b: np.searchsorted(b, np.arange(buckets + 1))
                 of_entry, of_pair, of_word = span(bucket), span(bucket[pair]), span(bucket[pair][word])
                 for b in range(buckets):
                     e, q, v = (slice(x[b], x[b + 1]) for x in (of_entry, of_pair, of_word))
                     if of_entry[b] < of_entry[b + 1]:
-                        out.append((b, rids, w[pair][word][v].tobytes(), pairs[v].astype("<u4").tobytes(), h[pair][q].tobytes(),
+                        out.append((b, number, held, w[pair][word][v].tobytes(), pairs[v].astype("<u4").tobytes(), h[pair][q].tobytes(),
                                     docs[q].astype("<u2").tobytes(), place[e].astype("<u2").tobytes(), count[e].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[i] for r in out], pa.binary()) for i in range(1, 8)]],
-                    names=[x.split()[0] for x in HASHED.split(", ")])
+                number += BATCH
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                 del out, h, w, place, bucket, entry, pair, word
                 _give_back()
 
-    return rows.select("id", _hashed(F.col("text")).alias("words")).mapInArrow(split, HASHED)
+    return rows.select("doc_id", "held_out", _hashed(F.col("text")).alias("words")).mapInArrow(split, HASHED)
+
+
+def _stats(kind: int, **columns) -> pa.Table:
+    """Rows of STATS; columns that a kind lacks are null."""
+    n = len(next(iter(columns.values())))
+    out = {}
+    for field in STATS.split(", "):
+        name, what = field.split()
+        to = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[what]
+        out[name] = pa.array(columns[name], to) if name in columns else pa.array(np.full(n, kind, np.int32)) if name == "kind" else pa.nulls(n, to)
+    return pa.table(out)
 
 
 def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int, d: list[float], unseen: float) -> DataFrame:
-    """Rows of STATS; kind 0 has the known tokens in n6, the tokens in k, the base score in p, and D(h) taken off value."""
+    """Rows of STATS.  A document's n1..n5 are its pairs by count, n6 its known tokens, k its tokens, p its base score, value
+    the rest of its score but for discounts and backoff weights (D(h) taken off); a history's n1..n6 are the words after it by
+    count, value the sum of larger counts, p the sum of p(w)."""
     d = np.array(d)
 
+    def documents(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        held = np.frombuffer(row["held"], np.uint8)
+        return (row["batch"] + np.arange(len(held))) * 2 + held, held
+
     def reduce(table: pa.Table, known: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in STATS.split(", ")]
         if not table.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int32())] + [pa.array([], pa.int64())] * 9 + [pa.array([], pa.float64())] * 2, names=names)
-        word, hist, docs, rids, places, ks = [], [], [], [], [], []
-        rows = 0
+            return _stats(0, id=[])
+        word, hist, docs, doc, places, ks, keys, rows = [], [], [], [], [], [], [], 0
         for i in range(table.num_rows):  # a batch's bytes at a time
             r = {c: table[c][i].as_py() for c in table.column_names}
+            doc.append(documents(r)[0])
+            if r["bucket"] < 0:
+                keys.append(pa.array(np.frombuffer(r["words"], "<i8"), mask=np.frombuffer(r["pairs"], np.uint8) == 0))
+                continue
             word.append(np.repeat(np.frombuffer(r["words"], "<i8"), np.frombuffer(r["pairs"], "<u4")))
             hist.append(np.frombuffer(r["histories"], "<i8"))
             docs.append(np.frombuffer(r["docs"], "<u2"))
-            rids.append(np.frombuffer(r["rids"], "<i8"))
             places.append(np.frombuffer(r["places"], "<u2").astype(np.int32) + np.int32(rows))
             ks.append(np.frombuffer(r["counts"], "<u4").astype(np.int32))
-            rows += len(rids[-1])
-        doc, of_row = np.unique(np.concatenate(rids), return_inverse=True)
-        of = of_row.astype(np.int32)[np.concatenate(places)]
+            rows += len(doc[-1])
+        doc = np.concatenate(doc)
+        if keys:
+            return _stats(3, id=doc, h=pa.concat_arrays(keys))
+        of = np.concatenate(places)
         word, hist, docs, k = map(np.concatenate, (word, hist, docs, ks))
-        del places, rids, ks
+        del places, ks
         order = np.lexsort((hist, word))
         first = _starts(word[order], hist[order])
         at = np.empty(len(word), dtype=np.int32)
@@ -397,47 +227,41 @@ def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int,
         cw = np.where((kw[near] == w) & (near < len(kw) - 1), kc[near], 0)
         p = np.where(cw > 0, cw * np.where(cw <= CUT, d[np.minimum(cw, CUT)], 1.0) / (n + 1), unseen)
         c = np.bincount(at, np.where((doc & 1 == 1)[of], 0, k), minlength=len(w)).astype(np.int64)
-        blank = lambda m: np.zeros(m, dtype=np.int64)
         # documents
         ce, base = c[at], np.log10((cw + 1) / (n + types + 1))
         less = np.where(w == STOP, 0.0, np.log10(cw + SPARE))
         here = np.bincount(of, minlength=len(doc)) > 0
         add = lambda x: np.bincount(of, x, minlength=len(doc))[here]
         whole_ = lambda x: add(x).astype(np.int64)
-        zero = blank(int(here.sum()))
-        one = [np.zeros(len(zero), np.int32), doc[here], zero, *[whole_(np.where(ce == r, k, 0)) for r in range(1, CUT + 1)],
-               whole_(np.where((cw > 0)[at], k, 0)), whole_(k),
-               add(np.where(ce > CUT, k * np.log10(np.maximum(ce, 1)), 0.0) - k * less[at]), add(k * base[at])]
+        own = np.where(ce > CUT, np.log10(np.maximum(ce, 1)), np.where(ce == 0, np.log10(p)[at], 0.0)) - less[at]
+        one = _stats(0, id=doc[here], **{f"n{r}": whole_(np.where(ce == r, k, 0)) for r in range(1, CUT + 1)},
+                     n6=whole_(np.where((cw > 0)[at], k, 0)), k=whole_(k), value=add(k * own), p=add(k * base[at]))
+        del own
         lack = ce == 0
         lost, gone, times = doc[of[lack]], at[lack], k[lack].astype(np.int64)
         del ce, lack, of, at, k
-        # histories: words seen after h by count, the sum of larger counts, the sum of p(w)
+        three = _stats(2, id=lost, h=h[gone], k=times)
+        # histories
         seen = c > 0
         hs, of = np.unique(h[seen], return_inverse=True)
         cs = c[seen]
-        tally = [np.bincount(of, cs == r, minlength=len(hs)).astype(np.int64) for r in range(1, CUT + 2)]
-        big = np.bincount(of, np.where(cs > CUT, cs, 0), minlength=len(hs)).astype(np.float64)
-        two = [np.ones(len(hs), np.int32), hs, blank(len(hs)), *tally, blank(len(hs)), big, np.bincount(of, p[seen], minlength=len(hs))]
-        # pairs that training lacks
-        zero = blank(len(lost))
-        three = [np.full(len(zero), 2, np.int32), lost, h[gone], *[zero] * 6, times, times * np.log10(p[gone]), np.zeros(len(zero))]
-        out = pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(one, two, three)], names=names)
-        del one, two, three, p, c, w, h, seen
+        two = _stats(1, id=hs, **{f"n{r}": np.bincount(of, cs == r, minlength=len(hs)).astype(np.int64) for r in range(1, CUT + 2)},
+                     value=np.bincount(of, np.where(cs > CUT, cs, 0), minlength=len(hs)).astype(np.float64),
+                     p=np.bincount(of, p[seen], minlength=len(hs)))
+        del p, c, w, h, seen
+        out = pa.concat_tables([one, two, three])
         _give_back()
         return out
 
     return blobs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(reduce, STATS)
 
 
-def score(docs: DataFrame, size: int | None = None, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; over all training words, or
-    the ``size`` most frequent."""
+def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; over all training words."""
     spark = docs.sparkSession
     ship(spark)
-    if size is not None:
-        return _closed(docs, size, folds, held)
-    rows = rows_of(docs, folds, held).withColumn("id", F.when(F.col("held_out"), F.col("rid").bitwiseOR(F.lit(1))).otherwise(
-        F.col("rid").bitwiseAND(F.lit(-2))))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (part_of("doc_id", folds) == held).alias("held_out"),
+                       whole("text").alias("text"))
     texts = rows.where("NOT held_out").count()
     counts = written(hash_counts(rows), "words")
     s = counts.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, CUT + 2)]).first()
@@ -456,66 +280,22 @@ def score(docs: DataFrame, size: int | None = None, folds: int = FOLDS, held: in
         F.array(F.pmod("w", F.lit(buckets)).cast("int")))))
     stats = written(hash_contributions(hash_occurrences(rows, np.array(hot, dtype=np.int64), buckets), known, n, types, d1, unseen),
                     "katz")
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops the shuffled occurrences, the largest files, once nothing refers to them
-    tally = stats.where("kind = 1").groupBy(F.col("id").alias("_h")).agg(
-        *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("value").alias("big"), F.sum("p").alias("p"))
-    d, alpha = _weights(written(tally, "histories"))
-    lacking = stats.where("kind = 2").join(alpha, F.col("h") == F.col("_h"), "left")
-    never = math.log10(SPARE)  # a history without training pairs: its backoff weight is 1
-    none = F.lit(0).cast("bigint")
-    lacking = lacking.select("id", (F.col("value") + F.col("k") * (F.coalesce("alpha", F.lit(0.0)) + F.coalesce(
-        "total", F.lit(never)))).alias("value"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"))
-    seen = sum((F.col(f"n{r}") * math.log10(r * d[r]) for r in range(1, CUT + 1)), F.col("value"))
-    parts = stats.where("kind = 0").select("id", seen.alias("value"), F.col("k").alias("tokens"), F.col("n6").alias("known"),
-                                           F.col("p").alias("base")).unionByName(lacking)
-    parts = parts.groupBy(F.col("id").alias("_id")).agg(*[F.sum(c).alias(c) for c in ("value", "tokens", "known", "base")])
-    copies = rows.groupBy(F.col("id").alias("_c")).agg(F.count(F.lit(1)).alias("copies"))
-    out = rows.select("id", "doc_id", "held_out").join(parts, F.col("id") == F.col("_id")).join(copies, F.col("id") == F.col("_c"))
-    share = lambda c: F.col(c) / F.col("copies")  # noqa: E731  equal rows were added up
-    return out.select("doc_id", "held_out", share("tokens").cast("bigint").alias("n_tokens"),
-                      share("known").cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-                      share("base").alias("base_score"),
-                      (share("value") - math.log10(texts + SPARE) if n else share("base")).alias("score"))
-
-
-def _closed(docs: DataFrame, size: int, folds: int, held: int) -> DataFrame:
-    """``score`` over a closed vocabulary."""
-    spark = docs.sparkSession
-    rows = rows_of(docs, folds, held)
-    counts = written(word_counts(rows), "words")
-    v = vocabulary(spark, rows, counts, size)
-    vocab = spark.sparkContext.broadcast(v)
-    per = written(documents_and_others(rows, vocab), "texts")
-    mark = F.when(F.col("held_out"), F.col("rid").bitwiseOR(F.lit(1))).otherwise(F.col("rid").bitwiseAND(F.lit(-2)))
-    texts = per.where("word IS NULL").withColumn("id", mark)
-    # words outside the vocabulary: base score, share of their class, known or not
-    known = counts.select(F.col("word").alias("_w"), "c")
-    others = per.where("word IS NOT NULL").select("rid", "word", "k").join(known, F.col("word") == F.col("_w"), "left")
-    c1 = F.coalesce("c", F.lit(0)) + 1
-    others = others.groupBy(F.col("rid").alias("_rid")).agg(
-        F.sum(F.col("k") * F.log10(c1 / float(v.n + v.types + 1))).alias("base2"),
-        F.sum(F.col("k") * F.log10(c1 / v.share)).alias("inside"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known2"))
-    buckets = max(shuffle_partitions(spark), math.ceil((v.n * folds / max(folds - 1, 1)) / PER_BUCKET))
-    stats = written(contributions(occurrences(rows, vocab, buckets), vocab), "katz")
-    # history tables: at most one row per event
     tally = stats.where("kind = 1").groupBy(F.col("id").alias("_h")).agg(
         *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("value").alias("big"), F.sum("p").alias("p"))
     d, alpha = _weights(written(tally, "histories"))
-    lacking = stats.where("kind = 2").join(F.broadcast(alpha), F.col("h") == F.col("_h"), "left")
     never = math.log10(SPARE)  # a history without training pairs: its backoff weight is 1
-    lacking = lacking.select("id", (F.col("value") + F.col("k") * (
-        F.coalesce("alpha", F.lit(0.0)) + F.coalesce("total", F.lit(never)))).alias("value"))
+    none, no = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    backoff = alpha.select("_h", (F.col("alpha") + F.col("total")).alias("weight"))
+    lacking = stats.where("kind = 2").select("id", "h", "k").join(backoff, F.col("h") == F.col("_h"), "left").select(
+        "id", (F.col("k") * F.coalesce("weight", F.lit(never))).alias("value"), none.alias("tokens"), none.alias("known"), no.alias("base"),
+        none.alias("doc_id"))
     seen = sum((F.col(f"n{r}") * math.log10(r * d[r]) for r in range(1, CUT + 1)), F.col("value"))
-    parts = stats.where("kind = 0").select("id", seen.alias("value")).unionByName(lacking)
-    parts = parts.groupBy(F.col("id").alias("_id")).agg(F.sum("value").alias("pairs"))
-    copies = texts.groupBy(F.col("id").alias("_c")).agg(F.count(F.lit(1)).alias("copies"))
-    out = (texts.join(parts, F.col("id") == F.col("_id"), "left").join(copies, F.col("id") == F.col("_c"))
-           .join(others, F.col("rid") == F.col("_rid"), "left"))
-    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))  # noqa: E731  equal rows were added up
-    base = F.col("base") + share("base2")
-    return out.select("doc_id", "held_out", "n_tokens",
-                      (F.col("n_known") + share("known2").cast("bigint")).alias("n_known"),
-                      F.lit(v.n).cast("bigint").alias("train_tokens"), base.alias("base_score"),
-                      (share("pairs") - F.col("less") + share("inside") if v.n else base).alias("score"))
+    own = stats.where("kind = 0").select("id", seen.alias("value"), F.col("k").alias("tokens"), F.col("n6").alias("known"),
+                                         F.col("p").alias("base"), none.alias("doc_id"))
+    keys = stats.where("kind = 3").select("id", no.alias("value"), none.alias("tokens"), none.alias("known"), no.alias("base"),
+                                          F.col("h").alias("doc_id"))
+    out = own.unionByName(lacking).unionByName(keys).groupBy("id").agg(
+        *[F.sum(c).alias(c) for c in ("value", "tokens", "known", "base")], F.max("doc_id").alias("doc_id"))
+    return out.select("doc_id", (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("held_out"), F.col("tokens").alias("n_tokens"),
+                      F.col("known").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
+                      (F.col("value") - math.log10(texts + SPARE) if n else F.col("base")).alias("score"))
