@@ -77,10 +77,10 @@ def _weights(tally: DataFrame) -> tuple[list[float], DataFrame]:
 #: Numbers of the start and the end among the words' hashes.
 BEGIN, STOP = -0x6A09E667F3BCC909, -0x3C6EF372FE94F82B
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Blobs of a batch of documents.  A bucket below 0 has the documents' ids (words) and which aren't null (pairs).
+#: Blobs of a batch of documents.  A bucket below 0 has the documents' ids (words), which aren't null (pairs) and their tokens (histories).
 HASHED = "bucket int, batch bigint, held binary, words binary, pairs binary, histories binary, docs binary, places binary, counts binary"
-#: kind 0: document ``id``; 1: history ``id``; 2: pair of document ``id`` that training lacks, with its history; 3: document ``id``
-#: and its doc_id as ``h``.  A document's number is odd if it is held out.
+#: kind 0: document ``id``; 1: history ``id``; 2: pair of document ``id`` that training lacks, with its history; 3: document ``id``,
+#: its doc_id as ``h`` and its tokens as ``k``.  A document's number is odd if it is held out.
 STATS = ("kind int, id bigint, h bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint, n6 bigint, "
          "k bigint, value double, p double")
 
@@ -117,6 +117,21 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places in a batch (12 bits each), two in three bytes; an odd one at the end takes two bytes."""
+    n = len(places) // 2 * 2
+    a, b = places[:n:2].astype(np.uint16), places[1:n:2].astype(np.uint16)
+    out = np.stack([a & 255, a >> 8 | (b & 15) << 4, b >> 4], axis=1).astype(np.uint8)
+    return out.tobytes() + places[n:].astype("<u2").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 3 * 3
+    x = np.frombuffer(raw[:n], np.uint8).reshape(-1, 3).astype(np.int32)
+    both = np.stack([x[:, 0] | (x[:, 1] & 15) << 8, x[:, 1] >> 4 | x[:, 2] << 4], axis=1).ravel()
+    return np.concatenate([both, np.frombuffer(raw[n:], "<u2").astype(np.int32)])
+
+
 def _dealt(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of pairs: by w, and by the pair where w is frequent."""
     with np.errstate(over="ignore"):
@@ -153,14 +168,15 @@ def hash_occurrences(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFram
                 pairs = np.diff(np.append(word, len(pair)))
                 held = is_held.tobytes()
                 there = np.asarray(key.is_valid().cast(pa.uint8())).tobytes()
-                out = [(-1 - (number >> 12) % buckets, number, held, np.asarray(key.fill_null(0)).astype("<i8").tobytes(), there, *[b""] * 4)]
+                sizes = (np.diff(off) + 1).astype("<u4").tobytes()
+                out = [(-1 - (number >> 12) % buckets, number, held, np.asarray(key.fill_null(0)).astype("<i8").tobytes(), there, sizes, *[b""] * 3)]
                 span = lambda b: np.searchsorted(b, np.arange(buckets + 1))
                 of_entry, of_pair, of_word = span(bucket), span(bucket[pair]), span(bucket[pair][word])
                 for b in range(buckets):
                     e, q, v = (slice(x[b], x[b + 1]) for x in (of_entry, of_pair, of_word))
                     if of_entry[b] < of_entry[b + 1]:
                         out.append((b, number, held, w[pair][word][v].tobytes(), pairs[v].astype("<u4").tobytes(), h[pair][q].tobytes(),
-                                    docs[q].astype("<u2").tobytes(), place[e].astype("<u2").tobytes(), count[e].astype("<u4").tobytes()))
+                                    docs[q].astype("<u2").tobytes(), _packed(place[e]), count[e].astype("<u4").tobytes()))
                 number += BATCH
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -182,7 +198,7 @@ def _stats(kind: int, **columns) -> pa.Table:
 
 
 def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int, d: list[float], unseen: float) -> DataFrame:
-    """Rows of STATS.  A document's n1..n5 are its pairs by count, n6 its known tokens, k its tokens, p its base score, value
+    """Rows of STATS.  A document's n1..n5 are its pairs by count, n6 its known tokens, p its base score, value
     the rest of its score but for discounts and backoff weights (D(h) taken off); a history's n1..n6 are the words after it by
     count, value the sum of larger counts, p the sum of p(w)."""
     d = np.array(d)
@@ -194,22 +210,23 @@ def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int,
     def reduce(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _stats(0, id=[])
-        word, hist, docs, doc, places, ks, keys, rows = [], [], [], [], [], [], [], 0
+        word, hist, docs, doc, places, ks, keys, sizes, rows = [], [], [], [], [], [], [], [], 0
         for i in range(table.num_rows):  # a batch's bytes at a time
             r = {c: table[c][i].as_py() for c in table.column_names}
             doc.append(documents(r)[0])
             if r["bucket"] < 0:
                 keys.append(pa.array(np.frombuffer(r["words"], "<i8"), mask=np.frombuffer(r["pairs"], np.uint8) == 0))
+                sizes.append(np.frombuffer(r["histories"], "<u4"))
                 continue
             word.append(np.repeat(np.frombuffer(r["words"], "<i8"), np.frombuffer(r["pairs"], "<u4")))
             hist.append(np.frombuffer(r["histories"], "<i8"))
             docs.append(np.frombuffer(r["docs"], "<u2"))
-            places.append(np.frombuffer(r["places"], "<u2").astype(np.int32) + np.int32(rows))
+            places.append(_unpacked(r["places"]) + np.int32(rows))
             ks.append(np.frombuffer(r["counts"], "<u4").astype(np.int32))
             rows += len(doc[-1])
         doc = np.concatenate(doc)
         if keys:
-            return _stats(3, id=doc, h=pa.concat_arrays(keys))
+            return _stats(3, id=doc, h=pa.concat_arrays(keys), k=np.concatenate(sizes))
         of = np.concatenate(places)
         word, hist, docs, k = map(np.concatenate, (word, hist, docs, ks))
         del places, ks
@@ -235,7 +252,7 @@ def hash_contributions(blobs: DataFrame, counts: DataFrame, n: int, types: int,
         whole_ = lambda x: add(x).astype(np.int64)
         own = np.where(ce > CUT, np.log10(np.maximum(ce, 1)), np.where(ce == 0, np.log10(p)[at], 0.0)) - less[at]
         one = _stats(0, id=doc[here], **{f"n{r}": whole_(np.where(ce == r, k, 0)) for r in range(1, CUT + 1)},
-                     n6=whole_(np.where((cw > 0)[at], k, 0)), k=whole_(k), value=add(k * own), p=add(k * base[at]))
+                     n6=whole_(np.where((cw > 0)[at], k, 0)), value=add(k * own), p=add(k * base[at]))
         del own
         lack = ce == 0
         lost, gone, times = doc[of[lack]], at[lack], k[lack].astype(np.int64)
@@ -290,9 +307,9 @@ def score(docs: DataFrame, folds: int = FOLDS, held: int = HELD_OUT) -> DataFram
         "id", (F.col("k") * F.coalesce("weight", F.lit(never))).alias("value"), none.alias("tokens"), none.alias("known"), no.alias("base"),
         none.alias("doc_id"))
     seen = sum((F.col(f"n{r}") * math.log10(r * d[r]) for r in range(1, CUT + 1)), F.col("value"))
-    own = stats.where("kind = 0").select("id", seen.alias("value"), F.col("k").alias("tokens"), F.col("n6").alias("known"),
+    own = stats.where("kind = 0").select("id", seen.alias("value"), none.alias("tokens"), F.col("n6").alias("known"),
                                          F.col("p").alias("base"), none.alias("doc_id"))
-    keys = stats.where("kind = 3").select("id", no.alias("value"), none.alias("tokens"), none.alias("known"), no.alias("base"),
+    keys = stats.where("kind = 3").select("id", no.alias("value"), F.col("k").alias("tokens"), none.alias("known"), no.alias("base"),
                                           F.col("h").alias("doc_id"))
     out = own.unionByName(lacking).unionByName(keys).groupBy("id").agg(
         *[F.sum(c).alias(c) for c in ("value", "tokens", "known", "base")], F.max("doc_id").alias("doc_id"))
