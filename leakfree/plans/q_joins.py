@@ -89,9 +89,10 @@ def q_led2(spark, sf_dir):
     """Record: price each call at write time and append it to the ledger log; the totals
     are then read back from the written log."""
     path = q_misc.scratch(spark, "ledger-record")
-    io.append_log(ledger(spark, sf_dir).select("competition", "seq", "model", "input_tokens", "output_tokens",
-                                                "cached_tokens", "cost_usd"), path)
-    back = spark.read.json(path)
+    lg = ledger(spark, sf_dir).select("competition", "seq", "model", "input_tokens", "output_tokens",
+                                      "cached_tokens", "cost_usd")
+    io.append_log(lg, path)
+    back = spark.read.schema(lg.schema).json(path)
     return back.groupBy(F.col("competition").cast("long").alias("competition")).agg(
         F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 10).alias("total_usd"))
 

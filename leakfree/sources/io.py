@@ -7,12 +7,15 @@ dropping bad lines silently it returns them as a quarantine DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
+#: Directories of a log partitioned by a key, whatever the number of keys.
+BUCKETS = 64
+
 #: Competitions are names; a number in a log reads as its text.
 JOURNAL_SCHEMA = T.StructType([
     T.StructField("competition", T.StringType()), T.StructField("seq", T.LongType()),
@@ -123,15 +126,29 @@ def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
                         F.format_string("%.1f MB", F.col("length") / 1048576).alias("size"))
 
 
-def append_log(df: DataFrame, path: str, partition_by: str | None = "competition", fmt: str = "json") -> None:
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    """The directory (``<key column>_bucket=``) of a partitioned log that holds a key's rows."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def only(log: DataFrame, key: str, value, buckets: int = BUCKETS) -> DataFrame:
+    """One key's rows of a log that ``append_log`` partitioned by ``key``: only its directory is read."""
+    return log.where((F.col(f"{key}_bucket") == bucket_of(F.lit(value), buckets)) & (F.col(key) == value)).drop(f"{key}_bucket")
+
+
+def append_log(df: DataFrame, path: str, partition_by: str | None = "competition", fmt: str = "json", buckets: int = BUCKETS) -> None:
     """SNK-1: durable append (the file commit protocol replaces per-line fsync).
 
-    Partitioned writes first ``rebalance`` on the partition column: adaptive execution
-    groups each competition's rows into few files but splits a hot competition over
-    several tasks (``repartition(col)`` would put it in one)."""
+    A partitioned log has ``buckets`` directories, each of the keys of one hash (see ``only``): with a directory per
+    key, an append wrote a file or more per key, however few rows that had, and the commit moved them one by one.
+    The key stays in the rows, which are sorted by it.  Partitioned writes ``rebalance`` on the bucket: adaptive execution
+    groups a bucket's rows into few files but splits a large one (a hot competition) over several tasks
+    (``repartition(col)`` would put it in one)."""
+    w = df
     if partition_by:
-        df = df.hint("rebalance", partition_by)
-    w = df.write.mode("append")
+        bucket = f"{partition_by}_bucket"
+        w = df.withColumn(bucket, bucket_of(F.col(partition_by), buckets)).hint("rebalance", bucket).sortWithinPartitions(bucket, partition_by)
+    w = w.write.mode("append")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.format(fmt).save(path)

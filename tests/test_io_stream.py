@@ -133,3 +133,20 @@ def test_line_numbers_of_a_file_that_many_tasks_read(spark):
         assert [r["seq"] for r in bad.collect()] == [11]
     finally:
         spark.conf.set(key, before)
+
+
+def _parts(d):
+    return [os.path.join(top, f) for top, _, names in os.walk(d) for f in names if f.startswith("part-")]
+
+
+def test_a_partitioned_log_has_few_files_for_many_keys(spark):
+    d = tempfile.mkdtemp(prefix="lf-keys-", dir="/tmp")
+    df = spark.range(3000).select((F.col("id") % 1000).alias("competition"), F.col("id").alias("seq")).unionByName(
+        spark.createDataFrame([(None, 3000)], "competition long, seq long"))
+    for fmt in ("json", "parquet"):
+        io.append_log(df.where("seq % 2 = 0"), f"{d}/{fmt}", fmt=fmt)
+        io.append_log(df.where("seq % 2 = 1"), f"{d}/{fmt}", fmt=fmt)
+        assert len([x for x in os.listdir(f"{d}/{fmt}") if "=" in x]) <= io.BUCKETS and len(_parts(f"{d}/{fmt}")) <= 4 * io.BUCKETS
+        back = spark.read.schema(df.schema).format(fmt).load(f"{d}/{fmt}")
+        assert sorted(map(tuple, back.select("competition", "seq").collect()), key=lambda x: x[1]) == [
+            (i % 1000 if i < 3000 else None, i) for i in range(3001)]
