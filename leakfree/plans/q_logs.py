@@ -349,12 +349,12 @@ def q_flt1(spark, sf_dir):
 @query("FLT-1p", with_ctes("SELECT seq, kind, tool FROM journal WHERE competition = 7", "journal"))
 def q_flt1p(spark, sf_dir):
     """One competition from a log stored partitioned by competition: the filter prunes
-    partitions (directories) instead of reading rows."""
+    partitions (directories, each of the competitions of one hash) instead of reading rows."""
     from leakfree.plans.q_misc import scratch
     from leakfree.sources import io
     path = scratch(spark, "journal-partitioned")
     io.append_log(journal(spark, sf_dir), path, partition_by="competition", fmt="parquet")
-    return spark.read.parquet(path).where(F.col("competition") == 7).select("seq", "kind", "tool")
+    return io.only(spark.read.parquet(path), "competition", 7).select("seq", "kind", "tool")
 
 
 @query("FLT-2", """

@@ -150,3 +150,13 @@ def test_a_partitioned_log_has_few_files_for_many_keys(spark):
         back = spark.read.schema(df.schema).format(fmt).load(f"{d}/{fmt}")
         assert sorted(map(tuple, back.select("competition", "seq").collect()), key=lambda x: x[1]) == [
             (i % 1000 if i < 3000 else None, i) for i in range(3001)]
+
+
+def test_one_key_of_a_partitioned_log_reads_one_directory(spark):
+    d = tempfile.mkdtemp(prefix="lf-only-", dir="/tmp")
+    df = spark.range(2000).select((F.col("id") % 500).alias("competition"), F.col("id").alias("seq"))
+    io.append_log(df, d, fmt="parquet")
+    one = io.only(spark.read.parquet(d), "competition", 7)
+    assert one.columns == ["competition", "seq"] and sorted(map(tuple, one.collect())) == [(7, i) for i in (7, 507, 1007, 1507)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(competition_bucket" in plan
