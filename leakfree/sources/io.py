@@ -123,6 +123,25 @@ def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
     because only path/length are selected (the binary-file source prunes it)."""
     files = spark.read.format("binaryFile").load(path_glob).select("path", "length")
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length",
+#: What a null name is called in a folder name.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def pack_workspaces(records: DataFrame, path: str, workspace: str = "ws", area: str = "area") -> None:
+    """Write records as workspaces (``ws=<name>/area=<area>/``) packed into few large files, as an archive holds its
+    members: each record has the path of its member.  A folder and a file per workspace and area would cost
+    far more than their rows when there are many small ones."""
+    def folder(c: str) -> Column:
+        return F.concat(F.lit(f"/{c}="), F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(NO_NAME)))
+    member = F.concat(F.lit(path.rstrip("/")), folder(workspace), folder(area), F.lit("/records"))
+    append_log(records.withColumn("path", member), path, workspace, "parquet")
+
+
+def packed_files(spark: SparkSession, path: str) -> DataFrame:
+    """The file listing of packed workspaces: a row per member path (no other column is read)."""
+    return spark.read.parquet(path).select("path").distinct()
+
+
                         F.format_string("%.1f MB", F.col("length") / 1048576).alias("size"))
 
 

@@ -160,3 +160,13 @@ def test_one_key_of_a_partitioned_log_reads_one_directory(spark):
     assert one.columns == ["competition", "seq"] and sorted(map(tuple, one.collect())) == [(7, i) for i in (7, 507, 1007, 1507)]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(competition_bucket" in plan
+
+
+def test_packed_workspaces_have_few_files(spark):
+    d = tempfile.mkdtemp(prefix="lf-pack-", dir="/tmp")
+    rows = [(f"w{i}", "agent" if i % 3 else "raw", j) for i in range(600) for j in range(2)]
+    io.pack_workspaces(spark.createDataFrame(rows, "ws string, area string, seq long"), d)
+    assert len(_parts(d)) <= 2 * io.BUCKETS and spark.read.parquet(d).count() == 1200
+    files = io.packed_files(spark, d)
+    assert files.count() == 600
+    assert [r[0] for r in io.competition_catalog(files).collect()] == sorted(f"w{i}" for i in range(600) if i % 3)
