@@ -86,8 +86,11 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Data
     return good, bad
 
 
-def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: str = "seq",
+                   one_log: bool = False) -> tuple[DataFrame, DataFrame]:
     """SRC-3 with line ordinals: ``seq`` = 0-based line number in its file, blank lines counted but dropped.
+    ``one_log``: the files under ``path`` are, in order of their names, parts of one log (as a rotated log's), and its lines
+    are numbered through.
 
     A large file is read by many tasks.  The lines of one split (``file_block_start``) are read in
     order, so a line's number is the lines of the file's earlier splits (a running sum over one row per
@@ -97,7 +100,9 @@ def read_log_lines(spark: SparkSession, path: str, schema: T.StructType, seq: st
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"))
     splits = raw.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    # one row per split
+    order = Window.orderBy("file", "_block") if one_log else Window.partitionBy("file").orderBy("_block")
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     lines = raw.join(splits, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).select(
         "file", (F.col("_before") + F.col("_row") - F.col("_first")).alias(seq),
@@ -118,11 +123,6 @@ def competition_catalog(paths: DataFrame, path: str = "path", marker: str = "age
     return paths.select(name.alias("competition")).where(F.col("competition") != "").distinct().orderBy("competition")
 
 
-def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
-    """SRC-5: file names and sizes (``%.1f MB``) from a listing; ``content`` is never read
-    because only path/length are selected (the binary-file source prunes it)."""
-    files = spark.read.format("binaryFile").load(path_glob).select("path", "length")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length",
 #: What a null name is called in a folder name.
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 
@@ -142,6 +142,11 @@ def packed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("path").distinct()
 
 
+def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
+    """SRC-5: file names and sizes (``%.1f MB``) from a listing; ``content`` is never read
+    because only path/length are selected (the binary-file source prunes it)."""
+    files = spark.read.format("binaryFile").load(path_glob).select("path", "length")
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length",
                         F.format_string("%.1f MB", F.col("length") / 1048576).alias("size"))
 
 
@@ -169,7 +174,7 @@ def append_log(df: DataFrame, path: str, partition_by: str | None = "competition
         w = df.withColumn(bucket, bucket_of(F.col(partition_by), buckets)).hint("rebalance", bucket).sortWithinPartitions(bucket, partition_by)
     w = w.write.mode("append")
     if partition_by:
-        w = w.partitionBy(partition_by)
+        w = w.partitionBy(bucket)
     w.format(fmt).save(path)
 
 

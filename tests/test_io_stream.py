@@ -170,3 +170,35 @@ def test_packed_workspaces_have_few_files(spark):
     files = io.packed_files(spark, d)
     assert files.count() == 600
     assert [r[0] for r in io.competition_catalog(files).collect()] == sorted(f"w{i}" for i in range(600) if i % 3)
+
+
+def test_line_numbers_run_through_the_parts_of_one_log(spark):
+    d = tempfile.mkdtemp(prefix="lf-parts-", dir="/tmp")
+    for part in range(4):
+        with open(os.path.join(d, f"part-{part}.jsonl"), "w") as f:
+            f.writelines(f'{{"competition": "c", "tool": "t{i}"}}\n' if i % 10 else "\n" for i in range(part * 500, part * 500 + 500))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        good, bad = io.read_log_lines(spark, d, io.JOURNAL_SCHEMA, one_log=True)
+        assert {r["seq"]: r["tool"] for r in good.collect()} == {i: f"t{i}" for i in range(2000) if i % 10} and bad.count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_large_log_is_written_by_many_tasks(spark, monkeypatch):
+    from leakfree.plans import q_misc
+    j = spark.range(4000).select((F.col("id") % 7).alias("competition"), F.col("id").alias("seq"), F.lit("t").alias("ts"))
+    paths = []
+    monkeypatch.setattr(q_misc, "journal", lambda *_: j)
+    monkeypatch.setattr(q_misc, "scratch", lambda *_: paths.append(tempfile.mkdtemp(prefix="lf-one-", dir="/tmp") + "/log") or paths[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = q_misc.q_src3o(spark, "")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(_parts(paths[0])) > 1
+    order = sorted(range(4000), key=lambda i: (i % 7, i))
+    want = {n: -1 if i % 97 == 0 else i for n, i in enumerate(order) if i % 89}
+    assert {r["line"]: r["journal_seq"] for r in out.collect()} == want
