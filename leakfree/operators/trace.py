@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakfree.functions.parse import parse_cv_summary
 from leakfree.operators.metrics import names_of
@@ -28,11 +34,69 @@ def work_spans(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("status") != "MARKER")
 
 
+#: Rows that a task of ``resolve_tree`` holds at a time (a larger trace is cut, its pointers meet in the rounds of joins).
+HELD_ROWS = 500_000
+
+
+def _follow(t: pa.Table) -> pa.RecordBatch:
+    """Pointers of spans after following the links among the rows of one table, doubling until they leave it.  A link to a span that
+    comes more than once (``copies``) is not followed, nor is a cycle."""
+    col = {c: pa.concat_arrays(t[c].chunks) for c in t.column_names}
+    n, span, parent = len(t), col["span_id"], col["parent_span_id"]
+    codes = pa.concat_arrays([span, parent]).dictionary_encode()
+    k = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    trace = col["trace_id"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, up = (trace * len(codes.dictionary) + x for x in (k[:n], k[n:]))
+    rows = np.flatnonzero((col["copies"].to_numpy(zero_copy_only=False) == 1) & (trace >= 0) & (k[:n] >= 0))
+    rows = rows[np.argsort(key[rows])]
+    at = np.searchsorted(key[rows], up)
+    linked = (k[n:] >= 0) & (trace >= 0) & (at < len(rows))
+    linked[linked] = key[rows[at[linked]]] == up[linked]
+    end, steps = np.arange(n), linked.astype(np.int64)
+    end[linked] = rows[at[linked]]
+    for _ in range(n.bit_length() + 1):
+        after = end[end]
+        if (after == end).all():
+            break
+        steps += steps[end]
+        end = after
+    cycle = linked[end]
+    end, steps = np.where(cycle, np.arange(n), end), np.where(cycle, 0, steps)
+    end = pa.array(end)
+    up = parent.take(end)
+    root = up.is_null()
+    steps += ~root.to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays(
+        [col["trace_id"], span, up, pa.array(steps, pa.int32()), pc.if_else(root, span.take(end), pa.scalar(None, span.type))],
+        ["trace_id", "span_id", "up", "steps", "root_span_id"])
+
+
+def _follow_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= most:
+            yield _follow(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _follow(pa.Table.from_batches(held))
+
+
+def _pointers(inner: DataFrame) -> DataFrame:
+    """Each inner span's farthest ancestor (``up``, ``steps``) that a task finds among the rows it holds, or its root.  Rows of a trace
+    lie together; a large trace is split over tasks."""
+    ids = [T.StructField(c, inner.schema["span_id"].dataType) for c in ("span_id", "up", "root_span_id")]
+    schema = T.StructType([inner.schema["trace_id"], ids[0], ids[1], T.StructField("steps", T.IntegerType()), ids[2]])
+    return inner.hint("rebalance", "trace_id").sortWithinPartitions("trace_id").select(
+        "trace_id", "span_id", "parent_span_id", "copies").mapInArrow(partial(_follow_batches, most=HELD_ROWS), schema)
+
+
 def resolve_tree(spans: DataFrame) -> DataFrame:
     """TRC-2: depth and root of every span, by pointer doubling over parent links.
 
-    Only spans with children need pointers.  Each holds an ancestor and the steps to it; a round replaces the
-    ancestor by the ancestor's ancestor (one join), so the steps double and a tree of depth d takes
+    Only spans with children need pointers.  Each holds an ancestor and the steps to it.  Tasks first follow the links among
+    the rows they hold, which resolves traces that lie whole in a task.  For the rest a round replaces the
+    ancestor by the ancestor's ancestor (one join), so the steps double and a tree of depth d takes at most
     log2(d) rounds.  Spans whose pointer has reached a root leave the input, and spans without children (most)
     take part in one last join only.  A span whose ancestors end in a missing parent or in a
     cycle of links has depth null."""
@@ -40,12 +104,17 @@ def resolve_tree(spans: DataFrame) -> DataFrame:
     kids = s.where(F.col("parent_span_id").isNotNull()).select(
         F.col("trace_id").alias("_t"), F.col("parent_span_id").alias("_s")).distinct().withColumn("_inner", F.lit(True))
     s = materialize(s.join(kids, (F.col("trace_id") == F.col("_t")) & (F.col("span_id") == F.col("_s")), "left").select(
-        "trace_id", "span_id", "parent_span_id", F.col("_inner").isNotNull().alias("inner")), reliable=True)
+        "trace_id", "span_id", "parent_span_id", F.col("_inner").isNotNull().alias("inner"),
+        F.count(F.lit(1)).over(Window.partitionBy("trace_id", "span_id")).alias("copies")), reliable=True)
     inner = s.where("inner")
     is_root = F.col("parent_span_id").isNull()
     none = F.lit(None)
-    done = inner.where(is_root).select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root_span_id"))
-    todo = inner.where(~is_root).select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.lit(1).alias("steps"))
+    if inner.where(~is_root).isEmpty():  # children of roots only
+        near = inner.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.lit(0).alias("steps"), F.col("span_id").alias("root_span_id"))
+    else:
+        near = materialize(_pointers(inner), reliable=True)
+    done = near.where("root_span_id IS NOT NULL").select("trace_id", "span_id", F.col("steps").alias("depth"), "root_span_id")
+    todo = near.where("root_span_id IS NULL").select("trace_id", "span_id", "up", "steps")
     lost, left = [], todo.count()
     rounds = math.ceil(math.log2(left + 1)) + 1  # a tree is no deeper than its spans: what is left then is a cycle
     while left and rounds:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakfree.operators import journal as jr, ledger as led, metrics as met, trace as trc
 
@@ -60,6 +61,30 @@ def test_deep_chains_take_log_rounds(spark):
     assert all(got["u", x] == (None, None) for x in ("s5", "s6", "tail", "lost", "under"))
 
 
+def test_traces_that_a_task_holds_take_no_joins(spark, monkeypatch):
+    """Chains in one task resolve without a round; cut anywhere, they resolve in rounds."""
+    rows = [(f"t{i // 200}", f"s{i}", None if i % 200 == 0 else "gone" if i == 500 else f"s{i - 1}") for i in range(1000)]
+    rows += [("x", "a", "b"), ("x", "b", "a"), ("x", "c", "a"), ("x", "own", "own")]
+    want = {(t, s): (None, None) if t == "x" or 500 <= int(s[1:]) < 600 else (int(s[1:]) % 200, f"s{int(s[1:]) // 200 * 200}") for t, s, _ in rows}
+    df = spark.createDataFrame([(*x, "OK") for x in rows], "trace_id string, span_id string, parent_span_id string, status string")
+    inner = df.where("trace_id <> 'x'").withColumn("copies", F.lit(1).cast("long"))
+    near = trc._pointers(inner).collect()
+    assert sum(r.root_span_id is not None for r in near) == 900 and all(r.up == "gone" for r in near if r.root_span_id is None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    for held in (500_000, 7):
+        monkeypatch.setattr(trc, "HELD_ROWS", held)
+        got = trc.resolve_tree(df).collect()
+        assert len(got) == len(rows) and {(x.trace_id, x.span_id): (x.depth, x.root_span_id) for x in got} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spans_that_come_twice_resolve_for_each_copy(spark):
+    rows = [("t", "r", None), ("t", "a", "r"), ("t", "a", "r"), ("t", "b", "a"), ("t", "c", "b"), ("t", "leaf", "c")]
+    df = spark.createDataFrame([(*x, "OK") for x in rows], "trace_id string, span_id string, parent_span_id string, status string")
+    got = sorted((x.span_id, x.depth) for x in trc.resolve_tree(df).collect())
+    assert got == [("a", 1)] * 2 + [("b", 2)] * 2 + [("c", 3)] * 2 + [("leaf", 4)] * 2 + [("r", 0)]
+
+
 def test_random_forests(spark):
     r = random.Random(2)
     parent = {i: None if i < 5 else r.randrange(max(0, i - 20), i) for i in range(600)}
