@@ -21,14 +21,15 @@ from leakfree.plans.sql import with_ctes
 def _stream(spark, df, name: str, order: str = "seq", late: bool = False):
     """The table as a source of four appends by ``order``; ``late``: the last third by order comes first."""
     path = scratch(spark, name)
+    files = max(4, spark.sparkContext.defaultParallelism)  # of an append: as many tasks write and read it
     if late:
         third = df.agg(F.expr(f"approx_percentile({order}, 0.67)")).first()[0]
         first = F.col(order) > (0 if third is None else third)
-        stage(df.where(first), path, "competition", order, slices=1)
-        stage(df.where(~first), path, "competition", order, slices=2)
+        stage(df.where(first), path, "competition", order, slices=1, files_per_slice=files)
+        stage(df.where(~first), path, "competition", order, slices=2, files_per_slice=files)
     else:
-        stage(df, path, "competition", order)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        stage(df, path, "competition", order, files_per_slice=files)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("STR-1", with_ctes("""

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,33 +75,31 @@ def stuck_loop_alarm(journal_stream: DataFrame, window: int = 10, threshold: int
     """STR-4: keyed state = the last ``window`` records (kind flag, tool, canonical args)."""
     comp = journal_stream.schema[COMP].dataType.simpleString()
     out_schema = f"{COMP} {comp}, tool string, args string, repeats long, window int, stuck boolean"
-    state_schema = "seqs array<long>, tools array<string>, args array<string>, is_tool array<boolean>"
-    src = journal_stream.select(COMP, "seq", F.coalesce("tool", F.lit("")).alias("tool"),
-                                canonical_args(F.col("args")).alias("sig"),
-                                F.col("kind").isin(*TOOL_KINDS).alias("is_tool"))
+    names = [COMP, "tool", "args", "repeats", "window", "stuck"]
+    state_schema = "seqs array<long>, tools array<string>, args array<string>"
+    # few columns and plain arrays: most of a step's time goes into its frames.  A record that is no tool call has no tool
+    src = journal_stream.select(COMP, "seq", F.when(F.col("kind").isin(*TOOL_KINDS), F.coalesce("tool", F.lit(""))).alias("tool"),
+                                canonical_args(F.col("args")).alias("sig"))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # the last records by seq don't depend on the order of arrival: a late row takes its place, a replay is known
         ring = {r[0]: r for r in zip(*state.get)} if state.exists else {}
         for pdf in pdfs:
-            for seq, tool, sig, is_tool in pdf[["seq", "tool", "sig", "is_tool"]].nlargest(window, "seq").itertuples(index=False):
-                ring.setdefault(int(seq), (int(seq), tool, sig, bool(is_tool)))
+            seqs, tools, args = (pdf[c].to_numpy() for c in ("seq", "tool", "sig"))
+            for i in np.argsort(-seqs, kind="stable")[:window]:
+                ring.setdefault(int(seqs[i]), (int(seqs[i]), tools[i], args[i]))
             ring = {seq: ring[seq] for seq in sorted(ring)[-window:]}
         ring = list(ring.values())
-        state.update(([r[0] for r in ring], [r[1] for r in ring], [r[2] for r in ring], [r[3] for r in ring]))
+        state.update(tuple([r[i] for r in ring] for i in range(3)))
         sigs = Counter()
         first: dict = {}
-        for seq, tool, sig, is_tool in ring:
-            if is_tool:
+        for seq, tool, sig in ring:
+            if tool is not None:
                 sigs[(tool, sig)] += 1
                 first.setdefault((tool, sig), seq)
-        if not sigs:  # no tool record in the window any more: retract the earlier alarm row
-            yield pd.DataFrame({COMP: [key[0]], "tool": [None], "args": [None], "repeats": [0],
-                                "window": [window], "stuck": [False]})
-            return
-        (tool, sig), cnt = max(sigs.items(), key=lambda kv: (kv[1], -first[kv[0]]))
-        yield pd.DataFrame({COMP: [key[0]], "tool": [tool], "args": [sig], "repeats": [cnt], "window": [window],
-                            "stuck": [cnt >= threshold]})
+        # no tool record in the window any more: retract the earlier alarm row
+        (tool, sig), cnt = max(sigs.items(), key=lambda kv: (kv[1], -first[kv[0]])) if sigs else ((None, None), 0)
+        yield pd.DataFrame([(key[0], tool, sig, cnt, window, cnt >= threshold and cnt > 0)], columns=names)
 
     return src.groupBy(COMP).applyInPandasWithState(step, out_schema, state_schema, "update",
                                                     GroupStateTimeout.NoTimeout)

@@ -50,3 +50,16 @@ def test_no_row_is_lost_between_arrow_batches(small_batches, tmp_path):
     cols = ["tool", "args", "repeats", "stuck"]
     got = run(alarms.stuck_loop_alarm(sdf), "order4", ["competition"], "update").select(*cols).collect()
     assert got == jr.stuck_loop(df).select(*cols).collect()
+
+
+def test_many_tasks_write_and_read_an_append(spark, tmp_path, monkeypatch):
+    """A stream's source has as many files per append as tasks run at once, and a trigger takes one append."""
+    from leakfree.plans import q_stream
+    monkeypatch.setattr(q_stream, "scratch", lambda *_: str(tmp_path / "log"))
+    df = spark.range(8000).select((F.col("id") % 400).alias("competition"), F.col("id").alias("seq"), F.lit("tool_call").alias("kind"),
+                                  F.lit("run_python").alias("tool"), (F.col("id") % 3).cast("string").alias("args"))
+    sdf = q_stream._stream(spark, df, "log", late=True)
+    assert len([x for x in (tmp_path / "log").iterdir() if x.name.startswith("part-")]) > 3 * 4
+    cols = ["competition", "tool", "args", "repeats", "stuck"]
+    got = run(alarms.stuck_loop_alarm(sdf), "many4", ["competition"], "update").select(*cols)
+    assert sorted(got.collect()) == sorted(jr.stuck_loop(df).select(*cols).collect())
